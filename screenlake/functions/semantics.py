@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def js_round(v: Column) -> Column:
@@ -51,3 +51,9 @@ def with_group(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
 def fold_array(rows: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
     """Ordered fold over an array that is already sorted; stays in the JVM."""
     return F.aggregate(rows, zero, step)
+
+
+def constant_table(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
+    """A small fixed table as JVM literals (no Python worker, no escaping of patterns)."""
+    structs = [F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows]
+    return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")

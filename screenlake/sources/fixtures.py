@@ -102,6 +102,17 @@ FROM (SELECT b.*, row_number() OVER (PARTITION BY image_id ORDER BY box_id) AS n
     "nodes": """
 SELECT c.image_id, c.node_id, f.node_id AS parent_id, c.n, c.p, c.q, c.type, c.x, c.y, c.w, c.h
 FROM {tree_nodes} c LEFT JOIN {tree_nodes} f ON c.image_id = f.image_id AND c.parent_n = f.n""",
+    # wide sibling groups: every box after the fifth hangs under one of boxes 2..5
+    "kids": """
+SELECT c.image_id, f.node_id AS parent_id, c.node_id AS child_id
+FROM {tree_nodes} c JOIN {tree_nodes} f ON c.image_id = f.image_id AND f.n = 2 + c.n % 4 WHERE c.n > 5""",
+    "finding_actions": """
+SELECT image_id, node_id AS element_id, p + q AS action_id, 'structure-finding' AS subject_kind,
+       concat(CASE p % 3 WHEN 0 THEN 'sibling-size-inconsistent' WHEN 1 THEN 'sibling-overlap' ELSE 'isolated-content' END, ':', node_id) AS subject_id,
+       CASE q % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'overridden' ELSE 'suppressed' END AS action,
+       CASE WHEN q % 7 = 0 THEN 'stale' ELSE NULL END AS signature,
+       p * 100 + q AS created_at
+FROM {tree_nodes} WHERE q % 3 <> 0""",
     "intents": """
 SELECT event_id AS request_id, user_id AS image_id,
        CASE event_id % 12
