@@ -17,3 +17,16 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
 def global_top_k(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
     """The first ``k`` rows of the whole table (TakeOrderedAndProject)."""
     return df.orderBy(*order).limit(k)
+
+
+def flow_direction(nodes: DataFrame) -> DataFrame:
+    """top-down / left-right when one centre spread exceeds 1.3 times the other."""
+    cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    s = nodes.groupBy("image_id").agg(
+        (F.max(cx) - F.min(cx)).alias("sx"), (F.max(cy) - F.min(cy)).alias("sy"), F.count(F.lit(1)).alias("n")
+    )
+    kind = (
+        F.when(F.col("n") < 2, "unknown").when(F.col("sy") > F.col("sx") * 1.3, "top-down")
+        .when(F.col("sx") > F.col("sy") * 1.3, "left-right").otherwise("unknown")
+    )
+    return s.select("image_id", kind.alias("direction"))

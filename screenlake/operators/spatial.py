@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from screenlake.functions import geometry as G
-from screenlake.functions.semantics import keep_first
+from screenlake.functions.semantics import mean_median
+from screenlake.session import cut_lineage
 
 KEY = ("image_id",)
 TILE = 128.0
@@ -41,11 +42,19 @@ def touching_pairs(
     keys: Sequence[str] = KEY,
     tile: float = TILE,
     reach: float = 0.0,
+    reach_x: Column | None = None,
+    reach_y: Column | None = None,
 ) -> DataFrame:
     """All pairs (a, b) with equal ``keys`` whose closed boxes touch; ``reach`` widens
-    the boxes of ``a`` on every side.  Columns come out as ``a_*`` and ``b_*``."""
-    left, right = prefixed(a, "a_", keys), prefixed(b, "b_", keys)
-    ab, bb = G.expand(G.box("a_"), reach), G.box("b_")
+    the boxes of ``a`` on every side, ``reach_x`` / ``reach_y`` (columns of ``a``) per axis.
+    Columns come out as ``a_*`` and ``b_*``."""
+    zero = F.lit(0.0)
+    left = a.withColumn("_rx", F.lit(reach) + (zero if reach_x is None else reach_x))
+    left = prefixed(left.withColumn("_ry", F.lit(reach) + (zero if reach_y is None else reach_y)), "a_", keys)
+    right = prefixed(b, "b_", keys)
+    raw, bb = G.box("a_"), G.box("b_")
+    rx, ry = F.col("a__rx"), F.col("a__ry")
+    ab = G.Box(raw.x - rx, raw.y - ry, raw.w + 2 * rx, raw.h + 2 * ry)
     on = [*keys, "_tx", "_ty"]
     owner = (F.col("_tx") == _cell(F.greatest(ab.x, bb.x), tile)) & (
         F.col("_ty") == _cell(F.greatest(ab.y, bb.y), tile)
@@ -55,7 +64,7 @@ def touching_pairs(
         & (F.least(ab.bottom, bb.bottom) >= F.greatest(ab.y, bb.y))
     )
     pairs = spread(left, ab, tile).join(spread(right, bb, tile), on)
-    return pairs.where(owner & touch).drop("_tx", "_ty")
+    return pairs.where(owner & touch).drop("_tx", "_ty", "a__rx", "a__ry")
 
 
 def points_in_boxes(
@@ -116,8 +125,6 @@ def project_evidence(nodes: DataFrame, cands: DataFrame, min_iou: float = 0.3) -
 
     ``nodes``: image_id, node_id, type, box.  ``cands``: image_id, cand_id, type, box."""
     links = iou_join(nodes, cands, min_iou).withColumn("type_match", F.col("a_type") == F.col("b_type"))
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("image_id", "a_node_id").orderBy(F.desc("type_match"), F.desc("iou"), "b_cand_id")
     return links.select(
         "image_id", F.col("a_node_id").alias("node_id"), F.col("b_cand_id").alias("cand_id"),
@@ -164,16 +171,198 @@ def merge_items(full: DataFrame, local: DataFrame, min_overlap: float = 0.6) ->
     return kept.unionByName(swapped).unionByName(fresh)
 
 
-def text_veto(cands: DataFrame, ocr: DataFrame, limit: float = 0.35, wide_limit: float = 0.2, wide: float = 3.0) -> DataFrame:
-    """Drop candidates that text covers: the coverage of all text boxes is summed, and
-    wide boxes (w/h above ``wide``) use the lower limit."""
-    pairs = touching_pairs(cands.select("image_id", "cand_id", "x", "y", "w", "h"), ocr.select("image_id", "x", "y", "w", "h"))
+# Text confidence, margin, coverage bounds and aspect of the text veto,
+# and the label gap in median text heights.
+VETO_CONFIDENCE, VETO_MARGIN, VETO_SHARE, VETO_SHARE_WIDE, VETO_WIDE = 0.9, 2.0, 0.2, 0.1, 1.7
+TEXTURE_CONFIDENCE, TEXTURE_SHARE = 0.65, 0.55
+LABEL_GAP = 1.2
+
+
+def text_veto(cands: DataFrame, ocr: DataFrame, textured: bool = False) -> DataFrame:
+    """Drop candidates that text covers.  The coverage by all confident text boxes is
+    summed (an aggregated anti join); wide candidates have a lower bound."""
+    conf = TEXTURE_CONFIDENCE if textured else VETO_CONFIDENCE
+    facts = ocr.where((F.col("confidence") >= conf) & (F.length(F.trim("text")) > 0)).select(
+        "image_id", *G.expand(G.box(), VETO_MARGIN).aliased()
+    )
+    pairs = touching_pairs(cands.select("image_id", "cand_id", "x", "y", "w", "h"), facts)
     share = pairs.groupBy("image_id", F.col("a_cand_id").alias("cand_id")).agg(
         F.sum(G.coverage(G.box("a_"), G.box("b_"))).alias("text_share")
     )
-    bound = F.when(F.col("w") > wide * F.col("h"), F.lit(wide_limit)).otherwise(F.lit(limit))
-    return (
-        cands.join(share, ["image_id", "cand_id"], "left")
-        .withColumn("text_share", F.coalesce("text_share", F.lit(0.0)))
-        .where(F.col("text_share") < bound)
+    wide = F.col("w") / F.col("h") >= VETO_WIDE
+    bound = F.lit(TEXTURE_SHARE) if textured else F.when(wide, VETO_SHARE_WIDE).otherwise(VETO_SHARE)
+    rows = cands.join(share, ["image_id", "cand_id"], "left").withColumn("text_share", F.coalesce("text_share", F.lit(0.0)))
+    return rows.where(F.col("text_share") < bound)
+
+
+def text_height(ocr: DataFrame) -> DataFrame:
+    """Averaged median height of confident text per image."""
+    good = ocr.where((F.col("confidence") >= 0.85) & (F.length(F.trim("text")) >= 2))
+    return good.groupBy("image_id").agg(mean_median("h").alias("median_h"))
+
+
+def nearest_label(cands: DataFrame, ocr: DataFrame) -> DataFrame:
+    """The nearest text beside each candidate: same row (vertical overlap >= 0.5 of the
+    smaller height), gap <= 1.2 median text heights; ties go to the higher confidence."""
+    reach = F.coalesce("median_h", F.lit(20.0)) * LABEL_GAP
+    base = cands.select("image_id", "cand_id", "x", "y", "w", "h")
+    base = base.join(text_height(ocr), "image_id", "left").withColumn("reach", reach)
+    facts = ocr.where(F.length(F.trim("text")) > 0).select("image_id", "box_id", F.trim("text").alias("text"), "confidence", "x", "y", "w", "h")
+    pairs = touching_pairs(base, facts, reach_x=F.col("reach"))
+    a, b = G.box("a_"), G.box("b_")
+    gap = F.when(b.x >= a.right, b.x - a.right).when(a.x >= b.right, a.x - b.right)
+    over = F.greatest(F.lit(0.0), F.least(a.bottom, b.bottom) - F.greatest(a.y, b.y)) / F.least(a.h, b.h)
+    hits = pairs.withColumn("gap", gap).where((F.col("gap") <= F.col("a_reach")) & (over >= 0.5))
+    return hits.groupBy("image_id", F.col("a_cand_id").alias("cand_id")).agg(
+        F.min_by(F.struct(F.col("b_text").alias("text"), F.col("gap")), F.struct("gap", -F.col("b_confidence"), "b_box_id")).alias("r")
+    ).select("image_id", "cand_id", "r.text", "r.gap")
+
+
+def _row_candidates(left: DataFrame, items: DataFrame, tol: float, band: float = 64.0) -> DataFrame:
+    """(left row, item cell) pairs whose centres differ by at most ``tol`` heights of the
+    left box.  Items are first collapsed to one row per (centre y, left edge) with their
+    first text, so copies of an item cost one row; rows meet in bands of y."""
+    cells = items.groupBy("image_id", G.box().cy.alias("i_cy"), F.col("x").alias("i_x")).agg(
+        F.min_by(F.struct("ord", "text"), "ord").alias("i")
+    )
+    b = G.box()
+    lo, hi = b.cy - b.h * tol, b.cy + b.h * tol
+    spread_rows = left.withColumn("_band", F.explode(F.sequence(F.floor(lo / band).cast("long"), F.floor(hi / band).cast("long"))))
+    cells = cells.withColumn("_band", F.floor(F.col("i_cy") / band).cast("long"))
+    pairs = spread_rows.join(cells, ["image_id", "_band"]).drop("_band")
+    return pairs.where(F.abs(F.col("i_cy") - b.cy) <= b.h * tol)
+
+
+def colon_values(items: DataFrame) -> DataFrame:
+    """Labels that end in a colon with the first item (input order) to their right on
+    their row: left edge beyond the label's right edge - 5, centre within 0.8 heights."""
+    labels = items.where(F.trim("text").rlike("[：:]$"))
+    pairs = _row_candidates(labels.select("image_id", F.col("ord").alias("l_ord"), "text", "x", "y", "w", "h"), items, 0.8)
+    # an item with a positive width starts left of its own right edge - 5 only if w <= 5
+    hits = pairs.where((F.col("i_x") > G.box().right - 5) & (F.col("i.ord") != F.col("l_ord")))
+    label = F.trim(F.regexp_replace(F.trim("text"), "[：:]$", ""))
+    best = hits.groupBy("image_id", "l_ord", label.alias("label")).agg(F.min_by(F.trim("i.text"), "i.ord").alias("value"))
+    return best.where(F.col("value") != "").select("image_id", F.col("l_ord").alias("ord"), "label", "value")
+
+
+def right_labels(marks: DataFrame, items: DataFrame) -> DataFrame:
+    """The nearest item right of a mark (smallest left edge beyond the mark's, centre
+    within 0.8 mark heights)."""
+    pairs = _row_candidates(marks.select("image_id", F.col("ord").alias("m_ord"), "x", "y", "w", "h"), items, 0.8)
+    hits = pairs.where(F.col("i_x") > F.col("x"))
+    return hits.groupBy("image_id", F.col("m_ord").alias("ord")).agg(
+        F.min_by(F.trim("i.text"), F.struct("i_x", "i.ord")).alias("label")
+    )
+
+
+def field_labels(texts: DataFrame, meta: DataFrame) -> DataFrame:
+    """Text nodes that act as labels: in the left 30 % and below the top 12 % of the page,
+    at most 12 characters, with a sibling text to the right within 20 % of the page width
+    that overlaps at least half of the smaller height.
+
+    ``texts``: image_id, parent_id, node_id, text, box of text-like nodes."""
+    rows = texts.where(F.length(F.trim("text")) > 0).join(meta.select("image_id", "width", "height"), "image_id")
+    left = rows.where(
+        (F.col("x") <= F.col("width") * 0.3) & (F.col("y") >= F.col("height") * 0.12) & (F.length(F.trim("text")) <= 12)
+    )
+    others = rows.select("image_id", "parent_id", "node_id", "x", "y", "w", "h")
+    pairs = touching_pairs(left, others, ["image_id", "parent_id"], reach_x=F.col("width") * 0.2)
+    a, b = G.box("a_"), G.box("b_")
+    over = F.greatest(F.lit(0.0), F.least(a.bottom, b.bottom) - F.greatest(a.y, b.y)) / F.least(a.h, b.h)
+    hit = (F.col("a_node_id") != F.col("b_node_id")) & (b.x >= a.right) & (b.x - a.right <= F.col("a_width") * 0.2) & (over >= 0.5)
+    return pairs.where(hit).select("image_id", F.col("a_node_id").alias("node_id")).distinct()
+
+
+def control_labels(nodes: DataFrame, max_gap: float = 30.0) -> DataFrame:
+    """Per parent: its first control child (checkbox, radio, switch) and the first text
+    child that starts within ``max_gap`` of the control's right edge on the same row."""
+    controls = nodes.where(F.col("type").isin("checkbox", "radio", "switch") & F.col("parent_id").isNotNull())
+    first = controls.groupBy("image_id", "parent_id").agg(F.min_by(F.struct("ord", "node_id", "x", "y", "w", "h"), "ord").alias("c"))
+    first = first.select("image_id", "parent_id", "c.*")
+    texts = nodes.where(F.col("type") == "text").select("image_id", "parent_id", "ord", "node_id", "x", "y", "w", "h")
+    pairs = touching_pairs(first, texts, ["image_id", "parent_id"], reach_x=F.lit(max_gap))
+    a, b = G.box("a_"), G.box("b_")
+    hit = (F.abs(b.x - a.right) <= max_gap) & (F.least(a.bottom, b.bottom) > F.greatest(a.y, b.y))
+    return pairs.where(hit).groupBy("image_id", "parent_id", F.col("a_node_id").alias("control_id")).agg(
+        F.min_by("b_node_id", "b_ord").alias("label_id")
+    )
+
+
+def bind_text(nodes: DataFrame, ocr: DataFrame) -> DataFrame:
+    """Where each OCR item goes in a node tree.
+
+    ``nodes``: image_id, node_id, ord, kind ('control' / 'region'), text, box.
+    ``ocr``: image_id, ord, text, box.  Items are taken in order: the smallest control
+    that covers 70 % of the item gets its text if it has none yet (or confirms an equal
+    one); else the smallest region with IoU >= 0.5 that has no text; else the item
+    becomes a text child of the smallest region holding it, or of the page.
+
+    The target of an item does not depend on other items, only who comes first does, so
+    the order is settled by one minimum per target instead of a walk."""
+    items = ocr.select("image_id", F.col("ord").alias("item"), "text", "x", "y", "w", "h")
+    norm = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
+    targets = nodes.select("image_id", "node_id", F.col("ord").alias("n_ord"), "kind", "text", "x", "y", "w", "h")
+    pairs = touching_pairs(items, targets)
+    a, b = G.box("a_"), G.box("b_")
+    control = (F.col("b_kind") == "control") & (G.coverage(a, b) >= 0.7)
+    tight = (F.col("b_kind") == "region") & (G.iou(a, b) >= 0.5)
+    holds = (F.col("b_kind") == "region") & (
+        ((a.x >= b.x - G.EPS) & (a.y >= b.y - G.EPS) & (a.right <= b.right + G.EPS) & (a.bottom <= b.bottom + G.EPS)) | G.center_inside(a, b)
+    )
+
+    def smallest(cond: Column, name: str) -> Column:
+        size = F.struct(b.area, F.col("b_n_ord"))
+        return F.min_by(F.when(cond, F.struct(F.col("b_node_id").alias("id"), F.col("b_text").alias("text"))), F.when(cond, size)).alias(name)
+
+    best = pairs.groupBy("image_id", F.col("a_item").alias("item")).agg(smallest(control, "c"), smallest(tight, "r"), smallest(holds, "p"))
+    rows = items.join(best, ["image_id", "item"], "left")
+
+    def first_for(df: DataFrame, target: str) -> DataFrame:
+        won = df.where(F.col(f"{target}.id").isNotNull() & F.col(f"{target}.text").isNull())
+        return won.groupBy("image_id", F.col(f"{target}.id").alias("_t")).agg(F.min_by(F.struct("item", "text"), "item").alias("_first"))
+
+    cf = first_for(rows, "c").select("image_id", F.col("_t").alias("_cid"), F.col("_first").alias("_cf"))
+    rows = rows.withColumn("_cid", F.col("c.id")).join(cf, ["image_id", "_cid"], "left")
+    sets = F.col("c.text").isNull() & (F.col("_cf.item") == F.col("item"))
+    same = norm(F.coalesce("c.text", "_cf.text")) == norm(F.col("text"))
+    rows = rows.withColumn("_step1", F.when(F.col("c.id").isNull(), F.lit(None)).when(sets, "control-text").when(same, "control-confirm"))
+    rest = rows.where(F.col("_step1").isNull())
+    rf = first_for(rest, "r").select("image_id", F.col("_t").alias("_rid"), F.col("_first.item").alias("_rf"))
+    rows = rows.withColumn("_rid", F.col("r.id")).join(rf, ["image_id", "_rid"], "left")
+    takes = F.col("_step1").isNull() & F.col("r.text").isNull() & (F.col("_rf") == F.col("item"))
+    action = F.coalesce("_step1", F.when(takes, "region-text"), F.lit("text-child"))
+    target = F.when(F.col("_step1").isNotNull(), F.col("c.id")).when(takes, F.col("r.id")).otherwise(F.coalesce("p.id", F.lit("page")))
+    return rows.select("image_id", F.col("item").alias("ord"), action.alias("action"), target.alias("target_id"))
+
+
+def nearest_downstream(nodes: DataFrame, directions: DataFrame, first_reach: float = 32.0) -> DataFrame:
+    """Every node with its nearest node further along the flow (centre beyond + 5 px).
+
+    ``nodes``: image_id, ord, box.  ``directions``: image_id, direction.  The search ring
+    doubles; a node leaves the search once its best hit lies within the ring, because
+    nothing outside can be nearer.  The tile size follows the ring, so a node always
+    probes a handful of tiles."""
+    pts = nodes.select("image_id", "ord", G.box().cx.alias("x"), G.box().cy.alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h"))
+    todo = cut_lineage(pts.join(directions.select("image_id", "direction"), "image_id"))
+    pts = cut_lineage(pts)
+    span = pts.groupBy("image_id").agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("s")).agg(F.max("s")).first()[0] or 0.0
+    reach, found = first_reach, None
+    down, right = F.col("b_y") > F.col("a_y") + 5, F.col("b_x") > F.col("a_x") + 5
+    ahead = (
+        F.when(F.col("a_direction") == "top-down", down).when(F.col("a_direction") == "left-right", right).otherwise(down | right)
     )
+    while True:
+        dist = F.sqrt((F.col("a_x") - F.col("b_x")) * (F.col("a_x") - F.col("b_x")) + (F.col("a_y") - F.col("b_y")) * (F.col("a_y") - F.col("b_y")))
+        pairs = touching_pairs(todo, pts, tile=max(reach, TILE), reach=reach)
+        pairs = pairs.where((F.col("a_ord") != F.col("b_ord")) & ahead).withColumn("dist", dist).where(F.col("dist") <= reach)
+        best = pairs.groupBy("image_id", F.col("a_ord").alias("src")).agg(
+            F.min_by(F.struct(F.col("b_ord").alias("dst"), "dist"), F.struct("dist", "b_ord")).alias("r")
+        ).select("image_id", "src", "r.dst", "r.dist")
+        best = cut_lineage(best)
+        found = best if found is None else found.unionByName(best)
+        if reach >= span:
+            return found
+        todo = cut_lineage(todo.join(best.select("image_id", F.col("src").alias("ord")), ["image_id", "ord"], "left_anti"))
+        if todo.isEmpty():
+            return found
+        reach *= 2

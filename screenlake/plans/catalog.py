@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from screenlake.plans import q_geometry, q_review  # noqa: F401
+from screenlake.plans import q_geometry, q_review, q_spatial  # noqa: F401
 from screenlake.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
