@@ -57,3 +57,12 @@ def constant_table(spark: SparkSession, names: Sequence[str], rows: Sequence[tup
     """A small fixed table as JVM literals (no Python worker, no escaping of patterns)."""
     structs = [F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows]
     return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+
+
+_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_words(pattern: str) -> str:
+    """Spell out ``\\b`` as an ASCII word boundary.  Some JVMs count CJK and accented
+    letters as word characters there, although ``\\w`` does not."""
+    return pattern.replace(r"\b", _EDGE)

