@@ -99,21 +99,13 @@ def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7)
 
 def _components(cands: DataFrame, keys: list[str]) -> DataFrame:
     """Cut groups into parts whose extents are separated along y, then along x."""
-    from screenlake.operators.ordered import with_previous, running_sum
-    from pyspark.sql import Window as W
+    from screenlake.operators.ordered import running_max_before, running_sum
 
     def cut(df: DataFrame, by: list[str], lo: Column, hi: Column, name: str) -> DataFrame:
-        # running maximum of the far edge over bands of the near edge
-        rows = df.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_band", F.floor(lo / 256.0).cast("long"))
-        band = [*by, "_band"]
-        order = W.partitionBy(*band).orderBy("_lo", "_hi", "cand_id").rowsBetween(W.unboundedPreceding, -1)
-        tops = rows.groupBy(*band).agg(F.max("_hi").alias("_top"))
-        carry = tops.select(*band, F.max("_top").over(W.partitionBy(*by).orderBy("_band").rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))
-        rows = rows.withColumn("_reach", F.max("_hi").over(order)).join(carry, band, "left")
-        reach = F.greatest("_reach", "_carry")  # NULL only when both are
-        step = F.when(F.col("_lo") > reach, 1).otherwise(0).cast("long")
-        rows = running_sum(rows, by, ["_lo", "_hi", "cand_id"], step, name)
-        return rows.drop("_lo", "_hi", "_band", "_reach", "_carry")
+        rows, order = df.withColumn("_lo", lo), ["_lo", "cand_id"]
+        rows = running_max_before(rows, by, F.col("_lo"), hi, order, "_reach")
+        step = F.when(F.col("_lo") > F.col("_reach"), 1).otherwise(0).cast("long")
+        return running_sum(rows, by, order, step, name).drop("_lo", "_band", "_reach")
 
     b = G.box()
     rows = cut(cands, keys, b.y, b.bottom, "_py")

@@ -53,3 +53,16 @@ def islands(
     rows = with_previous(df, keys, axis, order, cols, band)
     step = F.when(F.col("prev").isNotNull() & breaks(F.col("prev")), 1).otherwise(0)
     return running_sum(rows, keys, order, step.cast("long"), name).drop("prev", "_band")
+
+
+def running_max_before(df: DataFrame, keys: Sequence[str], lo: Column, hi: Column, order: Sequence[Column | str], name: str, band: float = 256.0) -> DataFrame:
+    """Maximum of ``hi`` over all earlier rows of a group (NULL for the first), in bands of
+    ``lo``.  ``order`` must start with ``lo``.  Leaves ``_band`` for ``running_sum``."""
+    by = [*keys, "_band"]
+    rows = df.withColumn("_hi", hi).withColumn("_band", F.floor(lo / band).cast("long"))
+    before = W.unboundedPreceding, -1
+    inside = F.max("_hi").over(W.partitionBy(*by).orderBy(*order).rowsBetween(*before))
+    tops = rows.groupBy(*by).agg(F.max("_hi").alias("_top"))
+    carry = tops.select(*by, F.max("_top").over(W.partitionBy(*keys).orderBy("_band").rowsBetween(*before)).alias("_carry"))
+    rows = rows.withColumn("_in", inside).join(carry, by, "left")
+    return rows.withColumn(name, F.greatest("_in", "_carry")).drop("_hi", "_in", "_carry")
