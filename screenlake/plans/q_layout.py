@@ -89,7 +89,7 @@ fold AS (
   SELECT image_id, parent_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(type STRING, w DOUBLE, h DOUBLE)[]) AS gs, CAST('' AS STRING) AS node_id, CAST(0 AS BIGINT) AS g FROM it GROUP BY image_id, parent_id
   UNION ALL
   SELECT image_id, parent_id, k, CASE WHEN hit IS NULL OR hit = 0 THEN list_append(gs, {{'type': type, 'w': w, 'h': h}}) ELSE gs END, node_id, CASE WHEN hit IS NULL OR hit = 0 THEN len(gs) + 1 ELSE hit END
-  FROM (SELECT f.gs, e.*, list_position(list_transform(f.gs, lambda g: g.type = e.type AND {SIM.format(a='g.w', b='e.w')} AND {SIM.format(a='g.h', b='e.h')}), true) AS hit
+  FROM (SELECT f.gs, e.*, list_position(list_transform(f.gs, lambda z: z.type = e.type AND {SIM.format(a='z.w', b='e.w')} AND {SIM.format(a='z.h', b='e.h')}), true) AS hit
         FROM fold f JOIN it e ON e.image_id = f.image_id AND e.parent_id = f.parent_id AND e.k = f.k + 1) e),
 m AS (SELECT i.*, f.g FROM fold f JOIN it i ON i.image_id = f.image_id AND i.parent_id = f.parent_id AND i.k = f.k WHERE f.k > 0),
 s AS (SELECT image_id, parent_id, g, count(*) AS n, max(x+w/2)-min(x+w/2) AS dx, max(y+h/2)-min(y+h/2) AS dy, avg(w) AS mw, avg(h) AS mh FROM m GROUP BY image_id, parent_id, g HAVING count(*) >= 3 AND min(type) IN ('card', 'unknown', 'image', 'section', 'row')),

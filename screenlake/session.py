@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +26,29 @@ def local_session(app: str = "screenlake", cpus: str | None = None) -> SparkSess
     )
 
 
+_local_folder: str | None = None
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session.  Only a local session without one gets a
+    folder of its own: on a cluster a machine-local folder dies with its machine."""
+    global _local_folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="spark-tables-", dir="/tmp")
+    return _local_folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder (``spark.checkpoint.dir``).
+    """Write ``df`` once as a table in the shared folder and read it back.
 
-    Only a local session may fall back to a folder of its own; on a cluster a
-    machine-local folder would not survive the loss of an executor.
-    """
+    Iterative operators use this between rounds: the plan stays short, nothing is computed
+    twice, and the rows outlive any executor.  The cluster owns and clears the folder."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = f"{_shared_folder(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
