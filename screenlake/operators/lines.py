@@ -38,26 +38,26 @@ def group_lines_fold(items: DataFrame, keys: list[str] | None = None) -> DataFra
     centres = rows.groupBy(*keys, "_cy").agg(F.count(F.lit(1)).cast("double").alias("n"))
     arr = centres.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_cy").alias("y"), "n"))).alias("ys"))
     arr = arr.join(tol, keys)
+    # only lines that can still accept are carried: centres come in ascending order, so a
+    # line whose mean is more than the tolerance above the current centre is closed
     zero = F.struct(
-        F.array().cast("array<struct<y:double,n:double>>").alias("lines"), F.array().cast("array<struct<y:double,line:int>>").alias("out")
+        F.array().cast("array<struct<y:double,n:double,line:int>>").alias("open"), F.lit(0).alias("next"),
+        F.array().cast("array<struct<y:double,line:int>>").alias("out"),
     )
 
     def step(acc: Column, e: Column) -> Column:
-        lines = acc["lines"]
-        # a line far above can never accept again, but the first match has to be found in
-        # creation order; the list holds one entry per line of the page
-        hit = F.array_position(F.transform(lines, lambda ln: F.abs(ln["y"] - e["y"]) <= F.col("_tol")), True)
-        joined = F.transform(
-            lines,
-            lambda ln, i: F.when(
-                i + 1 == hit,
-                F.struct(((ln["y"] * ln["n"] + e["y"] * e["n"]) / (ln["n"] + e["n"])).alias("y"), (ln["n"] + e["n"]).alias("n")),
-            ).otherwise(ln),
+        live = F.filter(acc["open"], lambda ln: F.abs(ln["y"] - e["y"]) <= F.col("_tol"))
+        hit = F.try_element_at(live, F.lit(1))
+        # lines are open in creation order and lie above the item: the first one accepts
+        joined = F.concat(
+            F.array(F.struct(((hit["y"] * hit["n"] + e["y"] * e["n"]) / (hit["n"] + e["n"])).alias("y"), (hit["n"] + e["n"]).alias("n"), hit["line"].alias("line"))),
+            F.slice(live, 2, F.greatest(F.lit(1), F.size(live))),
         )
-        opened = F.array_append(lines, F.struct(e["y"].alias("y"), e["n"].alias("n")))
-        line = F.when(hit > 0, hit - 1).otherwise(F.size(lines)).cast("int")
+        opened = F.array(F.struct(e["y"].alias("y"), e["n"].alias("n"), acc["next"].alias("line")))
+        found = F.size(live) > 0
+        line = F.when(found, hit["line"]).otherwise(acc["next"])
         return F.struct(
-            F.when(hit > 0, joined).otherwise(opened).alias("lines"),
+            F.when(found, joined).otherwise(opened).alias("open"), F.when(found, acc["next"]).otherwise(acc["next"] + 1).alias("next"),
             F.array_append(acc["out"], F.struct(e["y"].alias("y"), line.alias("line"))).alias("out"),
         )
 

@@ -63,7 +63,8 @@ def touching_pairs(
         (F.least(ab.right, bb.right) >= F.greatest(ab.x, bb.x))
         & (F.least(ab.bottom, bb.bottom) >= F.greatest(ab.y, bb.y))
     )
-    pairs = spread(left, ab, tile).join(spread(right, bb, tile), on)
+    # both sides may be large whatever the file sizes suggest: never broadcast a box table
+    pairs = spread(left, ab, tile).join(spread(right, bb, tile).hint("merge"), on)
     return pairs.where(owner & touch).drop("_tx", "_ty", "a__rx", "a__ry")
 
 
@@ -85,7 +86,7 @@ def points_in_boxes(
     left = left.select(*keys, "_px", "_py", "_tx", "_ty", *(F.col(c).alias("a_" + c) for c in points.columns if c not in keys))
     bb = G.expand(G.box("b_"), reach)
     right = spread(prefixed(boxes, "b_", keys), bb, tile)
-    pairs = left.join(right, [*keys, "_tx", "_ty"]).where(G.contains_point(bb, F.col("_px"), F.col("_py")))
+    pairs = left.join(right.hint("merge"), [*keys, "_tx", "_ty"]).where(G.contains_point(bb, F.col("_px"), F.col("_py")))
     return pairs.drop("_tx", "_ty", "_px", "_py")
 
 

@@ -7,10 +7,13 @@ marks the tables and views it reads.  ``view()`` gives the Spark DataFrame,
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from screenlake.session import cut_lineage
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -141,16 +144,32 @@ SELECT image_id, box_id AS region_id, CAST((p * 29 + o * 7) % 256 AS INT) AS r,
 FROM {boxes}""",
 }
 
+# views that cost a sort or a join: written once per session and data folder
+WRITTEN = ("tree_nodes", "nodes", "kids", "relations")
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a view of this module as a (lazy) DataFrame."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        path = f"{sf_dir}/{name}.parquet"
+        df = spark.read.parquet(path)
+        # a small single file is one row group, so one task: spread it over the cores.
+        # Larger inputs come in splits already and stay as they are.
+        if os.path.isfile(path) and (1 << 20) < os.path.getsize(path) < (128 << 20):
+            df = df.repartition(spark.sparkContext.defaultParallelism, df.columns[0])
+        return df
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _written:
+        return _written[key]
     sql = VIEWS[name]
     refs = {ref: view(spark, sf_dir, ref) for ref in sorted(set(_REF.findall(sql)))}
-    return spark.sql(sql, **refs)
+    df = spark.sql(sql, **refs)
+    if name in WRITTEN:
+        df = _written[key] = cut_lineage(df)
+    return df
 
 
 def with_views(sql: str) -> str:
