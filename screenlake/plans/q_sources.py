@@ -148,7 +148,7 @@ def _(t):
 
 @query("decode_inline_images", """
 SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'data-uri' WHEN 1 THEN CASE WHEN length(to_base64(encode(concat('PNG', text)))) > 100 THEN 'base64' ELSE 'path' END ELSE 'path' END AS source,
-  CASE WHEN doc_id % 3 = 0 THEN octet_length(encode(text)) + 4 WHEN doc_id % 3 = 1 AND length(to_base64(encode(concat('PNG', text)))) > 100 THEN octet_length(encode(concat('PNG', text))) END AS size,
+  CAST(CASE WHEN doc_id % 3 = 0 THEN octet_length(encode(text)) + 4 WHEN doc_id % 3 = 1 AND length(to_base64(encode(concat('PNG', text)))) > 100 THEN octet_length(encode(concat('PNG', text))) ELSE -1 END AS BIGINT) AS size,
   CASE WHEN doc_id % 3 = 0 THEN 'image/png' END AS mime FROM documents""")
 def _(t):
     body = F.concat(F.unhex(F.lit("89504E47")), F.encode("text", "UTF-8"))
@@ -156,7 +156,7 @@ def _(t):
     clean = lambda b: F.regexp_replace(F.base64(b), "[\r\n]", "")
     k = F.col("doc_id") % 3
     rows = t.documents.select("doc_id", F.when(k == 0, F.concat(F.lit("data:image/png;base64,"), clean(body))).when(k == 1, clean(plain)).otherwise("folder/a b.png").alias("raw"))
-    return I.decode_inline_images(rows, "raw").select("doc_id", "source", F.col("size").cast("bigint").alias("size"), "mime")
+    return I.decode_inline_images(rows, "raw").select("doc_id", "source", F.coalesce(F.col("size").cast("bigint"), F.lit(-1)).alias("size"), "mime")
 
 
 # --- projections ------------------------------------------------------------------------

@@ -12,5 +12,8 @@ from screenlake.session import local_session  # noqa: E402
 def spark():
     session = local_session("tests", "4")
     session.sparkContext.setLogLevel("ERROR")
+    # tiny inputs: compiling a stage costs more than running it
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()

@@ -111,7 +111,7 @@ def fused_model(rows, t=0.5, wbf=0.7):
 
 def test_fusion_whole_components_and_rounds(spark, monkeypatch):
     rng = random.Random(9)
-    rows = [(*r, rng.randrange(30, 99) / 100) for r in crowd(6, "c", 30)]
+    rows = [(*r, rng.randrange(30, 99) / 100) for r in crowd(6, "c", 14)]
     df = spark.createDataFrame([(r[0], r[2], r[3], *r[4:8], r[8], "cv") for r in rows], "image_id long, cand_id string, type string, x double, y double, w double, h double, score double, source string")
     want = fused_model(rows)
     for whole, part in ((1000, 1000), (0, 1000), (0, 0)):

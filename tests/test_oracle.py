@@ -9,15 +9,26 @@ import pytest
 from screenlake.plans.catalog import ORACLE, QUERIES
 from screenlake.sources.fixtures import TABLES
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SOURCE = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 
 @pytest.fixture(scope="module")
-def duck():
+def folder(tmp_path_factory):
+    """The smallest data set with unique box ids (it has one repeated line item)."""
+    out = tmp_path_factory.mktemp("sf")
+    for t in TABLES:
+        one = f" QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY l_quantity) = 1" if t == "lineitem" else ""
+        duckdb.execute(f"COPY (SELECT * FROM '{SOURCE}/{t}.parquet'{one}) TO '{out}/{t}.parquet' (FORMAT parquet)")
+    return str(out)
+
+
+@pytest.fixture(scope="module")
+def duck(folder):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return con
 
 
@@ -32,8 +43,8 @@ def canon(df: pd.DataFrame) -> list[tuple]:
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
-def test_matches_oracle(spark, duck, name):
-    got = QUERIES[name](spark, SF).toPandas()
+def test_matches_oracle(spark, duck, folder, name):
+    got = QUERIES[name](spark, folder).toPandas()
     want = duck.execute(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canon(got) == canon(want)
