@@ -620,7 +620,7 @@ V_TEXT = "CASE p % 5 WHEN 0 THEN '已禁用' WHEN 1 THEN 'Selected item' ELSE 'o
 WITH n AS (SELECT image_id, node_id, type, {V_COLOR} AS color, CASE WHEN p % 7 = 0 THEN 'ghost' WHEN p % 7 = 1 THEN 'odd' END AS vh, CASE WHEN q % 9 = 0 THEN 'active' END AS sh, q % 8 = 0 AS dis, {V_TEXT} AS text FROM nodes)
 SELECT image_id, node_id, CASE WHEN type <> 'button' THEN 'default' WHEN color IS NULL OR color = 'none' THEN CASE WHEN vh = 'ghost' THEN 'ghost' ELSE 'default' END WHEN color = '#2266cc' THEN 'primary' WHEN color = 'c33' THEN 'danger' WHEN color = '#30b040' THEN 'success' WHEN vh = 'ghost' THEN 'ghost' ELSE 'default' END AS variant,
   CASE WHEN type <> 'button' THEN 'default' WHEN sh IS NOT NULL THEN sh WHEN dis THEN 'disabled' WHEN text = '已禁用' THEN 'disabled' WHEN text = 'Selected item' THEN 'selected' ELSE 'default' END AS state,
-  concat(CASE WHEN type <> 'button' THEN 'non-button type' WHEN color IS NULL OR color = 'none' THEN CASE WHEN vh = 'ghost' THEN 'props:variant=ghost' ELSE 'no color signal' END WHEN color = '#2266cc' THEN 'color~primary(15)' WHEN color = 'c33' THEN 'color:red-ish' WHEN color = '#30b040' THEN 'color:green-ish' WHEN vh = 'ghost' THEN 'props:variant=ghost' ELSE 'color:other' END, '; ',
+  concat(CASE WHEN type <> 'button' THEN 'non-button type' WHEN color IS NULL OR color = 'none' THEN CASE WHEN vh = 'ghost' THEN 'props:variant=ghost' ELSE 'no color signal' END WHEN color = '#2266cc' THEN concat('color~primary(', CAST(CAST(floor(sqrt(3*3 + 6*6 + 12*12) + 0.5) AS INT) AS STRING), ')') WHEN color = 'c33' THEN 'color:red-ish' WHEN color = '#30b040' THEN 'color:green-ish' WHEN vh = 'ghost' THEN 'props:variant=ghost' ELSE 'color:other' END, '; ',
     CASE WHEN type <> 'button' THEN 'non-stateful type' WHEN sh IS NOT NULL THEN concat('props:state=', sh) WHEN dis THEN 'interactive:disabled' WHEN text = '已禁用' THEN 'text:disabled' WHEN text = 'Selected item' THEN 'text:selected' ELSE 'no state signal' END) AS reason FROM n""")
 def _(t):
     n = t.nodes.select(
@@ -632,11 +632,11 @@ def _(t):
 
 
 @query("infer_interactivity", """
-WITH n AS (SELECT image_id, node_id, CASE WHEN type = 'row' THEN 'title' ELSE type END AS type, CASE q % 3 WHEN 0 THEN 'aaaaaa' WHEN 1 THEN '#2030ff' ELSE 'bad' END AS tc, CASE p % 3 WHEN 0 THEN '#909090' WHEN 1 THEN '#f00' ELSE NULL END AS bc, CASE WHEN p % 4 = 0 THEN ' ' ELSE 'x' END AS text FROM nodes)
+WITH n AS (SELECT image_id, node_id, CASE WHEN type = 'row' THEN 'title' ELSE type END AS type, CASE q % 3 WHEN 0 THEN 'aaaaaa' WHEN 1 THEN '#2030ff' ELSE 'none' END AS tc, CASE p % 3 WHEN 0 THEN '#909090' WHEN 1 THEN '#f00' ELSE NULL END AS bc, CASE WHEN p % 4 = 0 THEN ' ' ELSE 'x' END AS text FROM nodes)
 SELECT image_id, node_id, type = 'input' AND text = 'x' AND tc = 'aaaaaa' AS placeholder, coalesce(type = 'button' AND bc = '#909090', FALSE) AS disabled, type IN ('text', 'title') AND text = 'x' AND tc = '#2030ff' AS link FROM n""")
 def _(t):
     n = t.nodes.select(
-        "image_id", "node_id", F.when(F.col("type") == "row", "title").otherwise(F.col("type")).alias("type"), F.when(F.col("q") % 3 == 0, "aaaaaa").when(F.col("q") % 3 == 1, "#2030ff").otherwise("bad").alias("text_color"),
+        "image_id", "node_id", F.when(F.col("type") == "row", "title").otherwise(F.col("type")).alias("type"), F.when(F.col("q") % 3 == 0, "aaaaaa").when(F.col("q") % 3 == 1, "#2030ff").otherwise("none").alias("text_color"),
         F.when(F.col("p") % 3 == 0, "#909090").when(F.col("p") % 3 == 1, "#f00").alias("bg_color"), F.when(F.col("p") % 4 == 0, " ").otherwise("x").alias("text"),
     )
     return T.infer_interactivity(n).select("image_id", "node_id", "placeholder", "disabled", "link")
