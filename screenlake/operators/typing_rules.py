@@ -287,8 +287,10 @@ def infer_variants(nodes: DataFrame, themes: DataFrame) -> DataFrame:
 
     Needs color, variant_hint, state_hint, disabled, text; ``themes``: image_id, primary."""
     rows = nodes.join(themes.select("image_id", F.col("primary").alias("_primary")), "image_id", "left")
-    r, g, b = hex_channels(F.col("color"))
-    pr, pg, pb = hex_channels(F.col("_primary"))
+    # channels as columns of their own: spelled out in every branch they would swamp codegen
+    names = ["_r", "_g", "_b", "_pr", "_pg", "_pb"]
+    rows = rows.withColumns(dict(zip(names, (*hex_channels(F.col("color")), *hex_channels(F.col("_primary"))))))
+    r, g, b, pr, pg, pb = map(F.col, names)
     dist = F.sqrt((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb))
     hint = F.col("variant_hint").isin(VARIANTS)
     case = lambda *pairs: F.coalesce(*(F.when(c, F.struct(F.lit(v).alias("v") if isinstance(v, str) else v.alias("v"), F.lit(w).alias("why") if isinstance(w, str) else w.alias("why"))) for c, v, w in pairs))
@@ -315,12 +317,13 @@ def infer_variants(nodes: DataFrame, themes: DataFrame) -> DataFrame:
 def infer_interactivity(nodes: DataFrame) -> DataFrame:
     """placeholder / disabled / link flags from text_color and bg_color."""
     lum = lambda r, g, b: 0.299 * r + 0.587 * g + 0.114 * b
-    tr, tg, tb = hex_channels(F.col("text_color"))
-    br, bg, bb = hex_channels(F.col("bg_color"))
+    names = ["_tr", "_tg", "_tb", "_br", "_bg", "_bb"]
+    rows = nodes.withColumns(dict(zip(names, (*hex_channels(F.col("text_color")), *hex_channels(F.col("bg_color"))))))
+    tr, tg, tb, br, bg, bb = map(F.col, names)
     t, text = F.col("type"), F.trim(F.coalesce("text", F.lit(""))) != ""
     flag = lambda c: F.coalesce(c, F.lit(False))
-    return nodes.select(
-        "*", flag(t.isin("input", "textarea", "select") & text & (lum(tr, tg, tb) >= 140)).alias("placeholder"),
+    return rows.select(
+        *nodes.columns, flag(t.isin("input", "textarea", "select") & text & (lum(tr, tg, tb) >= 140)).alias("placeholder"),
         flag(t.isin("button", "iconButton") & lum(br, bg, bb).between(80, 200) & (saturation(br, bg, bb) < 0.15)).alias("disabled"),
         flag(t.isin("text", "title", "subtitle") & text & (tb > tr + 20) & (tb > tg + 20)).alias("link"),
     )
