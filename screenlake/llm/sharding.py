@@ -25,7 +25,7 @@ LANES = 512
 def _next_key(key: Column) -> Column:
     """One step of the 64-bit generator.  The key is held as a decimal in [0, 2^64)."""
     product = key.cast("decimal(20,0)") * F.lit(MULTIPLIER).cast("decimal(19,0)") + F.lit(1).cast("decimal(1,0)")
-    return (product.cast("decimal(38,0)") % F.lit(2**64).cast("decimal(20,0)")).cast("decimal(20,0)")
+    return (product.cast("decimal(38,0)") % F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(20,0)")
 
 
 def jump_hash(key: Column, shards: int) -> Column:
@@ -33,7 +33,7 @@ def jump_hash(key: Column, shards: int) -> Column:
     if shards < 1:
         raise ValueError("shards must be positive")
     whole = F.coalesce(key.cast("bigint"), F.lit(0))
-    unsigned = F.when(whole < 0, whole.cast("decimal(20,0)") + F.lit(2**64).cast("decimal(20,0)")).otherwise(whole.cast("decimal(20,0)")).cast("decimal(20,0)")
+    unsigned = F.when(whole < 0, whole.cast("decimal(20,0)") + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(whole.cast("decimal(20,0)")).cast("decimal(20,0)")
     start = F.struct(unsigned.alias("key"), F.lit(-1).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("j"))
 
     def step(state: Column, _: Column) -> Column:
