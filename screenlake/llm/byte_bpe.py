@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from screenlake.llm.arrow import parts
+
 #: Matches encoded in one go and kept in the cache at most.
-PIECES_AT_ONCE, PIECES_KEPT = 200_000, 400_000
+PIECES_AT_ONCE, PIECES_KEPT = 200_000, 100_000
 
 
 def byte_characters() -> list[str]:
@@ -110,7 +112,7 @@ def _mapped(df: DataFrame, added: list[tuple[str, T.DataType, pa.DataType]], sou
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, kind) for name, kind, _ in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             columns = make(batch.column(batch.schema.names.index(source)).to_pylist())
             arrays = [batch.column(batch.schema.names.index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(c, kind) for c, (_, _, kind) in zip(columns, added, strict=True))], names=[*kept, *names])
