@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlake.llm import byte_bpe, sharding, simhash, url_filter
+from screenlake.llm import byte_bpe, byte_repeats, sharding, simhash, url_filter, word_repeats
 from screenlake.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -18,12 +18,24 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op3_prefix_doubling_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op4_jump_hash_shards")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op6_fixed_block_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = word_repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 @query("op9_byte_level_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
