@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlake.llm import byte_bpe, byte_repeats, sharding, simhash, url_filter, word_repeats
+from screenlake.llm import byte_bpe, byte_repeats, containment, language_id, sharding, simhash, url_filter, word_repeats
 from screenlake.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
 
+CONTAINMENT_SQL = """
+WITH w AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+t AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM w),
+s AS (SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(2, len(words) - 3)), lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle FROM t WHERE len(words) > 0),
+n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE side = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+FROM s AS d JOIN s AS i ON d.shingle = i.shingle JOIN n ON n.item_id = i.id
+WHERE d.side = 'd' AND i.side = 'i'
+GROUP BY d.id, i.id, n_item
+HAVING count(*) >= greatest(1, ceil(0.8 * n_item - 1e-9))
+"""
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -30,12 +41,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out("doc_id")))
+    asked = docs.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "text")
+    return language_id.predict(asked, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op6_fixed_block_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = word_repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+@query("op7_minhash_containment", CONTAINMENT_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_byte_level_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
