@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlake.llm import byte_bpe, byte_repeats, containment, language_id, sharding, simhash, url_filter, word_repeats
+from screenlake.llm import byte_bpe, byte_repeats, containment, language_id, sharding, simhash, url_filter, vector_links, word_repeats
 from screenlake.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -60,6 +60,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op8_collision_counting")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 @query("op9_byte_level_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
