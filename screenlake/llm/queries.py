@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlake.llm import byte_bpe, byte_repeats, containment, language_id, sharding, simhash, url_filter, vector_links, word_repeats
+from screenlake.llm import byte_bpe, byte_repeats, chat_tree, containment, language_id, sharding, simhash, url_filter, vector_links, word_repeats
 from screenlake.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -24,6 +24,17 @@ HAVING count(*) >= greatest(1, ceil(0.8 * n_item - 1e-9))
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+@query("op1_chat_prefix_tree")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return chat_tree.read_back(*chat_tree.prefix_tree(turns, path, pattern), path, pattern)
+
+
 @query("op2_simhash_near_duplicates")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
