@@ -25,12 +25,14 @@ settled, or merged, before the shuffle.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenlake.llm import words
@@ -41,7 +43,7 @@ from screenlake.session import cut_lineage
 BASE = 0x9E3779B97F4A7C15
 PIECE, CHUNK, FLUSH = 1 << 20, 1 << 18, 1 << 23
 #: A block with so many different texts in one task is settled window by window.
-MANY = 8
+MANY = 64
 _48 = np.uint64((1 << 48) - 1)
 
 Piece = tuple[int, int, bytes]  # row, first unit, content
@@ -63,6 +65,17 @@ BYTE_NAMES = _mixed(_mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np
 class ByteUnits:
     """Bytes of the UTF-8 text."""
 
+    @staticmethod
+    def payload(content: bytes, names: np.ndarray, low: int, high: int, window: int) -> bytes:
+        """What tells the windows low to high: here their text, which is shorter than their names."""
+        return content[low : high + window]
+
+    @staticmethod
+    def window_names(payloads: list[bytes], counts: np.ndarray, window: int) -> np.ndarray:
+        starts = np.cumsum([0, *map(len, payloads[:-1])])
+        place = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return run_names(BYTE_NAMES[np.frombuffer(b"".join(payloads), np.uint8)], window)[place]
+
     @staticmethod
     def pieces(row: int, data: bytes, window: int) -> Iterator[Piece]:
         for at in range(0, max(0, len(data) - window + 1), PIECE):
@@ -77,6 +90,14 @@ class ByteUnits:
 class WordUnits:
     """Runs of bytes other than 0x20 and 0x09 to 0x0D."""
 
+    @staticmethod
+    def payload(content: bytes, names: np.ndarray, low: int, high: int, window: int) -> bytes:
+        return names[low : high + 1].tobytes()
+
+    @staticmethod
+    def window_names(payloads: list[bytes], counts: np.ndarray, window: int) -> np.ndarray:
+        return np.frombuffer(b"".join(payloads), np.uint64)
+
     @staticmethod
     def pieces(row: int, data: bytes, window: int) -> Iterator[Piece]:
         at = 0
@@ -133,6 +154,10 @@ class Plan:
     block: int
     stride: int
 
+    def __post_init__(self):
+        if not 8 < self.window < 1 << LENGTH_BITS - 1:
+            raise ValueError("a window has 9 to 1023 units")
+
     @property
     def blocks(self) -> int:
         return (self.window - self.block - (self.stride - 1)) // self.stride + 1
@@ -211,16 +236,27 @@ def _own_key(doc: np.ndarray) -> np.ndarray:
 
 
 # the first window of a row is kept with a tag of its text, for rows that share an id
-TAG_SHIFT = 44
+TAG_SHIFT = 36
+#: Low bits of a packed anchor row: the number of windows, and whether the block is indexed.
+LENGTH_BITS = 11
 
 
 def _tags(data: bytes, tagged: bool) -> int:
     import zlib
 
-    return (zlib.crc32(data) & 0x3FFFF) << TAG_SHIFT if tagged else 0
+    return (zlib.crc32(data) & 0xFFFF) << TAG_SHIFT if tagged else 0
+
+
+SETTLED, OPEN, APART = -1, -2, -3  # what is known of the windows of a row
 
 
-SETTLED, OPEN, APART = -1, -2, -3  # what passing rows say, in place of a text name
+def _passing(doc: np.ndarray, says: int, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    """Rows that are only handed on: what they say and their length stand in place of a text name."""
+    return _batch(h=_own_key(doc), c=-1 - ((high - low) * 2 + (says == APART)), doc=doc, at=low << LENGTH_BITS)
+
+
+def _packed(low: np.ndarray, high: np.ndarray, index: np.ndarray) -> np.ndarray:
+    return low << LENGTH_BITS | (high - low) << 1 | index
 
 
 def _anchor_rows(plan: Plan, tagged: bool) -> Callable:
@@ -235,18 +271,15 @@ def _anchor_rows(plan: Plan, tagged: bool) -> Callable:
         texts = np.bincount(of[begin])[of]
         many = (texts >= MANY) & ~later
         one = ~later & ~many
-        yield _batch(h=block[one], c=text[one], doc=doc[one], low=low[one], high=high[one], i=index[one])
+        yield _batch(h=block[one], c=text[one], doc=doc[one], at=_packed(low[one], high[one], index[one]))
         # a witness for each block that is settled window by window
         witness = np.flatnonzero(many & np.concatenate([[True], of[1:] != of[:-1]]))
         known = np.zeros(of[-1] + 1, bool)
         np.logical_or.at(known, of, index)
-        yield _batch(h=block[witness], c=np.full(len(witness), APART), doc=doc[witness], low=low[witness], high=low[witness] - 1, i=known[of[witness]])
+        yield _batch(h=block[witness], c=np.full(len(witness), APART), doc=doc[witness], at=known[of[witness]].astype(np.int64))
         for rows, says in ((later, SETTLED), (many, APART)):
-            if says == SETTLED:
-                d, a, b = _merged(doc[rows], low[rows], high[rows])
-            else:
-                d, a, b = doc[rows], low[rows], high[rows]
-            yield _batch(h=_own_key(d), c=np.full(len(d), says), doc=d, low=a, high=b, i=np.zeros(len(d), bool))
+            d, a, b = _merged(doc[rows], low[rows], high[rows])
+            yield _passing(d, says, a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, waiting, size, total = [], [], 0, 0
@@ -300,12 +333,16 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, says, h, low, high) from sorted anchor rows."""
     for batch in _whole_groups(batches):
-        h, c, doc, low, high, i = _numbers(batch)
+        h, c, doc, at = _numbers(batch)
         order = np.lexsort((doc, c, h))
-        h, c, doc, low, high, i = (x[order] for x in (h, c, doc, low, high, i))
+        h, c, doc, at = (x[order] for x in (h, c, doc, at))
+        low = at >> LENGTH_BITS
         passing = h < 0
-        yield _batch(doc=doc[passing], says=c[passing].astype(np.int8), h=h[passing], low=low[passing], high=high[passing])
-        h, c, doc, low, high, i = (x[~passing] for x in (h, c, doc, low, high, i))
+        if passing.any():
+            says = -1 - c[passing]
+            yield _batch(doc=doc[passing], says=np.where(says & 1, APART, SETTLED).astype(np.int8), h=np.zeros(len(says), np.int64), low=low[passing], high=low[passing] + (says >> 1))
+        h, c, doc, at, low = (x[~passing] for x in (h, c, doc, at, low))
+        i, high = (at & 1).astype(bool), low + ((at & (1 << LENGTH_BITS) - 1) >> 1)
         if not len(h):
             continue
         of, same = _groups(h), _groups(h, c)
@@ -364,7 +401,7 @@ def _window_rows(plan: Plan, tagged: bool) -> Callable:
                         if low > high:
                             continue
                         if says == OPEN:
-                            got = names[low - from_ : high - from_ + 1].tobytes()
+                            got = plan.units.payload(piece[2], names, low - from_, high - from_, plan.window)
                             lists.append((h, doc, low + tag, high + tag, got))
                             size += len(got) + 40
                         else:
@@ -381,19 +418,27 @@ def _window_rows(plan: Plan, tagged: bool) -> Callable:
     return run
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(plan: Plan) -> Callable:
     """(doc, low, high) of the windows that an earlier document has, from rows sorted by key."""
-    for batch in _whole_groups(batches):
-        passing = pa.compute.is_null(batch.column(4))
-        aside = batch.filter(passing)
-        if aside.num_rows:
-            yield _batch(doc=np.asarray(aside.column(1)), low=np.asarray(aside.column(2)), high=np.asarray(aside.column(3)))
-        rows = batch.filter(pa.compute.invert(passing))
-        if not rows.num_rows:
-            continue
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches):
+            passing = pa.compute.is_null(batch.column(4))
+            aside = batch.filter(passing)
+            if aside.num_rows:
+                yield _batch(doc=np.asarray(aside.column(1)), low=np.asarray(aside.column(2)), high=np.asarray(aside.column(3)))
+            rows = batch.filter(pa.compute.invert(passing))
+            # single windows come with their name
+            single = pa.compute.equal(pa.compute.binary_length(rows.column(4)), 8)
+            for some, named in ((rows.filter(single), True), (rows.filter(pa.compute.invert(single)), False)):
+                if some.num_rows:
+                    yield from settle(some, named)
+
+    def settle(rows: pa.RecordBatch, named: bool) -> Iterator[pa.RecordBatch]:
         key, doc, low, high = (np.asarray(rows.column(k)) for k in range(4))
-        name = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64)
         n = high - low + 1
+        payloads = rows.column(4).to_pylist()
+        name = np.frombuffer(b"".join(payloads), np.uint64) if named else plan.units.window_names(payloads, n, plan.window)
         row = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(row)) - (np.cumsum(n) - n)[row] + low[row]
         key, doc = key[row], doc[row]
@@ -404,6 +449,14 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, a, b = _merged(doc[later], place[later], place[later])
         yield _batch(doc=d, low=a, high=b)
 
+    return run
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished plans deleted now, not when the driver next runs short of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
 
 def repeated_spans(docs: DataFrame, plan: Plan, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, bool]:
     """Documents dealt out by id, the ranges of windows to remove by id, and whether ids repeat."""
@@ -411,14 +464,16 @@ def repeated_spans(docs: DataFrame, plan: Plan, doc_id: str, text: str) -> tuple
     tagged = not ids.where("doc IS NOT NULL AND count > 1").isEmpty()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     body = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    anchors = body.mapInArrow(_anchor_rows(plan, tagged), "h long, c long, doc long, low long, high long, i boolean")
-    ranked = anchors.repartition("h").sortWithinPartitions("h").mapInArrow(_rank, "doc long, says byte, h long, low long, high long")
-    ranked = cut_lineage(ranked)
+    anchors = body.mapInArrow(_anchor_rows(plan, tagged), "h long, c long, doc long, at long")
+    ranked = cut_lineage(anchors.repartition("h").sortWithinPartitions("h").mapInArrow(_rank, "doc long, says byte, h long, low long, high long"))
+    del anchors
+    release_shuffles(docs.sparkSession)
     dealt = docs.repartition(n, F.col(doc_id))
     opened = ranked.where(F.col("says") != SETTLED).groupBy("doc").agg(F.collect_list(F.struct("says", "h", "low", "high")).alias("spans"))
-    asked = dealt.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(opened, "doc").select(F.col("doc").cast("bigint").alias("doc"), "text", "spans")
+    # a left join and no filter: so both uses of the dealt documents are one exchange
+    asked = dealt.join(opened, F.col(doc_id) == F.col("doc"), "left").select(F.col(doc_id).cast("bigint").alias("doc"), F.when(F.col("spans").isNotNull(), F.col(text)).alias("text"), "spans")
     windows = asked.mapInArrow(_window_rows(plan, tagged), "key long, doc long, low long, high long, names binary")
-    settled = windows.repartition("key").sortWithinPartitions("key").mapInArrow(_settle, "doc long, low long, high long")
+    settled = windows.repartition("key").sortWithinPartitions("key").mapInArrow(_settle(plan), "doc long, low long, high long")
     spans = ranked.where(F.col("says") == SETTLED).select("doc", "low", "high").unionByName(settled)
     return dealt, spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans")), tagged
 
