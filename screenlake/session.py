@@ -26,6 +26,7 @@ def local_session(app: str = "screenlake", cpus: str | None = None) -> SparkSess
     )
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_folder: str | None = None
 
 
@@ -50,5 +51,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     twice, and the rows outlive any executor.  The cluster owns and clears the folder."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the table holds the result, so the shuffle files of the plan can go as soon as it is written
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
