@@ -25,14 +25,13 @@ settled, or merged, before the shuffle.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenlake.llm import words
@@ -125,7 +124,7 @@ _tables: dict[int, np.ndarray] = {}
 
 def _powers(n: int, base: int) -> np.ndarray:
     """base^0 ... base^(n-1), modulo 2^64."""
-    if len(_tables.get(base, ())) < n:
+    if base not in _tables or len(_tables[base]) < n:
         out, size = np.ones(1, np.uint64), max(n, 1 << 16)
         while len(out) < size:
             out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
@@ -452,12 +451,6 @@ def _settle(plan: Plan) -> Callable:
     return run
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Have the shuffle files of finished plans deleted now, not when the driver next runs short of memory."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame, plan: Plan, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, bool]:
     """Documents dealt out by id, the ranges of windows to remove by id, and whether ids repeat."""
     ids = docs.groupBy(F.col(doc_id).alias("doc")).count()
@@ -466,8 +459,6 @@ def repeated_spans(docs: DataFrame, plan: Plan, doc_id: str, text: str) -> tuple
     body = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
     anchors = body.mapInArrow(_anchor_rows(plan, tagged), "h long, c long, doc long, at long")
     ranked = cut_lineage(anchors.repartition("h").sortWithinPartitions("h").mapInArrow(_rank, "doc long, says byte, h long, low long, high long"))
-    del anchors
-    release_shuffles(docs.sparkSession)
     dealt = docs.repartition(n, F.col(doc_id))
     opened = ranked.where(F.col("says") != SETTLED).groupBy("doc").agg(F.collect_list(F.struct("says", "h", "low", "high")).alias("spans"))
     # a left join and no filter: so both uses of the dealt documents are one exchange

@@ -25,9 +25,9 @@ from screenlake.llm.arrow import parts
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, block: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, block: int = 5, doc_id: str = "doc_id", text: str = "text", joined: bool = True) -> DataFrame:
     """``docs`` without the text, with ``kept`` (the remaining words joined by one space),
-    ``n_words`` and ``n_removed``."""
+    ``n_words`` and ``n_removed``.  Without ``joined``, a text that loses nothing is kept as it is."""
     if not 0 < 3 * block <= window:
         raise ValueError("a window holds at least three blocks")
     plan = repeats.Plan(repeats.WordUnits, window, block, block)
@@ -46,11 +46,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, block: int = 5, doc_id: st
                 for a, b in zip(start.tolist(), end.tolist(), strict=True):
                     left += words[at:a]
                     at = b
-                kept.append(b" ".join([*left, *words[at:]]).decode())
+                kept.append(b" ".join([*left, *words[at:]]).decode() if joined or len(start) else value or "")
                 totals.append(len(words))
                 removed.append(int((end - start).sum()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(kept, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=[*names, *(n for n, _ in added)])
 
-    joined = dealt.join(spans.withColumnRenamed("doc", "__doc"), F.col(doc_id) == F.col("__doc"), "left")
+    with_spans = dealt.join(spans.withColumnRenamed("doc", "__doc"), F.col(doc_id) == F.col("__doc"), "left")
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(n, t) for n, t in added])
-    return joined.select(*[F.col(f"`{c}`") for c in names], F.col(text), F.col("spans").alias("__spans")).mapInArrow(run, schema)
+    return with_spans.select(*[F.col(f"`{c}`") for c in names], F.col(text), F.col("spans").alias("__spans")).mapInArrow(run, schema)
