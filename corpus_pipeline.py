@@ -1,12 +1,45 @@
-"""The corpus pipeline: documents in, token ids out."""
+"""The corpus pipeline: documents in, token ids of a clean corpus out.
+
+Each stage takes (spark, docs, sf_dir) and returns documents with the columns it got, but for
+the last one, which returns token ids.  A stage works on all that the stage before it kept.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from screenlake.llm import byte_bpe
+from screenlake.llm import byte_bpe, containment, language_id, simhash, word_repeats
 from screenlake.llm.registry import table
 
+#: A document stays if its language has at least this probability.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those whose language stays unclear, go."""
+    judged = language_id.identify(docs)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document with the smallest id stays; rows without an id stay."""
+    kept = simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__nth = 1")
+    return one.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that an earlier document has go; so do documents with no word left."""
+    cut = word_repeats.remove_repeats(docs, joined=False).where("n_removed = 0 OR n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.when(changed, F.length("kept")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return containment.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text and the text that they decode to."""
@@ -17,7 +50,14 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return byte_bpe.decode(coded, path, pattern).select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_text")
 
 
-STAGES = [("byte-level BPE", encode_bytes)]
+STAGES = [
+    ("language ID", keep_known_language),
+    ("SimHash near-dedup", keep_one_of_near_duplicates),
+    ("substring dedup", cut_repeated_passages),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("byte-level BPE", encode_bytes),
+]
+#: Fingerprints, trained models and token ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
