@@ -53,6 +53,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
                 [*(batch.column(i) for i in range(len(names))), pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in (totals, removed, runs))], names=[*names, *(n for n, _ in added)]
             )
 
-    joined = dealt.join(spans.withColumnRenamed("doc", "__doc"), F.col(doc_id) == F.col("__doc"), "left")
+    joined = dealt.join(spans, F.col(doc_id) == F.col("__doc"), "left")
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(n, t) for n, t in added])
-    return joined.select(*[F.col(f"`{c}`") for c in names], F.col(text), F.col("spans").alias("__spans")).mapInArrow(run, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], F.col(text), "__spans").mapInArrow(run, schema)

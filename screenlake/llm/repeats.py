@@ -460,13 +460,13 @@ def repeated_spans(docs: DataFrame, plan: Plan, doc_id: str, text: str) -> tuple
     anchors = body.mapInArrow(_anchor_rows(plan, tagged), "h long, c long, doc long, at long")
     ranked = cut_lineage(anchors.repartition("h").sortWithinPartitions("h").mapInArrow(_rank, "doc long, says byte, h long, low long, high long"))
     dealt = docs.repartition(n, F.col(doc_id))
-    opened = ranked.where(F.col("says") != SETTLED).groupBy("doc").agg(F.collect_list(F.struct("says", "h", "low", "high")).alias("spans"))
+    opened = ranked.where(F.col("says") != SETTLED).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("says", "h", "low", "high")).alias("__spans"))
     # a left join and no filter: so both uses of the dealt documents are one exchange
-    asked = dealt.join(opened, F.col(doc_id) == F.col("doc"), "left").select(F.col(doc_id).cast("bigint").alias("doc"), F.when(F.col("spans").isNotNull(), F.col(text)).alias("text"), "spans")
+    asked = dealt.join(opened, F.col(doc_id) == F.col("__doc"), "left").select(F.col(doc_id).cast("bigint").alias("doc"), F.when(F.col("__spans").isNotNull(), F.col(text)).alias("text"), F.col("__spans").alias("spans"))
     windows = asked.mapInArrow(_window_rows(plan, tagged), "key long, doc long, low long, high long, names binary")
     settled = windows.repartition("key").sortWithinPartitions("key").mapInArrow(_settle(plan), "doc long, low long, high long")
     spans = ranked.where(F.col("says") == SETTLED).select("doc", "low", "high").unionByName(settled)
-    return dealt, spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans")), tagged
+    return dealt, spans.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("low", "high")).alias("__spans")), tagged
 
 
 def covered(spans: list[dict] | None, tag: int, window: int) -> tuple[np.ndarray, np.ndarray]:

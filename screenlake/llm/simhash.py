@@ -194,6 +194,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = graph.components(links(firsts.select("fp"), max_bits, fold))
     rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(smallest, "root").select(F.col("fp").alias("fingerprint"), "component_id")
+    classes = rooted.join(smallest, "root").select(F.col("fp").alias("fingerprint"), F.col("component_id").alias("__component"))
     kept = [c for c in marked.columns if c not in ("fingerprint", "component_id")]
-    return marked.join(classes, "fingerprint").select(*[F.col(f"`{c}`") for c in kept], F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(classes, "fingerprint").select(*[F.col(f"`{c}`") for c in kept], F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("__component").alias("component_id"))

@@ -123,10 +123,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "
         "embedding", "first", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = rooted.join(smallest, "root").select(F.col("embedding").alias("__e"), "n_links", "component_id")
+    found = rooted.join(smallest, "root").select(F.col("embedding").alias("__e"), F.col("n_links").alias("__links"), F.col("component_id").alias("__component"))
     kept = [c for c in vectors.columns if c not in (embedding, "n_links", "component_id", "kept")]
     asked = vectors.withColumn("__key", F.when(F.coalesce(usable, F.lit(False)), e))
-    component = F.coalesce("component_id", F.col(vec_id).cast("bigint"))
+    component = F.coalesce("__component", F.col(vec_id).cast("bigint"))
     return asked.join(found, F.col("__key") == F.col("__e"), "left").select(
-        *[F.col(f"`{c}`") for c in kept], F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(vec_id) == component, F.lit(False)).alias("kept")
+        *[F.col(f"`{c}`") for c in kept], F.coalesce("__links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(vec_id) == component, F.lit(False)).alias("kept")
     )

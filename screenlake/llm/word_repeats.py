@@ -51,6 +51,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, block: int = 5, doc_id: st
                 removed.append(int((end - start).sum()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(kept, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=[*names, *(n for n, _ in added)])
 
-    with_spans = dealt.join(spans.withColumnRenamed("doc", "__doc"), F.col(doc_id) == F.col("__doc"), "left")
+    with_spans = dealt.join(spans, F.col(doc_id) == F.col("__doc"), "left")
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(n, t) for n, t in added])
-    return with_spans.select(*[F.col(f"`{c}`") for c in names], F.col(text), F.col("spans").alias("__spans")).mapInArrow(run, schema)
+    return with_spans.select(*[F.col(f"`{c}`") for c in names], F.col(text), "__spans").mapInArrow(run, schema)

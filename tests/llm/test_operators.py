@@ -13,7 +13,7 @@ import pytest
 from screenlake.llm import byte_bpe, byte_repeats, chat_tree, containment, graph, language_id, repeats, sharding, simhash, url_filter, vector_links, word_repeats, words
 
 SOURCE = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, kept string, fingerprint int, ids string, score string"
+DOCS = "doc_id long, text string, kept string, fingerprint int, ids string, component_id string"
 
 
 def texts():
@@ -152,7 +152,7 @@ def test_chat_nothing(spark):
 @pytest.mark.parametrize("fold", [20_000, 3])
 def test_simhash(docs, rows, fold):
     out = simhash.near_duplicates(docs, fold=fold)
-    assert out.columns == ["doc_id", "kept", "ids", "score", "fingerprint", "component_id"]
+    assert out.columns == ["doc_id", "kept", "ids", "fingerprint", "component_id"]
     assert listed(out, "doc_id", "fingerprint", "component_id") == sorted(brute.near_duplicates(rows), key=repr)
 
 
@@ -188,7 +188,7 @@ def test_components_of_chains_and_stars(spark):
 def test_byte_repeats(docs, rows, many, monkeypatch):
     monkeypatch.setattr(repeats, "MANY", many)
     out = byte_repeats.remove_repeats(docs, 50)
-    assert out.columns == ["doc_id", "fingerprint", "ids", "score", "kept", "n_bytes", "n_removed", "n_spans"]
+    assert out.columns == ["doc_id", "fingerprint", "ids", "component_id", "kept", "n_bytes", "n_removed", "n_spans"]
     want = [(i, *brute.byte_row(s, m)) for (i, _), (s, m) in zip(rows, brute.removed(rows, 50, brute.bytes_of))]
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
