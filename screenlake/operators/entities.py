@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,21 +14,26 @@ CJK = r"[一-鿿]"
 _ENTITY = "array<struct<type:string,value:string,label:string>>"
 
 
-def _found(text: Column, kind: str, pattern: str) -> Column:
-    hits = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), 1, RB.PER_TYPE_LIMIT)
+def _first(values: Column, limit: int | None) -> Column:
+    return values if limit is None else F.slice(values, 1, limit)
+
+
+def _found(text: Column, kind: str, pattern: str, per_type: int | None) -> Column:
+    hits = _first(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), per_type)
     return F.transform(hits, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), F.lit(None).cast("string").alias("label")))
 
 
-def entities_of(text: Column, scenario: Column | None = None, key_content: Column | None = None) -> Column:
+def entities_of(text: Column, scenario: Column | None = None, key_content: Column | None = None, per_type: int | None = None, limit: int | None = None) -> Column:
     """Entities of one text as an ordered array: scenario entities, key-content fields,
-    then URLs, e-mails, phones and dates; distinct by type, value and label."""
+    then URLs, e-mails, phones and dates; distinct by type, value and label.  All of them,
+    unless ``per_type`` or ``limit`` asks for the first ones."""
     none = F.array().cast(_ENTITY)
     parts = [
-        none if scenario is None else F.slice(F.coalesce(scenario, none), 1, RB.SCENARIO_LIMIT),
+        none if scenario is None else F.coalesce(scenario, none),
         none if key_content is None else F.coalesce(key_content, none),
-        *(_found(text, kind, pattern) for kind, pattern in RB.ENTITY_PATTERNS),
+        *(_found(text, kind, pattern, per_type) for kind, pattern in RB.ENTITY_PATTERNS),
     ]
-    return F.slice(F.array_distinct(F.concat(*parts)), 1, RB.ENTITY_LIMIT)
+    return _first(F.array_distinct(F.concat(*parts)), limit)
 
 
 def extract_entities(docs: DataFrame, key: str, text: str, scenario: str | None = None, key_content: str | None = None) -> DataFrame:
@@ -37,29 +42,38 @@ def extract_entities(docs: DataFrame, key: str, text: str, scenario: str | None
     return docs.select(key, F.posexplode(arr).alias("pos", "e")).select(key, "pos", "e.type", "e.value", "e.label")
 
 
-def extract_item_entities(items: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """The same over OCR items of an image (no pattern spans two items): the first eight
-    distinct values per type in item order, at most forty per image."""
+def entity_mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Every mention (key, type, value), repeats included; a map-only job."""
+    def mentions(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
+
+    every = (mentions(kind, pattern) for kind, pattern in RB.ENTITY_PATTERNS)
+    return docs.select(key, F.explode(F.concat(*every)).alias("e")).select(key, "e.type", "e.value")
+
+
+def extract_item_entities(items: DataFrame, keys: Sequence[str] = ("image_id",), per_type: int | None = None, limit: int | None = None) -> DataFrame:
+    """The same over OCR items of an image (no pattern spans two items): the distinct values
+    by type in item order, or the first ``per_type`` of a type and ``limit`` of an image."""
     rows = None
     for rank, (kind, pattern) in enumerate(RB.ENTITY_PATTERNS):
         hits = items.select(*keys, "ord", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("at", "value"))
         hits = hits.select(*keys, F.lit(rank).alias("t"), F.lit(kind).alias("type"), "value", "ord", "at")
         rows = hits if rows is None else rows.unionByName(hits)
     first = keep_first(rows, [*keys, "t", "type", "value"], ["ord", "at"])
-    some = top_k_per_group(first, [*keys, "t"], ["ord", "at"], RB.PER_TYPE_LIMIT)
-    kept = top_k_per_group(some.drop("rank"), keys, ["t", "ord", "at"], RB.ENTITY_LIMIT)
+    some = top_k_per_group(first, [*keys, "t"], ["ord", "at"], per_type)
+    kept = top_k_per_group(some.drop("rank"), keys, ["t", "ord", "at"], limit)
     return kept.select(*keys, "rank", "type", "value")
 
 
-def entity_index(entities: DataFrame, key: str) -> DataFrame:
-    """Corpus-level value index: number of documents and mentions per (type, value)."""
-    per_doc = entities.groupBy("type", "value", key).agg(F.count(F.lit(1)).alias("c"))
+def entity_index(mentions: DataFrame, key: str) -> DataFrame:
+    """Corpus-level value index: number of documents and of mentions per (type, value)."""
+    per_doc = mentions.groupBy("type", "value", key).agg(F.count(F.lit(1)).alias("c"))
     return per_doc.groupBy("type", "value").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("c").alias("n_mentions"))
 
 
-def flow_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with node labels instead of ids (the id stands in for a missing label), the
-    first forty per image in edge order."""
+def flow_relations(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """Edges with node labels instead of ids (the id stands in for a missing label), all or
+    the first ``limit`` per image in edge order."""
     label = nodes.where(F.col("label") != "").select("image_id", "id", "label")
     rows = edges.join(label.withColumnRenamed("id", "src").withColumnRenamed("label", "_s"), ["image_id", "src"], "left")
     rows = rows.join(label.withColumnRenamed("id", "dst").withColumnRenamed("label", "_d"), ["image_id", "dst"], "left")
@@ -67,12 +81,12 @@ def flow_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "image_id", "ord", F.coalesce("_s", F.col("src").cast("string")).alias("from"), F.coalesce("_d", F.col("dst").cast("string")).alias("to"),
         F.lit("flow").alias("type"),
     )
-    return top_k_per_group(rows, ["image_id"], ["ord"], RB.FLOW_LIMIT).drop("ord")
+    return top_k_per_group(rows, ["image_id"], ["ord"], limit).drop("ord")
 
 
-def logic_facts(conditions: DataFrame, directions: DataFrame, languages: DataFrame) -> DataFrame:
-    """Branch conditions, flow direction, language and line count as facts per image, at
-    most twenty, in that order.  ``conditions``: image_id, ord, condition; ``directions``:
+def logic_facts(conditions: DataFrame, directions: DataFrame, languages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Branch conditions, flow direction, language and line count as facts per image, all or
+    the first ``limit`` in that order.  ``conditions``: image_id, ord, condition; ``directions``:
     image_id, direction; ``languages``: image_id, language, line_count."""
     zero = F.lit("")
     cond = conditions.where(F.col("condition") != "").select("image_id", F.lit(0).alias("k"), F.col("ord").cast("string").alias("o"), F.concat(F.lit("分支条件: "), "condition").alias("fact"))
@@ -80,7 +94,7 @@ def logic_facts(conditions: DataFrame, directions: DataFrame, languages: DataFra
     lang = languages.where(F.col("language") != "unknown").select("image_id", F.lit(2).alias("k"), zero.alias("o"), F.concat(F.lit("语言: "), "language").alias("fact"))
     count = languages.where(F.col("line_count") > 0).select("image_id", F.lit(3).alias("k"), zero.alias("o"), F.concat(F.lit("代码行数: "), F.col("line_count").cast("string")).alias("fact"))
     rows = cond.unionByName(flow).unionByName(lang).unionByName(count)
-    return top_k_per_group(rows, ["image_id"], ["k", "o"], RB.LOGIC_LIMIT).drop("k", "o")
+    return top_k_per_group(rows, ["image_id"], ["k", "o"], limit).drop("k", "o")
 
 
 def branch_conditions(items: DataFrame) -> DataFrame:
@@ -111,41 +125,44 @@ def semantic_groups(items: DataFrame) -> DataFrame:
     return keep_first(rows.select("image_id", group.alias("group"), "text", "ord"), ["image_id", "group", "text"], ["ord"])
 
 
-def ui_evidence(items: DataFrame) -> DataFrame:
+def ui_evidence(items: DataFrame, limits: Mapping[str, int] | None = None) -> DataFrame:
     """Page evidence from OCR lines in long form (image_id, page_type, field, pos, text).
 
     Needs at least eight lines; the mobile rule is tried first, then at least four lines
-    with admin signals.  A field takes its first 12 (mobile: 8 or 12) matching lines and
-    lists the distinct ones."""
+    with admin signals.  A field lists the distinct ones of its matching lines; ``limits``
+    gives the number of matching lines that a field takes at most, by field."""
     lines = items.select("image_id", "ord", F.trim("text").alias("text")).where(F.col("text") != "")
     lower = F.lower("text")
     n = lambda p, c=F.col("text"): F.count(F.when(c.rlike(p), 1))
     stats = lines.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("n_lines"), n(RB.MOBILE_STATUS).alias("status"), n(RB.MOBILE_PRODUCT).alias("product"),
         n(RB.MOBILE_ADMIN, lower).alias("admin"), n(RB.UI_SIGNAL, lower).alias("signals"), n("详情").alias("titles"),
-        n(RB.MOBILE_FIELD).alias("m_fields"),
+        F.count_distinct(F.when(F.col("text").rlike(RB.MOBILE_FIELD), F.col("text"))).alias("m_fields"),
     ).where(F.col("n_lines") >= 8)
     mobile = (F.col("product") >= 4) & (F.col("admin") < 3) & ((F.col("status") > 0) | (F.col("titles") > 0) | (F.col("m_fields") >= 4))
     page = F.when(mobile, "mobile-ui").when(F.col("signals") >= 4, "admin-ui")
     kinds = stats.select("image_id", "n_lines", page.alias("page_type")).where(F.col("page_type").isNotNull())
     rows = lines.join(kinds, "image_id")
-    admin = [("navigation", RB.UI_NAV, 12), ("actions", RB.UI_ACTION, 12), ("fields", RB.UI_FIELD, 12), ("tableHeaders", RB.UI_FIELD, 12), ("values", RB.UI_VALUE, 12), ("modules", RB.UI_MODULE, 12)]
-    phone = [("navigation", RB.MOBILE_NAV, 8), ("actions", RB.MOBILE_ACTION, 8), ("fields", RB.MOBILE_FIELD, 12), ("values", RB.MOBILE_VALUE, 12), ("modules", RB.MOBILE_MODULE, 8)]
+    admin = [("navigation", RB.UI_NAV), ("actions", RB.UI_ACTION), ("fields", RB.UI_FIELD), ("tableHeaders", RB.UI_FIELD), ("values", RB.UI_VALUE), ("modules", RB.UI_MODULE)]
+    phone = [("navigation", RB.MOBILE_NAV), ("actions", RB.MOBILE_ACTION), ("fields", RB.MOBILE_FIELD), ("values", RB.MOBILE_VALUE), ("modules", RB.MOBILE_MODULE)]
     hits = F.filter(
         F.concat(
-            *(F.array(F.when((F.col("page_type") == "admin-ui") & lower.rlike(p), F.struct(F.lit(f).alias("field"), F.lit(k).alias("k")))) for f, p, k in admin),
-            *(F.array(F.when((F.col("page_type") == "mobile-ui") & F.col("text").rlike(p), F.struct(F.lit(f).alias("field"), F.lit(k).alias("k")))) for f, p, k in phone),
+            *(F.array(F.when((F.col("page_type") == "admin-ui") & lower.rlike(p), F.lit(f))) for f, p in admin),
+            *(F.array(F.when((F.col("page_type") == "mobile-ui") & F.col("text").rlike(p), F.lit(f))) for f, p in phone),
         ),
         lambda s: s.isNotNull(),
     )
-    rows = rows.select("image_id", "page_type", "ord", "text", F.explode(hits).alias("s")).select("*", "s.field", "s.k").drop("s")
-    rows = top_k_per_group(rows, ["image_id", "field"], ["ord"], 12).where(F.col("rank") <= F.col("k"))
+    rows = rows.select("image_id", "page_type", "ord", "text", F.explode(hits).alias("field"))
+    rows = top_k_per_group(rows, ["image_id", "field"], ["ord"], None)
+    for field, most in (limits or {}).items():
+        rows = rows.where((F.col("field") != field) | (F.col("rank") <= most))
     return keep_first(rows.select("image_id", "page_type", "field", "text", F.col("rank").alias("pos")), ["image_id", "page_type", "field", "text"], ["pos"])
 
 
-def ui_layout(items: DataFrame) -> DataFrame:
+def ui_layout(items: DataFrame, max_titles: int | None = None) -> DataFrame:
     """Sidebar / main / footer split of boxed OCR text in long form (image_id, slot, text,
-    ord of first mention); images with fewer than eight boxed items give nothing."""
+    ord of first mention); images with fewer than eight boxed items give nothing.  With
+    ``max_titles``, the first so many distinct title candidates."""
     stats = items.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("x") + F.col("w")).alias("mx"), F.max(F.col("y") + F.col("h")).alias("my"))
     stats = stats.where(F.col("n") >= 8).select("image_id", F.greatest(F.lit(260.0), F.col("mx") * 0.25).alias("side"), (F.col("my") * 0.82).alias("foot"))
     rows = items.join(stats, "image_id")
@@ -159,7 +176,7 @@ def ui_layout(items: DataFrame) -> DataFrame:
         F.when(~left & text.rlike(RB.LAYOUT_TITLE) & F.col("_in_side").isNull(), "titleCandidates"),
     ))
     out = keep_first(rows.select("image_id", F.explode(slots).alias("slot"), "text", "ord"), ["image_id", "slot", "text"], ["ord"])
-    titles = top_k_per_group(out.where(F.col("slot") == "titleCandidates"), ["image_id"], ["ord"], 8).drop("rank")
+    titles = top_k_per_group(out.where(F.col("slot") == "titleCandidates"), ["image_id"], ["ord"], max_titles).drop("rank")
     return out.where(F.col("slot") != "titleCandidates").unionByName(titles)
 
 

@@ -210,26 +210,27 @@ def dedupe_boxes(df: DataFrame, group: str, min_iou: float = 0.8) -> DataFrame:
     keys = ["image_id", group]
     ok = G.valid_box(G.box()) & F.col("score").isNotNull() & ~F.isnan("score")
     parts = _parts(df.where(ok).withColumn("cand_id", F.col("ord")), keys)
-    entry = F.struct(F.col("ord").alias("o"), "x", "y", "w", "h", G.box().right.alias("r"), G.box().bottom.alias("b"), "score", F.col("ord").alias("slot"))
+    entry = F.struct(F.col("ord").alias("o"), "x", "y", "w", "h", G.box().right.alias("r"), G.box().bottom.alias("b"), "score", F.col("ord").alias("slot"), F.struct(*df.columns).alias("row"))
     rows = parts.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
     zero = F.array().cast(parts.groupBy("_part").agg(F.collect_list(entry).alias("r")).schema["r"].dataType)
 
     def step(acc: Column, e: Column) -> Column:
         hit = F.array_position(F.transform(acc, lambda c: _overlaps(c, e, min_iou)), True)
-        better = F.struct(*(e[k].alias(k) for k in ("o", "x", "y", "w", "h", "r", "b", "score")), F.element_at(acc, F.greatest(hit, F.lit(1)).cast("int"))["slot"].alias("slot"))
+        better = F.struct(*(e[k].alias(k) for k in ("o", "x", "y", "w", "h", "r", "b", "score")), F.element_at(acc, F.greatest(hit, F.lit(1)).cast("int"))["slot"].alias("slot"), e["row"].alias("row"))
         swap = F.transform(acc, lambda c, i: F.when((i + 1 == hit) & (e["score"] > c["score"]), better).otherwise(c))
         return F.when(hit > 0, swap).otherwise(F.array_append(acc, e))
 
     out = rows.select(*keys, F.explode(fold_array(F.col("rows"), zero, step)).alias("c"))
-    kept = out.select(*keys, F.col("c.o").alias("ord"), F.col("c.slot").alias("slot"))
-    return df.join(kept, [*keys, "ord"])
+    # the row travels through the fold: a join back on ord would multiply repeated rows
+    return out.select("c.row.*", F.col("c.slot").alias("slot"))
 
 
 def dedupe_seeds(seeds: DataFrame) -> DataFrame:
     """Keep seeds anchored first, then smallest first; drop a seed that has IoU >= 0.8
     with a kept one or is 80 % contained at a similar scale (area ratio >= 0.2).
 
-    ``seeds``: image_id, cand_id, anchored, box.  Kept seeds never change, so this is a
+    ``seeds``: image_id, cand_id, anchored, box; rows are told apart by their rank, as ids may
+    repeat.  Kept seeds never change, so this is a
     greedy independent set, solved in rounds: a seed with no earlier undecided neighbour
     is decided at once."""
     from screenlake.session import cut_lineage
@@ -240,7 +241,7 @@ def dedupe_seeds(seeds: DataFrame) -> DataFrame:
     a, b = G.box("a_"), G.box("b_")
     small, large = F.least(a.area, b.area), F.greatest(a.area, b.area)
     clash = (G.iou(a, b) >= 0.8) | ((small > 0) & (small / large >= 0.2) & (G.intersection_area(a, b) / small >= 0.8))
-    edges = cut_lineage(pairs.where(clash).select("image_id", F.col("a_cand_id").alias("later"), F.col("b_cand_id").alias("earlier")))
+    edges = cut_lineage(pairs.where(clash).select("image_id", F.col("a_o").alias("later"), F.col("b_o").alias("earlier")))
     if edges.isEmpty():
         return seeds
     # a seed that is never the later end is kept; its later neighbours are dropped
@@ -252,4 +253,4 @@ def dedupe_seeds(seeds: DataFrame) -> DataFrame:
         dropped = gone if dropped is None else dropped.unionByName(gone)
         left = edges.join(gone, ["image_id", "later"], "left_anti")
         edges = cut_lineage(left.join(gone.select("image_id", F.col("later").alias("earlier")), ["image_id", "earlier"], "left_anti"))
-    return seeds.join(dropped.withColumnRenamed("later", "cand_id"), ["image_id", "cand_id"], "left_anti")
+    return seeds.withColumn("later", rank).join(dropped, ["image_id", "later"], "left_anti").drop("later")

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int) -> DataFrame:
-    """The first ``k`` rows of every group.  Spark keeps only ``k`` rows per group and map
+def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int | None) -> DataFrame:
+    """Ranked rows of every group, the first ``k`` or all.  With ``k``, Spark keeps only ``k`` rows per group and map
     task before the shuffle (window group limit), so a hot group stays small."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = df.withColumn("rank", rank)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def global_top_k(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
@@ -314,9 +315,7 @@ def rank_regions(boxes: DataFrame, position: Column, k: int | None = None) -> Da
     """Annotation boxes by confidence plus a tiny position score, best first."""
     rows = boxes.withColumn("score", F.col("confidence") + position_score(position))
     order = [F.desc("score"), "region_id"]
-    if k is not None:
-        return top_k_per_group(rows, ["image_id"], order, k)
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("image_id").orderBy(*order)))
+    return top_k_per_group(rows, ["image_id"], order, k)
 
 
 def layout_region(items: DataFrame, queries: DataFrame) -> DataFrame:
@@ -372,8 +371,8 @@ def band_split(bands: DataFrame, boxes: DataFrame) -> DataFrame:
     ).drop("y1", "y2")
 
 
-def media_score(cands: DataFrame, heights: DataFrame, meta: DataFrame, k: int = 20) -> DataFrame:
-    """Score media candidates and keep the best ``k`` per image (a top-k report).
+def media_score(cands: DataFrame, heights: DataFrame, meta: DataFrame, k: int | None = None) -> DataFrame:
+    """Media candidates with their score and rank, all or the best ``k`` per image.
 
     ``cands``: image_id, cand_id, anchored, textured, box; ``heights``: median text height
     (see ``text_height``).  The work image has blocks of 20 px."""

@@ -189,9 +189,9 @@ def parse_model_output(outputs: DataFrame, raw: str = "raw_text", skill: str = "
     return rows.select(*outputs.columns, F.when(F.col("error").isNull(), merged).alias("json"), repairs.alias("repairs"), "error")
 
 
-def parse_reasoning(outputs: DataFrame, raw: str = "raw_text") -> DataFrame:
-    """Insights, risks and next actions of a reasoning answer (each at most three of at
-    most 200 characters); NULL when nothing usable or a phrase repeats too often."""
+def parse_reasoning(outputs: DataFrame, raw: str = "raw_text", most: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Insights, risks and next actions of a reasoning answer, of each all or the first
+    ``most`` that are not longer than ``max_chars``; NULL when nothing usable or a phrase repeats too often."""
     t = F.regexp_replace(F.regexp_replace(F.trim(raw), r"```(?:json)?\s*", ""), "```", "")
     obj = F.regexp_extract(t, r"(?s)\{.*\}", 0)
     v = F.from_json(F.when(obj != "", obj).otherwise(t), "insights array<string>, risks array<string>, next_actions array<string>")
@@ -199,7 +199,8 @@ def parse_reasoning(outputs: DataFrame, raw: str = "raw_text") -> DataFrame:
 
     def strings(name: str) -> Column:
         clean = F.transform(F.col(f"_v.{name}"), lambda s: F.trim(s))
-        return F.slice(F.filter(F.coalesce(clean, F.array().cast(STRINGS)), lambda s: (F.length(s) > 0) & (F.length(s) <= 200)), 1, 3)
+        fits = F.filter(F.coalesce(clean, F.array().cast(STRINGS)), lambda s: (F.length(s) > 0) & (F.lit(True) if max_chars is None else F.length(s) <= max_chars))
+        return fits if most is None else F.slice(fits, 1, most)
 
     names = ("insights", "risks", "next_actions")
     for n in names:

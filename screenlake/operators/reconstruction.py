@@ -51,8 +51,8 @@ def layout_block(pages: DataFrame, layouts: DataFrame, spacing: DataFrame, media
     )
 
 
-def design_block(theme: DataFrame, palette: DataFrame, k: int = 10) -> DataFrame:
-    """Theme columns plus the ``k`` most frequent palette colours of the image."""
+def design_block(theme: DataFrame, palette: DataFrame, k: int | None = None) -> DataFrame:
+    """Theme columns plus the palette colours of the image, all or the ``k`` most frequent."""
     from screenlake.operators.layout import top_k_per_group
 
     hexa = F.lower(F.concat(F.lit("#"), *(F.lpad(F.hex(c), 2, "0") for c in "rgb")))

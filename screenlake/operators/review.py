@@ -9,6 +9,8 @@ Shared inputs
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from screenlake.functions import geometry as G
@@ -293,12 +295,13 @@ def normalize_tree(elements: DataFrame, relations: DataFrame) -> DataFrame:
     ).where(F.col("parent_id").isNotNull())
 
 
-def tree_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Depth and root of every node, level by level (image_id, node_id, parent_id)."""
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """Depth and root of every node, level by level (image_id, node_id, parent_id).  Walks
+    from the roots, so nodes on a cycle are never reached and the levels come to an end."""
     base = nodes.select("image_id", "node_id", "parent_id")
     level = cut_lineage(base.where(F.col("parent_id").isNull()).select("image_id", "node_id", F.lit(0).alias("depth"), F.col("node_id").alias("root_id"), F.col("node_id").alias("path")))
     out = level
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         up = level.select("image_id", F.col("node_id").alias("parent_id"), "root_id", F.col("path").alias("_path"))
         nxt = base.join(up, ["image_id", "parent_id"]).select(
             "image_id", "node_id", F.lit(depth).alias("depth"), "root_id", F.concat_ws("/", "_path", "node_id").alias("path")
@@ -307,7 +310,7 @@ def tree_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
         if level.isEmpty():
             return out
         out = out.unionByName(level)
-    raise ValueError(f"a path is longer than {max_depth} levels: cycle or raise max_depth")
+    return out
 
 
 # Fixed values of the review heuristics (patterns and bounds).

@@ -255,12 +255,13 @@ def choose_candidate(requests: DataFrame, providers: Sequence[Provider]) -> Data
 
 
 # --- prompts ------------------------------------------------------------------------
-def build_prompts(requests: DataFrame, templates: Mapping[str, str]) -> DataFrame:
+def build_prompts(requests: DataFrame, templates: Mapping[str, str], ocr_chars: int | None = None) -> DataFrame:
     """Prompt per (request, skill): ``{{name}}`` substitution, focus, clipped OCR context for
     the summary and a hint when the last attempt failed.
 
     ``requests``: request_id, skill, intent, focus, width, height, format, complexity,
-    ocr_text, last_error.  The clip bounds what the model sees, not what is stored."""
+    ocr_text, last_error.  With ``ocr_chars``, longer OCR text is
+    clipped in the prompt, with a note of its length."""
     prompt = None
     for skill, text in templates.items():
         prompt = (F if prompt is None else prompt).when(F.col("skill") == skill, F.lit(text))
@@ -273,10 +274,10 @@ def build_prompts(requests: DataFrame, templates: Mapping[str, str]) -> DataFram
         prompt = F.replace(prompt, F.lit(mark), value)
     rows = requests.withColumn("_p", prompt)
     with_focus = F.when((focus != "") & ~F.col("_p").contains(focus), F.concat("_p", F.lit("\n\nFocus on: "), focus)).otherwise(F.col("_p"))
-    ocr, n = F.coalesce("ocr_text", F.lit("")), RB.OCR_CONTEXT_CHARS
-    clipped = F.when(
-        F.length(ocr) > n, F.concat(F.substring(ocr, 1, n), F.lit("\n...[truncated, OCR total "), F.length(ocr).cast("string"), F.lit(" chars]"))
-    ).otherwise(ocr)
+    ocr = clipped = F.coalesce("ocr_text", F.lit(""))
+    if ocr_chars is not None:
+        note = F.concat(F.substring(ocr, 1, ocr_chars), F.lit("\n...[truncated, OCR total "), F.length(ocr).cast("string"), F.lit(" chars]"))
+        clipped = F.when(F.length(ocr) > ocr_chars, note).otherwise(ocr)
     context = F.when((F.col("skill") == "summary") & (ocr != ""), F.concat(F.lit("\n\nOCR context from a dedicated OCR provider:\n"), clipped)).otherwise("")
     err = F.col("last_error")
     hint = (

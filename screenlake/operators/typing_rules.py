@@ -75,8 +75,8 @@ def map_types(kind: Column, table: Sequence[tuple[str, str]]) -> Column:
     return out.otherwise("unknown")
 
 
-def classify_regions(regions: DataFrame, meta: DataFrame, k: int = 30) -> DataFrame:
-    """Type of the ``k`` largest regions by relative position and area."""
+def classify_regions(regions: DataFrame, meta: DataFrame, k: int | None = None) -> DataFrame:
+    """Type of all regions, or the ``k`` largest, by relative position and area."""
     rows = top_k_per_group(regions.withColumn("_a", G.box().area), ["image_id"], [F.desc("_a"), "region_id"], k)
     rows = rows.join(meta.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "image_id")
     b, w, h = G.box(), F.col("_w"), F.col("_h")
@@ -100,9 +100,9 @@ def component_type(text: Column, b: G.Box) -> Column:
     )
 
 
-def infer_components(ocr: DataFrame, meta: DataFrame, k: int = 40) -> DataFrame:
-    """Components named by OCR text and size, one per type and rounded corner, the first
-    ``k`` per image, with variant and state."""
+def infer_components(ocr: DataFrame, meta: DataFrame, k: int | None = None) -> DataFrame:
+    """Components named by OCR text and size, one per type and rounded corner, all or the
+    first ``k`` per image, with variant and state."""
     b, text = G.box(), F.trim("text")
     rows = ocr.join(meta.select("image_id", "width", "height"), "image_id")
     page = F.col("width").cast("double") * F.col("height")

@@ -32,7 +32,7 @@ reg0 AS (SELECT image_id, box_id AS region_id, CASE WHEN p % 5 = 0 THEN 0 ELSE x
 reg1 AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY w*h DESC, region_id) AS rk, floor(w*h / (420 * 820.0) * 10000 + 0.5) / 10000 AS rel FROM reg0),
 reg AS (SELECT image_id, region_id, x, y, w, h, CAST(rel AS DOUBLE) AS rel_area, CASE WHEN y+h/2 < 123 AND w > 210 THEN 'header' WHEN y+h/2 > 697 AND w > 210 THEN 'footer'
    WHEN (x+w/2 < 105 OR x+w/2 > 315) AND h > 328 THEN 'sidebar' WHEN h < 82 AND w > 126 THEN 'nav' WHEN w > 168 AND h > 164 THEN 'table' WHEN rel > 0.02 AND rel < 0.3 THEN 'card' WHEN rel > 0.3 THEN 'main' ELSE 'content' END AS type
-  FROM reg1 WHERE rk <= 30)"""
+  FROM reg1)"""
 
 
 def raw_regions(t):
@@ -269,7 +269,7 @@ def _(t):
 WITH m AS (SELECT image_id, quantile_cont(h, 0.5) AS mh FROM ocr_items WHERE confidence >= 0.85 AND length(text) >= 2 GROUP BY image_id),
 c AS (SELECT b.image_id, b.box_id AS cand_id, x, y, w, h, b.p % 4 = 0 AS anchored, b.q % 6 = 0 AS textured, greatest(w, h) AS lg, least(w, h) AS sm, w*h / (420*820.0) AS rel, h > w AND least(w, h) >= 80 AND w*h / (420*820.0) >= 0.02 AS large, greatest(w, h) <= greatest(60, 2.4 * coalesce(mh, 20)) AS compact FROM boxes b LEFT JOIN m USING (image_id)),
 s AS (SELECT *, CASE WHEN anchored THEN 6 ELSE 0 END + CASE WHEN textured THEN 5 ELSE 0 END + CASE WHEN compact THEN 2 ELSE 0 END + CASE WHEN large THEN 10 ELSE 0 END + least(1, rel * 10) AS score FROM c WHERE (lg / sm < 4 OR large) AND (compact OR textured OR rel >= 0.02))
-SELECT image_id, cand_id, round(score, 6) AS score, CAST(rk AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, y, x, cand_id) AS rk FROM s) t WHERE rk <= 20""")
+SELECT image_id, cand_id, round(score, 6) AS score, CAST(rk AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, y, x, cand_id) AS rk FROM s) t""")
 def _(t):
     c = t.boxes.select("image_id", F.col("box_id").alias("cand_id"), (F.col("p") % 4 == 0).alias("anchored"), (F.col("q") % 6 == 0).alias("textured"), "x", "y", "w", "h")
     return Y.media_score(c, S.text_height(t.ocr_items), t.pages_meta).select("image_id", "cand_id", r6(F.col("score"), "score"), "rank")
@@ -487,7 +487,7 @@ k AS (SELECT *, CASE WHEN {hit('text', T.BUTTON_WORDS)} THEN 'button' WHEN lengt
 u AS (SELECT *, row_number() OVER (PARTITION BY image_id, type, floor(x+0.5), floor(y+0.5) ORDER BY box_id) AS d FROM k WHERE type <> 'unknown'),
 r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY box_id) AS rk FROM u WHERE d = 1)
 SELECT image_id, box_id AS ord, type, CASE WHEN {hit('text', T.DANGER_WORDS)} THEN 'danger' WHEN {hit('text', T.SUCCESS_WORDS)} THEN 'success' WHEN type = 'button' AND {hit('text', T.PRIMARY_WORDS)} THEN 'primary' WHEN type = 'button' AND {hit('text', T.GHOST_WORDS)} THEN 'ghost' ELSE 'default' END AS variant,
-  CASE WHEN text = '全部' THEN 'active' ELSE 'default' END AS state FROM r WHERE rk <= 40""")
+  CASE WHEN text = '全部' THEN 'active' ELSE 'default' END AS state FROM r""")
 def _(t):
     o = t.ocr_items.select("image_id", F.col("box_id").alias("ord"), F.expr(COMP_TEXT).alias("text"), "x", "y", "w", "h")
     return T.infer_components(o, t.pages_meta).select("image_id", "ord", "type", "variant", "state")

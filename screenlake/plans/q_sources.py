@@ -1,6 +1,6 @@
 """Queries over sources, projections, cache analysis, extension points and streaming."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -9,6 +9,7 @@ from screenlake.plans import q_layout as QL
 from screenlake.plans.q_geometry import r6
 from screenlake.plans.q_text import ENT_TEXT, ENTITIES
 from screenlake.plans.registry import query
+from screenlake.session import shared_folder
 from screenlake.sources import annotations as A, images as I, ocr as O
 from screenlake.streaming import jobs as J
 
@@ -190,7 +191,7 @@ def _(t):
 
 
 @query("design_block", "WITH " + QL.PALETTE + """
-SELECT image_id, string_agg(CASE WHEN k <= 10 THEN concat(printf('#%02x%02x%02x', r, g, b), '=', role) END, ',' ORDER BY k) AS palette FROM pal GROUP BY image_id""")
+SELECT image_id, string_agg(concat(printf('#%02x%02x%02x', r, g, b), '=', role), ',' ORDER BY k) AS palette FROM pal GROUP BY image_id""")
 def _(t):
     pal = Y.palette_roles(QL.colors(t))
     d = P.design_block(Y.theme(pal), pal)
@@ -315,8 +316,9 @@ def event_stream(t):
     return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
 
 
-def folders():
-    base = tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+def folders(t):
+    """Output and checkpoint of a stream, in the folder that all machines share."""
+    base = f"{shared_folder(t.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     return f"{base}/out", f"{base}/checkpoint"
 
 
@@ -331,12 +333,12 @@ SELECT image_id, subject_id, action_id, action FROM (SELECT *, row_number() OVER
 def _(t):
     act = F.when(F.col("event_type") == "click", "accepted").when(F.col("event_type") == "view", "rejected").when(F.col("event_type") == "purchase", "confirmed").when(F.col("event_type") == "signup", "overridden").otherwise("suppressed")
     a = event_stream(t).select(F.col("event_id").alias("action_id"), F.col("user_id").alias("image_id"), F.lit("structure-finding").alias("subject_kind"), F.col("props").alias("subject_id"), act.alias("action"), F.col("ts").alias("created_at"))
-    return J.run_available(J.stream_latest_actions(a), *folders(), "complete").select("image_id", "subject_id", "action_id", "action")
+    return J.run_available(J.stream_latest_actions(a), *folders(t), "complete").select("image_id", "subject_id", "action_id", "action")
 
 
 @query("stream_cache_hits", HITS.format(ttl=86400 * 1_000_000))
 def _(t):
-    return J.run_available(J.stream_cache_hits(stream_requests(t), ttl=86400), *folders()).select("request_id", "hit")
+    return J.run_available(J.stream_cache_hits(stream_requests(t), ttl=86400), *folders(t)).select("request_id", "hit")
 
 
 @query("idle_sessions", """
@@ -344,18 +346,18 @@ WITH b AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY provider ORDER B
 s AS (SELECT *, sum(brk) OVER (PARTITION BY provider ORDER BY ts) AS sid FROM b)
 SELECT provider, count(*) AS n, round(sum(duration_ms), 4) AS busy_ms, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S') AS ended FROM s GROUP BY provider, sid""")
 def _(t):
-    s = J.run_available(J.idle_sessions(stream_requests(t)), *folders(), "complete")
+    s = J.run_available(J.idle_sessions(stream_requests(t)), *folders(t), "complete")
     return s.select("provider", "n", F.round("busy_ms", 4).alias("busy_ms"), text_time("started"), text_time("ended"))
 
 
 @query("stream_latency", """
 SELECT provider, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n, round(avg(duration_ms), 6) AS mean_ms, max(duration_ms) AS max_ms FROM requests GROUP BY provider, time_bucket(INTERVAL 1 HOUR, ts)""")
 def _(t):
-    s = J.run_available(J.stream_latency(stream_requests(t)), *folders(), "complete")
+    s = J.run_available(J.stream_latency(stream_requests(t)), *folders(t), "complete")
     return s.select("provider", text_time("started"), "n", r6(F.col("mean_ms"), "mean_ms"), "max_ms")
 
 
 @query("stream_entities", ENTITIES + " SELECT doc_id, CAST(pos AS INT) AS pos, type, value FROM ents")
 def _(t):
     docs = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
-    return J.run_available(J.stream_entities(docs.select("doc_id", F.expr(ENT_TEXT).alias("text"))), *folders()).select("doc_id", "pos", "type", "value")
+    return J.run_available(J.stream_entities(docs.select("doc_id", F.expr(ENT_TEXT).alias("text"))), *folders(t)).select("doc_id", "pos", "type", "value")

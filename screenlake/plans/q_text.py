@@ -200,7 +200,7 @@ def _(t):
         F.when(F.col("turn") % 3 == 0, "missing required field: description").alias("last_error"),
     )
     template = {"summary": "Describe {{intent}} {{metadata.width}}x{{metadata.height}} {{metadata.complexity}}."}
-    return Q.build_prompts(rows, template).select("request_id", "prompt")
+    return Q.build_prompts(rows, template, RB.OCR_CONTEXT_CHARS).select("request_id", "prompt")
 
 
 @query("quality_suggestion", """
@@ -289,8 +289,7 @@ def ent_hits(text):
 ENTITIES = f"""
 WITH h AS ({ent_hits(ENT_TEXT)}),
 f AS (SELECT doc_id, t, type, value, min(ix) AS ix FROM h GROUP BY doc_id, t, type, value),
-g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY ix) AS k FROM f),
-ents AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY t, ix) - 1 AS pos, type, value FROM g WHERE k <= 8)"""
+ents AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY t, ix) - 1 AS pos, type, value FROM f)"""
 
 
 def doc_entities(t):
@@ -302,9 +301,9 @@ def _(t):
     return doc_entities(t).select("doc_id", "pos", "type", "value")
 
 
-@query("entity_index", ENTITIES + " SELECT type, value, count(DISTINCT doc_id) AS n_docs, count(*) AS n_mentions FROM ents GROUP BY type, value")
+@query("entity_index", ENTITIES + " SELECT type, value, count(DISTINCT doc_id) AS n_docs, count(*) AS n_mentions FROM h GROUP BY type, value")
 def _(t):
-    return E.entity_index(doc_entities(t), "doc_id")
+    return E.entity_index(E.entity_mentions(t.documents.select("doc_id", F.expr(ENT_TEXT).alias("text")), "doc_id", "text"), "doc_id")
 
 
 def item_hits():
@@ -315,18 +314,15 @@ def item_hits():
 
 
 @query("extract_item_entities", f"""
-WITH h AS ({item_hits()}), f AS (SELECT image_id, t, type, value, min(box_id) AS o FROM h GROUP BY image_id, t, type, value),
-g AS (SELECT *, row_number() OVER (PARTITION BY image_id, t ORDER BY o) AS k FROM f)
-SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY t, o) AS INT) AS rank, type, value FROM g WHERE k <= 8""")
+WITH h AS ({item_hits()}), f AS (SELECT image_id, t, type, value, min(box_id) AS o FROM h GROUP BY image_id, t, type, value)
+SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY t, o) AS INT) AS rank, type, value FROM f""")
 def _(t):
     return E.extract_item_entities(t.ocr_items.withColumnRenamed("box_id", "ord"))
 
 
 @query("flow_relations", """
-SELECT image_id, "from", "to", 'flow' AS type FROM (
-  SELECT c.image_id, CASE WHEN f.p % 6 = 0 THEN CAST(c.parent_n AS STRING) ELSE f.type END AS "from", CASE WHEN c.p % 6 = 0 THEN CAST(c.n AS STRING) ELSE c.type END AS "to",
-         row_number() OVER (PARTITION BY c.image_id ORDER BY c.n) AS k
-  FROM tree_nodes c JOIN tree_nodes f ON f.image_id = c.image_id AND f.n = c.parent_n) t WHERE k <= 40""")
+SELECT c.image_id, CASE WHEN f.p % 6 = 0 THEN CAST(c.parent_n AS STRING) ELSE f.type END AS "from", CASE WHEN c.p % 6 = 0 THEN CAST(c.n AS STRING) ELSE c.type END AS "to", 'flow' AS type
+FROM tree_nodes c JOIN tree_nodes f ON f.image_id = c.image_id AND f.n = c.parent_n""")
 def _(t):
     n = t.tree_nodes.select("image_id", F.col("n").alias("id"), F.when(F.col("p") % 6 == 0, "").otherwise(F.col("type")).alias("label"))
     e = t.tree_nodes.where("parent_n IS NOT NULL").select("image_id", F.col("n").alias("ord"), F.col("parent_n").cast("long").alias("src"), F.col("n").cast("long").alias("dst"))
@@ -364,17 +360,17 @@ MOB_TEXT = "CASE q % 4 WHEN 0 THEN concat('双拼比萨', CAST(p % 9 AS STRING))
 EV_TEXT = f"CASE WHEN image_id % 3 = 0 THEN {MOB_TEXT} WHEN image_id % 3 = 1 THEN {UI_TEXT} ELSE 'plain' END"
 
 _ADMIN = [("navigation", RB.UI_NAV), ("actions", RB.UI_ACTION), ("fields", RB.UI_FIELD), ("tableHeaders", RB.UI_FIELD), ("values", RB.UI_VALUE), ("modules", RB.UI_MODULE)]
-_PHONE = [("navigation", RB.MOBILE_NAV, 8), ("actions", RB.MOBILE_ACTION, 8), ("fields", RB.MOBILE_FIELD, 12), ("values", RB.MOBILE_VALUE, 12), ("modules", RB.MOBILE_MODULE, 8)]
+_PHONE = [("navigation", RB.MOBILE_NAV), ("actions", RB.MOBILE_ACTION), ("fields", RB.MOBILE_FIELD), ("values", RB.MOBILE_VALUE), ("modules", RB.MOBILE_MODULE)]
 
 
 @query("ui_evidence", f"""
 WITH l AS (SELECT image_id, box_id, {EV_TEXT} AS text FROM ocr_items),
 s AS (SELECT image_id, count(*) AS n, count(CASE WHEN {hit('text', RB.MOBILE_PRODUCT)} THEN 1 END) AS product, count(CASE WHEN {hit('lower(text)', RB.MOBILE_ADMIN)} THEN 1 END) AS adm,
-  count(CASE WHEN {hit('lower(text)', RB.UI_SIGNAL)} THEN 1 END) AS sig, count(CASE WHEN {hit('text', RB.MOBILE_STATUS)} THEN 1 END) AS st FROM l GROUP BY image_id),
-k AS (SELECT image_id, CASE WHEN product >= 4 AND adm < 3 AND st > 0 THEN 'mobile-ui' WHEN sig >= 4 THEN 'admin-ui' END AS page_type FROM s WHERE n >= 8),
-h AS ({' UNION ALL '.join(f"SELECT l.image_id, page_type, '{f}' AS field, box_id, text, 12 AS cap FROM l JOIN k USING (image_id) WHERE page_type = 'admin-ui' AND {hit('lower(text)', p)}" for f, p in _ADMIN)}
-  UNION ALL {' UNION ALL '.join(f"SELECT l.image_id, page_type, '{f}', box_id, text, {c} FROM l JOIN k USING (image_id) WHERE page_type = 'mobile-ui' AND {hit('text', p)}" for f, p, c in _PHONE)})
-SELECT image_id, page_type, field, text, CAST(min(rk) AS INT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY image_id, field ORDER BY box_id) AS rk FROM h) r WHERE rk <= cap GROUP BY image_id, page_type, field, text""")
+  count(CASE WHEN {hit('lower(text)', RB.UI_SIGNAL)} THEN 1 END) AS sig, count(CASE WHEN {hit('text', RB.MOBILE_STATUS)} THEN 1 END) AS st, count(CASE WHEN contains(text, '详情') THEN 1 END) AS ti, count(DISTINCT CASE WHEN {hit('text', RB.MOBILE_FIELD)} THEN text END) AS fi FROM l GROUP BY image_id),
+k AS (SELECT image_id, CASE WHEN product >= 4 AND adm < 3 AND (st > 0 OR ti > 0 OR fi >= 4) THEN 'mobile-ui' WHEN sig >= 4 THEN 'admin-ui' END AS page_type FROM s WHERE n >= 8),
+h AS ({' UNION ALL '.join(f"SELECT l.image_id, page_type, '{f}' AS field, box_id, text FROM l JOIN k USING (image_id) WHERE page_type = 'admin-ui' AND {hit('lower(text)', p)}" for f, p in _ADMIN)}
+  UNION ALL {' UNION ALL '.join(f"SELECT l.image_id, page_type, '{f}', box_id, text FROM l JOIN k USING (image_id) WHERE page_type = 'mobile-ui' AND {hit('text', p)}" for f, p in _PHONE)})
+SELECT image_id, page_type, field, text, CAST(min(rk) AS INT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY image_id, field ORDER BY box_id) AS rk FROM h) r GROUP BY image_id, page_type, field, text""")
 def _(t):
     lines = t.ocr_items.select("image_id", F.col("box_id").alias("ord"), F.expr(EV_TEXT).alias("text"))
     return E.ui_evidence(lines).select("image_id", "page_type", "field", "text", "pos")
@@ -388,7 +384,7 @@ h AS (SELECT image_id, 'leftSidebar' AS slot, text, box_id FROM j WHERE lft UNIO
   UNION ALL SELECT image_id, 'tableHeaders', text, box_id FROM j WHERE NOT lft AND {hit('text', RB.LAYOUT_HEADER)} UNION ALL SELECT image_id, 'rowValues', text, box_id FROM j WHERE NOT lft AND {hit('text', RB.LAYOUT_VALUE)}
   UNION ALL SELECT image_id, 'rowActions', text, box_id FROM j WHERE NOT lft AND {hit('text', RB.LAYOUT_ROW_ACTION)} UNION ALL SELECT image_id, 'titleCandidates', text, box_id FROM j WHERE NOT lft AND NOT in_side AND {hit('text', RB.LAYOUT_TITLE)}),
 d AS (SELECT image_id, slot, text, min(box_id) AS ord FROM h GROUP BY image_id, slot, text)
-SELECT image_id, slot, text, ord FROM (SELECT *, row_number() OVER (PARTITION BY image_id, slot ORDER BY ord) AS k FROM d) r WHERE slot <> 'titleCandidates' OR k <= 8""")
+SELECT image_id, slot, text, ord FROM d""")
 def _(t):
     items = t.ocr_items.select("image_id", F.col("box_id").alias("ord"), F.expr(UI_TEXT).alias("text"), "x", "y", "w", "h")
     return E.ui_layout(items).select("image_id", "slot", "text", "ord")

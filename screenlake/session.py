@@ -30,7 +30,7 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_folder: str | None = None
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.  Only a local session without one gets a
     folder of its own: on a cluster a machine-local folder dies with its machine."""
     global _local_folder
@@ -50,7 +50,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Iterative operators use this between rounds: the plan stays short, nothing is computed
     twice, and the rows outlive any executor.  The cluster owns and clears the folder."""
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
     # the table holds the result, so the shuffle files of the plan can go as soon as it is written
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")

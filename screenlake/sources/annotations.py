@@ -89,7 +89,7 @@ def ground_truth(elements: DataFrame) -> DataFrame:
     return elements.select("image_id", "ord", F.col("element_id").alias("box_id"), "type", "x", "y", "w", "h")
 
 
-def flatten_tree(df: DataFrame, key: str, json_col: str, exclude_semantic_only: bool = False, max_depth: int = 32) -> DataFrame:
+def flatten_tree(df: DataFrame, key: str, json_col: str, exclude_semantic_only: bool = False) -> DataFrame:
     """Node rows (key, node_id, parent_id, depth, path, type, box, text) of a nested JSON tree.
 
     Level by level over VARIANT values: the children of all trees are exploded at once,
@@ -102,7 +102,7 @@ def flatten_tree(df: DataFrame, key: str, json_col: str, exclude_semantic_only:
     level = df.select(key, F.try_parse_json(json_col).alias("v"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.lit("").alias("path"))
     level = level.where(F.col("v").isNotNull())
     out = None
-    for _ in range(max_depth):
+    while True:
         rows = level.select(
             key, get("v", "id", "string").alias("node_id"), "parent_id", "depth", "path", get("v", "type", "string").alias("type"),
             *(get("v", f"bbox.{c}", "double").alias(c) for c in "xywh"), get("v", "text", "string").alias("text"), get("v", "props.render.mode", "string").alias("render_mode"),
@@ -114,11 +114,10 @@ def flatten_tree(df: DataFrame, key: str, json_col: str, exclude_semantic_only:
         nxt = rows.where(F.size("_c") > 0)
         if nxt.isEmpty():
             break
-        pos = F.lpad(F.col("_i").cast("string"), 6, "0")
+        # ten digits hold every position, so the order of paths is the order of positions
+        pos = F.lpad(F.col("_i").cast("string"), 10, "0")
         level = nxt.select(key, F.col("node_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"), "path", F.posexplode("_c").alias("_i", "_v"))
         level = level.select(key, F.try_parse_json("_v").alias("v"), "parent_id", "depth", F.concat("path", F.lit("/"), pos).alias("path"))
-    else:
-        raise ValueError(f"a tree is deeper than {max_depth} levels")
     keep = F.coalesce(F.col("type") != "page", F.lit(True))
     if exclude_semantic_only:
         keep = keep & F.coalesce(F.col("render_mode") != "semantic-only", F.lit(True))
