@@ -565,6 +565,13 @@ def _(t):
 NB_TEXT = "CASE p % 9 WHEN 0 THEN '请选择城市' WHEN 1 THEN 'radio A' WHEN 2 THEN '勾选协议' ELSE 'plain' END"
 
 
+def with_parent(t):
+    """Tree nodes with their parent's id as in ``kids``, met by place as ids may repeat."""
+    parents = t.tree_nodes.select("image_id", F.col("n").alias("_at"), F.col("node_id").alias("parent_id"))
+    placed = t.tree_nodes.withColumn("_at", F.when(F.col("n") > 5, 2 + F.col("n") % 4))
+    return placed.join(parents, ["image_id", "_at"], "left").drop("_at")
+
+
 @query("promote_by_neighbour", f"""
 WITH n AS (SELECT c.image_id, f.node_id AS parent_id, c.node_id, c.type, c.x, c.y, c.w, c.h, NOT EXISTS (SELECT 1 FROM kids k WHERE k.image_id = c.image_id AND k.parent_id = c.node_id) AS leaf FROM tree_nodes c LEFT JOIN tree_nodes f ON c.image_id = f.image_id AND c.n > 5 AND f.n = 2 + c.n % 4),
 ic AS (SELECT DISTINCT a.image_id, a.node_id FROM n a JOIN n b ON b.image_id = a.image_id AND b.parent_id = a.parent_id AND b.type = 'icon' AND b.w <= 48 AND b.h <= 48 WHERE a.type = 'input' AND b.x >= a.x + a.w AND a.y < b.y + b.h AND a.y + a.h > b.y),
@@ -574,7 +581,7 @@ fl AS (SELECT a.image_id, a.node_id, bool_or({any_word('o.text', T.SELECT_WORDS)
 SELECT n.image_id, n.node_id, CASE WHEN n.type <> 'input' THEN n.type WHEN ic.node_id IS NOT NULL OR coalesce(s, FALSE) THEN 'select' WHEN leaf AND n.w < 32 AND n.h < 32 AND r THEN 'radio' WHEN leaf AND n.w < 32 AND n.h < 32 AND c THEN 'checkbox' ELSE 'input' END AS new_type
 FROM n LEFT JOIN ic ON ic.image_id = n.image_id AND ic.node_id = n.node_id LEFT JOIN fl ON fl.image_id = n.image_id AND fl.node_id = n.node_id""")
 def _(t):
-    n = t.tree_nodes.join(t.kids.withColumnRenamed("child_id", "node_id"), ["image_id", "node_id"], "left").select("image_id", "parent_id", "node_id", "type", "x", "y", "w", "h")
+    n = with_parent(t).select("image_id", "parent_id", "node_id", "type", "x", "y", "w", "h")
     o = t.ocr_items.where("p % 9 <= 2 AND q % 5 = 0").select("image_id", F.expr(NB_TEXT).alias("text"), "x", "y", "w", "h")
     return T.promote_by_neighbour(n, o).select("image_id", "node_id", "new_type")
 
@@ -593,7 +600,7 @@ SELECT n.image_id, n.node_id, CASE WHEN ls.node_id IS NOT NULL THEN 'list' WHEN
    WHEN tt.node_id IS NOT NULL THEN 'text' WHEN n.type = 'card' AND EXISTS (SELECT 1 FROM ls WHERE ls.image_id = n.image_id AND ls.node_id = n.parent_id) THEN 'listItem' ELSE n.type END AS new_type
 FROM n LEFT JOIN ls ON ls.image_id = n.image_id AND ls.node_id = n.node_id LEFT JOIN tt ON tt.image_id = n.image_id AND tt.node_id = n.node_id""".replace("\\\\", "\\"))
 def _(t):
-    n = t.tree_nodes.join(t.kids.withColumnRenamed("child_id", "node_id"), ["image_id", "node_id"], "left")
+    n = with_parent(t)
     kind = F.when(F.col("n").between(2, 5), "table").when(F.col("type") == "icon", "container").when(F.col("type") == "row", "footer").otherwise(F.col("type"))
     n = n.select(
         "image_id", "parent_id", "node_id", kind.alias("type"), F.expr(CT_TEXT).alias("text"), F.expr(CT_COLOR).alias("bg_color"), "x", "y",
@@ -670,7 +677,7 @@ cl AS (SELECT DISTINCT a.image_id, a.parent_id FROM ct a JOIN n b ON b.image_id
 SELECT n.image_id, n.node_id, CASE WHEN n.type = 'button' AND ic THEN 'iconButton' ELSE n.type END AS new_type, CASE WHEN inp AND la THEN 'formField' WHEN cl.parent_id IS NOT NULL THEN 'controlItem' WHEN n.type IN ('section','container') AND ti AND bu THEN 'banner' ELSE n.role END AS new_role
 FROM n LEFT JOIN s ON s.image_id = n.image_id AND s.parent_id = n.node_id LEFT JOIN cl ON cl.image_id = n.image_id AND cl.parent_id = n.node_id""")
 def _(t):
-    n = t.tree_nodes.where("n <= 5 OR q % 4 = 0 OR q % 13 = 0").join(t.kids.withColumnRenamed("child_id", "node_id"), ["image_id", "node_id"], "left")
+    n = with_parent(t).where("n <= 5 OR q % 4 = 0 OR q % 13 = 0")
     kind = F.when(F.col("n") <= 5, F.when(F.col("n") % 2 == 0, "button").otherwise("section")).otherwise(F.expr(CR_TYPE))
     n = n.select("image_id", "parent_id", "node_id", F.col("n").alias("ord"), kind.alias("type"), F.when(F.col("q") % 13 == 0, "label").alias("role"), "x", "y", "w", "h")
     return T.composite_roles(n).select("image_id", "node_id", "new_type", "new_role")

@@ -333,7 +333,7 @@ fold AS (
   SELECT image_id, k, CASE WHEN hit IS NULL OR hit = 0 THEN list_append(ls, {'y': cy, 'n': CAST(1 AS DOUBLE)}) ELSE list_transform(ls, lambda l, i: CASE WHEN i = hit THEN {'y': (l.y * l.n + cy) / (l.n + 1), 'n': l.n + 1} ELSE l END) END,
          box_id, CASE WHEN hit IS NULL OR hit = 0 THEN len(ls) ELSE hit - 1 END
   FROM (SELECT f.ls, e.*, list_position(list_transform(f.ls, lambda l: abs(l.y - e.cy) <= e.tol), true) AS hit FROM fold f JOIN it e ON e.image_id = f.image_id AND e.k = f.k + 1) e),
-lined AS (SELECT i.*, f.line FROM fold f JOIN it i ON i.image_id = f.image_id AND i.box_id = f.ord WHERE f.k > 0)"""
+lined AS (SELECT i.*, f.line FROM fold f JOIN it i ON i.image_id = f.image_id AND i.k = f.k WHERE f.k > 0)"""
 
 
 @query("group_lines_fold", "WITH RECURSIVE " + LINE_FOLD + " SELECT image_id, box_id AS ord, CAST(line AS INT) AS line FROM lined")
