@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from screenlake.llm import byte_bpe, containment, language_id, simhash, word_repeats
+from screenlake.llm.arrow import small_batches
 from screenlake.llm.registry import table
 
 #: A document stays if its language has at least this probability.
@@ -18,6 +19,7 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose language stays unclear, go."""
+    small_batches(spark)
     judged = language_id.identify(docs)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
 
@@ -47,7 +49,7 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern).drop("text")
-    return byte_bpe.decode(coded, path, pattern).select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_text")
+    return byte_bpe.decode(coded, path).select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_text")
 
 
 STAGES = [

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from screenlake.llm.arrow import parts
 
 #: Matches encoded in one go and kept in the cache at most.
-PIECES_AT_ONCE, PIECES_KEPT = 200_000, 100_000
+PIECES_AT_ONCE, PIECES_KEPT = 200_000, 30_000
 
 
 def byte_characters() -> list[str]:
@@ -41,8 +41,38 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
+class Decoder:
+    """Bytes of tokens, by way of their printable characters."""
+
+    _made: dict[str, Decoder] = {}
+
+    @classmethod
+    def of(cls, data: bytes) -> Decoder:
+        key = hashlib.sha256(data).hexdigest()
+        if key not in cls._made:
+            cls._made[key] = cls(data)
+        return cls._made[key]
+
+    def __init__(self, data: bytes):
+        chars = byte_characters()
+        byte_of = {c: b for b, c in enumerate(chars)}
+        as_text = {rank: "".join(chars[b] for b in token) for token, rank in read_ranks(data).items()}
+        self.token_bytes = {rank: bytes(byte_of[c] for c in text) for rank, text in as_text.items()}
+
+    def decode(self, packed: bytes | None) -> bytes:
+        return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))
+
+    def starts(self, packed: bytes | None) -> tuple[list[int], list[int]]:
+        """First byte of each token, and the character that holds this byte."""
+        tokens = [self.token_bytes[i] for i in np.frombuffer(packed or b"", "<u4").tolist()]
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        first = np.cumsum(sizes) - sizes
+        character = np.cumsum((np.frombuffer(b"".join(tokens), np.uint8) & 0xC0) != 0x80) - 1
+        return first.tolist(), character[first].tolist() if len(first) else []
+
+
 class Codec:
-    """Encodes single matches with a ``tokenizers`` model made from a rank file."""
+    """Encodes single matches with a ``tokenizers`` model made from a rank file, and decodes."""
 
     _made: dict[str, Codec] = {}
 
@@ -71,8 +101,8 @@ class Codec:
         self.model = models.BPE(vocab=vocab, merges=merges, ignore_merges=True)
         self.pattern = regex.compile(pattern)
         self.to_chars = dict(enumerate(chars))
-        byte_of = {c: b for b, c in enumerate(chars)}
-        self.token_bytes = {r: bytes(byte_of[c] for c in t) for t, r in vocab.items()}
+        self.decoder = Decoder.of(data)
+        self.decode, self.starts = self.decoder.decode, self.decoder.starts
         self.seen: dict[str, bytes] = {}
 
     def _packed(self, pieces: list[str]) -> bytes:
@@ -92,17 +122,6 @@ class Codec:
         found = (m.group() for m in self.pattern.finditer(text))
         return b"".join(iter(lambda: self._packed(list(itertools.islice(found, PIECES_AT_ONCE))), b""))
 
-    def decode(self, packed: bytes | None) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))
-
-    def starts(self, packed: bytes | None) -> tuple[list[int], list[int]]:
-        """First byte of each token, and the character that holds this byte."""
-        tokens = [self.token_bytes[i] for i in np.frombuffer(packed or b"", "<u4").tolist()]
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        first = np.cumsum(sizes) - sizes
-        character = np.cumsum((np.frombuffer(b"".join(tokens), np.uint8) & 0xC0) != 0x80) - 1
-        return first.tolist(), character[first].tolist() if len(first) else []
-
 
 def _mapped(df: DataFrame, added: list[tuple[str, T.DataType, pa.DataType]], source: str, make) -> DataFrame:
     """``df`` with columns computed from the column ``source`` by ``make(values) -> columns``."""
@@ -139,14 +158,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
     return _mapped(docs, added, text, make)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the bytes of the ids, and ``decoded_text``."""
     with open(path, "rb") as file:
         data = file.read()
 
     def make(packed: list[bytes | None]):
-        codec = Codec.of(data, pattern)
-        back = [codec.decode(x) for x in packed]
+        decoder = Decoder.of(data)
+        back = [decoder.decode(x) for x in packed]
         return back, [b.decode("utf-8", "replace") for b in back]
 
     return _mapped(df, [("decoded", T.BinaryType(), pa.binary()), ("decoded_text", T.StringType(), pa.string())], ids, make)
