@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from screenlake.llm import byte_bpe, containment, language_id, simhash, word_repeats
-from screenlake.llm.arrow import small_batches
+from screenlake.llm.arrow import prepare
 from screenlake.llm.registry import table
 
 #: A document stays if its language has at least this probability.
@@ -19,7 +19,7 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those whose language stays unclear, go."""
-    small_batches(spark)
+    prepare(spark)
     judged = language_id.identify(docs)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -12,8 +14,13 @@ from pyspark.sql import SparkSession
 ROWS_PER_BATCH = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for this session, unless it has a setting of its own."""
+def prepare(spark: SparkSession) -> None:
+    """Let workers find this package where they share its folder, and take smaller Arrow batches
+    for this session, unless it has a setting of its own."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, ROWS_PER_BATCH)
