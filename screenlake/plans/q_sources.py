@@ -227,7 +227,8 @@ WITH act AS (SELECT image_id, type, count(*) AS n FROM nodes GROUP BY image_id,
 dec AS (SELECT image_id, type, CASE WHEN image_id % 9 = 0 AND type = 'icon' THEN n + 1 ELSE n END AS n FROM act WHERE NOT (image_id % 10 = 1 AND type = 'card'))
 SELECT image_id, 'count-mismatch' AS code, type AS detail FROM act FULL JOIN dec USING (image_id, type) WHERE coalesce(act.n, 0) <> coalesce(dec.n, 0)
 UNION ALL SELECT image_id, 'negative-bbox', node_id FROM nodes WHERE p % 53 = 0
-UNION ALL SELECT image_id, 'missing-target', concat('repeat:', node_id, 'x') FROM nodes WHERE q % 47 = 0""")
+UNION ALL SELECT image_id, 'missing-target', concat('repeat:', node_id, 'x') FROM nodes WHERE q % 47 = 0
+UNION ALL SELECT image_id, 'duplicate-node-id', node_id FROM nodes GROUP BY image_id, node_id HAVING count(*) > 1""")
 def _(t):
     n = t.nodes.withColumn("w", F.when(F.col("p") % 53 == 0, -1.0).otherwise(F.col("w")))
     i = F.col("image_id")
@@ -240,8 +241,10 @@ def _(t):
 @query("markdown", """
 SELECT n.image_id, CAST(count(*) * 5 + 1 AS BIGINT) AS lines FROM nodes n GROUP BY n.image_id""")
 def _(t):
-    paths = R.tree_paths(t.nodes).select("image_id", "node_id", "depth", "path")
-    n = t.nodes.withColumn("text", F.lit(None).cast("string")).join(paths, ["image_id", "node_id"])
+    # places in the tree stand in for ids, which may repeat
+    places = t.tree_nodes.select("image_id", F.col("n").cast("string").alias("node_id"), F.col("parent_n").cast("string").alias("parent_id"))
+    paths = R.tree_paths(places).select("image_id", F.col("node_id").cast("int").alias("n"), "depth", "path")
+    n = t.nodes.withColumn("text", F.lit(None).cast("string")).join(paths, ["image_id", "n"])
     return P.markdown(n).select("image_id", (F.size(F.split("markdown", "\n")) - 1).cast("bigint").alias("lines"))
 
 
