@@ -201,14 +201,18 @@ def near_duplicate_text(items: DataFrame, keys: Sequence[str] = ("image_id",)) -
     characters) contained in the longer.  ``dup_of`` is the first such earlier item.
 
     Copies collapse to one row per text first.  Containment meets on 8-grams: the longer
-    text lists its own, the shorter brings its first eight characters (both as hashes; the
-    containment itself is then checked on the texts)."""
+    text lists its own, the shorter brings the one of its own that the fewest texts of the
+    group hold (ties: the first; grams are hashes, the containment itself is then checked on
+    the texts).  A beginning that all texts share is thus never what they meet on."""
     rows = items.withColumn("_n", comparable(F.col("text"))).where(F.col("_n") != "")
     texts = rows.groupBy(*keys, "_n").agg(F.min("ord").alias("_o")).withColumn("_l", F.length("_n"))
-    long = texts.where(F.col("_l") > 8)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_l") - 7), lambda i: F.xxhash64(F.substring(F.col("_n"), i, F.lit(8)))))
-    long = long.select(*keys, F.col("_n").alias("_ln"), F.col("_o").alias("_lo"), F.explode(grams).alias("_g"))
-    short = texts.where(F.col("_l") >= 8).select(*keys, F.col("_n").alias("_sn"), F.col("_o").alias("_so"), F.xxhash64(F.substring("_n", 1, 8)).alias("_g"))
+    held = texts.where(F.col("_l") >= 8).select(*keys, "_n", "_o", F.posexplode(grams).alias("_at", "_g"))
+    often = held.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_f"))
+    rarest = held.join(often, [*keys, "_g"]).groupBy(*keys, F.col("_n").alias("_sn"), F.col("_o").alias("_so"))
+    # a gram that only its own text holds has no longer text to meet
+    short = rarest.agg(F.min(F.struct("_f", "_at", "_g")).alias("_r")).where("_r._f > 1").select(*keys, "_sn", "_so", F.col("_r._g").alias("_g"))
+    long = held.select(*keys, F.col("_n").alias("_ln"), F.col("_o").alias("_lo"), "_g")
     pairs = long.join(short, [*keys, "_g"]).where((F.length("_ln") > F.length("_sn")) & F.col("_ln").contains(F.col("_sn")))
     links = pairs.select(*keys, F.col("_ln").alias("_n"), F.col("_so").alias("_first")).unionByName(
         pairs.select(*keys, F.col("_sn").alias("_n"), F.col("_lo").alias("_first"))

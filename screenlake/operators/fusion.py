@@ -35,6 +35,14 @@ def _box_of(e: Column) -> G.Box:
     return G.Box(e["x"], e["y"], e["w"], e["h"])
 
 
+#: Optional columns of a candidate that a merge takes from its better scored side.
+CARRIED = ("text", "state", "variant")
+
+
+def _carried(cands: DataFrame) -> Column:
+    return F.struct(*((F.col(c) if c in cands.columns else F.lit(None)).cast("string").alias(c) for c in CARRIED))
+
+
 def _fuse_in_waves(cands: DataFrame, gkeys: list[str], iou: float, wbf: float | None) -> DataFrame:
     """The fusion pass for components too large for one task, exact, as waves of joins.
 
@@ -48,7 +56,7 @@ def _fuse_in_waves(cands: DataFrame, gkeys: list[str], iou: float, wbf: float |
     limit = min(iou, wbf) if wbf is not None else iou
     room = (1 / limit - 1) * (1 + 1 / limit)
     order = F.struct((-F.col("score")).alias("o"), F.col("cand_id").alias("id"))
-    base = cands.select(*gkeys, order.alias("o"), "cand_id", "x", "y", "w", "h", "score", "source")
+    base = cands.select(*gkeys, order.alias("o"), "cand_id", "x", "y", "w", "h", "score", "source", _carried(cands).alias("extra"))
     vote = lambda p: F.array(F.struct(F.col(p + "source").alias("source"), F.col(p + "score").alias("score")))
     todo, clusters = cut_lineage(base), None
     while not todo.isEmpty():
@@ -63,7 +71,7 @@ def _fuse_in_waves(cands: DataFrame, gkeys: list[str], iou: float, wbf: float |
             pairs = touching_pairs(ready, clusters, gkeys).withColumn("iou", G.iou(a, b)).where(F.col("iou") >= limit)
             # the first cluster in creation order takes the candidate
             taken = cut_lineage(pairs.groupBy(*gkeys, F.col("a_o").alias("o")).agg(
-                F.min_by(F.struct(F.col("b_o").alias("into"), "iou", *(F.col("a_" + c).alias(c) for c in ("x", "y", "w", "h", "score", "source"))), "b_o").alias("t")
+                F.min_by(F.struct(F.col("b_o").alias("into"), "iou", *(F.col("a_" + c).alias(c) for c in ("x", "y", "w", "h", "score", "source", "extra"))), "b_o").alias("t")
             ))
             fresh = ready.join(taken.select(*gkeys, "o"), [*gkeys, "o"], "left_anti")
             merges = taken.where(F.col("t.iou") >= (2.0 if wbf is None else wbf)).select(*gkeys, F.col("t.into").alias("o"), F.col("t").alias("m"))
@@ -76,12 +84,13 @@ def _fuse_in_waves(cands: DataFrame, gkeys: list[str], iou: float, wbf: float |
                 *gkeys, "o", "cand_id", *(F.when(hit, F.col(k) * wa + F.col("m." + k) * wb).otherwise(F.col(k)).alias(k) for k in "xywh"),
                 F.when(hit, total / 2).otherwise(F.col("score")).alias("score"), F.when(hit, F.col("members") + 1).otherwise(F.col("members")).alias("members"),
                 F.when(hit, F.concat("votes", vote("m."))).otherwise(F.col("votes")).alias("votes"),
+                F.when(hit & (F.col("m.score") > F.col("score")), F.col("m.extra")).otherwise(F.col("extra")).alias("extra"),
             )
-        born = fresh.select(*gkeys, "o", "cand_id", "x", "y", "w", "h", "score", F.lit(1).alias("members"), vote("").alias("votes"))
+        born = fresh.select(*gkeys, "o", "cand_id", "x", "y", "w", "h", "score", F.lit(1).alias("members"), vote("").alias("votes"), "extra")
         clusters = cut_lineage(born if clusters is None else clusters.unionByName(born))
     b = G.box()
     return clusters.select(
-        *gkeys, F.struct(F.col("cand_id").alias("id"), "x", "y", "w", "h", b.right.alias("r"), b.bottom.alias("b"), "score", "members", "votes").alias("c")
+        *gkeys, F.struct(F.col("cand_id").alias("id"), "x", "y", "w", "h", b.right.alias("r"), b.bottom.alias("b"), "score", "members", "votes", "extra").alias("c")
     )
 
 
@@ -95,7 +104,7 @@ def _overlaps(c: Column, e: Column, limit: float) -> Column:
 def _cluster_type(id_type: str) -> str:
     return (
         f"struct<id:{id_type},x:double,y:double,w:double,h:double,r:double,b:double,score:double,"
-        f"members:int,votes:array<struct<source:string,score:double>>>"
+        f"members:int,votes:array<struct<source:string,score:double>>,extra:struct<{','.join(f'{c}:string' for c in CARRIED)}>>"
     )
 
 
@@ -103,7 +112,8 @@ def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7)
     """Fuse the candidates of each (image, type) in score order (ties: candidate id).
 
     A candidate goes to the first cluster it overlaps: IoU >= ``wbf`` merges it (boxes
-    weighted by score, score averaged), IoU >= ``iou`` only suppresses it.  A later
+    weighted by score, score averaged; text, state and variant, where the input has them, of
+    the better scored side), IoU >= ``iou`` only suppresses it.  A later
     cluster never changes what an earlier one absorbs, so one ordered pass is the same
     as the pairwise loop.
 
@@ -113,7 +123,7 @@ def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7)
     parts = _parts(cands, keys)
     gkeys = [*keys, "_part"]
     id_t = cands.schema["cand_id"].dataType.simpleString()
-    entry = F.struct((-F.col("score")).alias("o"), F.col("cand_id").alias("id"), "x", "y", "w", "h", G.box().right.alias("r"), G.box().bottom.alias("b"), "score", "source")
+    entry = F.struct((-F.col("score")).alias("o"), F.col("cand_id").alias("id"), "x", "y", "w", "h", G.box().right.alias("r"), G.box().bottom.alias("b"), "score", "source", _carried(cands).alias("extra"))
     sizes = parts.where(F.col("_part") != "").groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"))
     huge = sizes.where(F.col("_n") > MAX_PART).select(*gkeys)
     waves = None
@@ -137,6 +147,7 @@ def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7)
                 c["id"].alias("id"), *(v.alias(k) for k, v in mix.items()), (mix["x"] + mix["w"]).alias("r"), (mix["y"] + mix["h"]).alias("b"), (total / 2).alias("score"),
                 (c["members"] + 1).alias("members"),
                 F.array_append(c["votes"], F.struct(e["source"].alias("source"), e["score"].alias("score"))).alias("votes"),
+                F.when(e["score"] > c["score"], e["extra"]).otherwise(c["extra"]).alias("extra"),
             )
 
         def absorb(c: Column, i: Column) -> Column:
@@ -145,7 +156,7 @@ def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7)
 
         fresh = F.struct(
             e["id"].alias("id"), *(e[k].alias(k) for k in "xywhrb"), e["score"].alias("score"), F.lit(1).alias("members"),
-            F.array(F.struct(e["source"].alias("source"), e["score"].alias("score"))).alias("votes"),
+            F.array(F.struct(e["source"].alias("source"), e["score"].alias("score"))).alias("votes"), e["extra"].alias("extra"),
         )
         return F.when(hit > 0, F.transform(acc, absorb)).otherwise(F.array_append(acc, fresh))
 
@@ -158,7 +169,7 @@ def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7)
     )
     return out.select(
         *keys, F.col("c.id").alias("cand_id"), *(F.col(f"c.{k}").alias(k) for k in "xywh"), F.col("c.score").alias("score"),
-        F.col("c.members").alias("members"), sources.alias("sources"), best.alias("votes"),
+        F.col("c.members").alias("members"), sources.alias("sources"), best.alias("votes"), *(F.col(f"c.extra.{c}").alias(c) for c in CARRIED if c in cands.columns),
     )
 
 

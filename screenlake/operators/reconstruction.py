@@ -92,20 +92,20 @@ def summary_only(spec: DataFrame) -> DataFrame:
     return spec.withColumns({"tree": root, **empty})
 
 
-def markdown(nodes: DataFrame) -> DataFrame:
+def markdown(nodes: DataFrame, version: str = "1") -> DataFrame:
     """Markdown outline per image: one document is one row by definition.  ``nodes``:
-    image_id, path (pre-order), depth, node_id, type, text, box."""
-    pad = F.repeat(F.lit(" "), F.col("depth"))
+    image_id, path (sorts in pre-order), depth, node_id, type, text, box."""
+    pad = F.repeat(F.lit("  "), F.col("depth"))
     text = F.when(F.col("text").isNotNull(), F.concat(F.lit(' text: "'), "text", F.lit('"'))).otherwise("")
     num = lambda c: F.format_string("%s", F.when(F.col(c) == F.floor(c), F.col(c).cast("bigint").cast("string")).otherwise(F.col(c).cast("string")))
-    fence = F.concat(pad, F.lit(" ```"))
+    fence = F.concat(pad, F.lit("  ```"))
     block = F.concat_ws(
-        "\n", F.concat(pad, F.lit("- **"), "node_id", F.lit("** - `"), "type", F.lit("`"), text), fence, F.concat(pad, F.lit(" type: "), "type"),
-        F.concat(pad, F.lit(" bbox: { x: "), num("x"), F.lit(", y: "), num("y"), F.lit(", w: "), num("w"), F.lit(", h: "), num("h"), F.lit(" }")), fence,
+        "\n", F.concat(pad, F.lit("- **"), "node_id", F.lit("** - `"), "type", F.lit("`"), text), fence, F.concat(pad, F.lit("  type: "), "type"),
+        F.concat(pad, F.lit("  bbox: { x: "), num("x"), F.lit(", y: "), num("y"), F.lit(", w: "), num("w"), F.lit(", h: "), num("h"), F.lit(" }")), fence,
     )
     rows = nodes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("path", block.alias("b")))).alias("_l"))
     body = F.array_join(F.transform("_l", lambda s: s["b"]), "\n")
-    return rows.select("image_id", F.concat(F.lit("# UI tree\n\n"), body).alias("markdown"))
+    return rows.select("image_id", F.concat(F.lit(f"# UI Semantic AST (v{version})\n\n"), body).alias("markdown"))
 
 
 def spec_consistency(nodes: DataFrame, declared: DataFrame, refs: DataFrame) -> DataFrame:

@@ -295,16 +295,20 @@ def normalize_tree(elements: DataFrame, relations: DataFrame) -> DataFrame:
     ).where(F.col("parent_id").isNotNull())
 
 
-def tree_paths(nodes: DataFrame) -> DataFrame:
+def tree_paths(nodes: DataFrame, ord: str | None = None) -> DataFrame:
     """Depth and root of every node, level by level (image_id, node_id, parent_id).  Walks
-    from the roots, so nodes on a cycle are never reached and the levels come to an end."""
-    base = nodes.select("image_id", "node_id", "parent_id")
-    level = cut_lineage(base.where(F.col("parent_id").isNull()).select("image_id", "node_id", F.lit(0).alias("depth"), F.col("node_id").alias("root_id"), F.col("node_id").alias("path")))
+    from the roots, so nodes on a cycle are never reached and the levels come to an end.
+    With ``ord``, the place among siblings, ``trail`` lists the places from the root down: the
+    order of trails is the pre-order walk."""
+    places = [] if ord is None else [F.array(ord).alias("trail")]
+    base = nodes.select("image_id", "node_id", "parent_id", *places)
+    level = cut_lineage(base.where(F.col("parent_id").isNull()).select("image_id", "node_id", F.lit(0).alias("depth"), F.col("node_id").alias("root_id"), F.col("node_id").alias("path"), *([] if ord is None else ["trail"])))
     out = level
     for depth in itertools.count(1):
-        up = level.select("image_id", F.col("node_id").alias("parent_id"), "root_id", F.col("path").alias("_path"))
+        up = level.select("image_id", F.col("node_id").alias("parent_id"), "root_id", F.col("path").alias("_path"), *([] if ord is None else [F.col("trail").alias("_trail")]))
         nxt = base.join(up, ["image_id", "parent_id"]).select(
-            "image_id", "node_id", F.lit(depth).alias("depth"), "root_id", F.concat_ws("/", "_path", "node_id").alias("path")
+            "image_id", "node_id", F.lit(depth).alias("depth"), "root_id", F.concat_ws("/", "_path", "node_id").alias("path"),
+            *([] if ord is None else [F.concat("_trail", "trail").alias("trail")]),
         )
         level = cut_lineage(nxt)
         if level.isEmpty():

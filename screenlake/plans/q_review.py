@@ -1,10 +1,14 @@
 """Queries over review, validation and dataset operators."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from screenlake.operators import dataset as D, review as R
 from screenlake.plans.q_geometry import IOU
 from screenlake.plans.registry import query
+from screenlake.session import shared_folder
+from screenlake.sources import annotations as A
 
 
 def elements(t):
@@ -324,6 +328,13 @@ def _(t):
     return D.assign_splits(t.manifest, seed=7)
 
 
+@query("write_samples", "WITH " + FAMILY + " SELECT sample_id, family, split FROM assigned")
+def _(t):
+    path = f"{shared_folder(t.spark).rstrip('/')}/samples-{uuid.uuid4().hex}"
+    A.write_samples(D.assign_splits(t.manifest, seed=7), path)
+    return t.spark.read.parquet(path).select("sample_id", "family", "split")
+
+
 @query("split_leakage", "WITH " + FAMILY + """
 SELECT family, count(DISTINCT split) AS n_splits FROM (
   SELECT family, CASE WHEN family LIKE '20240000%1' AND sample_id LIKE 'shot_1%' THEN 'test' ELSE split END AS split FROM assigned) t GROUP BY family HAVING count(DISTINCT split) > 1""")

@@ -9,7 +9,7 @@ from screenlake.plans import q_layout as QL
 from screenlake.plans.q_geometry import r6
 from screenlake.plans.q_text import ENT_TEXT, ENTITIES
 from screenlake.plans.registry import query
-from screenlake.session import shared_folder
+from screenlake.session import cut_lineage, shared_folder
 from screenlake.sources import annotations as A, images as I, ocr as O
 from screenlake.streaming import jobs as J
 
@@ -53,6 +53,41 @@ def _(t):
     return A.ground_truth(A.elements_of(ok))
 
 
+def annotation_folder(t):
+    """The annotations as one JSON file for each image, with a sidecar beside every seventh."""
+    docs = annotation_json(t).where("_corrupt_record IS NULL").drop("_corrupt_record").withColumn("k", F.col("image_id"))
+    folder = f"{shared_folder(t.spark).rstrip('/')}/annotations-{uuid.uuid4().hex}"
+    docs.drop("image_id").repartition("k").write.partitionBy("k").json(folder)
+    return folder
+
+
+IMAGE_OF_FILE = r"/k=(\d+)/[^/]*$"
+
+
+@query("scan_annotations", f"""
+SELECT s.image_id, coalesce(r.reason, 'ok') AS outcome, CASE WHEN r.reason IS NULL THEN s.n ELSE 0 END AS elements FROM {SIZES} s
+LEFT JOIN (SELECT m.image_id, {REASONS} AS reason FROM {SIZES} m) r ON r.image_id = s.image_id WHERE s.image_id % 11 <> 8""")
+def _(t):
+    notes, _ = A.scan_annotations(t.spark, annotation_folder(t))
+    ok, bad = A.reject_invalid(cut_lineage(notes))
+    rows = ok.select("file", F.lit("ok").alias("outcome"), F.size("elements").cast("bigint").alias("elements")).unionByName(bad.select("file", F.col("reason").alias("outcome"), F.lit(0).cast("bigint").alias("elements")))
+    return rows.select(F.regexp_extract("file", IMAGE_OF_FILE, 1).cast("bigint").alias("image_id"), "outcome", "elements")
+
+
+@query("stream_ingest_annotations", f"""
+WITH r AS (SELECT s.image_id, s.reason FROM (SELECT m.image_id, {REASONS} AS reason FROM {SIZES} m) s WHERE s.image_id % 11 <> 8)
+SELECT n.image_id, node_id AS element_id, CAST(n - 1 AS INT) AS ord, type, CAST(NULL AS STRING) AS reason FROM tree_nodes n JOIN r ON r.image_id = n.image_id WHERE r.reason IS NULL
+UNION ALL SELECT image_id, NULL, NULL, NULL, reason FROM r WHERE reason IS NOT NULL""")
+def _(t):
+    out, checkpoint = folders(t)
+    J.stream_ingest_annotations(t.spark, annotation_folder(t), out, f"{out}-rejects", checkpoint).awaitTermination()
+    image = lambda c: F.regexp_extract(c, IMAGE_OF_FILE, 1).cast("bigint").alias("image_id")
+    none = F.lit(None)
+    good = t.spark.read.parquet(out).select(image("image_id"), "element_id", "ord", "type", none.cast("string").alias("reason"))
+    bad = t.spark.read.parquet(f"{out}-rejects").select(image("file"), none.cast("string").alias("element_id"), none.cast("int").alias("ord"), none.cast("string").alias("type"), "reason")
+    return good.unionByName(bad)
+
+
 @query("flatten_tree", """
 WITH RECURSIVE w AS (
   SELECT image_id, node_id, parent_id, 0 AS depth FROM nodes WHERE parent_id IS NULL
@@ -239,13 +274,20 @@ def _(t):
 
 
 @query("markdown", """
-SELECT n.image_id, CAST(count(*) * 5 + 1 AS BIGINT) AS lines FROM nodes n GROUP BY n.image_id""")
+WITH RECURSIVE w AS (
+  SELECT image_id, n, 0 AS depth, [n] AS trail FROM tree_nodes WHERE parent_n IS NULL
+  UNION ALL SELECT c.image_id, c.n, w.depth + 1, list_append(w.trail, c.n) FROM w JOIN tree_nodes c ON c.image_id = w.image_id AND c.parent_n = w.n),
+b AS (SELECT t.image_id, trail, repeat('  ', depth) AS pad, t.* EXCLUDE (image_id) FROM w JOIN tree_nodes t ON t.image_id = w.image_id AND t.n = w.n)
+SELECT image_id, concat('# UI Semantic AST (v1)', chr(10), chr(10), string_agg(concat(
+  pad, '- **', node_id, '** - `', type, '`', CASE WHEN p % 3 = 0 THEN concat(' text: "t', p, '"') ELSE '' END, chr(10), pad, '  ```', chr(10), pad, '  type: ', type, chr(10),
+  pad, '  bbox: { x: ', CAST(x AS BIGINT), ', y: ', CAST(y AS BIGINT), ', w: ', CAST(w AS BIGINT), ', h: ', CAST(h AS BIGINT), ' }', chr(10), pad, '  ```'), chr(10) ORDER BY trail)) AS markdown
+FROM b GROUP BY image_id""")
 def _(t):
     # places in the tree stand in for ids, which may repeat
-    places = t.tree_nodes.select("image_id", F.col("n").cast("string").alias("node_id"), F.col("parent_n").cast("string").alias("parent_id"))
-    paths = R.tree_paths(places).select("image_id", F.col("node_id").cast("int").alias("n"), "depth", "path")
-    n = t.nodes.withColumn("text", F.lit(None).cast("string")).join(paths, ["image_id", "n"])
-    return P.markdown(n).select("image_id", (F.size(F.split("markdown", "\n")) - 1).cast("bigint").alias("lines"))
+    places = t.tree_nodes.select("image_id", F.col("n").cast("string").alias("node_id"), F.col("parent_n").cast("string").alias("parent_id"), "n")
+    paths = R.tree_paths(places, "n").select("image_id", F.col("node_id").cast("int").alias("n"), "depth", F.col("trail").alias("path"))
+    text = F.when(F.col("p") % 3 == 0, F.concat(F.lit("t"), F.col("p").cast("string")))
+    return P.markdown(t.tree_nodes.withColumn("text", text).join(paths, ["image_id", "n"]))
 
 
 # --- cache ------------------------------------------------------------------------------
@@ -340,7 +382,7 @@ SELECT image_id, subject_id, action_id, action FROM (SELECT *, row_number() OVER
 def _(t):
     act = F.when(F.col("event_type") == "click", "accepted").when(F.col("event_type") == "view", "rejected").when(F.col("event_type") == "purchase", "confirmed").when(F.col("event_type") == "signup", "overridden").otherwise("suppressed")
     a = event_stream(t).select(F.col("event_id").alias("action_id"), F.col("user_id").alias("image_id"), F.lit("structure-finding").alias("subject_kind"), F.col("props").alias("subject_id"), act.alias("action"), F.col("ts").alias("created_at"))
-    return J.run_available(J.stream_latest_actions(a), *folders(t), "complete").select("image_id", "subject_id", "action_id", "action")
+    return J.run_available(J.stream_latest_actions(a), *folders(t), "update", ("image_id", "subject_kind", "subject_id")).select("image_id", "subject_id", "action_id", "action")
 
 
 @query("stream_cache_hits", HITS.format(ttl=86400 * 1_000_000))
@@ -357,11 +399,25 @@ def _(t):
     return s.select("provider", "n", F.round("busy_ms", 4).alias("busy_ms"), text_time("started"), text_time("ended"))
 
 
-@query("stream_latency", """
-SELECT provider, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n, round(avg(duration_ms), 6) AS mean_ms, max(duration_ms) AS max_ms FROM requests GROUP BY provider, time_bucket(INTERVAL 1 HOUR, ts)""")
+LATENCY = """
+SELECT provider, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n, round(avg(duration_ms) + 0.0000000123, 6) AS mean_ms, max(duration_ms) AS max_ms,
+  quantile_disc(duration_ms, 0.5) AS median_ms, quantile_disc(duration_ms, 0.9) AS p90_ms FROM ({rows}) r GROUP BY provider, r.started"""
+
+
+def latency_rows(t, size, slide=None):
+    s = J.run_available(J.stream_latency(stream_requests(t), size, slide), *folders(t), "update", ("provider", "started", "ended"))
+    return s.select("provider", text_time("started"), "n", r6(F.col("mean_ms") + 0.0000000123, "mean_ms"), "max_ms", "median_ms", "p90_ms")
+
+
+@query("stream_latency", LATENCY.format(rows="SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS started FROM requests"))
+def _(t):
+    return latency_rows(t, "1 hour")
+
+
+@query("stream_latency_sliding", LATENCY.format(rows="""
+  SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS started FROM requests UNION ALL SELECT *, time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR FROM requests"""))
 def _(t):
-    s = J.run_available(J.stream_latency(stream_requests(t)), *folders(t), "complete")
-    return s.select("provider", text_time("started"), "n", r6(F.col("mean_ms"), "mean_ms"), "max_ms")
+    return latency_rows(t, "12 hours", "6 hours")
 
 
 @query("stream_entities", ENTITIES + " SELECT doc_id, CAST(pos AS INT) AS pos, type, value FROM ents")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from screenlake.operators.cache import TTL_SECONDS
@@ -95,16 +95,20 @@ def stream_ingest_annotations(spark: SparkSession, folder: str, out: str, reject
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what the source holds and return the table: appended micro-batches, or the
-    last state in complete mode."""
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Process what the source holds and return the table: appended micro-batches, in update
+    mode the last row written for each of ``keys``, in complete mode the last state."""
     def append(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     def replace(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(path)
 
-    sink = append if mode == "append" else replace
+    sink = replace if mode == "complete" else append
     q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if mode != "update":
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    rows = df.sparkSession.read.schema(T.StructType(df.schema.fields + [T.StructField("epoch", T.LongType())])).parquet(path)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "epoch").alias("r"))
+    return last.select("r.*")

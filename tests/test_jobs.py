@@ -98,7 +98,7 @@ def test_stream_in_many_batches_equals_one(spark, tmp_path):
     out = J.run_available(J.stream_cache_hits(stream), str(tmp_path / "o"), str(tmp_path / "c"))
     assert {r.request_id: r.hit for r in out.collect()} == model_hits(rows, 3600)
     acts = stream.select(F.lit(1).alias("image_id"), F.lit("k").alias("subject_kind"), F.col("cache_key").alias("subject_id"), F.col("request_id").alias("action_id"), F.col("ts").alias("created_at"))
-    last = J.run_available(J.stream_latest_actions(acts), str(tmp_path / "o2"), str(tmp_path / "c2"), "complete")
+    last = J.run_available(J.stream_latest_actions(acts), str(tmp_path / "o2"), str(tmp_path / "c2"), "update", ("image_id", "subject_kind", "subject_id"))
     want = {k: max((r for r in rows if r[2] == k), key=lambda r: (r[1], r[0]))[0] for k in "ab"}
     assert {r.subject_id: r.action_id for r in last.collect()} == want
     few = J.run_available(J.stream_distinct_requests(stream), str(tmp_path / "o3"), str(tmp_path / "c3"))

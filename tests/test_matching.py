@@ -99,23 +99,24 @@ def fused_model(rows, t=0.5, wbf=0.7):
                 if v >= t:
                     if v >= wbf:
                         total = c[8] + r[8]
+                        c[9] = r[9] if r[8] > c[8] else c[9]
                         for i in (4, 5, 6, 7):
                             c[i] = c[i] * (c[8] / total) + r[i] * (r[8] / total)
                         c[8] = total / 2
                     break
             else:
                 clusters.append(list(r))
-        out += [(c[2], round(c[4], 6), round(c[8], 6)) for c in clusters]
+        out += [(c[2], round(c[4], 6), round(c[8], 6), c[9] or "") for c in clusters]
     return sorted(out)
 
 
 def test_fusion_whole_components_and_rounds(spark, monkeypatch):
     rng = random.Random(9)
-    rows = [(*r, rng.randrange(30, 99) / 100) for r in crowd(6, "c", 14)]
-    df = spark.createDataFrame([(r[0], r[2], r[3], *r[4:8], r[8], "cv") for r in rows], "image_id long, cand_id string, type string, x double, y double, w double, h double, score double, source string")
+    rows = [(*r, rng.randrange(30, 99) / 100, rng.choice(["one", "two", None])) for r in crowd(6, "c", 14)]
+    df = spark.createDataFrame([(r[0], r[2], r[3], *r[4:8], r[8], "cv", r[9]) for r in rows], "image_id long, cand_id string, type string, x double, y double, w double, h double, score double, source string, text string")
     want = fused_model(rows)
     for whole, part in ((1000, 1000), (0, 1000), (0, 0)):
         monkeypatch.setattr(U, "MAX_FOLD", whole)
         monkeypatch.setattr(U, "MAX_PART", part)
-        got = sorted((r.cand_id, round(r.x, 6), round(r.score, 6)) for r in U.fuse_candidates(df).collect())
+        got = sorted((r.cand_id, round(r.x, 6), round(r.score, 6), r.text or "") for r in U.fuse_candidates(df).collect())
         assert got == want, (whole, part)
