@@ -77,14 +77,14 @@ def _(t):
 @query("stream_ingest_annotations", f"""
 WITH r AS (SELECT s.image_id, s.reason FROM (SELECT m.image_id, {REASONS} AS reason FROM {SIZES} m) s WHERE s.image_id % 11 <> 8)
 SELECT n.image_id, node_id AS element_id, CAST(n - 1 AS INT) AS ord, type, CAST(NULL AS STRING) AS reason FROM tree_nodes n JOIN r ON r.image_id = n.image_id WHERE r.reason IS NULL
-UNION ALL SELECT image_id, NULL, NULL, NULL, reason FROM r WHERE reason IS NOT NULL""")
+UNION ALL SELECT image_id, NULL, -1, NULL, reason FROM r WHERE reason IS NOT NULL""")
 def _(t):
     out, checkpoint = folders(t)
     J.stream_ingest_annotations(t.spark, annotation_folder(t), out, f"{out}-rejects", checkpoint).awaitTermination()
     image = lambda c: F.regexp_extract(c, IMAGE_OF_FILE, 1).cast("bigint").alias("image_id")
     none = F.lit(None)
     good = t.spark.read.parquet(out).select(image("image_id"), "element_id", "ord", "type", none.cast("string").alias("reason"))
-    bad = t.spark.read.parquet(f"{out}-rejects").select(image("file"), none.cast("string").alias("element_id"), none.cast("int").alias("ord"), none.cast("string").alias("type"), "reason")
+    bad = t.spark.read.parquet(f"{out}-rejects").select(image("file"), none.cast("string").alias("element_id"), F.lit(-1).alias("ord"), none.cast("string").alias("type"), "reason")
     return good.unionByName(bad)
 
 
