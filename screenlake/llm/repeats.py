@@ -427,17 +427,20 @@ def _settle(plan: Plan) -> Callable:
             if aside.num_rows:
                 yield _batch(doc=np.asarray(aside.column(1)), low=np.asarray(aside.column(2)), high=np.asarray(aside.column(3)))
             rows = batch.filter(pa.compute.invert(passing))
-            # single windows come with their name
-            single = pa.compute.equal(pa.compute.binary_length(rows.column(4)), 8)
-            for some, named in ((rows.filter(single), True), (rows.filter(pa.compute.invert(single)), False)):
-                if some.num_rows:
-                    yield from settle(some, named)
-
-    def settle(rows: pa.RecordBatch, named: bool) -> Iterator[pa.RecordBatch]:
+            if rows.num_rows:
+                yield from settle(rows)
+
+    def settle(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        # 8 bytes are the name of one window, sent alone or as a list of one: both meet the lists of their key
+        one = pa.compute.equal(pa.compute.binary_length(rows.column(4)), 8)
+        ones = pa.compute.sum(one).as_py()
+        rows = pa.Table.from_batches([rows.filter(one), rows.filter(pa.compute.invert(one))]).combine_chunks()
         key, doc, low, high = (np.asarray(rows.column(k)) for k in range(4))
         n = high - low + 1
         payloads = rows.column(4).to_pylist()
-        name = np.frombuffer(b"".join(payloads), np.uint64) if named else plan.units.window_names(payloads, n, plan.window)
+        name = np.frombuffer(b"".join(payloads[:ones]), np.uint64) if ones else np.empty(0, np.uint64)
+        if ones < len(payloads):
+            name = np.concatenate([name, plan.units.window_names(payloads[ones:], n[ones:], plan.window)])
         row = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(row)) - (np.cumsum(n) - n)[row] + low[row]
         key, doc = key[row], doc[row]

@@ -202,6 +202,24 @@ def test_word_repeats(docs, rows, window, block):
     assert listed(out, "doc_id", "kept", "n_words", "n_removed") == sorted(want, key=repr)
 
 
+def test_word_repeats_one_window(spark):
+    """Documents of one window inside longer ones, on either side, and passages that open or end a document."""
+    r = random.Random(8)
+    fresh = lambda n: ["".join(r.choices("abcdefgh", k=8)) for _ in range(n)]
+    cases = []
+    for k in range(40):
+        short = fresh(50)
+        inside = fresh(20 + k) + short + fresh(30)
+        cases += [short, inside] if k % 2 else [inside, short]
+        shared = fresh(50 + k)
+        cases += [shared + fresh(60), fresh(60) + shared]
+    rows = [(i, " ".join(w)) for i, w in enumerate(cases)]
+    out = word_repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = [(i, len(s), sum(m)) for (i, _), (s, m) in zip(rows, brute.removed(rows, 50, brute.words_of))]
+    assert sum(w[2] > 0 for w in want) == 80
+    assert listed(out, "doc_id", "n_words", "n_removed") == sorted(want, key=repr)
+
+
 def test_plans_cut_long_texts_alike(monkeypatch):
     data = " ".join(random.Random(2).choices(["ab", "cde", "f", "ghij"], k=3000)).encode()
     for plan in (repeats.Plan(repeats.ByteUnits, 50, 16, 1), repeats.Plan(repeats.WordUnits, 50, 5, 5)):
