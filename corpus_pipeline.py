@@ -6,12 +6,13 @@ the last one, which returns token ids.  A stage works on all that the stage befo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlake.llm import byte_bpe, containment, language_id, simhash, word_repeats
+from screenlake.llm import byte_bpe, containment, graph, language_id, simhash, word_repeats
 from screenlake.llm.arrow import prepare
 from screenlake.llm.registry import table
+from screenlake.session import cut_lineage
 
 #: A document stays if its language has at least this probability.
 MIN_LANGUAGE_SCORE = 0.5
@@ -25,10 +26,20 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id stays; rows without an id stay."""
-    kept = simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__nth = 1")
-    return one.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of texts one row stays: the smallest id, nulls last, then the least row hash.
+
+    Rows are told apart by a hash of all their columns, so different texts of one id are judged
+    each for itself, and equal rows count once."""
+    row = F.md5(F.to_json(F.struct(*docs.columns))).alias("__row")
+    marked = cut_lineage(simhash.fingerprints(docs.select("doc_id", row, "text")))
+    if not marked.groupBy("__row").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "__row"))
+    # by fingerprint first: no join meets the copies of a text
+    firsts = marked.groupBy(F.col("fingerprint").alias("fp")).agg(first.alias("first"))
+    roots = graph.components(simhash.links(firsts.select("fp"))).withColumnRenamed("node", "fp")
+    kept = firsts.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return docs.withColumn("__row", row).join(kept.select("first.__row"), "__row", "left_semi").select(docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -474,6 +474,24 @@ def test_url_filter_nothing(spark):
 # --- the registered queries
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Different texts of one id, near copies of another id beside them, equal rows and rows without an id."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    text = lambda: " ".join("".join(r.choices("abcdefgh", k=8)) for _ in range(80))
+    one, two, three, four, five = (text() for _ in range(5))
+    rows = [(1, one), (7, one), (7, two), (8, three), (8, four), (8, four), (9, five), (None, five), (None, "lone"), (None, "lone"), (9, three), (5, None), (6, "")]
+    want = [(1, one), (7, two), (8, three), (8, four), (9, five), (None, "lone"), (5, None)]
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "k") for i, t in some], "doc_id long, text string, source string").repartition(3)
+        out = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SOURCE)
+        assert out.columns == docs.columns
+        assert listed(out, "doc_id", "text") == sorted(want, key=repr)
+    hot = spark.createDataFrame([(4, text()) for _ in range(50)], "doc_id long, text string")
+    assert corpus_pipeline.keep_one_of_near_duplicates(spark, hot, SOURCE).count() == 50
+
+
 def test_queries_and_pipeline(spark, tmp_path):
     import corpus_pipeline
     from screenlake.llm.queries import QUERIES
