@@ -34,18 +34,14 @@ def parse_position(text: Column) -> Column:
     return F.when(F.size(parts) == 4, _corners(at(0), at(1), at(2), at(3)))
 
 
-def _item_array(v: Column) -> Column:
+def _item_array(v: Column, text: Column) -> Column:
     """The item array of a payload: the array itself, ``texts``, ``items``, or the same
-    inside ``ocr`` (three levels)."""
+    inside ``ocr``, at any depth."""
     kind = "array<variant>"
-    out = [F.try_variant_get(v, "$", kind)]
-    prefix = ""
-    for _ in range(4):
-        out += [_get(v, prefix + "texts", kind), _get(v, prefix + "items", kind)]
-        if prefix:
-            out.append(F.try_variant_get(v, "$." + prefix[:-1], kind))
-        prefix += "ocr."
-    return F.coalesce(*out)
+    here = lambda p: F.coalesce(F.try_variant_get(p, "$", kind), _get(p, "texts", kind), _get(p, "items", kind))
+    # no more levels than keys that spell ocr, plainly or with an escape
+    levels = F.array_repeat(F.lit(0), F.regexp_count(text, F.lit(r'"ocr"|\\u')))
+    return here(F.reduce(levels, v, lambda p, _: F.when(here(p).isNotNull(), p).otherwise(_get(p, "ocr", "variant"))))
 
 
 def _item_box(v: Column) -> Column:
@@ -66,7 +62,7 @@ def ocr_items_from_json(df: DataFrame, json_col: str, key: str = "image_id", sou
     """One row per OCR item of a JSON payload (key, ord, text, box or NULLs, confidence);
     string items are texts, empty texts are dropped.  Pure JVM, no Python parser."""
     v = F.try_parse_json(json_col)
-    rows = df.select(key, F.posexplode(_item_array(v)).alias("ord", "_v"))
+    rows = df.select(key, F.posexplode(_item_array(v, F.col(json_col))).alias("ord", "_v"))
     kind = F.schema_of_variant("_v")
     text = F.when(kind == "STRING", F.try_variant_get("_v", "$", "string")).when(kind.startswith("OBJECT"), _get(F.col("_v"), "text", "string"))
     rows = rows.withColumn("text", F.trim(text)).where(F.coalesce(F.col("text") != "", F.lit(False)))

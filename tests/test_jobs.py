@@ -151,3 +151,16 @@ def test_detector_errors_become_rows(spark):
     df = spark.createDataFrame([(1,), (2,), (3,)], "image_id long")
     rows = X.detect_with(df, factory, "label string").collect()
     assert sorted((r.image_id, r.ord, r.error) for r in rows) == [(1, 0, None), (2, 0, "ValueError: bad"), (3, 0, None), (3, 1, None), (3, 2, None)]
+
+
+def test_ocr_items_inside_any_number_of_ocr_levels(spark):
+    from screenlake.sources.ocr import ocr_items_from_json
+
+    items = '[{"text": "a \\"ocr\\" b", "position": "1,2,3,4"}]'
+    wrap = lambda inner, n, key="ocr": (f'{{"{key}": ' * n) + inner + "}" * n
+    nested = [(f"{n}{k}", wrap(body, n)) for n in (0, 1, 3, 4, 9, 60) for k, body in (("array", items), ("texts", '{"texts": %s}' % items), ("items", '{"texts": 1, "items": %s}' % items))]
+    nested += [("escaped", wrap('{"items": %s}' % items, 6, "\\u006fcr"))]
+    empty = [("none", wrap("{}", 7)), ("number", wrap("5", 5)), ("null", None), ("broken", '{"ocr": ['), ("nearer", '{"texts": [], "ocr": %s}' % items)]
+    df = spark.createDataFrame(nested + empty, "k string, json string")
+    got = {(r["k"], r["ord"], r["text"], r["x"], r["h"]) for r in ocr_items_from_json(df, "json", "k").collect()}
+    assert got == {(k, 0, 'a "ocr" b', 1.0, 2.0) for k, _ in nested}
