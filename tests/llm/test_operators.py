@@ -467,6 +467,14 @@ def test_url_filter(spark):
     assert verdict[6] == "block" and verdict[8] == verdict[9] == verdict[17] == "allow"
 
 
+def test_url_filter_reaches_hosts_at_any_distance(spark):
+    rows = [(k, f"https://h{k}.net/", f'<a href="//h{k + 1}.net/">') for k in range(33)] + [(33, "https://h33.net/", '<a href="//bad.com">'), (34, "https://bad.com/de/", None), (35, "https://h35.net/", None)]
+    out = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), RULES)
+    got = {r["page_id"]: (r["verdict"], r["distrust"]) for r in out.collect()}
+    assert [v for v, _ in (got[k] for k in range(36))] == ["block"] * 35 + ["allow"]
+    assert all(abs(got[k][1] / got[k + 1][1] - 0.85) < 1e-4 for k in range(34))
+
+
 def test_url_filter_nothing(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
 
