@@ -1,9 +1,9 @@
-"""Removal of byte strings that also start in an earlier document, by prefix doubling.
+"""Removal of byte strings that also start in an earlier document, by window anchors.
 
 Every string of ``window`` bytes that also starts in a document with a smaller id is removed.
-Spark sorts (rank, rank at an offset) rows until names are unique or as long as the window.
-Names of up to 16 bytes are made inside the tasks by the same doubling, and sorted rows exist for
-sampled places only, at least one in every window (see ``repeats``): rows for every place and
+This replaces prefix doubling: names of short blocks are doubled inside the tasks, the block with
+the least name in each window is its anchor, and Spark sorts the anchor rows once by that name
+(see ``repeats``).  No rank pairs are sorted and re-ranked by Spark: rows for every place and
 every doubling would be many times the input.
 
 Defined cases: a null text counts as empty; texts shorter than the window lose nothing; rows with

@@ -3,7 +3,7 @@
 Two 64-bit fingerprints that differ in at most 4 bits share at least 4 of their 8 bytes in
 place.  A posting of the index is therefore a set of 4 byte positions with their values: the
 least number of positional matches that a linked pair is sure to have.  Pairs meet in a posting,
-their shared bytes are tallied, and the differing bits are counted.  Single bytes as postings
+and the differing bits are counted; shared bytes are not tallied.  Single bytes as postings
 would let each fingerprint meet one in 256 of all others, which grows with the square.
 
 A posting with more members than ``fold`` is not compared; its members go on to postings over
