@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlake.llm import byte_bpe, byte_repeats, chat_tree, containment, language_id, sharding, simhash, url_filter, vector_links, word_repeats
+from screenlake.llm import byte_bpe, byte_repeats, chat_tree, collocations, containment, language_id, sharding, simhash, url_filter, vector_links, word_repeats
 from screenlake.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -21,6 +21,22 @@ WHERE d.side = 'd' AND i.side = 'i'
 GROUP BY d.id, i.id, n_item
 HAVING count(*) >= greatest(1, ceil(0.8 * n_item - 1e-9))
 """
+COLLOCATION_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS s(k)),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE k = 1 GROUP BY lang),
+a AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM c WHERE k > 1 AND f >= 10),
+x AS (SELECT lang, k, phrase, a, array_to_string(ws[1:1], ' ') AS first, array_to_string(ws[2:], ' ') AS rest, 1 AS cut FROM a
+      UNION ALL SELECT lang, k, phrase, a, array_to_string(ws[1:2], ' '), ws[3], 2 FROM a WHERE k = 3),
+y AS (SELECT x.lang, x.phrase, a, l.f AS l, r.f AS r, cut, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM x JOIN c AS l ON l.lang = x.lang AND l.phrase = first JOIN c AS r ON r.lang = x.lang AND r.phrase = rest),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM a WHERE k = 3 UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM a WHERE k = 3) GROUP BY lang, phrase),
+q AS (SELECT z.*, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, z.phrase) AS rank FROM z LEFT JOIN o USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN t USING (lang) WHERE rank <= 2000
+"""
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -88,3 +104,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_link_graph_url_filter")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op12_phrase_collocations", COLLOCATION_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
