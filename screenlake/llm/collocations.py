@@ -27,20 +27,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from screenlake.llm import bitmap
 from screenlake.llm.arrow import parts
 from screenlake.llm.repeats import BASE, _mixed, _power, _powers
 from screenlake.session import cut_lineage
 
 #: Bytes of text whose n-grams a task aggregates at once, and bytes of a long text read at once.
 CHUNK, SEGMENT = 8 << 20, 1 << 20
-#: The bitmap of frequent fingerprints has 2^27 bits (16 MB), made in blocks of 64 KB.
-BITMAP_BITS, BLOCK_BITS = 27, 19
 #: Rows of a language are ranked in so many parts before they are ranked together.
 PARTS = 64
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _SPLIT = np.zeros(256, bool)
 _SPLIT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -73,11 +71,6 @@ def segments(data: bytes, n: int, limit: int = SEGMENT) -> Iterator[tuple[int, b
     yield first, data[at:]
 
 
-def marked(bitmap: np.ndarray, fps: np.ndarray) -> np.ndarray:
-    bit = fps >> np.uint64(64 - BITMAP_BITS)
-    return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
 class _Chunk:
     """The words of many segments: numbers, names, pieces and places."""
 
@@ -109,14 +102,14 @@ class _Chunk:
         run = self.sums[n:] - self.sums[: len(self.sums) - n]
         return _mixed(run * self.inverse[: len(run)] + _power(n))
 
-    def occurrences(self, n: int, bitmap: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    def occurrences(self, n: int, known: np.ndarray | None) -> tuple[np.ndarray, ...]:
         """(fingerprint, count, row, place) of each distinct n-gram."""
         w = len(self.ids) - n + 1
         if w <= 0:
             return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
         ok = self.piece[:w] == self.piece[n - 1 :]
-        if bitmap is not None:
-            shorter = marked(bitmap, self.fingerprints(n - 1))
+        if known is not None:
+            shorter = bitmap.marked(known, self.fingerprints(n - 1))
             ok &= shorter[:w] & shorter[1 : w + 1]
         at = np.flatnonzero(ok)
         key = self.ids[at]
@@ -129,11 +122,11 @@ class _Chunk:
         return self.fingerprints(n)[at], counts, self.row[at], self.place[at]
 
 
-def _counted(n: int, bitmap) -> Callable:
+def _counted(n: int, frequent) -> Callable:
     """(fp, count, row, at) per chunk from (lang, text, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
+        known = None if frequent is None else np.frombuffer(frequent.value, np.uint8)
         waiting, langs, size = [], [], 0
 
         def send() -> pa.RecordBatch:
@@ -155,40 +148,17 @@ def _counted(n: int, bitmap) -> Callable:
     return run
 
 
-def _bitmap(fps: DataFrame) -> bytes:
-    """The bits of the fingerprints; what reaches the driver is the bitmap itself."""
-    blocks = 1 << BITMAP_BITS - BLOCK_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            bit = np.asarray(batch.column(1)).astype(np.int64).view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
-            block = (bit >> np.uint64(BLOCK_BITS)).astype(np.int64)
-            for b in np.unique(block).tolist():
-                bits = held.setdefault(b, np.zeros(1 << BLOCK_BITS, bool))
-                bits[(bit[block == b] & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)] = True
-        for b, bits in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
-
-    block = F.shiftrightunsigned("fp", 64 - BITMAP_BITS + BLOCK_BITS).alias("block")
-    made = fps.select(block, "fp").repartition("block").mapInArrow(run, "block long, bits binary")
-    out = [bytes(1 << BLOCK_BITS - 3)] * blocks
-    for r in made.collect():
-        out[r["block"]] = bytes(r["bits"])
-    return b"".join(out)
-
-
 def _frequent(held: DataFrame, longest: int, least: int) -> Iterator[tuple[int, DataFrame]]:
     """(n, rows): the rows of all n-grams whose fingerprints have ``least`` occurrences."""
-    spark, bitmap = held.sparkSession, None
+    spark, known = held.sparkSession, None
     for n in range(1, longest + 1):
-        rows = held.select("lang", "text", "row").mapInArrow(_counted(n, bitmap), "fp long, count long, row long, place long").repartition("fp")
-        # both sides read the one exchange
-        often = rows.groupBy("fp").agg(F.sum("count").alias("total")).where(F.col("total") >= least).select("fp").hint("shuffle_hash")
-        kept = cut_lineage(rows.join(often, "fp", "left_semi"))
+        rows = held.select("lang", "text", "row").mapInArrow(_counted(n, known), "fp long, count long, row long, place long")
+        # a window instead of a join of the totals: the rows are dealt once
+        total = F.sum("count").over(Window.partitionBy("fp"))
+        kept = cut_lineage(rows.withColumn("total", total).where(F.col("total") >= least).drop("total"))
         yield n, kept
         if n < longest:
-            bitmap = spark.sparkContext.broadcast(_bitmap(kept))
+            known = spark.sparkContext.broadcast(bitmap.build(kept))
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
