@@ -226,7 +226,7 @@ def _(t):
 
 
 @query("layout_region", f"""
-WITH q AS (SELECT request_id, image_id % 900 AS image_id, intent FROM intents),
+WITH q AS (SELECT request_id, request_id % (SELECT max(image_id) + 1 FROM pages_meta) AS image_id, intent FROM intents),
 m AS (SELECT image_id, {MED.format('x + w/2')} AS m FROM ocr_items GROUP BY image_id),
 s AS (SELECT q.request_id, o.*, intent FROM ocr_items o JOIN q USING (image_id) JOIN m USING (image_id) WHERE CASE WHEN regexp_matches(intent, 'right|右') THEN x + w/2 >= m WHEN regexp_matches(intent, 'left|左') THEN x + w/2 <= m ELSE TRUE END),
 p AS (SELECT *, regexp_matches(lower(intent), '价格|金额|价|price|amount') AND {hit('text', RB.PRICE_TEXT)} AS pr FROM s),
@@ -234,7 +234,9 @@ u AS (SELECT *, bool_or(pr) OVER (PARTITION BY request_id) AS anyp FROM p)
 SELECT request_id, image_id, concat(CAST(CAST(floor(min(x)+0.5) AS BIGINT) AS STRING), ',', CAST(CAST(floor(min(y)+0.5) AS BIGINT) AS STRING), ',', CAST(CAST(floor(max(x+w)+0.5) AS BIGINT) AS STRING), ',', CAST(CAST(floor(max(y+h)+0.5) AS BIGINT) AS STRING)) AS box, CAST(0.55 AS DOUBLE) AS confidence
 FROM u WHERE pr OR NOT anyp GROUP BY request_id, image_id""")
 def _(t):
-    q = t.intents.select("request_id", (F.col("image_id") % 900).alias("image_id"), F.col("intent").alias("query"))
+    # the requests go round all images; the other side is a single row
+    q = t.intents.crossJoin(t.pages_meta.agg((F.max("image_id") + 1).alias("images")))
+    q = q.select("request_id", (F.col("request_id") % F.col("images")).alias("image_id"), F.col("intent").alias("query"))
     return Y.layout_region(t.ocr_items, q)
 
 
@@ -278,25 +280,26 @@ def _(t):
 # --- page level -------------------------------------------------------------------------
 @query("page_class", "WITH " + REG + """,
 f AS (SELECT image_id, count(CASE WHEN type = 'sidebar' THEN 1 END) AS s, count(CASE WHEN type = 'table' THEN 1 END) AS tb, count(CASE WHEN type = 'card' THEN 1 END) AS c FROM reg GROUP BY image_id),
-i AS (SELECT image_id, count(*) AS n FROM boxes WHERE type = 'input' AND p % 9 = 0 GROUP BY image_id),
+i AS (SELECT image_id, count(*) AS n FROM boxes WHERE type = 'input' AND image_id % 3 = 0 GROUP BY image_id),
 o AS (SELECT image_id, count(*) AS m FROM ocr_items WHERE p % 91 = 0 GROUP BY image_id)
 SELECT image_id, CASE WHEN m > 0 THEN 'mobile-ui' WHEN s > 0 AND (tb > 0 OR n > 0) THEN 'admin-ui' WHEN c >= 3 THEN 'dashboard' WHEN n > 0 THEN 'form' ELSE 'general-ui' END AS page_class
 FROM pages_meta LEFT JOIN f USING (image_id) LEFT JOIN i USING (image_id) LEFT JOIN o USING (image_id)""")
 def _(t):
     ocr = t.ocr_items.select("image_id", F.when(F.col("p") % 91 == 0, "9:41").otherwise("x").alias("text"))
-    comps = t.boxes.where("type = 'input' AND p % 9 = 0").select("image_id", "type")
+    comps = t.boxes.select("image_id", F.expr("CASE WHEN type = 'input' AND image_id % 3 <> 0 THEN 'text' ELSE type END").alias("type"))
     return Y.page_class(regions(t), comps, ocr, t.pages_meta)
 
 
-PT_TYPE = "CASE n.p % 17 WHEN 0 THEN 'title' WHEN 1 THEN 'navbar' WHEN 2 THEN 'section' WHEN 3 THEN 'switch' ELSE n.type END"
+# kinds of images: some without inputs, buttons, cards or tables
+PT_TYPE = """CASE WHEN n.p % 51 = 0 THEN 'title' WHEN n.p % 51 = 1 AND n.image_id % 4 = 1 THEN 'navbar' WHEN n.p % 17 = 2 AND n.image_id % 5 = 0 THEN 'section' WHEN n.p % 17 = 3 AND n.image_id % 6 = 0 THEN 'switch'
+  WHEN n.type = 'input' AND n.image_id % 3 <> 0 THEN 'text' WHEN n.type = 'button' AND n.image_id % 4 >= 2 THEN 'image' WHEN n.type = 'card' AND n.image_id % 5 >= 2 THEN 'row' WHEN n.type = 'row' AND n.image_id % 7 = 0 THEN 'listItem' WHEN n.type = 'icon' AND n.image_id % 7 >= 3 THEN 'image' ELSE n.type END"""
+PT_TEXT = "CASE WHEN image_id % 4 <= 1 THEN 'plain' ELSE text END"
 
 
 def page_types(t):
-    n = t.nodes.where(F.col("q") % 4 == F.col("image_id") % 4)
-    n = n.withColumn("type", F.expr(PT_TYPE.replace("n.p", "p").replace("n.type", "type")))
+    n = t.nodes.withColumn("type", F.expr(PT_TYPE.replace("n.", "")))
     reg = regions(t)
-    texts = t.ocr_items.where(F.col("q") % 20 == F.col("image_id") % 20)
-    return Y.page_type(n, reg.where(F.col("image_id") % 3 == 0), texts, Y.layout_type(reg, t.pages_meta))
+    return Y.page_type(n, reg, t.ocr_items.withColumn("text", F.expr(PT_TEXT)), Y.layout_type(reg, t.pages_meta))
 
 
 def _sig(cond, s):
@@ -314,12 +317,12 @@ _RULES = [
     ("navigation", [("navs >= 1", "components:navbar/tab"), ("navs >= 1 AND comps <= 4", "content:sparse")]),
 ]
 PAGE_TYPE = "WITH " + REG + "," + LAYOUT + f""",
-pn AS (SELECT n.image_id, {PT_TYPE} AS type FROM nodes n WHERE q % 4 = image_id % 4),
+pn AS (SELECT n.image_id, {PT_TYPE} AS type FROM nodes n),
 nc AS (SELECT image_id, count(CASE WHEN type = 'input' THEN 1 END) AS inputs, count(CASE WHEN type IN ('button','iconButton') THEN 1 END) AS buttons, count(CASE WHEN type = 'card' THEN 1 END) AS cards, count(CASE WHEN type = 'listItem' THEN 1 END) AS items,
   count(CASE WHEN type = 'table' THEN 1 END) AS tables, count(CASE WHEN type IN ('navbar','tab') THEN 1 END) AS navs, count(CASE WHEN type IN {in_list(Y.INTERACTIVE)} THEN 1 END) AS inter, count(CASE WHEN type <> 'page' THEN 1 END) AS comps,
   count(CASE WHEN type IN ('title','subtitle') THEN 1 END) AS titles, count(CASE WHEN type IN ('section','container') THEN 1 END) AS sections, count(CASE WHEN type IN {in_list(Y.CONTROLS)} THEN 1 END) AS controls FROM pn GROUP BY image_id),
-rc AS (SELECT image_id, count(*) AS regions, count(CASE WHEN type = 'table' THEN 1 END) AS r_tables FROM reg WHERE image_id % 3 = 0 GROUP BY image_id),
-tx AS (SELECT DISTINCT image_id, lower(text) AS t, x, y, w, h FROM ocr_items WHERE q % 20 = image_id % 20),
+rc AS (SELECT image_id, count(*) AS regions, count(CASE WHEN type = 'table' THEN 1 END) AS r_tables FROM reg GROUP BY image_id),
+tx AS (SELECT DISTINCT image_id, lower({PT_TEXT}) AS t, x, y, w, h FROM ocr_items),
 tc AS (SELECT image_id, count(*) AS texts, {', '.join(f"count(CASE WHEN {any_word('t', ws)} THEN 1 END) AS {n}" for n, ws in (('w_login', Y.LOGIN_WORDS), ('w_table', Y.TABLE_WORDS), ('w_metric', Y.METRIC_WORDS), ('w_setting', Y.SETTING_WORDS), ('w_submit', Y.SUBMIT_WORDS)))} FROM tx GROUP BY image_id),
 j AS (SELECT nc.*, coalesce(regions, 0) AS regions, coalesce(r_tables, 0) AS r_tables, coalesce(texts, 0) AS texts, coalesce(w_login, 0) AS w_login, coalesce(w_table, 0) AS w_table, coalesce(w_metric, 0) AS w_metric, coalesce(w_setting, 0) AS w_setting, coalesce(w_submit, 0) AS w_submit, layout_type
   FROM nc LEFT JOIN rc USING (image_id) LEFT JOIN tc USING (image_id) LEFT JOIN lay USING (image_id)),
@@ -334,15 +337,18 @@ def _(t):
 
 
 @query("ocr_quality", """
-WITH s AS (SELECT image_id, count(*) AS n, count(CASE WHEN p % 3 <> 0 THEN confidence END) AS k, avg(CASE WHEN p % 3 <> 0 THEN confidence END) AS a FROM ocr_items WHERE image_id % 10 <> 3 AND q % 16 < 1 + image_id % 16 GROUP BY image_id),
-m AS (SELECT image_id, CASE WHEN image_id % 5 = 0 THEN 300 ELSE 420 END AS width, CASE image_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS c FROM pages_meta),
+WITH s AS (SELECT image_id * 20 + q % (1 + image_id % 20) AS image_id, count(*) AS n, count(CASE WHEN p % 3 <> 0 THEN confidence END) AS k, avg(CASE WHEN p % 3 <> 0 THEN confidence END) AS a FROM ocr_items GROUP BY ALL),
+i AS (SELECT image_id * 20 + k AS image_id FROM pages_meta, range(20) AS r(k)),
+m AS (SELECT image_id, CASE WHEN image_id % 7 = 0 THEN 300 ELSE 420 END AS width, CASE image_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS c FROM i),
 r AS (SELECT m.*, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 0.2 WHEN k >= n / 2.0 THEN least(1, greatest(0, a + CASE WHEN n >= 20 THEN 0.05 WHEN n >= 8 THEN 0 ELSE -0.05 END)) WHEN n >= 20 THEN 0.85 WHEN n >= 8 THEN 0.7 ELSE 0.5 END AS oc FROM m LEFT JOIN s USING (image_id))
 SELECT image_id, CAST(CASE WHEN width < 400 THEN 0.4 WHEN c = 'low' THEN 0.9 WHEN c = 'high' THEN 0.6 ELSE 0.7 END AS DOUBLE) AS clarity, floor(oc * 100 + 0.5) / 100 AS ocr_confidence,
   concat_ws(',', CASE WHEN width < 400 THEN 'low-resolution' END, CASE WHEN n = 0 THEN 'no-ocr-text' END, CASE WHEN n > 0 AND oc < 0.4 THEN 'low-ocr-confidence' END) AS issues FROM r""")
 def _(t):
+    # each image is dealt to 1 to 20 crops, the other crops of the 20 stay empty
     i = F.col("image_id")
-    items_ = t.ocr_items.where((i % 10 != 3) & (F.col("q") % 16 < 1 + i % 16)).select("image_id", F.when(F.col("p") % 3 != 0, F.col("confidence")).alias("confidence"))
-    meta = t.pages_meta.select("image_id", F.when(i % 5 == 0, 300).otherwise(420).alias("width"), F.when(i % 3 == 0, "low").when(i % 3 == 1, "medium").otherwise("high").alias("complexity"))
+    items_ = t.ocr_items.select((i * 20 + F.col("q") % (1 + i % 20)).alias("image_id"), F.when(F.col("p") % 3 != 0, F.col("confidence")).alias("confidence"))
+    crops = t.pages_meta.select(F.explode(F.sequence(i * 20, i * 20 + 19)).alias("image_id"))
+    meta = crops.select("image_id", F.when(i % 7 == 0, 300).otherwise(420).alias("width"), F.when(i % 3 == 0, "low").when(i % 3 == 1, "medium").otherwise("high").alias("complexity"))
     return Y.ocr_quality(items_, meta)
 
 
@@ -520,17 +526,17 @@ def _(t):
 
 
 @query("promote_container", f"""
-WITH kn AS (SELECT c.image_id, f.node_id AS parent_id, c.node_id, CASE WHEN c.p % 3 = 0 THEN 'button' ELSE CASE c.type WHEN 'card' THEN 'container' WHEN 'row' THEN 'section' WHEN 'text' THEN 'unknown' ELSE c.type END END AS type, c.x, CASE WHEN c.image_id % 2 = 0 THEN 10 ELSE c.y END AS y, CASE WHEN c.n <= 5 THEN 400 ELSE c.w END AS w, CASE WHEN c.n <= 5 THEN 90 ELSE c.h END AS h
-  FROM tree_nodes c LEFT JOIN tree_nodes f ON c.image_id = f.image_id AND c.n > 5 AND f.n = 2 + c.n % 4 WHERE c.n <= 5 OR c.p % 3 = 0 OR c.q % 9 = 0),
+WITH kn AS (SELECT c.image_id, f.node_id AS parent_id, c.node_id, CASE WHEN c.p % 3 = 0 OR c.image_id % 4 = 0 THEN 'button' ELSE CASE c.type WHEN 'card' THEN 'container' WHEN 'row' THEN 'section' WHEN 'text' THEN 'unknown' ELSE c.type END END AS type, c.x, CASE WHEN c.image_id % 2 = 0 THEN 10 ELSE c.y END AS y, CASE WHEN c.n <= 5 THEN 400 ELSE c.w END AS w, CASE WHEN c.n <= 5 THEN 90 ELSE c.h END AS h
+  FROM tree_nodes c LEFT JOIN tree_nodes f ON c.image_id = f.image_id AND c.n > 5 AND f.n = 2 + c.n % 4),
 s AS (SELECT image_id, parent_id, count(*) AS n, count(CASE WHEN type IN ('button','iconButton','icon') THEN 1 END) AS a, max(CASE WHEN type IN ('button','iconButton','icon') THEN y+h/2 END) - min(CASE WHEN type IN ('button','iconButton','icon') THEN y+h/2 END) AS ay,
   bool_and(type IN {in_list(T.INTERACTIVE)}) AS alli, max(x+w/2)-min(x+w/2) AS dx, max(y+h/2)-min(y+h/2) AS dy, avg(w) AS mw, avg(h) AS mh FROM kn WHERE parent_id IS NOT NULL GROUP BY image_id, parent_id)
 SELECT k.image_id, k.node_id, CASE WHEN type IN ('container','section','unknown') AND a >= 2 AND a / CAST(n AS DOUBLE) >= 2.0/3 AND w >= h AND ay <= h * 0.5 THEN 'toolbar'
   WHEN type IN ('container','unknown') AND n >= 2 AND NOT alli THEN CASE WHEN dx < mw*0.5 AND dy < mh*0.5 THEN CASE WHEN dx <= dy THEN 'column' ELSE 'row' END WHEN dx < mw*0.5 THEN 'column' WHEN dy < mh*0.5 THEN 'row' ELSE 'grid' END ELSE type END AS new_type
 FROM kn k LEFT JOIN s ON s.image_id = k.image_id AND s.parent_id = k.node_id""")
 def _(t):
-    c = t.tree_nodes.where("n <= 5 OR p % 3 = 0 OR q % 9 = 0").withColumn("_slot", F.when(F.col("n") > 5, F.col("n") % 4))
+    c = t.tree_nodes.withColumn("_slot", F.when(F.col("n") > 5, F.col("n") % 4))
     f = t.tree_nodes.select("image_id", F.col("node_id").alias("parent_id"), (F.col("n") - 2).alias("_slot")).where("_slot BETWEEN 0 AND 3")
-    kind = F.when(F.col("p") % 3 == 0, "button").when(F.col("type") == "card", "container").when(F.col("type") == "row", "section").when(F.col("type") == "text", "unknown").otherwise(F.col("type"))
+    kind = F.when((F.col("p") % 3 == 0) | (F.col("image_id") % 4 == 0), "button").when(F.col("type") == "card", "container").when(F.col("type") == "row", "section").when(F.col("type") == "text", "unknown").otherwise(F.col("type"))
     top = F.col("n") <= 5
     n = c.join(f, ["image_id", "_slot"], "left").select(
         "image_id", "parent_id", "node_id", kind.alias("type"), "x", F.when(F.col("image_id") % 2 == 0, 10.0).otherwise(F.col("y")).alias("y"),
@@ -562,7 +568,7 @@ def _(t):
     return T.split_badge(n).select("image_id", "node_id", "parent_id", "type", "text", r6(F.col("x"), "x"), r6(F.col("w"), "w"))
 
 
-NB_TEXT = "CASE p % 9 WHEN 0 THEN '请选择城市' WHEN 1 THEN 'radio A' WHEN 2 THEN '勾选协议' ELSE 'plain' END"
+NB_TEXT = "CASE p % 45 WHEN 0 THEN '请选择城市' WHEN 1 THEN 'radio A' WHEN 2 THEN '勾选协议' ELSE 'plain' END"
 
 
 def with_parent(t):
@@ -575,14 +581,14 @@ def with_parent(t):
 @query("promote_by_neighbour", f"""
 WITH n AS (SELECT c.image_id, f.node_id AS parent_id, c.node_id, c.type, c.x, c.y, c.w, c.h, NOT EXISTS (SELECT 1 FROM kids k WHERE k.image_id = c.image_id AND k.parent_id = c.node_id) AS leaf FROM tree_nodes c LEFT JOIN tree_nodes f ON c.image_id = f.image_id AND c.n > 5 AND f.n = 2 + c.n % 4),
 ic AS (SELECT DISTINCT a.image_id, a.node_id FROM n a JOIN n b ON b.image_id = a.image_id AND b.parent_id = a.parent_id AND b.type = 'icon' AND b.w <= 48 AND b.h <= 48 WHERE a.type = 'input' AND b.x >= a.x + a.w AND a.y < b.y + b.h AND a.y + a.h > b.y),
-o AS (SELECT image_id, {NB_TEXT} AS text, x, y, w, h FROM ocr_items WHERE p % 9 <= 2 AND q % 5 = 0),
+o AS (SELECT image_id, {NB_TEXT} AS text, x, y, w, h FROM ocr_items),
 fl AS (SELECT a.image_id, a.node_id, bool_or({any_word('o.text', T.SELECT_WORDS)}) AS s, bool_or({any_word('o.text', T.RADIO_WORDS)}) AS r, bool_or({any_word('o.text', T.CHECKBOX_WORDS)}) AS c
   FROM n a JOIN o ON o.image_id = a.image_id WHERE a.type = 'input' AND a.x - 20 < o.x + o.w AND a.x + a.w + 20 > o.x AND a.y - 20 < o.y + o.h AND a.y + a.h + 20 > o.y GROUP BY a.image_id, a.node_id)
 SELECT n.image_id, n.node_id, CASE WHEN n.type <> 'input' THEN n.type WHEN ic.node_id IS NOT NULL OR coalesce(s, FALSE) THEN 'select' WHEN leaf AND n.w < 32 AND n.h < 32 AND r THEN 'radio' WHEN leaf AND n.w < 32 AND n.h < 32 AND c THEN 'checkbox' ELSE 'input' END AS new_type
 FROM n LEFT JOIN ic ON ic.image_id = n.image_id AND ic.node_id = n.node_id LEFT JOIN fl ON fl.image_id = n.image_id AND fl.node_id = n.node_id""")
 def _(t):
     n = with_parent(t).select("image_id", "parent_id", "node_id", "type", "x", "y", "w", "h")
-    o = t.ocr_items.where("p % 9 <= 2 AND q % 5 = 0").select("image_id", F.expr(NB_TEXT).alias("text"), "x", "y", "w", "h")
+    o = t.ocr_items.select("image_id", F.expr(NB_TEXT).alias("text"), "x", "y", "w", "h")
     return T.promote_by_neighbour(n, o).select("image_id", "node_id", "new_type")
 
 
@@ -665,20 +671,21 @@ def _(t):
     return T.overlay_geometry(n, regions(t), t.pages_meta).select("image_id", "node_id", "overlay")
 
 
-CR_TYPE = "CASE p % 8 WHEN 0 THEN 'checkbox' WHEN 1 THEN 'text' WHEN 2 THEN 'title' WHEN 3 THEN 'section' ELSE type END"
+CR_TYPE = """CASE WHEN p % 40 = 0 THEN 'checkbox' WHEN p % 8 = 1 THEN 'text' WHEN p % 40 = 2 THEN 'title' WHEN p % 8 = 3 THEN 'section' WHEN c.type = 'icon' AND c.image_id % 3 <> 0 THEN 'row'
+  WHEN c.type = 'button' AND c.image_id % 5 <> 0 THEN 'row' WHEN c.type = 'input' AND c.image_id % 2 = 0 THEN 'row' ELSE c.type END"""
 
 
 @query("composite_roles", f"""
-WITH n AS (SELECT c.image_id, f.node_id AS parent_id, c.node_id, c.n, CASE WHEN c.n <= 5 THEN CASE c.n % 2 WHEN 0 THEN 'button' ELSE 'section' END ELSE {CR_TYPE.replace('p %', 'c.p %').replace('type', 'c.type')} END AS type, CASE WHEN c.q % 13 = 0 THEN 'label' END AS role, c.x, c.y, c.w, c.h
-   FROM tree_nodes c LEFT JOIN tree_nodes f ON c.image_id = f.image_id AND c.n > 5 AND f.n = 2 + c.n % 4 WHERE c.n <= 5 OR c.q % 4 = 0 OR c.q % 13 = 0),
+WITH n AS (SELECT c.image_id, f.node_id AS parent_id, c.node_id, c.n, CASE WHEN c.n <= 5 THEN CASE c.n % 2 WHEN 0 THEN 'button' ELSE 'section' END ELSE {CR_TYPE.replace('p %', 'c.p %')} END AS type, CASE WHEN c.q % 13 = 0 THEN 'label' END AS role, c.x, c.y, c.w, c.h
+   FROM tree_nodes c LEFT JOIN tree_nodes f ON c.image_id = f.image_id AND c.n > 5 AND f.n = 2 + c.n % 4),
 s AS (SELECT image_id, parent_id, bool_or(type = 'icon') AS ic, bool_or(type IN ('title','subtitle')) AS ti, bool_or(type = 'button') AS bu, bool_or(type = 'input') AS inp, bool_or(type = 'text' AND coalesce(role, '') = 'label') AS la FROM n WHERE parent_id IS NOT NULL GROUP BY image_id, parent_id),
 ct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, parent_id ORDER BY n) AS k FROM n WHERE type = 'checkbox' AND parent_id IS NOT NULL) t WHERE k = 1),
 cl AS (SELECT DISTINCT a.image_id, a.parent_id FROM ct a JOIN n b ON b.image_id = a.image_id AND b.parent_id = a.parent_id AND b.type = 'text' WHERE abs(b.x - a.x - a.w) <= 30 AND least(a.y+a.h, b.y+b.h) > greatest(a.y, b.y))
 SELECT n.image_id, n.node_id, CASE WHEN n.type = 'button' AND ic THEN 'iconButton' ELSE n.type END AS new_type, CASE WHEN inp AND la THEN 'formField' WHEN cl.parent_id IS NOT NULL THEN 'controlItem' WHEN n.type IN ('section','container') AND ti AND bu THEN 'banner' ELSE n.role END AS new_role
 FROM n LEFT JOIN s ON s.image_id = n.image_id AND s.parent_id = n.node_id LEFT JOIN cl ON cl.image_id = n.image_id AND cl.parent_id = n.node_id""")
 def _(t):
-    n = with_parent(t).where("n <= 5 OR q % 4 = 0 OR q % 13 = 0")
-    kind = F.when(F.col("n") <= 5, F.when(F.col("n") % 2 == 0, "button").otherwise("section")).otherwise(F.expr(CR_TYPE))
+    n = with_parent(t)
+    kind = F.when(F.col("n") <= 5, F.when(F.col("n") % 2 == 0, "button").otherwise("section")).otherwise(F.expr(CR_TYPE.replace("c.", "")))
     n = n.select("image_id", "parent_id", "node_id", F.col("n").alias("ord"), kind.alias("type"), F.when(F.col("q") % 13 == 0, "label").alias("role"), "x", "y", "w", "h")
     return T.composite_roles(n).select("image_id", "node_id", "new_type", "new_role")
 

@@ -47,10 +47,10 @@ def _(t):
 
 
 @query("ground_truth", f"""
-SELECT n.image_id, CAST(n - 1 AS INT) AS ord, node_id AS box_id, type, x, y, w, h FROM tree_nodes n WHERE image_id % 11 IN (0, 9, 10)""")
+SELECT n.image_id, CAST(n - 1 AS INT) AS ord, node_id AS box_id, type, x, y, w, h FROM tree_nodes n
+JOIN (SELECT m.image_id, {REASONS} AS reason FROM {SIZES} m) r ON r.image_id = n.image_id WHERE r.reason IS NULL""")
 def _(t):
-    ok = A.reject_invalid(annotation_json(t).where(F.col("image_id") % 11 != 5))[0].where(F.col("image_id") % 11 % 9 <= 1).where(F.col("image_id") % 11 != 1)
-    return A.ground_truth(A.elements_of(ok))
+    return A.ground_truth(A.elements_of(A.reject_invalid(annotation_json(t))[0]))
 
 
 def annotation_folder(t):
@@ -88,21 +88,27 @@ def _(t):
     return good.unionByName(bad)
 
 
+def whole_trees(t):
+    """Each image's nodes as one nested JSON text, built from the deepest level up."""
+    at = R.tree_paths(t.nodes).select("image_id", "node_id", "depth")
+    level = cut_lineage(t.nodes.join(at, ["image_id", "node_id"]).select("image_id", "node_id", "parent_id", "n", "depth", F.to_json(F.struct(F.col("node_id").alias("id"), "type", F.struct("x", "y", "w", "h").alias("bbox"))).alias("own")))
+    inner = F.expr("concat(left(own, length(own) - 1), ',\"children\":[', array_join(kids, ','), ']}')")
+    below = None
+    for depth in range(level.agg(F.max("depth")).head()[0] or 0, -1, -1):
+        here = level.where(F.col("depth") == depth)
+        here = here.withColumn("tree", F.col("own")) if below is None else here.join(below, ["image_id", "node_id"], "left").withColumn("tree", F.when(F.col("kids").isNull(), F.col("own")).otherwise(inner))
+        kids = F.transform(F.array_sort(F.collect_list(F.struct("n", "tree"))), lambda k: k["tree"])
+        below = here.groupBy("image_id", F.col("parent_id").alias("node_id")).agg(kids.alias("kids"))
+    return here.select("image_id", "tree")
+
+
 @query("flatten_tree", """
 WITH RECURSIVE w AS (
   SELECT image_id, node_id, parent_id, 0 AS depth FROM nodes WHERE parent_id IS NULL
   UNION ALL SELECT n.image_id, n.node_id, n.parent_id, w.depth + 1 FROM w JOIN nodes n ON n.image_id = w.image_id AND n.parent_id = w.node_id)
-SELECT w.image_id, w.node_id, w.parent_id, w.depth, n.type, n.x FROM w JOIN nodes n ON n.image_id = w.image_id AND n.node_id = w.node_id WHERE w.depth BETWEEN 1 AND 2""")
-def _(t):
-    n = t.nodes
-    part = lambda df, kids: F.struct(F.col("node_id").alias("id"), "type", F.struct("x", "y", "w", "h").alias("bbox"), kids.alias("children"))
-    order = n.select("image_id", "node_id", F.col("n").alias("o"))
-    leaves = R.tree_paths(n)
-    # build JSON for the top three levels: depth 2 without children, then depth 1, then the root
-    d = n.join(leaves.select("image_id", "node_id", "depth"), ["image_id", "node_id"])
-    two = d.where("depth = 2").groupBy("image_id", F.col("parent_id").alias("node_id")).agg(F.collect_list(F.struct(F.col("node_id").alias("id"), "type", F.struct("x", "y", "w", "h").alias("bbox"))).alias("c2"))
-    one = d.where("depth = 1").join(two, ["image_id", "node_id"], "left").groupBy("image_id").agg(F.collect_list(part(d, F.col("c2"))).alias("c1"))
-    root = d.where("depth = 0").join(one, "image_id", "left").select("image_id", F.to_json(part(d, F.col("c1"))).alias("tree"))
+SELECT w.image_id, w.node_id, w.parent_id, w.depth, n.type, n.x FROM w JOIN nodes n ON n.image_id = w.image_id AND n.node_id = w.node_id WHERE w.depth >= 1""")
+def _(t):
+    root = whole_trees(t)
     flat = A.flatten_tree(root, "image_id", "tree")
     return flat.select("image_id", "node_id", "parent_id", "depth", "type", "x")
 
