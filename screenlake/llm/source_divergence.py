@@ -2,8 +2,8 @@
 
 1. *Prefixes.*  A task counts for each language the documents that hold a term with a given prefix
    of ``length`` bytes; a document is whole in one task, so counts add up.  Prefixes in fewer than
-   ``least`` documents drop out, and the next level extends the others to twice their length, until
-   no prefix is left that is not a whole term.  Survivors reach the tasks as bits of a bitmap of
+   ``least`` documents drop out, and the next level extends the others to four times their length,
+   until no prefix is left that is not a whole term.  Survivors reach the tasks as bits of a bitmap of
    fixed size; a wrong bit only lets a row through, which its own count then drops.
 2. *Counts.*  The occurrences of the kept terms by language and source.
 3. *Divergence.*  Shares are smoothed and scaled to 10^9; f is the triangular discrimination of two
@@ -33,8 +33,10 @@ from screenlake.llm import bitmap
 from screenlake.llm.arrow import parts
 from screenlake.session import cut_lineage
 
-#: Bytes of the first prefixes; bytes read at once; distinct terms of documents aggregated at once.
-FIRST, SEGMENT, PAIRS = 4, 4 << 20, 1 << 21
+#: Bytes of the first prefixes, and how much longer those of the next level are.
+FIRST, LONGER = 8, 4
+#: Bytes read at once; distinct terms of documents aggregated at once.
+SEGMENT, PAIRS = 4 << 20, 1 << 21
 #: Sources of a block, and terms of a tile.
 SOURCES, TERMS = 256, 4096
 SCALE = 10**9
@@ -54,14 +56,18 @@ def _pieces(data: bytes, limit: int) -> Iterator[bytes]:
         at = end
 
 
-def _terms(found: list[tuple[int, bytes]]) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
-    """(document, term, occurrences), each term of a document once."""
+def _terms(found: list[tuple[int, bytes]], above: int) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
+    """(document, term, occurrences) of terms of more than ``above`` bytes, each term of a document once."""
     codes = np.frombuffer(b" ".join(d for _, d in found), np.uint8)
     edge = np.diff(np.concatenate([[False], _LETTER[codes], [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    letters = codes[_LETTER[codes]]
+    if above:
+        sizes = ends - starts
+        letters, starts, ends = letters[np.repeat(sizes > above, sizes)], starts[sizes > above], ends[sizes > above]
     doc = np.array([d for d, _ in found], np.int64)[np.searchsorted(np.cumsum([len(d) + 1 for _, d in found]), starts, side="right")]
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-    terms = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(codes[_LETTER[codes]].tobytes())]).dictionary_encode()
+    terms = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters.tobytes())]).dictionary_encode()
     size = max(1, len(terms.dictionary))
     key, counts = np.unique(doc * size + np.asarray(terms.indices), return_counts=True)
     return key // size, pa.DictionaryArray.from_arrays(pa.array((key % size).astype(np.int32)), terms.dictionary), counts
@@ -96,7 +102,7 @@ class _Documents:
         return bitmap.marked(known, np.array(fps, np.uint64))[of]
 
 
-def _each(work: Callable[[_Documents], pa.RecordBatch]) -> Callable:
+def _each(work: Callable[[_Documents], pa.RecordBatch], above: int = 0) -> Callable:
     """Runs ``work`` over whole documents in parts of bounded size, from (lang, source, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,15 +118,15 @@ def _each(work: Callable[[_Documents], pa.RecordBatch]) -> Callable:
                     waiting.append((len(groups) - 1, piece))
                     size += len(piece)
                     if size >= SEGMENT:
-                        done.append(_terms(waiting))
+                        done.append(_terms(waiting, above))
                         pairs += len(done[-1][0])
                         waiting, size = [], 0
                 # a document belongs to one part
                 if waiting and pairs >= PAIRS:
-                    done.append(_terms(waiting))
+                    done.append(_terms(waiting, above))
                     waiting, size = [], 0
         if waiting:
-            done.append(_terms(waiting))
+            done.append(_terms(waiting, above))
         if done:
             yield work(_Documents(groups, done))
 
@@ -132,33 +138,36 @@ def _prefixes(before: int, length: int, survivors) -> Callable:
 
     def work(d: _Documents) -> pa.RecordBatch:
         sizes = np.asarray(pc.binary_length(d.terms)).astype(np.int64)[d.term] if len(d.doc) else np.empty(0, np.int64)
-        ok = sizes > before
-        if survivors is not None:
-            ok &= d.known(np.frombuffer(survivors.value, np.uint8), before)
+        ok = np.ones(len(d.doc), bool) if survivors is None else d.known(np.frombuffer(survivors.value, np.uint8), before)
         cut = pc.binary_slice(d.terms, 0, length).dictionary_encode()
         kinds = len(d.langs)
         key = (np.asarray(cut.indices)[d.term[ok]].astype(np.int64) * 2 + (sizes[ok] <= length)) * kinds + d.lang[ok]
         width = max(1, 2 * len(cut.dictionary) * kinds)
         key, docs = np.unique(np.unique(d.doc[ok] * width + key) % width, return_counts=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(d.langs, object)[key % kinds], pa.string()), cut.dictionary.take(pa.array(key // kinds // 2)), pa.array(key // kinds % 2 == 1), pa.array(docs)], names=["lang", "term", "whole", "docs"]
+            [pa.array(d.langs, pa.string()).take(pa.array(key % kinds)), cut.dictionary.take(pa.array(key // kinds // 2)), pa.array(key // kinds % 2 == 1), pa.array(docs)], names=["lang", "term", "whole", "docs"]
         )
 
-    return _each(work)
+    return _each(work, before)
 
 
 def _occurrences(kept) -> Callable:
-    """(lang, source, term, n) of terms that may be kept."""
+    """(lang, term, in) of terms that may be kept; ``in`` holds the occurrences by source."""
 
     def work(d: _Documents) -> pa.RecordBatch:
         ok = d.known(np.frombuffer(kept.value, np.uint8), None)
-        pairs = sorted(set(d.groups))
-        number = {g: i for i, g in enumerate(pairs)}
+        groups = sorted(set(d.groups))
+        number = {g: i for i, g in enumerate(groups)}
         group = np.array([number[g] for g in d.groups], np.int64)[d.doc[ok]]
-        key, of = np.unique(d.term[ok] * len(pairs) + group, return_inverse=True)
+        key, of = np.unique(d.term[ok] * len(groups) + group, return_inverse=True)
         n = np.bincount(of, d.count[ok], len(key)).astype(np.int64)
-        lang, source = (np.array([p[i] for p in pairs], object)[key % len(pairs)] for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), d.terms.take(pa.array(key // len(pairs))), pa.array(n)], names=["lang", "source", "term", "n"])
+        # the groups of a language stand together, so a term's sources of one language do too
+        lang = np.array([d.langs.index(g[0]) for g in groups], np.int64)[key % len(groups)]
+        term = key // len(groups)
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])])) if len(key) else np.empty(0, np.int64)
+        entries = pa.StructArray.from_arrays([pa.array([g[1] for g in groups], pa.string()).take(pa.array(key % len(groups))), pa.array(n)], names=["source", "n"])
+        found = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), entries)
+        return pa.RecordBatch.from_arrays([pa.array(d.langs, pa.string()).take(pa.array(lang[first])), d.terms.take(pa.array(term[first])), found], names=["lang", "term", "in"])
 
     return _each(work)
 
@@ -175,14 +184,16 @@ def kept_terms(docs: DataFrame, least: int = 10) -> DataFrame:
         if longer.isEmpty():
             return found
         survivors = spark.sparkContext.broadcast(bitmap.build(longer.select(F.xxhash64("lang", "term").alias("fp"))))
-        before, length = length, 2 * length
+        before, length = length, LONGER * length
 
 
 def term_counts(docs: DataFrame, least: int = 10) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, n), n > 0, of the kept terms, and the kept terms."""
     kept = cut_lineage(kept_terms(docs, least))
     bits = docs.sparkSession.sparkContext.broadcast(bitmap.build(kept.select(F.xxhash64("lang", "term").alias("fp"))))
-    rows = docs.mapInArrow(_occurrences(bits), "lang string, source string, term binary, n long")
+    rows = docs.mapInArrow(_occurrences(bits), "lang string, term binary, in array<struct<source: string, n: bigint>>")
+    # dealt by term before the sources become rows; the sums need no exchange of their own
+    rows = rows.repartition("lang", "term").select("lang", "term", F.inline("in"))
     counted = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"], "left_semi")
     return cut_lineage(counted), kept
 
