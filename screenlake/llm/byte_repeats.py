@@ -27,10 +27,10 @@ from screenlake.llm.arrow import parts
 def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``kept`` (the remaining bytes), ``n_bytes``, ``n_removed``
     and ``n_spans``, the number of removed runs."""
-    if window < 8:
-        raise ValueError("a window has at least 8 bytes")
+    if window < 9:
+        raise ValueError("a window has at least 9 bytes")
     plan = repeats.Plan(repeats.ByteUnits, window, 1 << (window // 3).bit_length() - 1, 1)
-    dealt, spans, tagged = repeats.repeated_spans(docs, plan, doc_id, text)
+    dealt, spans = repeats.repeated_spans(docs, plan, doc_id, text)
     added = [("kept", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType())]
     names = [c for c in docs.columns if c not in (text, *(n for n, _ in added))]
 
@@ -39,7 +39,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
             kept, totals, removed, runs = [], [], [], []
             for value, found in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
                 data = (value or "").encode()
-                start, end = repeats.covered(found, repeats._tags(data, tagged), window)
+                start, end = repeats.covered(found, window)
                 left, at = [], 0
                 for a, b in zip(start.tolist(), end.tolist(), strict=True):
                     left.append(data[at:a])
@@ -53,6 +53,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
                 [*(batch.column(i) for i in range(len(names))), pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in (totals, removed, runs))], names=[*names, *(n for n, _ in added)]
             )
 
-    joined = dealt.join(spans, F.col(doc_id) == F.col("__doc"), "left")
+    joined = repeats.joined(dealt, spans, doc_id)
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(n, t) for n, t in added])
     return joined.select(*[F.col(f"`{c}`") for c in names], F.col(text), "__spans").mapInArrow(run, schema)

@@ -199,18 +199,18 @@ class Plan:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges of windows, joined where they touch."""
+def _merged(doc: np.ndarray, tag: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of windows of each row, joined where they touch."""
     if not len(doc):
-        return doc, low, high
-    order = np.lexsort((low, doc))
-    doc, low, high = doc[order], low[order], high[order]
-    change = np.concatenate([[True], doc[1:] != doc[:-1]])
+        return doc, tag, low, high
+    order = np.lexsort((low, tag, doc))
+    doc, tag, low, high = doc[order], tag[order], low[order], high[order]
+    change = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
     group = np.cumsum(change)
     span = np.int64(high.max() - low.min() + 2)
     reach = np.maximum.accumulate(high - low.min() + group * span) - group * span + low.min()
     new = np.flatnonzero(change | np.concatenate([[True], low[1:] > reach[:-1] + 1]))
-    return doc[new], low[new], reach[np.append(new[1:], len(doc)) - 1]
+    return doc[new], tag[new], low[new], reach[np.append(new[1:], len(doc)) - 1]
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -229,40 +229,32 @@ def _numbers(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.asarray(c) for c in batch.columns]
 
 
-def _own_key(doc: np.ndarray) -> np.ndarray:
+def _own_key(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
     """Negative keys for rows that only pass through, spread by document."""
-    return -1 - (_mixed(doc.view(np.uint64)) & _48).astype(np.int64)
+    return -1 - (_mixed(doc.view(np.uint64) ^ tag.view(np.uint64)) & _48).astype(np.int64)
 
 
-# the first window of a row is kept with a tag of its text, for rows that share an id
-TAG_SHIFT = 36
 #: Low bits of a packed anchor row: the number of windows, and whether the block is indexed.
 LENGTH_BITS = 11
 
 
-def _tags(data: bytes, tagged: bool) -> int:
-    import zlib
-
-    return (zlib.crc32(data) & 0xFFFF) << TAG_SHIFT if tagged else 0
-
-
 SETTLED, OPEN, APART = -1, -2, -3  # what is known of the windows of a row
 
 
-def _passing(doc: np.ndarray, says: int, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+def _passing(doc: np.ndarray, tag: np.ndarray, says: int, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
     """Rows that are only handed on: what they say and their length stand in place of a text name."""
-    return _batch(h=_own_key(doc), c=-1 - ((high - low) * 2 + (says == APART)), doc=doc, at=low << LENGTH_BITS)
+    return _batch(h=_own_key(doc, tag), c=-1 - ((high - low) * 2 + (says == APART)), doc=doc, tag=tag, at=low << LENGTH_BITS)
 
 
 def _packed(low: np.ndarray, high: np.ndarray, index: np.ndarray) -> np.ndarray:
     return low << LENGTH_BITS | (high - low) << 1 | index
 
 
-def _anchor_rows(plan: Plan, tagged: bool) -> Callable:
+def _anchor_rows(plan: Plan) -> Callable:
     def send(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        doc, block, text, low, high, index = (np.concatenate(c) for c in zip(*parts, strict=True))
+        doc, tag, block, text, low, high, index = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.lexsort((doc, text, block))
-        doc, block, text, low, high, index = (x[order] for x in (doc, block.astype(np.int64), text.astype(np.int64), low, high, index))
+        doc, tag, block, text, low, high, index = (x[order] for x in (doc, tag, block.astype(np.int64), text.astype(np.int64), low, high, index))
         same = _groups(block, text)
         begin = np.searchsorted(same, np.arange(same[-1] + 1))
         later = doc > doc[begin][same]
@@ -270,15 +262,15 @@ def _anchor_rows(plan: Plan, tagged: bool) -> Callable:
         texts = np.bincount(of[begin])[of]
         many = (texts >= MANY) & ~later
         one = ~later & ~many
-        yield _batch(h=block[one], c=text[one], doc=doc[one], at=_packed(low[one], high[one], index[one]))
+        yield _batch(h=block[one], c=text[one], doc=doc[one], tag=tag[one], at=_packed(low[one], high[one], index[one]))
         # a witness for each block that is settled window by window
         witness = np.flatnonzero(many & np.concatenate([[True], of[1:] != of[:-1]]))
         known = np.zeros(of[-1] + 1, bool)
         np.logical_or.at(known, of, index)
-        yield _batch(h=block[witness], c=np.full(len(witness), APART), doc=doc[witness], at=known[of[witness]].astype(np.int64))
+        yield _batch(h=block[witness], c=np.full(len(witness), APART), doc=doc[witness], tag=tag[witness], at=known[of[witness]].astype(np.int64))
         for rows, says in ((later, SETTLED), (many, APART)):
-            d, a, b = _merged(doc[rows], low[rows], high[rows])
-            yield _passing(d, says, a, b)
+            d, t, a, b = _merged(doc[rows], tag[rows], low[rows], high[rows])
+            yield _passing(d, t, says, a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, waiting, size, total = [], [], 0, 0
@@ -286,15 +278,15 @@ def _anchor_rows(plan: Plan, tagged: bool) -> Callable:
         def work(pieces: list[tuple[int, int, Piece]]):
             piece, block, text, low, high, index = plan.anchors([p for _, _, p in pieces])
             ids, tags = np.array([d for d, _, _ in pieces], np.int64), np.array([t for _, t, _ in pieces], np.int64)
-            parts.append((ids[piece], block, text, low + tags[piece], high + tags[piece], index))
+            parts.append((ids[piece], tags[piece], block, text, low, high, index))
 
         for batch in slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text, tag in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if doc is None or not text:
                     continue
                 data = text.encode()
                 for piece in plan.units.pieces(0, data, plan.window):
-                    waiting.append((doc, _tags(data, tagged), piece))
+                    waiting.append((doc, tag, piece))
                     size += len(piece[2])
                     total += len(piece[2])
                     if size >= CHUNK:
@@ -330,17 +322,17 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, says, h, low, high) from sorted anchor rows."""
+    """(doc, tag, says, h, low, high) from sorted anchor rows."""
     for batch in _whole_groups(batches):
-        h, c, doc, at = _numbers(batch)
+        h, c, doc, tag, at = _numbers(batch)
         order = np.lexsort((doc, c, h))
-        h, c, doc, at = (x[order] for x in (h, c, doc, at))
+        h, c, doc, tag, at = (x[order] for x in (h, c, doc, tag, at))
         low = at >> LENGTH_BITS
         passing = h < 0
         if passing.any():
             says = -1 - c[passing]
-            yield _batch(doc=doc[passing], says=np.where(says & 1, APART, SETTLED).astype(np.int8), h=np.zeros(len(says), np.int64), low=low[passing], high=low[passing] + (says >> 1))
-        h, c, doc, at, low = (x[~passing] for x in (h, c, doc, at, low))
+            yield _batch(doc=doc[passing], tag=tag[passing], says=np.where(says & 1, APART, SETTLED).astype(np.int8), h=np.zeros(len(says), np.int64), low=low[passing], high=low[passing] + (says >> 1))
+        h, c, doc, tag, at, low = (x[~passing] for x in (h, c, doc, tag, at, low))
         i, high = (at & 1).astype(bool), low + ((at & (1 << LENGTH_BITS) - 1) >> 1)
         if not len(h):
             continue
@@ -351,63 +343,54 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.logical_or.at(indexed, of, i)
         np.logical_or.at(apart, of, c == APART)
         opened = ~later & (c >= 0) & ((texts > 1) & indexed | apart)[of]
-        d, a, b = _merged(doc[later], low[later], high[later])
-        yield _batch(doc=d, says=np.full(len(d), SETTLED, np.int8), h=np.zeros(len(d), np.int64), low=a, high=b)
+        d, t, a, b = _merged(doc[later], tag[later], low[later], high[later])
+        yield _batch(doc=d, tag=t, says=np.full(len(d), SETTLED, np.int8), h=np.zeros(len(d), np.int64), low=a, high=b)
         says = np.where(apart[of[opened]], APART, OPEN).astype(np.int8)
-        yield _batch(doc=doc[opened], says=says, h=h[opened], low=low[opened], high=high[opened])
-
-
-def _mine(spans: list[dict], tag: int) -> list[tuple[int, int, int, int]]:
-    """(says, h, low, high) of the spans of the row with this tag."""
-    return [(s["says"], s["h"], s["low"] - tag, s["high"] - tag) for s in spans or () if s["low"] >> TAG_SHIFT == tag >> TAG_SHIFT]
+        yield _batch(doc=doc[opened], tag=tag[opened], says=says, h=h[opened], low=low[opened], high=high[opened])
 
 
-def _window_rows(plan: Plan, tagged: bool) -> Callable:
-    """(key, doc, low, high, names) of open windows, from (doc, text, spans)."""
+def _window_rows(plan: Plan) -> Callable:
+    """(key, doc, tag, low, high, names) of open windows, from (doc, text, tag, spans)."""
 
     def send(lists: list[tuple], single: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if lists:
-            key, doc, low, high, names = zip(*lists, strict=True)
-            yield _batch(key=np.array(key, np.int64), doc=np.array(doc, np.int64), low=np.array(low, np.int64), high=np.array(high, np.int64), names=pa.array(names, pa.binary()))
+            key, doc, tag, low, high, names = zip(*lists, strict=True)
+            yield _batch(key=np.array(key, np.int64), doc=np.array(doc, np.int64), tag=np.array(tag, np.int64), low=np.array(low, np.int64), high=np.array(high, np.int64), names=pa.array(names, pa.binary()))
         if single:
-            doc, low, name = (np.concatenate(c) for c in zip(*single, strict=True))
+            doc, tag, low, name = (np.concatenate(c) for c in zip(*single, strict=True))
             order = np.lexsort((doc, name))
-            doc, low, name = doc[order], low[order], name[order]
+            doc, tag, low, name = doc[order], tag[order], low[order], name[order]
             same = _groups(name)
             later = doc > doc[np.searchsorted(same, np.arange(same[-1] + 1))][same]
-            d, a, b = _merged(doc[later], low[later], low[later])
-            yield _batch(key=_own_key(d), doc=d, low=a, high=b, names=pa.nulls(len(d), pa.binary()))
-            doc, low, name = doc[~later], low[~later], name[~later]
-            yield _batch(key=(_mixed(name) >> np.uint64(1)).astype(np.int64), doc=doc, low=low, high=low, names=pa.array([x.tobytes() for x in name], pa.binary()))
+            d, t, a, b = _merged(doc[later], tag[later], low[later], low[later])
+            yield _batch(key=_own_key(d, t), doc=d, tag=t, low=a, high=b, names=pa.nulls(len(d), pa.binary()))
+            doc, tag, low, name = doc[~later], tag[~later], low[~later], name[~later]
+            yield _batch(key=(_mixed(name) >> np.uint64(1)).astype(np.int64), doc=doc, tag=tag, low=low, high=low, names=pa.array([x.tobytes() for x in name], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, single, size = [], [], 0
         for batch in slices(batches):
-            for doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if doc is None or not text:
+            for doc, text, tag, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if doc is None or not text or not spans:
                     continue
                 data = text.encode()
-                tag = _tags(data, tagged)
-                mine = _mine(spans, tag)
-                if not mine:
-                    continue
                 for piece in plan.units.pieces(0, data, plan.window):
                     names = run_names(plan.units.names([piece[2]])[0], plan.window)
                     from_, upto = piece[1], piece[1] + len(names) - 1
                     places = []
-                    for says, h, low, high in mine:
-                        low, high = max(low, from_), min(high, upto)
+                    for span in spans:
+                        low, high = max(span["low"], from_), min(span["high"], upto)
                         if low > high:
                             continue
-                        if says == OPEN:
+                        if span["says"] == OPEN:
                             got = plan.units.payload(piece[2], names, low - from_, high - from_, plan.window)
-                            lists.append((h, doc, low + tag, high + tag, got))
+                            lists.append((span["h"], doc, tag, low, high, got))
                             size += len(got) + 40
                         else:
                             places.append(np.arange(low, high + 1))
                     if places:
                         places = np.unique(np.concatenate(places))
-                        single.append((np.full(len(places), doc), places + tag, names[places - from_]))
+                        single.append((np.full(len(places), doc), np.full(len(places), tag), places, names[places - from_]))
                         size += 40 * len(places)
                     if size >= FLUSH * 4:
                         yield from send(lists, single)
@@ -418,65 +401,75 @@ def _window_rows(plan: Plan, tagged: bool) -> Callable:
 
 
 def _settle(plan: Plan) -> Callable:
-    """(doc, low, high) of the windows that an earlier document has, from rows sorted by key."""
+    """(doc, tag, low, high) of the windows that an earlier document has, from rows sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
-            passing = pa.compute.is_null(batch.column(4))
+            passing = pa.compute.is_null(batch.column(5))
             aside = batch.filter(passing)
             if aside.num_rows:
-                yield _batch(doc=np.asarray(aside.column(1)), low=np.asarray(aside.column(2)), high=np.asarray(aside.column(3)))
+                yield _batch(doc=np.asarray(aside.column(1)), tag=np.asarray(aside.column(2)), low=np.asarray(aside.column(3)), high=np.asarray(aside.column(4)))
             rows = batch.filter(pa.compute.invert(passing))
             if rows.num_rows:
                 yield from settle(rows)
 
     def settle(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         # 8 bytes are the name of one window, sent alone or as a list of one: both meet the lists of their key
-        one = pa.compute.equal(pa.compute.binary_length(rows.column(4)), 8)
+        one = pa.compute.equal(pa.compute.binary_length(rows.column(5)), 8)
         ones = pa.compute.sum(one).as_py()
         rows = pa.Table.from_batches([rows.filter(one), rows.filter(pa.compute.invert(one))]).combine_chunks()
-        key, doc, low, high = (np.asarray(rows.column(k)) for k in range(4))
+        key, doc, tag, low, high = (np.asarray(rows.column(k)) for k in range(5))
         n = high - low + 1
-        payloads = rows.column(4).to_pylist()
+        payloads = rows.column(5).to_pylist()
         name = np.frombuffer(b"".join(payloads[:ones]), np.uint64) if ones else np.empty(0, np.uint64)
         if ones < len(payloads):
             name = np.concatenate([name, plan.units.window_names(payloads[ones:], n[ones:], plan.window)])
         row = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(row)) - (np.cumsum(n) - n)[row] + low[row]
-        key, doc = key[row], doc[row]
+        key, doc, tag = key[row], doc[row], tag[row]
         order = np.lexsort((doc, name, key))
-        key, doc, name, place = key[order], doc[order], name[order], place[order]
+        key, doc, tag, name, place = key[order], doc[order], tag[order], name[order], place[order]
         same = _groups(key, name)
         later = doc > doc[np.searchsorted(same, np.arange(same[-1] + 1))][same]
-        d, a, b = _merged(doc[later], place[later], place[later])
-        yield _batch(doc=d, low=a, high=b)
+        d, t, a, b = _merged(doc[later], tag[later], place[later], place[later])
+        yield _batch(doc=d, tag=t, low=a, high=b)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, plan: Plan, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, bool]:
-    """Documents dealt out by id, the ranges of windows to remove by id, and whether ids repeat."""
+def repeated_spans(docs: DataFrame, plan: Plan, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Documents dealt out by id with a ``__tag`` that tells rows of one id apart, and the ranges
+    of windows to remove by ``__doc`` and ``__of``, the id and tag."""
     ids = docs.groupBy(F.col(doc_id).alias("doc")).count()
-    tagged = not ids.where("doc IS NOT NULL AND count > 1").isEmpty()
+    repeats = not ids.where("doc IS NOT NULL AND count > 1").isEmpty()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    body = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    anchors = body.mapInArrow(_anchor_rows(plan, tagged), "h long, c long, doc long, at long")
-    ranked = cut_lineage(anchors.repartition("h").sortWithinPartitions("h").mapInArrow(_rank, "doc long, says byte, h long, low long, high long"))
-    dealt = docs.repartition(n, F.col(doc_id))
-    opened = ranked.where(F.col("says") != SETTLED).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("says", "h", "low", "high")).alias("__spans"))
+    # rows of one id with equal texts lose the same; rows without an id are only dealt by it
+    tag = F.xxhash64(text) if repeats else F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+    tagged = docs.withColumn("__tag", tag)
+    body = tagged.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"), "__tag")
+    anchors = body.mapInArrow(_anchor_rows(plan), "h long, c long, doc long, tag long, at long")
+    ranked = cut_lineage(anchors.repartition("h").sortWithinPartitions("h").mapInArrow(_rank, "doc long, tag long, says byte, h long, low long, high long"))
+    dealt = tagged.repartition(n, F.col(doc_id), F.col("__tag"))
+    row = [F.col("doc").alias("__doc"), F.col("tag").alias("__of")]
+    opened = ranked.where(F.col("says") != SETTLED).groupBy(*row).agg(F.collect_list(F.struct("says", "h", "low", "high")).alias("__spans"))
     # a left join and no filter: so both uses of the dealt documents are one exchange
-    asked = dealt.join(opened, F.col(doc_id) == F.col("__doc"), "left").select(F.col(doc_id).cast("bigint").alias("doc"), F.when(F.col("__spans").isNotNull(), F.col(text)).alias("text"), F.col("__spans").alias("spans"))
-    windows = asked.mapInArrow(_window_rows(plan, tagged), "key long, doc long, low long, high long, names binary")
-    settled = windows.repartition("key").sortWithinPartitions("key").mapInArrow(_settle(plan), "doc long, low long, high long")
-    spans = ranked.where(F.col("says") == SETTLED).select("doc", "low", "high").unionByName(settled)
-    return dealt, spans.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("low", "high")).alias("__spans")), tagged
+    asked = joined(dealt, opened, doc_id).select(F.col(doc_id).cast("bigint").alias("doc"), F.when(F.col("__spans").isNotNull(), F.col(text)).alias("text"), "__tag", F.col("__spans").alias("spans"))
+    windows = asked.mapInArrow(_window_rows(plan), "key long, doc long, tag long, low long, high long, names binary")
+    settled = windows.repartition("key").sortWithinPartitions("key").mapInArrow(_settle(plan), "doc long, tag long, low long, high long")
+    spans = ranked.where(F.col("says") == SETTLED).select("doc", "tag", "low", "high").unionByName(settled)
+    return dealt, spans.groupBy(*row).agg(F.collect_list(F.struct("low", "high")).alias("__spans"))
+
+
+def joined(dealt: DataFrame, spans: DataFrame, doc_id: str) -> DataFrame:
+    """Every dealt document with its spans, if it has any."""
+    return dealt.join(spans, (F.col(doc_id) == F.col("__doc")) & (F.col("__tag") == F.col("__of")), "left")
 
 
-def covered(spans: list[dict] | None, tag: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+def covered(spans: list[dict] | None, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of units under the windows of one row."""
-    mine = [(s["low"] - tag, s["high"] - tag) for s in spans or () if s["low"] >> TAG_SHIFT == tag >> TAG_SHIFT]
-    if not mine:
+    if not spans:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    low, high = np.array(mine, np.int64).T
-    _, a, b = _merged(np.zeros(len(low), np.int64), low, high + window - 1)
+    low, high = np.array([(s["low"], s["high"]) for s in spans], np.int64).T
+    same = np.zeros(len(low), np.int64)
+    _, _, a, b = _merged(same, same, low, high + window - 1)
     return a, b + 1

@@ -31,7 +31,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, block: int = 5, doc_id: st
     if not 0 < 3 * block <= window:
         raise ValueError("a window holds at least three blocks")
     plan = repeats.Plan(repeats.WordUnits, window, block, block)
-    dealt, spans, tagged = repeats.repeated_spans(docs, plan, doc_id, text)
+    dealt, spans = repeats.repeated_spans(docs, plan, doc_id, text)
     added = [("kept", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType())]
     names = [c for c in docs.columns if c not in (text, *(n for n, _ in added))]
 
@@ -41,7 +41,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, block: int = 5, doc_id: st
             for value, found in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
                 data = (value or "").encode()
                 words = _WORD.findall(data)
-                start, end = repeats.covered(found, repeats._tags(data, tagged), window)
+                start, end = repeats.covered(found, window)
                 left, at = [], 0
                 for a, b in zip(start.tolist(), end.tolist(), strict=True):
                     left += words[at:a]
@@ -51,6 +51,6 @@ def remove_repeats(docs: DataFrame, window: int = 50, block: int = 5, doc_id: st
                 removed.append(int((end - start).sum()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(kept, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=[*names, *(n for n, _ in added)])
 
-    with_spans = dealt.join(spans, F.col(doc_id) == F.col("__doc"), "left")
+    with_spans = repeats.joined(dealt, spans, doc_id)
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(n, t) for n, t in added])
     return with_spans.select(*[F.col(f"`{c}`") for c in names], F.col(text), "__spans").mapInArrow(run, schema)

@@ -504,7 +504,7 @@ def test_queries_and_pipeline(spark, tmp_path):
     import corpus_pipeline
     from screenlake.llm.queries import QUERIES
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     table = pd.read_parquet(f"{SOURCE}/documents.parquet")
     rows = list(zip(table.doc_id.tolist(), table.text.tolist()))
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.keep_known_language(spark, spark.read.parquet(f"{SOURCE}/documents.parquet"), SOURCE).collect()}
