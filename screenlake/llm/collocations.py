@@ -3,26 +3,26 @@
 1. *Fingerprints.*  A task numbers the words of a chunk of texts, sums their names into a prefix
    polynomial and so has the 64-bit fingerprint of every n-gram by one subtraction.  n-grams of
    a chunk are told apart by their word numbers, not by fingerprints.
-2. *Aggregation.*  One row per chunk and n-gram (fingerprint, count, pointer to an occurrence) is
-   dealt by fingerprint; fingerprints below ``least`` occurrences drop out.  An n-gram is only sent
-   if both n-grams of one word less inside it may be frequent: their fingerprints are marked in a
-   bitmap of fixed size.  A full bitmap sends more rows and changes no result.
-3. *Verification.*  The pointers of the rows left are followed into the texts and counts are added
-   up by the words found there, so phrases that share a fingerprint part again.  Only here is a
-   phrase made into a string.
+2. *Aggregation.*  One row per chunk and n-gram (fingerprint, count, and in one number a check of 31
+   bits from a second polynomial and a pointer to a document) is dealt by fingerprint; what has less
+   than ``least`` occurrences drops out.  An n-gram is only sent if both n-grams of one word less
+   inside it may be frequent: their fingerprints are marked in a bitmap of fixed size.  A full
+   bitmap sends more rows and changes no result.
+3. *Verification.*  The least and the greatest pointer of each fingerprint left are followed into the
+   texts, which must agree, or the job ends with an error; only here is a phrase made into a string.
+   Two phrases are taken for one if they share 95 bits and lie outside both pointers.
 4. *Scores.*  Counts of the parts of a phrase are counts of frequent phrases too; joins and decimals
    do the rest.
 
 Pieces are what stands between ``.,;:!?`` and line ends; words are what stands between blanks and
 tabs; A-Z is lower-cased.  Defined cases: a null text is empty, a null language is ``und``; a text
 of any length is read in segments that share n - 1 words; ids are not used, so nulls and repeats
-among them do nothing; a repeated row counts each time; ties of the score go to more occurrences,
+among them do nothing; a repeated row counts each time; the documents are read once for each length; ties of the score go to more occurrences,
 then to the phrase first in byte order; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +36,9 @@ from screenlake.llm.repeats import BASE, _mixed, _power, _powers
 from screenlake.session import cut_lineage
 
 #: Bytes of text whose n-grams a task aggregates at once, and bytes of a long text read at once.
-CHUNK, SEGMENT = 8 << 20, 1 << 20
+CHUNK, SEGMENT = 4 << 20, 1 << 20
+#: Odd multipliers of the two polynomials.
+BASES = (BASE, 0xC2B2AE3D27D4EB4F)
 #: Rows of a language are ranked in so many parts before they are ranked together.
 PARTS = 64
 
@@ -52,9 +54,9 @@ def _bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def segments(data: bytes, n: int, limit: int = SEGMENT) -> Iterator[tuple[int, bytes]]:
-    """(number of the first word, part): together the parts hold every run of ``n`` words once."""
-    at, first, room = 0, 0, limit
+def segments(data: bytes, n: int, limit: int = SEGMENT) -> Iterator[bytes]:
+    """Parts of ``data`` that together hold every run of ``n`` words once."""
+    at, room = 0, limit
     while at + room < len(data):
         part = data[at : at + room]
         starts, ends = _bounds(np.frombuffer(part, np.uint8))
@@ -66,25 +68,23 @@ def segments(data: bytes, n: int, limit: int = SEGMENT) -> Iterator[tuple[int, b
             else:
                 room *= 2
             continue
-        yield first, part[: ends[whole - 1]]
-        at, first, room = at + int(starts[whole - n + 1]) if n > 1 else at + int(ends[whole - 1]), first + whole - n + 1, limit
-    yield first, data[at:]
+        yield part[: ends[whole - 1]]
+        at, room = at + int(starts[whole - n + 1] if n > 1 else ends[whole - 1]), limit
+    yield data[at:]
 
 
 class _Chunk:
-    """The words of many segments: numbers, names, pieces and places."""
+    """The words of many segments (row, text): numbers, names and pieces."""
 
-    def __init__(self, segments: list[tuple[int, int, bytes]], langs: list[str]):
+    def __init__(self, segments: list[tuple[int, bytes]], langs: list[str]):
         import xxhash
 
-        codes = np.frombuffer(b"\n".join(s for _, _, s in segments), np.uint8)
+        codes = np.frombuffer(b"\n".join(s for _, s in segments), np.uint8)
         starts, ends = _bounds(codes)
         self.piece = np.cumsum(_SPLIT[codes], dtype=np.int32)[starts]
-        segment_ends = np.cumsum([len(s) + 1 for _, _, s in segments])
+        segment_ends = np.cumsum([len(s) + 1 for _, s in segments])
         segment = np.searchsorted(segment_ends, starts, side="right")
-        first = np.searchsorted(starts, segment_ends - [len(s) + 1 for _, _, s in segments])
-        self.row = np.array([r for r, _, _ in segments], np.int64)[segment]
-        self.place = np.arange(len(starts)) - first[segment] + np.array([p for _, p, _ in segments], np.int64)[segment]
+        self.row = np.array([r for r, _ in segments], np.int64)[segment]
         offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
         letters = codes[~_GAP[codes]].tobytes()
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters)]).dictionary_encode()
@@ -92,22 +92,38 @@ class _Chunk:
         lang = np.array([kinds.index(x) for x in langs], np.int64)[segment]
         self.kinds = len(words.dictionary) * len(kinds)
         self.ids = np.asarray(words.indices).astype(np.int64) * len(kinds) + lang
-        name = np.array([xxhash.xxh64_intdigest(w.as_py()) for w in words.dictionary], np.uint64)
-        of_lang = np.array([xxhash.xxh64_intdigest(k.encode(), 1) for k in kinds], np.uint64)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(name[np.asarray(words.indices)] + of_lang[lang]) * _powers(len(starts), BASE), dtype=np.uint64)])
-        self.inverse = _powers(len(starts), pow(BASE, -1, 1 << 64))
-
-    def fingerprints(self, n: int) -> np.ndarray:
+        self.sums, self.inverse = [], []
+        # a second polynomial with names and a base of its own for the check
+        for seed, base in enumerate(BASES):
+            name = np.array([xxhash.xxh64_intdigest(w.as_py(), seed) for w in words.dictionary], np.uint64)
+            of_lang = np.array([xxhash.xxh64_intdigest(k.encode(), seed) for k in kinds], np.uint64)
+            terms = _mixed(name[np.asarray(words.indices)] + _mixed(of_lang)[lang]) * _powers(len(starts), base)
+            self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)]))
+            self.inverse.append(_powers(len(starts), pow(base, -1, 1 << 64)))
+        self.starts, self.ends, self.codes = starts, ends, codes
+
+    def fingerprints(self, n: int, which: int = 0) -> np.ndarray:
         """Of the n words that start at each word; also where they are of several pieces."""
-        run = self.sums[n:] - self.sums[: len(self.sums) - n]
-        return _mixed(run * self.inverse[: len(run)] + _power(n))
+        sums, w = self.sums[which], max(0, len(self.ids) - n + 1)
+        return _mixed((sums[n:] - sums[:w]) * self.inverse[which][:w] + _power(n))
+
+    def checks(self, n: int) -> np.ndarray:
+        return self.fingerprints(n, 1) >> np.uint64(33)
+
+    def inside(self, n: int) -> np.ndarray:
+        """Whether the n words that start at each word are of one piece."""
+        w = max(0, len(self.ids) - n + 1)
+        return self.piece[:w] == self.piece[len(self.piece) - w :]
+
+    def text(self, at: int, n: int) -> str:
+        return b" ".join(self.codes[a:b].tobytes() for a, b in zip(self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist(), strict=True)).decode()
 
     def occurrences(self, n: int, known: np.ndarray | None) -> tuple[np.ndarray, ...]:
-        """(fingerprint, count, row, place) of each distinct n-gram."""
+        """(fingerprint, check, count, row, first word) of each distinct n-gram."""
         w = len(self.ids) - n + 1
         if w <= 0:
-            return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
-        ok = self.piece[:w] == self.piece[n - 1 :]
+            return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        ok = self.inside(n)
         if known is not None:
             shorter = bitmap.marked(known, self.fingerprints(n - 1))
             ok &= shorter[:w] & shorter[1 : w + 1]
@@ -119,24 +135,24 @@ class _Chunk:
             key = key * self.kinds + self.ids[at + k]
         _, first, counts = np.unique(key, return_index=True, return_counts=True)
         at = at[first]
-        return self.fingerprints(n)[at], counts, self.row[at], self.place[at]
+        return self.fingerprints(n)[at], self.checks(n)[at], counts, self.row[at], at
 
 
 def _counted(n: int, frequent) -> Callable:
-    """(fp, count, row, at) per chunk from (lang, text, row)."""
+    """(fp, mark, count) per chunk from (lang, text, pointer); a mark is 31 bits of check and 32 of pointer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if frequent is None else np.frombuffer(frequent.value, np.uint8)
         waiting, langs, size = [], [], 0
 
         def send() -> pa.RecordBatch:
-            fp, count, row, place = _Chunk(waiting, langs).occurrences(n, known)
-            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(count), pa.array(row), pa.array(place)], names=["fp", "count", "row", "place"])
+            fp, check, count, pointer, _ = _Chunk(waiting, langs).occurrences(n, known)
+            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(check.astype(np.int64) << 32 | pointer), pa.array(count)], names=["fp", "mark", "count"])
 
         for batch in parts(batches):
-            for lang, text, row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for first, part in segments(text.encode().lower(), n):
-                    waiting.append((row, first, part))
+            for lang, text, pointer in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for part in segments(text.encode().lower(), n):
+                    waiting.append((pointer, part))
                     langs.append(lang)
                     size += len(part)
                     if size >= CHUNK:
@@ -148,56 +164,60 @@ def _counted(n: int, frequent) -> Callable:
     return run
 
 
-def _frequent(held: DataFrame, longest: int, least: int) -> Iterator[tuple[int, DataFrame]]:
-    """(n, rows): the rows of all n-grams whose fingerprints have ``least`` occurrences."""
-    spark, known = held.sparkSession, None
+def _frequent(texts: DataFrame, longest: int, least: int) -> DataFrame:
+    """(fp, check, n_words, f, first, last): fingerprints with ``least`` occurrences and two pointers."""
+    spark, known, found = texts.sparkSession, None, None
     for n in range(1, longest + 1):
-        rows = held.select("lang", "text", "row").mapInArrow(_counted(n, known), "fp long, count long, row long, place long")
-        # a window instead of a join of the totals: the rows are dealt once
-        total = F.sum("count").over(Window.partitionBy("fp"))
-        kept = cut_lineage(rows.withColumn("total", total).where(F.col("total") >= least).drop("total"))
-        yield n, kept
+        rows = texts.mapInArrow(_counted(n, known), "fp long, mark long, count long").repartition("fp")
+        counted = rows.groupBy("fp", F.shiftright("mark", 32).alias("check")).agg(F.sum("count").alias("f"), F.min("mark").alias("first"), F.max("mark").alias("last"))
+        kept = cut_lineage(counted.where(F.col("f") >= least).withColumn("n_words", F.lit(n).cast("long")))
+        found = kept if found is None else found.unionByName(kept)
         if n < longest:
             known = spark.sparkContext.broadcast(bitmap.build(kept))
+    return found
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, check, lang, phrase) of the asked fingerprints, from (lang, text, asked)."""
+    for batch in parts(batches, 64):
+        for lang, text, names in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            wanted: dict[int, set[tuple[int, int]]] = {}
+            for a in names:
+                wanted.setdefault(a["n_words"], set()).add((a["fp"], a["check"]))
+            out = []
+            for n, pairs in wanted.items():
+                keys = np.unique(np.array([fp for fp, _ in pairs], np.int64))
+                for part in segments(text.encode().lower(), n):
+                    chunk = _Chunk([(0, part)], [lang])
+                    fps = chunk.fingerprints(n).view(np.int64)
+                    at = np.minimum(np.searchsorted(keys, fps), len(keys) - 1)
+                    at = np.flatnonzero((keys[at] == fps) & chunk.inside(n))
+                    checks = chunk.checks(n)[at].astype(np.int64)
+                    # one place for each name
+                    first = np.unique(np.stack([fps[at], checks]), axis=1, return_index=True)[1] if len(at) else at
+                    out += [(fp, c, lang, chunk.text(i, n)) for i, fp, c in zip(at[first].tolist(), fps[at][first].tolist(), checks[first].tolist(), strict=True) if (fp, c) in pairs]
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["fp", "check", "lang", "phrase"])
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n_words, f) of all phrases of up to ``longest`` words with ``least``
     occurrences, and (lang, n), the number of words of each language."""
-    held = cut_lineage(docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id()))
-    totals = held.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(r"[^ \t.,;:!?\n-\r]+"))).cast("long").alias("n"))
-    asked = None
-    for n, kept in _frequent(held, longest, least):
-        kept = kept.select("row", F.struct("place", F.lit(n).alias("n"), "count").alias("at"))
-        asked = kept if asked is None else asked.unionByName(kept)
-    # pointers of a row: no more than its text has n-grams
-    asked = asked.groupBy("row").agg(F.collect_list("at").alias("asked"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def send() -> pa.RecordBatch:
-            kinds, phrases, sizes = zip(*counts, strict=True) if counts else ((), (), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.string()), pa.array([p.decode() for p in phrases], pa.string()), pa.array(sizes, pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "n_words", "f"]
-            )
-
-        for batch in parts(batches):
-            for kind, text_, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                data = text_.encode().lower()
-                starts, ends = _bounds(np.frombuffer(data, np.uint8))
-                for p in at:
-                    i, n = p["place"], p["n"]
-                    words = (data[a:b] for a, b in zip(starts[i : i + n].tolist(), ends[i : i + n].tolist(), strict=True))
-                    counts[kind, b" ".join(words), n] += p["count"]
-            if len(counts) > 1 << 18:
-                yield send()
-                counts.clear()
-        yield send()
-
-    found = held.join(asked, "row").select("lang", "text", "asked").mapInArrow(run, "lang string, phrase string, n_words long, f long")
-    counted = found.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return cut_lineage(counted), totals
+    pointer = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("pointer")
+    texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), pointer)
+    totals = texts.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(r"[^ \t.,;:!?\n-\r]+"))).cast("long").alias("n"))
+    found = _frequent(texts, longest, least)
+    ends = F.explode(F.array_distinct(F.transform(F.array("first", "last"), lambda m: m.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))))
+    # no more names for a pointer than its texts have n-grams
+    asked = found.select(ends.alias("pointer"), F.struct("fp", "check", "n_words").alias("name")).groupBy("pointer").agg(F.collect_list("name").alias("asked"))
+    read = texts.join(asked, "pointer").select("lang", "text", "asked").mapInArrow(_resolved, "fp long, check long, lang string, phrase string")
+    read = read.groupBy("fp", "check").agg(F.min(F.struct("lang", "phrase")).alias("one"), F.max(F.struct("lang", "phrase")).alias("other"))
+    counted = found.join(read, ["fp", "check"], "left")
+    one = (
+        F.when(F.col("one") == F.col("other"), F.col("one")).when(F.col("one").isNull(), F.raise_error(F.lit("the documents changed between two readings")))
+        .otherwise(F.raise_error(F.lit("two phrases share 95 bits of fingerprint")))
+    )
+    return cut_lineage(counted.withColumn("one", one).select("one.lang", "one.phrase", "n_words", "f")), totals
 
 
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int = 50, top: int = 2000, lang: str = "lang", text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
 import pytest
 
 from screenlake.llm import byte_repeats, collocations, repeats, secret_scan, source_divergence, word_repeats
@@ -153,27 +154,20 @@ def test_collocations_of_nothing(spark, nothing):
     assert collocations.collocations(spark.createDataFrame([(1, None, None), (2, ". ,", "en")], "doc_id long, text string, lang string")).count() == 0
 
 
-def test_phrases_with_one_fingerprint_part_again(spark, monkeypatch):
-    """All n-grams share few fingerprints: counts still come from the texts."""
-    kept = collocations._Chunk.fingerprints
-    rows = [(1, "a b c. a b d. e f", "en"), (2, "a b c d e f. a b", "en")] * 3
-    chunk = collocations._Chunk([(0, 0, b"a b c. a b"), (1, 0, b"b c")], ["en", "fr"])
-    fp, counts, row, place = chunk.occurrences(2, None)
-    assert sorted(zip(counts.tolist(), row.tolist(), place.tolist())) == [(1, 0, 1), (1, 1, 0), (2, 0, 0)] and len(set(fp.tolist())) == 3
-    monkeypatch.setattr(collocations._Chunk, "fingerprints", lambda self, n: kept(self, n) & 3)
-    # the tasks run in this process for the comparison
-    found = Counter()
-    for n in (1, 2, 3):
-        by = defaultdict(list)
-        c = collocations._Chunk([(i, 0, t.encode()) for i, (_, t, _) in enumerate(rows)], ["en"] * len(rows))
-        for fp, count, row, place in zip(*(x.tolist() for x in c.occurrences(n, None))):
-            by[fp].append((count, row, place))
-        assert len(by) <= 4
-        for hits in by.values():
-            for count, row, place in hits:
-                words = re.findall(r"[^ .]+", rows[row][1])[place : place + n]
-                found[" ".join(words)] += count
-    assert found["a b"] == 12 and found["a b c"] == 6 and found["e f"] == 6
+def test_fingerprints_of_a_chunk(monkeypatch):
+    chunk = collocations._Chunk([(0, b"a b c. a b"), (1, b"b c")], ["en", "fr"])
+    fp, check, counts, row, at = chunk.occurrences(2, None)
+    assert sorted(zip(counts.tolist(), row.tolist(), [chunk.text(i, 2) for i in at.tolist()])) == [(1, 0, "b c"), (1, 1, "b c"), (2, 0, "a b")]
+    assert len(set(fp.tolist())) == len(set(check.tolist())) == 3
+    # the same phrase has the same names in another chunk
+    again = collocations._Chunk([(5, b"x a  b")], ["en"])
+    mine = [chunk.text(i, 2) for i in at.tolist()].index("a b")
+    assert fp[mine] == again.fingerprints(2)[1] and check[mine] == again.checks(2)[1]
+    # where fingerprints collide, n-grams stay apart and checks differ
+    full = collocations._Chunk.fingerprints
+    monkeypatch.setattr(collocations._Chunk, "fingerprints", lambda self, n, which=0: full(self, n, which) & np.uint64(3) if which == 0 else full(self, n, which))
+    fp, check, counts, *_ = collocations._Chunk([(0, b"a b c d e f g a b")], ["en"]).occurrences(2, None)
+    assert len(set(fp.tolist())) <= 4 and len(set(check.tolist())) == 7 and counts.sum() == 8
 
 
 @pytest.mark.parametrize("n", [1, 2, 3])
@@ -181,10 +175,10 @@ def test_segments_hold_every_run_once(n):
     data = " ".join(str(i) * (i % 7 + 1) + "," * (i % 5 == 0) for i in range(500)).encode()
     words = re.findall(rb"[^ ,]+", data)
     got = []
-    for first, part in collocations.segments(data, n, 60):
+    for part in collocations.segments(data, n, 60):
         w = re.findall(rb"[^ ,]+", part)
-        got += [(first + i, tuple(w[i : i + n])) for i in range(len(w) - n + 1)]
-    assert got == [(i, tuple(words[i : i + n])) for i in range(len(words) - n + 1)]
+        got += [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    assert got == [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
 # --- 13: source divergence
