@@ -76,6 +76,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        # the next stage reads its input several times
+        docs = docs if name == STAGES[-1][0] else cut_lineage(docs)
     return docs
