@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
 
-from screenlake.functions.semantics import fold_array
-from screenlake.session import cut_lineage
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
+
+from screenlake.operators.folds import fold_sorted
+from screenlake.operators.ordered import islands
 
 TTL_SECONDS = 3600
-MAX_FOLD = 10_000  # requests of a key that may be folded in one task
 
 
 def cache_key(image: Column, prompt: Column, max_tokens: Column, temperature: Column) -> Column:
@@ -18,56 +20,28 @@ def cache_key(image: Column, prompt: Column, max_tokens: Column, temperature: Co
     return F.concat_ws(":", part(image, 32), part(prompt, 16), part(params, 8))
 
 
-def cache_hits(requests: DataFrame, ttl: int = TTL_SECONDS, max_fold: int = MAX_FOLD) -> DataFrame:
+def cache_hits(requests: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
     """Adds ``hit``: answered from a result that was *computed* less than ``ttl`` seconds
     before.  Hits do not extend the life of a result, so the computed requests of a key
     form a chain: each is the first one at least ``ttl`` after the one before.
 
-    ``requests``: request_id, ts, cache_key.  Keys with few requests are folded; the chain
-    of a busy key is found by pointer doubling over joins."""
+    ``requests``: request_id, ts, cache_key.  A request that comes ``ttl`` after the one before
+    it starts a chain anew whatever came earlier, so a busy key is cut there; each part is one
+    pass that remembers one time."""
+    step = ttl * 1_000_000
     rows = requests.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
     # requests of one key at the same instant share their fate except for the first
-    times = rows.groupBy("cache_key", "_t").agg(F.min("request_id").alias("_first"))
-    sizes = times.groupBy("cache_key").agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.where(F.col("_n") > max_fold).select("cache_key")
-    step = ttl * 1_000_000
-    if big.isEmpty():
-        computed = _fold_chain(times, step)
-    else:
-        big = cut_lineage(big)
-        small = _fold_chain(times.join(big, "cache_key", "left_anti"), step)
-        computed = small.unionByName(_double_chain(times.join(big, "cache_key", "left_semi"), step))
-    computed = computed.join(times, ["cache_key", "_t"]).select("cache_key", "_t", F.col("_first").alias("request_id"), F.lit(True).alias("_computed"))
+    times = rows.groupBy("cache_key", "_t").agg(F.min("request_id").alias("request_id"))
+    parts = islands(times, ["cache_key"], F.col("_t"), ["_t"], ["_t"], lambda p: F.col("_t") - p["_t"] >= step, "_part", band=float(64 * step))
+
+    def chain(group: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
+        for key, _, t, request in group:
+            if last is None or t - last >= step:
+                last = t
+                yield key, t, request, True
+
+    schema = T.StructType([times.schema["cache_key"], times.schema["_t"], times.schema["request_id"], T.StructField("_computed", T.BooleanType())])
+    computed = fold_sorted(parts.select("cache_key", "_part", "_t", "request_id"), ["cache_key", "_part"], ["_t"], schema, chain)
     rows = rows.join(computed, ["cache_key", "_t", "request_id"], "left")
     return rows.withColumn("hit", F.col("_computed").isNull()).drop("_t", "_computed").select(*requests.columns, "hit")
-
-
-def _fold_chain(times: DataFrame, step: int) -> DataFrame:
-    arr = times.groupBy("cache_key").agg(F.array_sort(F.collect_list("_t")).alias("ts"))
-    zero = F.array().cast("array<bigint>")
-    chain = fold_array(F.col("ts"), zero, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) >= step), F.array_append(acc, t)).otherwise(acc))
-    return arr.select("cache_key", F.explode(chain).alias("_t"))
-
-
-def _double_chain(times: DataFrame, step: int) -> DataFrame:
-    """Chain of computed times of busy keys: ``next(t)`` is the first time >= t + step; the
-    reachable set from the first time doubles its length every round."""
-    width = max(step // 64, 1)
-    bucket = lambda c: F.floor(c / width).cast("long")
-    at = times.select("cache_key", F.col("_t").alias("at"), F.lit(None).cast("long").alias("src"))
-    probes = times.select("cache_key", (F.col("_t") + step).alias("at"), F.col("_t").alias("src"))
-    rows = at.unionByName(probes).withColumn("_b", bucket(F.col("at")))
-    inside = F.min(F.when(F.col("src").isNull(), F.col("at"))).over(W.partitionBy("cache_key", "_b").orderBy("at").rangeBetween(0, W.unboundedFollowing))
-    firsts = rows.groupBy("cache_key", "_b").agg(F.min(F.when(F.col("src").isNull(), F.col("at"))).alias("_f"))
-    after = firsts.select("cache_key", "_b", F.min("_f").over(W.partitionBy("cache_key").orderBy("_b").rowsBetween(1, W.unboundedFollowing)).alias("_after"))
-    jumps = rows.withColumn("_in", inside).where(F.col("src").isNotNull()).join(after, ["cache_key", "_b"], "left")
-    jumps = cut_lineage(jumps.select("cache_key", F.col("src").alias("_t"), F.coalesce("_in", "_after").alias("nxt")).where(F.col("nxt").isNotNull()))
-    reach = cut_lineage(times.groupBy("cache_key").agg(F.min("_t").alias("_t")))
-    while True:
-        new = reach.join(jumps, ["cache_key", "_t"]).select("cache_key", F.col("nxt").alias("_t"))
-        new = cut_lineage(new.join(reach, ["cache_key", "_t"], "left_anti").distinct())
-        if new.isEmpty():
-            return reach
-        reach = cut_lineage(reach.unionByName(new))
-        hop = jumps.select("cache_key", F.col("_t").alias("nxt"), F.col("nxt").alias("_far"))
-        jumps = cut_lineage(jumps.join(hop, ["cache_key", "nxt"]).select("cache_key", "_t", F.col("_far").alias("nxt")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from screenlake.functions import geometry as G
-from screenlake.functions.semantics import constant_table, fold_array
+from screenlake.functions.semantics import constant_table
+from screenlake.operators.folds import BoxIndex, fold_sorted
 from screenlake.operators.spatial import touching_pairs
 
 
@@ -31,10 +33,6 @@ def source_diagnostics(cands: DataFrame, expected: list[str]) -> DataFrame:
     return rows.select("source", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "skipped").otherwise("ok").alias("status"))
 
 
-def _box_of(e: Column) -> G.Box:
-    return G.Box(e["x"], e["y"], e["w"], e["h"])
-
-
 #: Optional columns of a candidate that a merge takes from its better scored side.
 CARRIED = ("text", "state", "variant")
 
@@ -43,71 +41,6 @@ def _carried(cands: DataFrame) -> Column:
     return F.struct(*((F.col(c) if c in cands.columns else F.lit(None)).cast("string").alias(c) for c in CARRIED))
 
 
-def _fuse_in_waves(cands: DataFrame, gkeys: list[str], iou: float, wbf: float | None) -> DataFrame:
-    """The fusion pass for components too large for one task, exact, as waves of joins.
-
-    A candidate can be decided once no earlier undecided candidate is near it: only a box
-    within a few box sizes can still create or move a cluster it overlaps with IoU >= t
-    (such a box reaches at most (1/t - 1) of its size beyond the cluster, and the cluster
-    as much beyond the candidate).  All such candidates are decided together against the
-    clusters so far, found by the tile join; the others wait for the next wave."""
-    from screenlake.session import cut_lineage
-
-    limit = min(iou, wbf) if wbf is not None else iou
-    room = (1 / limit - 1) * (1 + 1 / limit)
-    order = F.struct((-F.col("score")).alias("o"), F.col("cand_id").alias("id"))
-    base = cands.select(*gkeys, order.alias("o"), "cand_id", "x", "y", "w", "h", "score", "source", _carried(cands).alias("extra"))
-    vote = lambda p: F.array(F.struct(F.col(p + "source").alias("source"), F.col(p + "score").alias("score")))
-    todo, clusters = cut_lineage(base), None
-    while not todo.isEmpty():
-        slim = todo.select(*gkeys, "o", "x", "y", "w", "h")
-        near = touching_pairs(slim, slim, gkeys, reach_x=F.col("w") * room, reach_y=F.col("h") * room).where(F.col("b_o") < F.col("a_o"))
-        waits = near.select(*gkeys, F.col("a_o").alias("o")).distinct()
-        ready = cut_lineage(todo.join(waits, [*gkeys, "o"], "left_anti"))
-        todo = cut_lineage(todo.join(ready.select(*gkeys, "o"), [*gkeys, "o"], "left_anti"))
-        fresh = ready
-        if clusters is not None:
-            a, b = G.box("a_"), G.box("b_")
-            pairs = touching_pairs(ready, clusters, gkeys).withColumn("iou", G.iou(a, b)).where(F.col("iou") >= limit)
-            # the first cluster in creation order takes the candidate
-            taken = cut_lineage(pairs.groupBy(*gkeys, F.col("a_o").alias("o")).agg(
-                F.min_by(F.struct(F.col("b_o").alias("into"), "iou", *(F.col("a_" + c).alias(c) for c in ("x", "y", "w", "h", "score", "source", "extra"))), "b_o").alias("t")
-            ))
-            fresh = ready.join(taken.select(*gkeys, "o"), [*gkeys, "o"], "left_anti")
-            merges = taken.where(F.col("t.iou") >= (2.0 if wbf is None else wbf)).select(*gkeys, F.col("t.into").alias("o"), F.col("t").alias("m"))
-            rows = clusters.join(merges, [*gkeys, "o"], "left")
-            total = F.col("score") + F.col("m.score")
-            wa = F.when(total != 0, F.col("score") / total).otherwise(F.lit(0.5))
-            wb = F.when(total != 0, F.col("m.score") / total).otherwise(F.lit(0.5))
-            hit = F.col("m").isNotNull()
-            clusters = rows.select(
-                *gkeys, "o", "cand_id", *(F.when(hit, F.col(k) * wa + F.col("m." + k) * wb).otherwise(F.col(k)).alias(k) for k in "xywh"),
-                F.when(hit, total / 2).otherwise(F.col("score")).alias("score"), F.when(hit, F.col("members") + 1).otherwise(F.col("members")).alias("members"),
-                F.when(hit, F.concat("votes", vote("m."))).otherwise(F.col("votes")).alias("votes"),
-                F.when(hit & (F.col("m.score") > F.col("score")), F.col("m.extra")).otherwise(F.col("extra")).alias("extra"),
-            )
-        born = fresh.select(*gkeys, "o", "cand_id", "x", "y", "w", "h", "score", F.lit(1).alias("members"), vote("").alias("votes"), "extra")
-        clusters = cut_lineage(born if clusters is None else clusters.unionByName(born))
-    b = G.box()
-    return clusters.select(
-        *gkeys, F.struct(F.col("cand_id").alias("id"), "x", "y", "w", "h", b.right.alias("r"), b.bottom.alias("b"), "score", "members", "votes", "extra").alias("c")
-    )
-
-
-def _overlaps(c: Column, e: Column, limit: float) -> Column:
-    """IoU >= ``limit`` (> 0) of two box structs that carry right ``r`` and bottom ``b``.
-    Lambdas are interpreted: disjoint boxes are ruled out by plain comparisons first."""
-    touch = (c["x"] < e["r"]) & (e["x"] < c["r"]) & (c["y"] < e["b"]) & (e["y"] < c["b"])
-    return touch & (G.iou(_box_of(c), _box_of(e)) >= limit)
-
-
-def _cluster_type(id_type: str) -> str:
-    return (
-        f"struct<id:{id_type},x:double,y:double,w:double,h:double,r:double,b:double,score:double,"
-        f"members:int,votes:array<struct<source:string,score:double>>,extra:struct<{','.join(f'{c}:string' for c in CARRIED)}>>"
-    )
-
-
 def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7) -> DataFrame:
     """Fuse the candidates of each (image, type) in score order (ties: candidate id).
 
@@ -117,79 +50,50 @@ def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7)
     cluster never changes what an earlier one absorbs, so one ordered pass is the same
     as the pairwise loop.
 
-    Groups of more than ``MAX_FOLD`` candidates are cut into parts that cannot influence
-    each other first: extents that are separated along y or x never meet."""
+    Each part of a group (see ``_parts``) is one pass; clusters are found through an index by
+    place and size, so the work does not grow with the square of the part."""
     keys = ["image_id", "type"]
-    parts = _parts(cands, keys)
-    gkeys = [*keys, "_part"]
-    id_t = cands.schema["cand_id"].dataType.simpleString()
-    entry = F.struct((-F.col("score")).alias("o"), F.col("cand_id").alias("id"), "x", "y", "w", "h", G.box().right.alias("r"), G.box().bottom.alias("b"), "score", "source", _carried(cands).alias("extra"))
-    sizes = parts.where(F.col("_part") != "").groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_n"))
-    huge = sizes.where(F.col("_n") > MAX_PART).select(*gkeys)
-    waves = None
-    if not huge.isEmpty():
-        waves = _fuse_in_waves(parts.join(huge, gkeys, "left_semi"), gkeys, iou, wbf).select(*keys, "c")
-        parts = parts.join(huge, gkeys, "left_anti")
-    rows = parts.groupBy(*gkeys).agg(F.array_sort(F.collect_list(entry)).alias("rows"))
-    zero = F.array().cast(f"array<{_cluster_type(id_t)}>")
     limit = min(iou, wbf) if wbf is not None else iou
-
-    def step(acc: Column, e: Column) -> Column:
-        hit = F.array_position(F.transform(acc, lambda c: _overlaps(c, e, limit)), True)
-
-        def merged(c: Column) -> Column:
-            total = c["score"] + e["score"]
-            # a zero score sum has no weights; both boxes count the same then
-            wa = F.when(total != 0, c["score"] / total).otherwise(F.lit(0.5))
-            wb = F.when(total != 0, e["score"] / total).otherwise(F.lit(0.5))
-            mix = {k: c[k] * wa + e[k] * wb for k in "xywh"}
-            return F.struct(
-                c["id"].alias("id"), *(v.alias(k) for k, v in mix.items()), (mix["x"] + mix["w"]).alias("r"), (mix["y"] + mix["h"]).alias("b"), (total / 2).alias("score"),
-                (c["members"] + 1).alias("members"),
-                F.array_append(c["votes"], F.struct(e["source"].alias("source"), e["score"].alias("score"))).alias("votes"),
-                F.when(e["score"] > c["score"], e["extra"]).otherwise(c["extra"]).alias("extra"),
-            )
-
-        def absorb(c: Column, i: Column) -> Column:
-            take = (i + 1 == hit) & (F.lit(False) if wbf is None else G.iou(_box_of(c), _box_of(e)) >= wbf)
-            return F.when(take, merged(c)).otherwise(c)
-
-        fresh = F.struct(
-            e["id"].alias("id"), *(e[k].alias(k) for k in "xywhrb"), e["score"].alias("score"), F.lit(1).alias("members"),
-            F.array(F.struct(e["source"].alias("source"), e["score"].alias("score"))).alias("votes"), e["extra"].alias("extra"),
-        )
-        return F.when(hit > 0, F.transform(acc, absorb)).otherwise(F.array_append(acc, fresh))
-
-    out = rows.select(*keys, F.explode(fold_array(F.col("rows"), zero, step)).alias("c"))
-    if waves is not None:
-        out = out.unionByName(waves)
-    sources = F.array_sort(F.array_distinct(F.transform("c.votes", lambda v: v["source"])))
-    best = F.array_sort(
-        F.transform(sources, lambda s: F.struct(s.alias("source"), F.array_max(F.transform(F.filter("c.votes", lambda v: v["source"] == s), lambda v: v["score"])).alias("score")))
-    )
-    return out.select(
-        *keys, F.col("c.id").alias("cand_id"), *(F.col(f"c.{k}").alias(k) for k in "xywh"), F.col("c.score").alias("score"),
-        F.col("c.members").alias("members"), sources.alias("sources"), best.alias("votes"), *(F.col(f"c.extra.{c}").alias(c) for c in CARRIED if c in cands.columns),
-    )
-
-
-MAX_FOLD = 1000  # candidates of a group that are folded as they are
-MAX_PART = 20_000  # candidates of one component that are folded in one task
+    rows = _parts(cands, keys).withColumn("_o", -F.col("score"))
+    rows = rows.select(*keys, "_part", "_o", "cand_id", "x", "y", "w", "h", "score", "source", *(_carried(cands)[c].alias(c) for c in CARRIED))
+    vote = T.StructType([T.StructField("source", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType(
+        [cands.schema[k] for k in (*keys, "cand_id")] + [T.StructField(c, T.DoubleType()) for c in (*"xywh", "score")] + [T.StructField("members", T.IntegerType())]
+        + [T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("votes", T.ArrayType(vote))] + [T.StructField(c, T.StringType()) for c in CARRIED]
+    )
+
+    def fuse(group: Iterator[tuple]) -> Iterator[tuple]:
+        clusters: list[list] = []
+        index = BoxIndex(limit)
+        for image, kind, _, _, cand, x, y, w, h, score, source, *extra in group:
+            box, usable = (x, y, w, h), None not in (x, y, w, h, score)
+            hit = index.first(box) if usable else None
+            if hit is None:
+                if usable:
+                    index.put(len(clusters), box)
+                clusters.append([image, kind, cand, box, score, 1, {source: score}, extra])
+            elif wbf is not None and hit[1] >= wbf:
+                c = clusters[hit[0]]
+                total = c[4] + score
+                # a zero score sum has no weights; both boxes count the same then
+                wa, wb = (c[4] / total, score / total) if total != 0 else (0.5, 0.5)
+                c[3] = tuple(u * wa + v * wb for u, v in zip(c[3], box, strict=True))
+                if score > c[4]:
+                    c[7] = extra
+                c[4], c[5] = total / 2, c[5] + 1
+                c[6][source] = max(score, c[6].get(source, score))
+                index.put(hit[0], c[3])
+        for image, kind, cand, box, score, members, votes, extra in clusters:
+            best = sorted(votes.items(), key=lambda v: (v[0] is None, v[0] or ""))
+            yield (image, kind, cand, *box, score, members, [s for s, _ in best], [{"source": s, "score": v} for s, v in best], *extra)
+
+    out = fold_sorted(rows, [*keys, "_part"], ["_o", "cand_id"], schema, fuse)
+    return out.drop(*(c for c in CARRIED if c not in cands.columns))
 
 
 def _parts(cands: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates with ``_part``: one part for a group of bounded size, else components."""
-    sizes = cands.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.where(F.col("_n") > MAX_FOLD).select(*keys)
-    whole = F.lit("")
-    if big.isEmpty():
-        return cands.withColumn("_part", whole)
-    small = cands.join(big, keys, "left_anti").withColumn("_part", whole)
-    return small.unionByName(_components(cands.join(big, keys, "left_semi"), keys))
-
-
-def _components(cands: DataFrame, keys: list[str]) -> DataFrame:
-    """Cut groups into parts whose extents are separated along y, then along x."""
+    """Candidates with ``_part``: groups are cut where extents are separated along y, then along
+    x.  A merged box stays within the hull of its members, so parts never meet."""
     from screenlake.operators.ordered import running_max_before, running_sum
 
     def cut(df: DataFrame, by: list[str], lo: Column, hi: Column, name: str) -> DataFrame:
@@ -221,19 +125,28 @@ def dedupe_boxes(df: DataFrame, group: str, min_iou: float = 0.8) -> DataFrame:
     keys = ["image_id", group]
     ok = G.valid_box(G.box()) & F.col("score").isNotNull() & ~F.isnan("score")
     parts = _parts(df.where(ok).withColumn("cand_id", F.col("ord")), keys)
-    entry = F.struct(F.col("ord").alias("o"), "x", "y", "w", "h", G.box().right.alias("r"), G.box().bottom.alias("b"), "score", F.col("ord").alias("slot"), F.struct(*df.columns).alias("row"))
-    rows = parts.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
-    zero = F.array().cast(parts.groupBy("_part").agg(F.collect_list(entry).alias("r")).schema["r"].dataType)
-
-    def step(acc: Column, e: Column) -> Column:
-        hit = F.array_position(F.transform(acc, lambda c: _overlaps(c, e, min_iou)), True)
-        better = F.struct(*(e[k].alias(k) for k in ("o", "x", "y", "w", "h", "r", "b", "score")), F.element_at(acc, F.greatest(hit, F.lit(1)).cast("int"))["slot"].alias("slot"), e["row"].alias("row"))
-        swap = F.transform(acc, lambda c, i: F.when((i + 1 == hit) & (e["score"] > c["score"]), better).otherwise(c))
-        return F.when(hit > 0, swap).otherwise(F.array_append(acc, e))
-
-    out = rows.select(*keys, F.explode(fold_array(F.col("rows"), zero, step)).alias("c"))
-    # the row travels through the fold: a join back on ord would multiply repeated rows
-    return out.select("c.row.*", F.col("c.slot").alias("slot"))
+    # the whole row travels through the fold: a join back on ord would multiply repeated rows
+    rows = parts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate((*keys, "_part"))), *(F.col(c).alias(f"_v{i}") for i, c in enumerate(df.columns)))
+    schema = T.StructType([*df.schema.fields, T.StructField("slot", df.schema["ord"].dataType)])
+    at = {c: 3 + i for i, c in enumerate(df.columns)}
+    order = [f"_v{at[c] - 3}" for c in ("ord", "x", "y", "w", "h")]
+
+    def keep(group: Iterator[tuple]) -> Iterator[tuple]:
+        slots: list[list] = []
+        index = BoxIndex(min_iou)
+        for row in group:
+            box, score = tuple(row[at[c]] for c in "xywh"), row[at["score"]]
+            hit = index.first(box)
+            if hit is None:
+                index.put(len(slots), box)
+                slots.append([score, row, row[at["ord"]]])
+            elif score > slots[hit[0]][0]:
+                slots[hit[0]][:2] = score, row
+                index.put(hit[0], box)
+        for _, row, slot in slots:
+            yield (*row[3:], slot)
+
+    return fold_sorted(rows, ["_k0", "_k1", "_k2"], order, schema, keep)
 
 
 def dedupe_seeds(seeds: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from screenlake.functions import geometry as G
-from screenlake.functions.semantics import fold_array, upper_median
+from screenlake.functions.semantics import upper_median
+from screenlake.operators.folds import fold_sorted
 from screenlake.operators.ordered import islands
 
 
@@ -28,41 +32,32 @@ def group_lines_fold(items: DataFrame, keys: list[str] | None = None) -> DataFra
     max(10, 0.6 median height), in centre order.  Adds ``line`` (0-based).
 
     Items with the same centre always end in the same line (joining moves the mean toward
-    them), so the fold runs over the distinct centres with their counts - a table bounded
-    by the page height in pixels - and the line ids are joined back."""
+    them), so the fold runs over the distinct centres with their counts and the line ids are
+    joined back.  Only lines that can still accept are remembered."""
     keys = keys or ["image_id"]
     rows = items.withColumn("_cy", G.box().cy)
     tol = rows.groupBy(*keys).agg(upper_median("h").alias("_m")).select(
         *keys, F.greatest(F.lit(10.0), F.when(F.col("_m") == 0, 20.0).otherwise(F.col("_m")) * 0.6).alias("_tol")
     )
-    centres = rows.groupBy(*keys, "_cy").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    arr = centres.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_cy").alias("y"), "n"))).alias("ys"))
-    arr = arr.join(tol, keys)
-    # only lines that can still accept are carried: centres come in ascending order, so a
-    # line whose mean is more than the tolerance above the current centre is closed
-    zero = F.struct(
-        F.array().cast("array<struct<y:double,n:double,line:int>>").alias("open"), F.lit(0).alias("next"),
-        F.array().cast("array<struct<y:double,line:int>>").alias("out"),
-    )
-
-    def step(acc: Column, e: Column) -> Column:
-        live = F.filter(acc["open"], lambda ln: F.abs(ln["y"] - e["y"]) <= F.col("_tol"))
-        hit = F.try_element_at(live, F.lit(1))
-        # lines are open in creation order and lie above the item: the first one accepts
-        joined = F.concat(
-            F.array(F.struct(((hit["y"] * hit["n"] + e["y"] * e["n"]) / (hit["n"] + e["n"])).alias("y"), (hit["n"] + e["n"]).alias("n"), hit["line"].alias("line"))),
-            F.slice(live, 2, F.greatest(F.lit(1), F.size(live))),
-        )
-        opened = F.array(F.struct(e["y"].alias("y"), e["n"].alias("n"), acc["next"].alias("line")))
-        found = F.size(live) > 0
-        line = F.when(found, hit["line"]).otherwise(acc["next"])
-        return F.struct(
-            F.when(found, joined).otherwise(opened).alias("open"), F.when(found, acc["next"]).otherwise(acc["next"] + 1).alias("next"),
-            F.array_append(acc["out"], F.struct(e["y"].alias("y"), line.alias("line"))).alias("out"),
-        )
-
-    lines = arr.select(*keys, F.explode(fold_array(F.col("ys"), zero, step)["out"]).alias("l"))
-    lines = lines.select(*keys, F.col("l.y").alias("_cy"), F.col("l.line").alias("line"))
+    centres = rows.where(F.col("_cy").isNotNull()).groupBy(*keys, "_cy").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    n = len(keys)
+
+    def lines_of(group: Iterator[tuple]) -> Iterator[tuple]:
+        opened, live = 0, []
+        for row in group:
+            y, count, tolerance = row[n:]
+            # centres ascend: a line whose mean is out of reach stays so
+            live = [line for line in live if abs(line[0] - y) <= tolerance]
+            if live:
+                first = live[0]
+                first[0], first[1] = (first[0] * first[1] + y * count) / (first[1] + count), first[1] + count
+            else:
+                live = [[y, count, opened]]
+                opened += 1
+            yield (*row[:n], y, live[0][2])
+
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("_cy", T.DoubleType()), T.StructField("line", T.IntegerType())])
+    lines = fold_sorted(centres.join(tol, keys).select(*keys, "_cy", "n", "_tol"), keys, ["_cy"], schema, lines_of)
     return rows.join(lines, [*keys, "_cy"]).drop("_cy")
 
 
@@ -74,33 +69,28 @@ def flow_clusters(items: DataFrame) -> DataFrame:
     (top, bottom) extents; equal centres are taken shorter extent first."""
     b = G.box()
     rows = items.withColumn("_y1", b.y).withColumn("_y2", b.bottom)
-    ext = rows.select("image_id", "_y1", "_y2").distinct()
-    entry = F.struct(((F.col("_y1") + F.col("_y2")) / 2).alias("cy"), (F.col("_y2") - F.col("_y1")).alias("h"), F.col("_y1").alias("y1"), F.col("_y2").alias("y2"))
-    arr = ext.groupBy("image_id").agg(F.array_sort(F.collect_list(entry)).alias("es"))
-    zero = F.struct(
-        F.array().cast("array<struct<y1:double,y2:double>>").alias("cs"),
-        F.array().cast("array<struct<y1:double,y2:double,c:int>>").alias("out"),
-    )
-
-    def step(acc: Column, e: Column) -> Column:
-        cs = acc["cs"]
-        tol = F.greatest(F.lit(12.0), e["h"] * 0.8)
-        hit = F.array_position(F.transform(cs, lambda c: F.abs((c["y1"] + c["y2"]) / 2 - e["cy"]) <= tol), True)
-        grown = F.transform(
-            cs,
-            lambda c, i: F.when(
-                i + 1 == hit, F.struct(F.least(c["y1"], e["y1"]).alias("y1"), F.greatest(c["y2"], e["y2"]).alias("y2"))
-            ).otherwise(c),
-        )
-        opened = F.array_append(cs, F.struct(e["y1"].alias("y1"), e["y2"].alias("y2")))
-        pick = F.when(hit > 0, hit - 1).otherwise(F.size(cs)).cast("int")
-        return F.struct(
-            F.when(hit > 0, grown).otherwise(opened).alias("cs"),
-            F.array_append(acc["out"], F.struct(e["y1"].alias("y1"), e["y2"].alias("y2"), pick.alias("c"))).alias("out"),
-        )
-
-    out = arr.select("image_id", F.explode(fold_array(F.col("es"), zero, step)["out"]).alias("o"))
-    out = out.select("image_id", F.col("o.y1").alias("_y1"), F.col("o.y2").alias("_y2"), F.col("o.c").alias("cluster"))
+    ext = rows.select("image_id", "_y1", "_y2").where(F.col("_y1").isNotNull() & F.col("_y2").isNotNull()).distinct()
+    tallest = ext.groupBy("image_id").agg(F.max(F.col("_y2") - F.col("_y1")).alias("_h"))
+    cy, h = (F.col("_y1") + F.col("_y2")) / 2, F.col("_y2") - F.col("_y1")
+    entries = ext.join(tallest, "image_id").select("image_id", cy.alias("cy"), h.alias("h"), "_y1", "_y2", "_h")
+
+    def clusters_of(group: Iterator[tuple]) -> Iterator[tuple]:
+        opened, live = 0, []
+        for image, cy, h, y1, y2, tallest in group:
+            # centres ascend: what even the tallest item cannot reach from here stays out of reach
+            live = [c for c in live if (c[0] + c[1]) / 2 >= cy - max(12.0, tallest * 0.8)]
+            tolerance = max(12.0, h * 0.8)
+            hit = next((c for c in live if abs((c[0] + c[1]) / 2 - cy) <= tolerance), None)
+            if hit is None:
+                hit = [y1, y2, opened]
+                live.append(hit)
+                opened += 1
+            else:
+                hit[0], hit[1] = min(hit[0], y1), max(hit[1], y2)
+            yield image, y1, y2, hit[2]
+
+    schema = T.StructType([rows.schema["image_id"], T.StructField("_y1", T.DoubleType()), T.StructField("_y2", T.DoubleType()), T.StructField("cluster", T.IntegerType())])
+    out = fold_sorted(entries, ["image_id"], ["cy", "h", "_y1", "_y2"], schema, clusters_of)
     return rows.join(out, ["image_id", "_y1", "_y2"]).drop("_y1", "_y2")
 
 

@@ -1,95 +1,56 @@
 """One-to-one box matching and annotation differences (JOIN-2, JOIN-3, JOIN-4).
 
-Both matchers start from the tile join of IoU pairs.  Groups of a proven size are
-settled by an ordered fold inside the JVM.  Larger groups are settled exactly by
-rounds of joins that never bring a group together in one place.
+Both matchers take the edges of the tile join in a total order and accept an edge if both its
+ends are free.  Bands of an image between which no edge runs are walked on their own, each in one
+pass over its sorted edges that remembers the ends already taken.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from screenlake.functions import geometry as G
-from screenlake.functions.semantics import fold_array
+from screenlake.operators.folds import fold_sorted
+from screenlake.operators.ordered import running_max_before, running_sum
 from screenlake.operators.spatial import KEY, iou_join
 from screenlake.session import cut_lineage
 
-MAX_FOLD = 2000  # boxes per side of a group that may be folded in one task
 
+def banded(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``edges`` (with the extents ``_lo`` to ``_hi``) numbered by the band of their group: no
+    extent reaches from one band to another, so the edges of two bands share no box."""
+    rows = running_max_before(edges, keys, F.col("_lo"), F.col("_hi"), ["_lo", *order], "_reach")
+    step = F.when(F.col("_lo") > F.col("_reach"), 1).otherwise(0).cast("long")
+    return running_sum(rows, keys, ["_lo", *order], step, "_part").drop("_lo", "_hi", "_band", "_reach")
 
-def _oversize(a: DataFrame, b: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
-    """Keys with more than ``limit`` boxes on a side, or None when there are none."""
-    counts = a.groupBy(*keys).count().unionByName(b.groupBy(*keys).count())
-    big = counts.where(F.col("count") > limit).select(*keys).distinct()
-    return None if big.isEmpty() else big
 
+def greedy_walk(edges: DataFrame, keys: list[str], rank: list[str], a_id: str, b_id: str) -> DataFrame:
+    """The edges that a walk in ``rank`` order takes: those with both ends still free."""
+    rows = banded(edges, keys, rank).select(*keys, "_part", *rank, F.col(a_id).alias("_a"), F.col(b_id).alias("_b"), "iou")
+    n = len(keys)
+    fields = [edges.schema[c] for c in (*keys, a_id, b_id, "iou")]
 
-def _fold_matches(edges: DataFrame, keys: list[str], rank: list[str], a_id: str, b_id: str) -> DataFrame:
-    """Walk the edges of a group in rank order and take those with both ends free."""
-    entry = F.struct(*rank, F.col(a_id).alias("_a"), F.col(b_id).alias("_b"), F.col("iou").alias("_iou"))
-    rows = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_rows"))
-    a_t, b_t = edges.schema[a_id].dataType.simpleString(), edges.schema[b_id].dataType.simpleString()
-    zero = F.struct(
-        F.array().cast(f"array<{a_t}>").alias("used_a"),
-        F.array().cast(f"array<{b_t}>").alias("used_b"),
-        F.array().cast(f"array<struct<a:{a_t},b:{b_t},iou:double>>").alias("out"),
-    )
+    def walk(group: Iterator[tuple]) -> Iterator[tuple]:
+        used_a, used_b = set(), set()
+        for row in group:
+            a, b, value = row[-3:]
+            if a not in used_a and b not in used_b:
+                used_a.add(a)
+                used_b.add(b)
+                yield (*row[:n], a, b, value)
 
-    def step(acc: Column, e: Column) -> Column:
-        free = ~F.array_contains(acc["used_a"], e["_a"]) & ~F.array_contains(acc["used_b"], e["_b"])
-        taken = F.struct(
-            F.array_append(acc["used_a"], e["_a"]).alias("used_a"),
-            F.array_append(acc["used_b"], e["_b"]).alias("used_b"),
-            F.array_append(acc["out"], F.struct(e["_a"].alias("a"), e["_b"].alias("b"), e["_iou"].alias("iou"))).alias("out"),
-        )
-        return F.when(free, taken).otherwise(acc)
-
-    folded = rows.select(*keys, F.explode(fold_array(F.col("_rows"), zero, step)["out"]).alias("m"))
-    return folded.select(*keys, F.col("m.a").alias(a_id), F.col("m.b").alias(b_id), F.col("m.iou").alias("iou"))
-
-
-def greedy_rounds(edges: DataFrame, keys: list[str], rank: list[str], a_id: str, b_id: str) -> DataFrame:
-    """Greedy matching over a total edge order, as rounds of aggregations.
-
-    An edge that is the first one of both its ends is taken by the sequential walk too,
-    so it can be taken at once; its ends leave the graph and the rest repeats."""
-    order = F.struct(*rank)
-    left = cut_lineage(edges.select(*keys, *{*rank, a_id, b_id, "iou"}).withColumn("_o", order))
-    out = None
-    while not left.isEmpty():
-        best_a = left.groupBy(*keys, a_id).agg(F.min("_o").alias("_o"))
-        best_b = left.groupBy(*keys, b_id).agg(F.min("_o").alias("_o"))
-        won = left.join(best_a, [*keys, a_id, "_o"], "left_semi").join(best_b, [*keys, b_id, "_o"], "left_semi")
-        won = cut_lineage(won)
-        out = won if out is None else out.unionByName(won)
-        left = left.join(won.select(*keys, a_id), [*keys, a_id], "left_anti")
-        left = cut_lineage(left.join(won.select(*keys, b_id), [*keys, b_id], "left_anti"))
-    if out is None:
-        out = left
-    return out.select(*keys, a_id, b_id, "iou")
-
-
-def proposal_rounds(edges: DataFrame, keys: list[str], a_ord: str, pref: list[str], a_id: str, b_id: str) -> DataFrame:
-    """In-order matching (each ``a`` in turn takes its favourite free ``b``) as rounds.
-
-    All ``b`` rank the ``a`` rows by the same order, so the sequential result is the one
-    stable matching: every ``a`` proposes to its favourite open ``b``; each ``b`` keeps the
-    earliest proposer; the others lose that edge and propose again."""
-    # a second edge to the same b with equal id cannot exist, so (a, b) names an edge
-    left = cut_lineage(edges.select(*keys, *{a_ord, *pref, a_id, b_id, "iou"}))
-    while True:
-        rest = [c for c in left.columns if c not in (*keys, a_id)]
-        proposals = left.groupBy(*keys, a_id).agg(F.min_by(F.struct(*rest), F.struct(*pref)).alias("r"))
-        proposals = proposals.select(*keys, a_id, *(F.col("r")[c].alias(c) for c in rest))
-        kept = proposals.groupBy(*keys, b_id).agg(F.min(a_ord).alias("_keep"))
-        judged = cut_lineage(proposals.join(kept, [*keys, b_id]))
-        lost = judged.where(F.col(a_ord) != F.col("_keep")).select(*keys, a_id, b_id)
-        if lost.isEmpty():
-            return judged.select(*keys, a_id, b_id, "iou")
-        left = cut_lineage(left.join(lost, [*keys, a_id, b_id], "left_anti"))
-
-
-def match_greedy_gt(gt: DataFrame, pred: DataFrame, min_iou: float = 0.5, max_fold: int = MAX_FOLD) -> DataFrame:
+    return fold_sorted(rows, [*keys, "_part"], rank, T.StructType(fields), walk)
+
+
+def _edges(pairs: DataFrame, keys: list[str], *columns: Column) -> DataFrame:
+    a, b = G.box("a_"), G.box("b_")
+    return pairs.select(*keys, *columns, "iou", (-F.col("iou")).alias("neg_iou"), F.least(a.y, b.y).alias("_lo"), F.greatest(a.bottom, b.bottom).alias("_hi"))
+
+
+def match_greedy_gt(gt: DataFrame, pred: DataFrame, min_iou: float = 0.5) -> DataFrame:
     """Ground truth in ``ord`` order; each takes the free same-type prediction with the
     highest IoU >= ``min_iou`` (ties: first prediction).
 
@@ -97,36 +58,18 @@ def match_greedy_gt(gt: DataFrame, pred: DataFrame, min_iou: float = 0.5, max_fo
     Output: image_id, type, gt_id, pred_id, iou."""
     keys = ["image_id", "type"]
     cols = [*keys, "ord", "box_id", "x", "y", "w", "h"]
-    gt, pred = gt.select(*cols), pred.select(*cols)
-    edges = iou_join(gt, pred, min_iou, same_type=True).select(
-        *keys, F.col("a_ord").alias("gt_ord"), F.col("b_ord").alias("pred_ord"),
-        F.col("a_box_id").alias("gt_id"), F.col("b_box_id").alias("pred_id"), "iou", (-F.col("iou")).alias("neg_iou"),
-    )
-    rank = ["gt_ord", "neg_iou", "pred_ord"]
-    big = _oversize(gt, pred, keys, max_fold)
-    if big is None:
-        return _fold_matches(edges, keys, rank, "gt_id", "pred_id")
-    small = _fold_matches(edges.join(big, keys, "left_anti"), keys, rank, "gt_id", "pred_id")
-    large = proposal_rounds(edges.join(big, keys, "left_semi"), keys, "gt_ord", ["neg_iou", "pred_ord"], "gt_id", "pred_id")
-    return small.unionByName(large)
+    pairs = iou_join(gt.select(*cols), pred.select(*cols), min_iou, same_type=True)
+    edges = _edges(pairs, keys, F.col("a_ord").alias("gt_ord"), F.col("b_ord").alias("pred_ord"), F.col("a_box_id").alias("gt_id"), F.col("b_box_id").alias("pred_id"))
+    return greedy_walk(edges, keys, ["gt_ord", "neg_iou", "pred_ord"], "gt_id", "pred_id")
 
 
-def match_greedy_global(pred: DataFrame, human: DataFrame, min_iou: float = 0.5, max_fold: int = MAX_FOLD) -> DataFrame:
+def match_greedy_global(pred: DataFrame, human: DataFrame, min_iou: float = 0.5) -> DataFrame:
     """Pairs by IoU descending, then prediction id, then human id; type-agnostic."""
     keys = list(KEY)
     cols = ["image_id", "box_id", "x", "y", "w", "h"]
-    pred, human = pred.select(*cols), human.select(*cols)
-    edges = iou_join(pred, human, min_iou).select(
-        *keys, F.col("a_box_id").alias("pred_id"), F.col("b_box_id").alias("human_id"), "iou",
-        (-F.col("iou")).alias("neg_iou"),
-    )
-    rank = ["neg_iou", "pred_id", "human_id"]
-    big = _oversize(pred, human, keys, max_fold)
-    if big is None:
-        return _fold_matches(edges, keys, rank, "pred_id", "human_id")
-    small = _fold_matches(edges.join(big, keys, "left_anti"), keys, rank, "pred_id", "human_id")
-    large = greedy_rounds(edges.join(big, keys, "left_semi"), keys, rank, "pred_id", "human_id")
-    return small.unionByName(large)
+    pairs = iou_join(pred.select(*cols), human.select(*cols), min_iou)
+    edges = _edges(pairs, keys, F.col("a_box_id").alias("pred_id"), F.col("b_box_id").alias("human_id"))
+    return greedy_walk(edges, keys, ["neg_iou", "pred_id", "human_id"], "pred_id", "human_id")
 
 
 # Types a user acts on, and type pairs that detectors confuse.
@@ -137,13 +80,14 @@ CONFUSED_PAIRS = [
 ]
 
 
-def annotation_diff(pred: DataFrame, human: DataFrame, max_fold: int = MAX_FOLD) -> DataFrame:
+def annotation_diff(pred: DataFrame, human: DataFrame) -> DataFrame:
     """Differences between predicted and human elements of each image.
 
     Inputs: image_id, box_id, type, text, semantic_role, children (ARRAY<STRING>), box.
     Matched pairs get the first of wrong_structure / wrong_type / wrong_text /
     wrong_bbox (IoU < 0.85) that applies; the rest is false_positive or missed."""
-    matches = match_greedy_global(pred, human, 0.5, max_fold)
+    # read three times below
+    matches = cut_lineage(match_greedy_global(pred, human, 0.5))
 
     def side(df: DataFrame, p: str) -> DataFrame:
         text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))

@@ -312,7 +312,7 @@ def _(t):
 @query("cache_hits_busy_keys", HITS.format(ttl=3600 * 1_000_000).replace("FROM requests", "FROM (SELECT request_id, ts, provider AS cache_key FROM requests) q"))
 def _(t):
     r = t.requests.select("request_id", "ts", F.col("provider").alias("cache_key"))
-    return C.cache_hits(r, ttl=3600, max_fold=100).select("request_id", "hit")
+    return C.cache_hits(r, ttl=3600).select("request_id", "hit")
 
 
 @query("cache_key", """

@@ -1,7 +1,9 @@
-"""One-to-one matching: literal cases, and folds and rounds against a plain model."""
+"""One-to-one matching: literal cases, and folds against a plain model."""
 
 import random
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from screenlake.operators import fusion as U, matching as M, spatial as S
@@ -59,22 +61,18 @@ def test_literal_best_overlap_wins(spark):
     assert [(r.gt_id, r.pred_id) for r in rows] == [("g", "near")]
 
 
-def test_in_order_matching_fold_and_rounds(spark):
+def test_in_order_matching(spark):
     gt, pred = crowd(1, "g"), crowd(2, "p")
     a, b = spark.createDataFrame(gt, COLS), spark.createDataFrame(pred, COLS)
     want = model_gt(gt, pred)
-    for limit in (10_000, 0):
-        got = {(r.gt_id, r.pred_id) for r in M.match_greedy_gt(a, b, max_fold=limit).collect()}
-        assert got == want, limit
+    assert {(r.gt_id, r.pred_id) for r in M.match_greedy_gt(a, b).collect()} == want
 
 
-def test_global_matching_fold_and_rounds(spark):
+def test_global_matching(spark):
     pred, human = crowd(3, "p"), crowd(4, "h")
     a, b = spark.createDataFrame(pred, COLS), spark.createDataFrame(human, COLS)
     want = model_global(pred, human)
-    for limit in (10_000, 0):
-        got = {(r.pred_id, r.human_id) for r in M.match_greedy_global(a, b, max_fold=limit).collect()}
-        assert got == want, limit
+    assert {(r.pred_id, r.human_id) for r in M.match_greedy_global(a, b).collect()} == want
 
 
 def test_tile_join_finds_every_pair_once(spark):
@@ -110,13 +108,90 @@ def fused_model(rows, t=0.5, wbf=0.7):
     return sorted(out)
 
 
-def test_fusion_whole_components_and_rounds(spark, monkeypatch):
+def test_fusion(spark):
     rng = random.Random(9)
-    rows = [(*r, rng.randrange(30, 99) / 100, rng.choice(["one", "two", None])) for r in crowd(6, "c", 14)]
+    rows = [(*r, rng.randrange(30, 99) / 100, rng.choice(["one", "two", None])) for r in crowd(6, "c", 300)]
     df = spark.createDataFrame([(r[0], r[2], r[3], *r[4:8], r[8], "cv", r[9]) for r in rows], "image_id long, cand_id string, type string, x double, y double, w double, h double, score double, source string, text string")
-    want = fused_model(rows)
-    for whole, part in ((1000, 1000), (0, 1000), (0, 0)):
-        monkeypatch.setattr(U, "MAX_FOLD", whole)
-        monkeypatch.setattr(U, "MAX_PART", part)
-        got = sorted((r.cand_id, round(r.x, 6), round(r.score, 6), r.text or "") for r in U.fuse_candidates(df).collect())
-        assert got == want, (whole, part)
+    got = sorted((r.cand_id, round(r.x, 6), round(r.score, 6), r.text or "") for r in U.fuse_candidates(df).collect())
+    assert got == fused_model(rows)
+
+
+def page(n, seed, side=44):
+    """One image with ``n`` boxes in overlapping runs, so that hardly any gap cuts it."""
+    rng = random.Random(seed)
+    wide = int(n**0.5)
+    return [(7, i, f"{i:07d}", "a", (i % wide) * 24.0 + rng.randrange(14), (i // wide) * 24.0 + rng.randrange(14), float(side + rng.randrange(3)), float(side + rng.randrange(3)), rng.randrange(1, 99) / 100) for i in range(n)]
+
+
+PAGE = "image_id long, ord long, box_id string, type string, x double, y double, w double, h double, score double"
+
+
+@pytest.fixture
+def compiled(spark):
+    """Code generation on, as users run it."""
+    names = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield spark
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_image_of_many_boxes(compiled):
+    """200 000 boxes of one image and type against one-pass models with a plain grid."""
+    from screenlake.operators import lines as L
+
+    spark, rows = compiled, page(200_000, 1)
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE.split(", ")]), PAGE).repartition(8).cache()
+
+    def neighbours(boxes):
+        cells = {}
+        for i, r in enumerate(boxes):
+            cells.setdefault((r[4] // 48, r[5] // 48), []).append(i)
+        return lambda r: (j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((r[4] // 48 + dx, r[5] // 48 + dy), ()))
+
+    # de-duplication: the holder of a slot moves to the better box
+    got = U.dedupe_boxes(df, "type", 0.5)
+    assert got.agg(F.count("*"), F.sum("slot"), F.sum("ord")).head() == deduped(rows, 0.5)
+    fused = U.fuse_candidates(df.withColumnRenamed("box_id", "cand_id").withColumn("source", F.lit("cv")), 0.5, None)
+    near, kept = neighbours(rows), set()
+    for i in sorted(range(len(rows)), key=lambda i: (-rows[i][8], rows[i][2])):
+        if not any(j in kept and iou(rows[j], rows[i]) >= 0.5 for j in near(rows[i])):
+            kept.add(i)
+    assert fused.agg(F.count("*"), F.sum(F.col("cand_id").cast("long"))).head() == (len(kept), sum(kept))
+    shifted = [(*r[:4], r[4] + 9, r[5], *r[6:]) for r in rows]
+    near, want, used_h = neighbours(shifted), [], set()
+    edges = sorted((-iou(r, shifted[j]), r[2], shifted[j][2]) for r in rows for j in near(r) if iou(r, shifted[j]) >= 0.5)
+    used_p = set()
+    for _, p, h in edges:
+        if p not in used_p and h not in used_h:
+            used_p.add(p), used_h.add(h), want.append((int(p), int(h)))
+    met = M.match_greedy_global(df, df.withColumn("x", F.col("x") + 9))
+    assert met.agg(F.count("*"), F.sum(F.col("pred_id").cast("long") * F.col("human_id").cast("long"))).head() == (len(want), sum(p * h for p, h in want))
+    centres, opened, live, tol = {}, 0, None, max(10, 0.6 * sorted(r[7] for r in rows)[len(rows) // 2])
+    for r in rows:
+        centres[r[5] + r[7] / 2] = centres.get(r[5] + r[7] / 2, 0) + 1
+    for y, n in sorted(centres.items()):
+        if live is not None and abs(live[0] - y) <= tol:
+            live = ((live[0] * live[1] + y * n) / (live[1] + n), live[1] + n)
+        else:
+            live, opened = (y, n), opened + 1
+    assert L.group_lines_fold(df).agg(F.count("*"), F.max("line")).head() == (len(rows), opened - 1)
+
+
+def deduped(rows, limit):
+    """(count, sum of slots, sum of kept ords)"""
+    slots, at = [], {}
+    for r in rows:
+        cell = (r[4] // 48, r[5] // 48)
+        hit = min((k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in at.get((cell[0] + dx, cell[1] + dy), ()) if iou(slots[k][1], r) >= limit), default=None)
+        if hit is None:
+            at.setdefault(cell, set()).add(len(slots))
+            slots.append((r[1], r))
+        elif r[8] > slots[hit][1][8]:
+            old = slots[hit][1]
+            at[old[4] // 48, old[5] // 48].discard(hit)
+            at.setdefault(cell, set()).add(hit)
+            slots[hit] = (slots[hit][0], r)
+    return len(slots), sum(s for s, _ in slots), sum(r[1] for _, r in slots)
