@@ -178,26 +178,61 @@ def _frequent(texts: DataFrame, longest: int, least: int) -> DataFrame:
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, check, lang, phrase) of the asked fingerprints, from (lang, text, asked)."""
-    for batch in parts(batches, 64):
+    """(fp, check, lang, phrase) of the asked fingerprints, from (lang, text, asked).
+
+    Texts are looked through together: what one of them is asked for may be found in another."""
+    texts: list[tuple[int, bytes]] = []
+    langs: list[str] = []
+    wanted: dict[int, set[tuple[int, int]]] = {}
+
+    def found() -> pa.RecordBatch:
+        out = []
+        for n, names in wanted.items():
+            keys = np.unique(np.array([fp for fp, _ in names], np.int64))
+            cut = [(k, part) for k, text in texts for part in segments(text, n)]
+            for some, kinds in _chunks(cut, langs):
+                chunk = _Chunk(some, kinds)
+                fps = chunk.fingerprints(n).view(np.int64)
+                at = np.minimum(np.searchsorted(keys, fps), len(keys) - 1)
+                at = np.flatnonzero((keys[at] == fps) & chunk.inside(n))
+                checks = chunk.checks(n)[at].astype(np.int64)
+                order = np.lexsort((checks, fps[at]))
+                at, checks = at[order], checks[order]
+                # one place for each name
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(fps[at]) != 0) | (np.diff(checks) != 0)])) if len(at) else at
+                at, checks = at[new], checks[new]
+                rows = zip(at.tolist(), fps[at].tolist(), checks.tolist(), chunk.row[at].tolist(), strict=True)
+                out += [(fp, check, langs[row], chunk.text(i, n)) for i, fp, check, row in rows if (fp, check) in names]
+        columns = zip(*out, strict=True) if out else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["fp", "check", "lang", "phrase"])
+
+    size = 0
+    for batch in parts(batches):
         for lang, text, names in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            wanted: dict[int, set[tuple[int, int]]] = {}
+            texts.append((len(langs), text.encode().lower()))
+            langs.append(lang)
             for a in names:
                 wanted.setdefault(a["n_words"], set()).add((a["fp"], a["check"]))
-            out = []
-            for n, pairs in wanted.items():
-                keys = np.unique(np.array([fp for fp, _ in pairs], np.int64))
-                for part in segments(text.encode().lower(), n):
-                    chunk = _Chunk([(0, part)], [lang])
-                    fps = chunk.fingerprints(n).view(np.int64)
-                    at = np.minimum(np.searchsorted(keys, fps), len(keys) - 1)
-                    at = np.flatnonzero((keys[at] == fps) & chunk.inside(n))
-                    checks = chunk.checks(n)[at].astype(np.int64)
-                    # one place for each name
-                    first = np.unique(np.stack([fps[at], checks]), axis=1, return_index=True)[1] if len(at) else at
-                    out += [(fp, c, lang, chunk.text(i, n)) for i, fp, c in zip(at[first].tolist(), fps[at][first].tolist(), checks[first].tolist(), strict=True) if (fp, c) in pairs]
-            columns = zip(*out, strict=True) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["fp", "check", "lang", "phrase"])
+            size += len(text) + 16 * len(names)
+            if size >= CHUNK:
+                yield found()
+                texts.clear(), langs.clear(), wanted.clear()
+                size = 0
+    yield found()
+
+
+def _chunks(cut: list[tuple[int, bytes]], langs: list[str]) -> Iterator[tuple[list[tuple[int, bytes]], list[str]]]:
+    """Segments in runs of about ``CHUNK`` bytes, with their languages."""
+    some: list[tuple[int, bytes]] = []
+    size = 0
+    for row, part in cut:
+        some.append((row, part))
+        size += len(part)
+        if size >= CHUNK:
+            yield some, [langs[r] for r, _ in some]
+            some, size = [], 0
+    if some:
+        yield some, [langs[r] for r, _ in some]
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
