@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from screenlake.functions import geometry as G
+from screenlake.operators.folds import fold_sorted
 from screenlake.operators.ordered import running_sum
 
 # Element types whose recovery matters for editing.
@@ -79,13 +83,11 @@ def coverage_capped(pred: DataFrame, meta: DataFrame) -> DataFrame:
     return out.select("image_id", share.alias("coverage"))
 
 
-def union_area(boxes: DataFrame, keys: list[str] | None = None, tile: float = 64.0) -> DataFrame:
+def union_area(boxes: DataFrame, keys: list[str] | None = None, tile: float = 256.0) -> DataFrame:
     """Exact area of the union of the boxes of each image.
 
-    Boxes are clipped to the tiles they cover and each tile is swept on its own, so the
-    unit of work is one tile of one image, not an image.  Inside a tile: the distinct x
-    edges cut it into strips, the boxes of a strip are merged along y by a running
-    maximum, and strip width times merged height is summed."""
+    Boxes are clipped to the tiles they cover, each tile is swept along x on its own over a
+    coverage tree of its distinct y edges (n log n), and the areas of the tiles are added up."""
     keys = keys or ["image_id"]
     from screenlake.operators.spatial import spread
 
@@ -97,14 +99,64 @@ def union_area(boxes: DataFrame, keys: list[str] | None = None, tile: float = 64
     # equal clipped boxes add nothing: copies collapse before the sweep
     parts = tiles.select(*cell, x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
     parts = parts.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).distinct()
-    edges = parts.select(*cell, F.explode(F.array("x0", "x1")).alias("sx0")).distinct()
-    strips = edges.withColumn("sx1", F.lead("sx0").over(W.partitionBy(*cell).orderBy("sx0"))).where("sx1 IS NOT NULL")
-    inside = strips.join(parts, cell).where((F.col("x0") <= F.col("sx0")) & (F.col("x1") >= F.col("sx1")))
-    order = W.partitionBy(*cell, "sx0", "sx1").orderBy("y0", "y1")
-    reach = F.max("y1").over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.greatest(F.lit(0.0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce(reach, F.col("y0"))))
-    merged = inside.withColumn("part", fresh * (F.col("sx1") - F.col("sx0")))
-    return merged.groupBy(*keys).agg(F.sum("part").alias("union_area"))
+    n = len(keys)
+
+    def sweep(group: Iterator[tuple]) -> Iterator[tuple]:
+        rows = list(group)
+        yield (*rows[0][:n], covered_area([r[n + 2 :] for r in rows]))
+
+    schema = T.StructType([*(parts.schema[k] for k in keys), T.StructField("area", T.DoubleType())])
+    return fold_sorted(parts, cell, ["x0"], schema, sweep).groupBy(*keys).agg(F.sum("area").alias("union_area"))
+
+
+def covered_area(boxes: list[tuple[float, float, float, float]]) -> float:
+    """Area under boxes (x0, x1, y0, y1): a sweep along x.  The tree over the distinct y edges
+    holds, for each node, how many boxes cover all of it and the length covered within it."""
+    ys = sorted({y for b in boxes for y in b[2:]})
+    at = {y: i for i, y in enumerate(ys)}
+    size = 1
+    while size < len(ys) - 1:
+        size *= 2
+    full, length = [0] * (2 * size), [0.0] * (2 * size)
+    last = len(ys) - 1
+    span = lambda i, j: ys[min(j, last)] - ys[min(i, last)]
+
+    def add(low: int, high: int, by: int) -> None:
+        # the nodes that make up low to high, bottom up, and then all above their ends
+        i, j, width, touched = low + size, high + size, 1, []
+        while i < j:
+            if i & 1:
+                touched.append((i, width))
+                i += 1
+            if j & 1:
+                j -= 1
+                touched.append((j, width))
+            i, j, width = i // 2, j // 2, width * 2
+        for node, width in touched:
+            full[node] += by
+            settle(node, width)
+        for leaf in (low + size, high - 1 + size):
+            node, width = leaf // 2, 2
+            while node:
+                settle(node, width)
+                node, width = node // 2, width * 2
+
+    def settle(node: int, width: int) -> None:
+        if full[node]:
+            first = node * width - size
+            length[node] = span(first, first + width)
+        elif node >= size:
+            length[node] = 0.0
+        else:
+            length[node] = length[2 * node] + length[2 * node + 1]
+
+    edges = sorted([(b[0], 1, at[b[2]], at[b[3]]) for b in boxes] + [(b[1], -1, at[b[2]], at[b[3]]) for b in boxes])
+    area, before = 0.0, edges[0][0]
+    for x, by, low, high in edges:
+        area += length[1] * (x - before)
+        before = x
+        add(low, high, by)
+    return area
 
 
 def unexplained_area(boxes: DataFrame, meta: DataFrame) -> DataFrame:

@@ -102,11 +102,30 @@ def whole_trees(t):
     return here.select("image_id", "tree")
 
 
-@query("flatten_tree", """
+@query("stream_ingest_findings", f"""
+WITH e AS (SELECT n.* FROM tree_nodes n JOIN (SELECT m.image_id, {REASONS} AS reason FROM {SIZES} m) r ON r.image_id = n.image_id WHERE r.reason IS NULL)
+SELECT image_id, 'bbox-out-of-bounds' AS code, node_id AS element_id, CAST(NULL AS STRING) AS detail FROM e WHERE x < 0 OR y < 0 OR x + w > 420.5 OR y + h > 820.5
+UNION ALL SELECT image_id, 'duplicate-id', node_id, NULL FROM (SELECT image_id, node_id, row_number() OVER (PARTITION BY image_id, node_id) AS k FROM e) t WHERE k > 1""")
+def _(t):
+    out, checkpoint = folders(t)
+    J.stream_ingest_annotations(t.spark, annotation_folder(t), out, f"{out}-rejects", checkpoint, f"{out}-findings").awaitTermination()
+    found = t.spark.read.parquet(f"{out}-findings")
+    return found.select(F.regexp_extract("image_id", IMAGE_OF_FILE, 1).cast("bigint").alias("image_id"), "code", "element_id", "detail")
+
+
+WALK = """
 WITH RECURSIVE w AS (
   SELECT image_id, node_id, parent_id, 0 AS depth FROM nodes WHERE parent_id IS NULL
   UNION ALL SELECT n.image_id, n.node_id, n.parent_id, w.depth + 1 FROM w JOIN nodes n ON n.image_id = w.image_id AND n.parent_id = w.node_id)
-SELECT w.image_id, w.node_id, w.parent_id, w.depth, n.type, n.x FROM w JOIN nodes n ON n.image_id = w.image_id AND n.node_id = w.node_id WHERE w.depth >= 1""")
+SELECT w.image_id, w.node_id, w.parent_id, w.depth, n.type, n.x FROM w JOIN nodes n ON n.image_id = w.image_id AND n.node_id = w.node_id WHERE w.depth >= 1"""
+
+
+@query("flatten_tree_rows", WALK)
+def _(t):
+    return X.flatten_tree_rows(whole_trees(t), "image_id", "tree").select("image_id", "node_id", "parent_id", "depth", "type", "x")
+
+
+@query("flatten_tree", WALK)
 def _(t):
     root = whole_trees(t)
     flat = A.flatten_tree(root, "image_id", "tree")
@@ -399,9 +418,10 @@ def _(t):
 @query("idle_sessions", """
 WITH b AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY provider ORDER BY ts) + INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS brk FROM requests),
 s AS (SELECT *, sum(brk) OVER (PARTITION BY provider ORDER BY ts) AS sid FROM b)
-SELECT provider, count(*) AS n, round(sum(duration_ms), 4) AS busy_ms, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S') AS ended FROM s GROUP BY provider, sid""")
+SELECT provider, count(*) AS n, round(sum(duration_ms), 4) AS busy_ms, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S') AS ended FROM s GROUP BY provider, sid
+HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE""")
 def _(t):
-    s = J.run_available(J.idle_sessions(stream_requests(t)), *folders(t), "complete")
+    s = J.run_available(J.idle_sessions(stream_requests(t)), *folders(t))
     return s.select("provider", "n", F.round("busy_ms", 4).alias("busy_ms"), text_time("started"), text_time("ended"))
 
 

@@ -8,13 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from screenlake.operators.cache import TTL_SECONDS
 from screenlake.operators.entities import extract_entities
-from screenlake.sources.annotations import elements_of, reject_invalid, SCHEMA
+from screenlake.operators.review import validate_annotations
+from screenlake.session import cut_lineage
+from screenlake.sources.annotations import elements_of, reject_invalid, relations_of, SCHEMA
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+CHUNK = 100_000  # rows of one key that are sent on at once
 
 
 def stream_latest_actions(actions: DataFrame) -> DataFrame:
@@ -26,31 +33,57 @@ def stream_latest_actions(actions: DataFrame) -> DataFrame:
     return last.select(*keys, *(F.col("r")[c].alias(c) for c in rest))
 
 
+class CacheChain(StatefulProcessor):
+    """The time of the last computed result of a key, dropped by a timer ``ttl`` after it."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # 16 bytes a row are held: numbers of the chunks, not their frames
+        chunks = [(c["t"].to_numpy(np.int64), c["request_id"].to_numpy(np.int64)) for c in rows]
+        t, request = (np.concatenate(c) for c in zip(*chunks, strict=True))
+        order = np.lexsort((request, t))
+        t, request = t[order], request[order]
+        last = self.last.get()[0] if self.last.exists() else None
+        hit = np.ones(len(t), bool)
+        # from one computed request to the next: the first at least ttl later
+        at = 0 if last is None else int(np.searchsorted(t, last + self.ttl))
+        while at < len(t):
+            hit[at], last = False, int(t[at])
+            at = int(np.searchsorted(t, last + self.ttl))
+        self.last.update((last,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max((last + self.ttl) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        for start in range(0, len(t), CHUNK):
+            part = slice(start, start + CHUNK)
+            yield pd.DataFrame({"cache_key": key[0], "request_id": request[part], "ts": pd.to_datetime(t[part], unit="us"), "hit": hit[part]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def stream_cache_hits(requests: DataFrame, ttl: int = TTL_SECONDS, delay: str = "1 hour") -> DataFrame:
     """Hit flag per request against the last computed result of its key.
 
-    The state of a key is one timestamp that expires ``ttl`` after it; the rows of a key
-    are taken in time order within a micro-batch."""
+    The state of a key is one timestamp that a timer drops ``ttl`` after it; the rows of a key
+    are taken in time order within a micro-batch, from one computed request to the next.
+    Needs a state store that supports timers; the session's default provider is replaced."""
+    spark = requests.sparkSession
+    if spark.conf.get(STORE).endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = requests.select("cache_key", "request_id", "ts").withWatermark("ts", delay).withColumn("t", F.unix_micros("ts"))
     schema = "cache_key string, request_id long, ts timestamp, hit boolean"
-
-    def flag(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "request_id"], kind="stable")
-        hits = []
-        for t in rows["ts"].astype("int64") // 1000 if str(rows["ts"].dtype).endswith("[ns]") else rows["ts"].astype("int64"):
-            hit = last is not None and t - last < ttl * 1_000_000
-            if not hit:
-                last = int(t)
-            hits.append(hit)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + ttl * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"cache_key": key[0], "request_id": rows["request_id"], "ts": rows["ts"], "hit": hits})
-
-    keyed = requests.select("cache_key", "request_id", "ts").withWatermark("ts", delay)
-    return keyed.groupBy("cache_key").applyInPandasWithState(flag, schema, "last_computed long", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.groupBy("cache_key").transformWithStateInPandas(CacheChain(ttl), schema, "Append", "EventTime")
 
 
 def stream_distinct_requests(requests: DataFrame, ttl: str = "1 hour") -> DataFrame:
@@ -59,7 +92,8 @@ def stream_distinct_requests(requests: DataFrame, ttl: str = "1 hour") -> DataFr
 
 
 def idle_sessions(requests: DataFrame, gap: str = "10 minutes", keys: tuple[str, ...] = ("provider",), delay: str = "10 minutes") -> DataFrame:
-    """Busy sessions per key that an idle gap closes."""
+    """Busy sessions per key that an idle gap closes.  In append mode a session is one row, written
+    and forgotten once the watermark passes its end; rows later than that are counted, not kept."""
     base = requests.withWatermark("ts", delay)
     s = base.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("busy_ms"))
     return s.select(*keys, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n", "busy_ms")
@@ -80,24 +114,35 @@ def stream_entities(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return extract_entities(docs, key, text)
 
 
-def stream_ingest_annotations(spark: SparkSession, folder: str, out: str, rejects: str, checkpoint: str):
-    """Ingest annotation files as they arrive: valid elements to ``out``, rejects with
-    their reason to ``rejects``.  Every micro-batch writes its own folder, so a replayed
-    batch overwrites itself."""
+def stream_ingest_annotations(spark: SparkSession, folder: str, out: str, rejects: str, checkpoint: str, findings: str | None = None):
+    """Ingest annotation files as they arrive: valid elements to ``out``, rejects with their
+    reason to ``rejects`` and, if asked, the errors inside valid annotations (repeated ids, boxes
+    out of the page, relation ends, cycles) to ``findings``.  Every micro-batch writes its own
+    folders, so a replayed batch overwrites itself."""
     raw = spark.readStream.schema(SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder)
     raw = raw.withColumn("file", F.col("_metadata.file_path"))
 
     def write(batch: DataFrame, epoch: int) -> None:
         ok, bad = reject_invalid(batch)
-        elements_of(ok.withColumnRenamed("file", "image_id")).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        ok = ok.withColumnRenamed("file", "image_id")
+        elements = elements_of(ok)
+        elements.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         bad.select("file", "reason").write.mode("overwrite").parquet(f"{rejects}/epoch={epoch}")
+        if findings is not None:
+            # an image is a file, so all its rows are in this batch
+            elements = batch.sparkSession.read.schema(elements.schema).parquet(f"{out}/epoch={epoch}")
+            children = elements.select("image_id", F.col("element_id").alias("parent_id"), F.explode("children").alias("child_id"))
+            meta = ok.select("image_id", F.col("imageSize.width").alias("width"), F.col("imageSize.height").alias("height"))
+            found = validate_annotations(elements, cut_lineage(relations_of(ok)), children, cut_lineage(meta))
+            found.write.mode("overwrite").parquet(f"{findings}/epoch={epoch}")
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """Process what the source holds and return the table: appended micro-batches, in update
-    mode the last row written for each of ``keys``, in complete mode the last state."""
+    mode the last row written for each of ``keys``, in complete mode the last state.  Rows that
+    came too late for their state are counted for each batch in the table ``path``-late."""
     def append(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
@@ -107,6 +152,8 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     sink = replace if mode == "complete" else append
     q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    late = [(p["batchId"], sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"]), sum(o["numRowsTotal"] for o in p["stateOperators"])) for p in q.recentProgress]
+    df.sparkSession.createDataFrame(late, "batch long, late_rows long, state_rows long").write.mode("overwrite").parquet(f"{path}-late")
     if mode != "update":
         return df.sparkSession.read.schema(df.schema).parquet(path)
     rows = df.sparkSession.read.schema(T.StructType(df.schema.fields + [T.StructField("epoch", T.LongType())])).parquet(path)

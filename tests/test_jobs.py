@@ -81,11 +81,42 @@ def requests(n=120, seed=3):
     return [(i, start + dt.timedelta(seconds=rng.randrange(40_000)), rng.choice("aaab")) for i in range(n)]
 
 
-def test_cache_hits_fold_and_doubling(spark):
+def test_cache_hits(spark):
     rows = requests()
     df = spark.createDataFrame(rows, "request_id long, ts timestamp, cache_key string")
-    for limit in (10_000, 0):
-        assert {r.request_id: r.hit for r in C.cache_hits(df, 3600, limit).collect()} == model_hits(rows, 3600)
+    for ttl in (60, 3600, 20_000):
+        assert {r.request_id: r.hit for r in C.cache_hits(df, ttl).collect()} == model_hits(rows, ttl)
+
+
+def test_covered_area():
+    from screenlake.operators.metrics import covered_area
+
+    rng = random.Random(3)
+    for n in (1, 2, 5, 40):
+        boxes = [(x, x + rng.randint(1, 9), y, y + rng.randint(1, 9)) for x, y in ((rng.randrange(30), rng.randrange(30)) for _ in range(n))]
+        assert covered_area(boxes) == len({(x, y) for a, b, c, d in boxes for x in range(a, b) for y in range(c, d)})
+
+
+def test_union_area_of_one_crowded_tile(spark):
+    """100 000 boxes on one tile: a staircase, whose area is known."""
+    from screenlake.operators.metrics import union_area
+
+    n = 100_000
+    i = F.col("id") / n
+    boxes = spark.range(n).select(F.lit(1).alias("image_id"), (i * 100).alias("x"), (i * 100).alias("y"), (100 - i * 100).alias("w"), (i * 50 + 1).alias("h"))
+    # column at x: boxes start at t <= x and reach from t to 1.5 t + 1
+    want = sum(1.5 * (k / n * 100) + 1 for k in range(n)) * 100 / n
+    got = union_area(boxes, tile=1000.0).head()["union_area"]
+    assert abs(got - want) < 1e-6 * want
+
+
+def test_one_key_with_a_million_rows_in_a_batch(spark, tmp_path):
+    n, ttl = 1_000_000, 600
+    rows = spark.range(n).select(F.col("id").alias("request_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 100_003).alias("ts"), F.lit("hot").alias("cache_key"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "src"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "src"))
+    out = J.run_available(J.stream_cache_hits(stream, ttl), str(tmp_path / "o"), str(tmp_path / "c"))
+    assert out.groupBy("hit").count().orderBy("hit").collect() == [(False, 100_003 // ttl + 1), (True, n - 100_003 // ttl - 1)]
 
 
 def test_stream_in_many_batches_equals_one(spark, tmp_path):
@@ -105,6 +136,73 @@ def test_stream_in_many_batches_equals_one(spark, tmp_path):
     assert 2 <= few.count() < len(rows)
 
 
+def test_sessions_are_closed_by_the_watermark(spark, tmp_path):
+    """State falls as sessions close; a row behind the watermark is counted and changes nothing."""
+    start = dt.datetime(2024, 1, 1)
+    at = lambda *minutes: [(m, start + dt.timedelta(minutes=m), "a", 1.0) for m in minutes]
+    schema, src = "request_id long, ts timestamp, provider string, duration_ms double", str(tmp_path / "src")
+    for rows in (at(0, 5, 300), at(301, 600), at(1, 2, 900)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(src)
+    out = J.run_available(J.idle_sessions(stream), str(tmp_path / "o"), str(tmp_path / "c"))
+    assert sorted((r.started.hour * 60 + r.started.minute, r.n) for r in out.collect()) == [(0, 2), (300, 2), (600, 1)]
+    late = spark.read.parquet(str(tmp_path / "o-late")).orderBy("batch").collect()
+    assert sum(r.late_rows for r in late) == 2 and late[-1].state_rows == 1 < max(r.state_rows for r in late)
+
+
+def test_ingest_findings_are_replay_safe(spark, tmp_path):
+    src, out, rej, found, ck = (str(tmp_path / d) for d in ("in", "out", "rej", "found", "ck"))
+    (tmp_path / "in").mkdir()
+    twice = {**NOTE, "elements": NOTE["elements"] * 2 + [{"id": "far", "type": "icon", "bbox": {"x": 9, "y": 9, "w": 9, "h": 9}, "render": "native", "children": ["e1"]}]}
+    (tmp_path / "in" / "d.json").write_text(json.dumps(twice))
+    want = [("bbox-out-of-bounds", "far", None), ("child-not-in-contains", "far", "e1"), ("duplicate-id", "e1", None)]
+    for _ in range(2):  # the checkpoint is lost: the batch comes again
+        J.stream_ingest_annotations(spark, src, out, rej, ck, found).awaitTermination()
+        assert sorted((r.code, r.element_id, r.detail) for r in spark.read.parquet(found).collect()) == want
+        assert spark.read.parquet(out).count() == 3
+        ck += "2"
+
+
+def test_failed_prompts_are_isolated_and_answers_kept(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def factory():
+        import pathlib
+        import uuid
+
+        def ask(prompts):
+            pathlib.Path(calls).mkdir(exist_ok=True)
+            (pathlib.Path(calls) / uuid.uuid4().hex).write_text("\n".join(prompts))
+            if any("bad" in p for p in prompts):
+                raise ValueError("refused")
+            return ['{"summary": "fine", "page": 1}'] * len(prompts)
+
+        return ask
+
+    rows = [(i, "describe", "bad" if i % 7 == 3 else f"prompt {i % 5}") for i in range(20)]
+    prompts = spark.createDataFrame(rows, "request_id long, skill string, prompt string").coalesce(1)
+    for _ in range(2):
+        got = X.infer_with(prompts, factory, 0, str(tmp_path / "answers")).collect()
+        assert {r.request_id for r in got if r.raw_text} == {i for i, _, p in rows if p != "bad"}
+        assert {r.error for r in got if not r.raw_text} == {"ValueError: refused"}
+    asked = [p for f in (tmp_path / "calls").iterdir() for p in f.read_text().split("\n")]
+    before = len(asked)
+    X.infer_with(prompts.where("prompt <> 'bad'"), factory, 0, str(tmp_path / "answers")).collect()
+    assert sum(len(f.read_text().split("\n")) for f in (tmp_path / "calls").iterdir()) == before
+
+
+def test_table_function_equals_levels(spark):
+    tree = {"id": "p", "type": "page", "children": [{"id": "a", "type": "card", "bbox": {"x": 1, "y": 2.5, "w": 3, "h": 4}, "text": "t", "props": {"render": {"mode": "semantic-only"}}, "children": [{"id": 7, "type": "icon"}, {"type": "text", "children": []}]}, {"id": "b", "type": "row", "children": None}]}
+    deep = {"id": "d0", "type": "page"}
+    for i in range(1, 40):
+        deep = {"id": f"d{i}", "type": "row", "children": [deep]}
+    df = spark.createDataFrame([(1, json.dumps(tree)), (2, json.dumps(deep)), (3, "[broken"), (4, None), (5, "5")], "k long, tree string")
+    cols = ["k", "node_id", "parent_id", "depth", "path", "type", "x", "y", "w", "h", "text", "render_mode"]
+    for exclude in (False, True):
+        rows = lambda d: sorted((tuple(r) for r in d.select(*cols).collect()), key=repr)
+        assert rows(X.flatten_tree_rows(df, "k", "tree", exclude)) == rows(A.flatten_tree(df, "k", "tree", exclude))
+
+
 def test_splits_keep_families_together(spark):
     rows = [(f"s{i}", f"screen_{202401010000 + i % 17}_{i}.json") for i in range(200)]
     got = D.assign_splits(spark.createDataFrame(rows, "sample_id string, annotation_file string"), seed=5).collect()
