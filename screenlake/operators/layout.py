@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import types as T
+
+from screenlake.operators.folds import fold_sorted
+from screenlake.session import cut_lineage
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int | None) -> DataFrame:
@@ -56,42 +62,45 @@ def _size_cells(kids: DataFrame, keys: list[str], order: Column) -> DataFrame:
     )
 
 
+def differ(a: float, b: float) -> bool:
+    """``_differs`` of two numbers."""
+    big = max(a, b)
+    return big > 0 and abs(a - b) / big > SIZE_TOLERANCE
+
+
+def size_level(v: float) -> int:
+    """Sizes that don't differ are on the same level or on levels side by side."""
+    return math.floor(math.log(v) / math.log(1 / 0.84)) if v > 0 else -10_000
+
+
 def detect_repeats(nodes: DataFrame) -> DataFrame:
     """Per parent the largest group (>= 2) of repeatable children of one type whose sizes
     differ pairwise by at most 15 %; the template is its first member in size order.
 
     ``nodes``: image_id, parent_id, node_id, type, box."""
-    from screenlake.functions.semantics import fold_array
-
     keys = ["image_id", "parent_id"]
     kids = nodes.where(F.col("parent_id").isNotNull() & F.col("type").isin(REPEATABLE))
-    cells = _size_cells(kids, keys, F.struct("y", "x", "node_id"))
-    entry = F.struct("type", "w", "h", F.col("n").alias("n"), F.col("first_id").alias("id"))
-    rows = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("cells"))
-    zero = F.array().cast("array<struct<type:string,w0:double,w1:double,h0:double,h1:double,n:bigint,id:string>>")
-
-    def step(acc: Column, e: Column) -> Column:
-        def fits(g: Column) -> Column:
-            near = ~_differs(g["w0"], e["w"]) & ~_differs(g["w1"], e["w"]) & ~_differs(g["h0"], e["h"]) & ~_differs(g["h1"], e["h"])
-            return (g["type"] == e["type"]) & near
-
-        hit = F.array_position(F.transform(acc, fits), True)
-        grown = F.transform(
-            acc,
-            lambda g, i: F.when(
-                i + 1 == hit,
-                F.struct(
-                    g["type"].alias("type"), F.least(g["w0"], e["w"]).alias("w0"), F.greatest(g["w1"], e["w"]).alias("w1"),
-                    F.least(g["h0"], e["h"]).alias("h0"), F.greatest(g["h1"], e["h"]).alias("h1"), (g["n"] + e["n"]).alias("n"), g["id"].alias("id"),
-                ),
-            ).otherwise(g),
-        )
-        fresh = F.struct(e["type"].alias("type"), e["w"].alias("w0"), e["w"].alias("w1"), e["h"].alias("h0"), e["h"].alias("h1"), e["n"].alias("n"), e["id"].alias("id"))
-        return F.when(hit > 0, grown).otherwise(F.array_append(acc, fresh))
-
-    groups = rows.select(*keys, F.posexplode(fold_array(F.col("cells"), zero, step)).alias("k", "g")).where(F.col("g.n") >= 2)
-    best = groups.groupBy(*keys).agg(F.max_by("g", F.struct(F.col("g.n"), -F.col("k"))).alias("g"))
-    return best.select("image_id", F.col("parent_id").alias("target_id"), F.col("g.n").alias("count"), F.col("g.id").alias("template_id"), F.col("g.type").alias("template_type"))
+    cells = _size_cells(kids, keys, F.struct("y", "x", "node_id")).select(*keys, "type", "w", "h", "n", F.col("first_id").alias("id"))
+
+    def largest(group: Iterator[tuple]) -> Iterator[tuple]:
+        best, live = None, []  # groups as [type, w0, w1, h0, h1, n, id, number]
+        opened = 0
+        for image, parent, kind, w, h, n, first in group:
+            # sizes ascend within a type: a group that is too narrow now stays so
+            live = [g for g in live if g[0] == kind and not differ(g[1], w)]
+            hit = next((g for g in live if not (differ(g[2], w) or differ(g[3], h) or differ(g[4], h))), None)
+            if hit is None:
+                hit = [kind, w, w, h, h, 0, first, opened]
+                live.append(hit)
+                opened += 1
+            hit[1:6] = min(hit[1], w), max(hit[2], w), min(hit[3], h), max(hit[4], h), hit[5] + n
+            if best is None or (hit[5], -hit[7]) > (best[5], -best[7]):
+                best = hit
+        if best[5] >= 2:
+            yield image, parent, best[5], best[6], best[0]
+
+    schema = T.StructType([nodes.schema["image_id"], T.StructField("target_id", nodes.schema["parent_id"].dataType), T.StructField("count", T.LongType()), T.StructField("template_id", nodes.schema["node_id"].dataType), T.StructField("template_type", T.StringType())])
+    return fold_sorted(cells, keys, ["type", "w", "h", "n", "id"], schema, largest)
 
 
 def slots(repeats: DataFrame) -> DataFrame:
@@ -105,45 +114,37 @@ def promote_lists(nodes: DataFrame) -> DataFrame:
     resemble their seed to ``listItem``.
 
     ``nodes``: image_id, parent_id, node_id, ord, type, box.  Adds ``new_type``."""
-    from screenlake.functions.semantics import fold_array
-
     keys = ["image_id", "parent_id"]
     parents = nodes.where(F.col("type").isin(GENERIC)).select("image_id", F.col("node_id").alias("parent_id"))
     kids = nodes.where(F.col("parent_id").isNotNull()).join(parents, keys, "left_semi")
-    cells = _size_cells(kids, keys, F.col("ord"))
-    entry = F.struct(F.col("first_ord").alias("o"), "type", "w", "h", "n", "x0", "x1", "y0", "y1")
-    rows = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("cells"))
-    group = "struct<type:string,w:double,h:double,n:bigint,sw:double,sh:double,x0:double,x1:double,y0:double,y1:double>"
-    zero = F.struct(F.array().cast(f"array<{group}>").alias("gs"), F.array().cast("array<struct<type:string,w:double,h:double,g:int>>").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        gs = acc["gs"]
-        hit = F.array_position(F.transform(gs, lambda g: (g["type"] == e["type"]) & ~_differs(g["w"], e["w"]) & ~_differs(g["h"], e["h"])), True)
-        w, h = e["w"] * e["n"], e["h"] * e["n"]
-        grown = F.transform(
-            gs,
-            lambda g, i: F.when(
-                i + 1 == hit,
-                F.struct(
-                    g["type"].alias("type"), g["w"].alias("w"), g["h"].alias("h"), (g["n"] + e["n"]).alias("n"), (g["sw"] + w).alias("sw"), (g["sh"] + h).alias("sh"),
-                    F.least(g["x0"], e["x0"]).alias("x0"), F.greatest(g["x1"], e["x1"]).alias("x1"), F.least(g["y0"], e["y0"]).alias("y0"), F.greatest(g["y1"], e["y1"]).alias("y1"),
-                ),
-            ).otherwise(g),
-        )
-        fresh = F.struct(e["type"].alias("type"), e["w"].alias("w"), e["h"].alias("h"), e["n"].alias("n"), w.alias("sw"), h.alias("sh"), *(e[c].alias(c) for c in ("x0", "x1", "y0", "y1")))
-        at = F.when(hit > 0, hit - 1).otherwise(F.size(gs)).cast("int")
-        return F.struct(
-            F.when(hit > 0, grown).otherwise(F.array_append(gs, fresh)).alias("gs"),
-            F.array_append(acc["out"], F.struct(e["type"].alias("type"), e["w"].alias("w"), e["h"].alias("h"), at.alias("g"))).alias("out"),
-        )
-
-    folded = rows.select(*keys, fold_array(F.col("cells"), zero, step).alias("f"))
-    groups = folded.select(*keys, F.posexplode("f.gs").alias("g", "s")).where((F.col("s.n") >= 3) & F.col("s.type").isin(LIST_ITEMS))
+    cells = _size_cells(kids, keys, F.col("ord")).select(*keys, F.col("first_ord").alias("o"), "type", "w", "h", "n", "x0", "x1", "y0", "y1")
+    sums = ("n", "sw", "sh", "x0", "x1", "y0", "y1")
+
+    def seeded(group: Iterator[tuple]) -> Iterator[tuple]:
+        """A row for each cell with its group, then a row for each group with its sums."""
+        seeds, near = [], defaultdict(list)
+        for image, parent, _, kind, w, h, n, x0, x1, y0, y1 in group:
+            lw, lh = size_level(w), size_level(h)
+            around = (g for i in (lw - 1, lw, lw + 1) for j in (lh - 1, lh, lh + 1) for g in near.get((kind, i, j), ()))
+            g = min((g for g in around if not (differ(seeds[g][1], w) or differ(seeds[g][2], h))), default=None)
+            if g is None:
+                g = len(seeds)
+                near[kind, lw, lh].append(g)
+                seeds.append([kind, w, h, 0, 0.0, 0.0, x0, x1, y0, y1])
+            s = seeds[g]
+            s[3:] = s[3] + n, s[4] + w * n, s[5] + h * n, min(s[6], x0), max(s[7], x1), min(s[8], y0), max(s[9], y1)
+            yield (image, parent, kind, w, h, g, *[None] * len(sums))
+        for g, (kind, w, h, *rest) in enumerate(seeds):
+            yield (image, parent, kind, w, h, g, *rest)
+
+    schema = T.StructType([nodes.schema["image_id"], nodes.schema["parent_id"], T.StructField("type", T.StringType()), T.StructField("w", T.DoubleType()), T.StructField("h", T.DoubleType()), T.StructField("g", T.IntegerType())] + [T.StructField(c, T.LongType() if c == "n" else T.DoubleType()) for c in sums])
+    folded = cut_lineage(fold_sorted(cells, keys, ["o", "type", "w", "h"], schema, seeded))
+    groups = folded.where((F.col("n") >= 3) & F.col("type").isin(LIST_ITEMS)).select(*keys, "g", F.struct(*sums).alias("s"))
     best = groups.groupBy(*keys).agg(F.max_by(F.struct("g", "s"), F.struct(F.col("s.n"), -F.col("g"))).alias("b")).select(*keys, "b.g", "b.s")
     dx, dy = F.col("s.x1") - F.col("s.x0"), F.col("s.y1") - F.col("s.y0")
     xa, ya = dx < F.col("s.sw") / F.col("s.n") * 0.5, dy < F.col("s.sh") / F.col("s.n") * 0.5
     lists = best.where(xa & (~ya | (dx <= dy))).select(*keys, "g")
-    cells_of = folded.select(*keys, F.explode("f.out").alias("o")).select(*keys, "o.type", "o.w", "o.h", "o.g")
+    cells_of = folded.where(F.col("n").isNull()).select(*keys, "type", "w", "h", "g")
     items = cells_of.join(lists, [*keys, "g"]).select(*keys, "type", "w", "h", F.lit(True).alias("_item"))
     heads = lists.select("image_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("_list"))
     out = nodes.join(items, [*keys, "type", "w", "h"], "left").join(heads, ["image_id", "node_id"], "left")

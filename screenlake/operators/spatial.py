@@ -341,12 +341,16 @@ def nearest_downstream(nodes: DataFrame, directions: DataFrame, first_reach: flo
 
     ``nodes``: image_id, ord, box.  ``directions``: image_id, direction.  The search ring
     doubles; a node leaves the search once its best hit lies within the ring, because
-    nothing outside can be nearer.  The tile size follows the ring, so a node always
+    nothing outside can be nearer, and only nodes with something ahead search at all.  The tile size follows the ring, so a node always
     probes a handful of tiles."""
     pts = nodes.select("image_id", "ord", G.box().cx.alias("x"), G.box().cy.alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h"))
-    todo = cut_lineage(pts.join(directions.select("image_id", "direction"), "image_id"))
     pts = cut_lineage(pts)
-    span = pts.groupBy("image_id").agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("s")).agg(F.max("s")).first()[0] or 0.0
+    # a node with nothing ahead of it never starts, so every search ends at a hit
+    far = pts.groupBy("image_id").agg(F.max("x").alias("_mx"), F.max("y").alias("_my"))
+    beyond, aside = F.col("_my") > F.col("y") + 5, F.col("_mx") > F.col("x") + 5
+    any_ahead = F.when(F.col("direction") == "top-down", beyond).when(F.col("direction") == "left-right", aside).otherwise(beyond | aside)
+    todo = pts.join(directions.select("image_id", "direction"), "image_id").join(far, "image_id").where(any_ahead).drop("_mx", "_my")
+    todo = cut_lineage(todo)
     reach, found = first_reach, None
     down, right = F.col("b_y") > F.col("a_y") + 5, F.col("b_x") > F.col("a_x") + 5
     ahead = (
@@ -361,8 +365,6 @@ def nearest_downstream(nodes: DataFrame, directions: DataFrame, first_reach: flo
         ).select("image_id", "src", "r.dst", "r.dist")
         best = cut_lineage(best)
         found = best if found is None else found.unionByName(best)
-        if reach >= span:
-            return found
         todo = cut_lineage(todo.join(best.select("image_id", F.col("src").alias("ord")), ["image_id", "ord"], "left_anti"))
         if todo.isEmpty():
             return found
