@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from screenlake.functions import geometry as G
 from screenlake.functions.semantics import constant_table
 from screenlake.operators.folds import BoxIndex, fold_sorted
+from screenlake.operators.ordered import with_part
 from screenlake.operators.spatial import touching_pairs
 
 
@@ -92,20 +93,10 @@ def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7)
 
 
 def _parts(cands: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates with ``_part``: groups are cut where extents are separated along y, then along
-    x.  A merged box stays within the hull of its members, so parts never meet."""
-    from screenlake.operators.ordered import running_max_before, running_sum
-
-    def cut(df: DataFrame, by: list[str], lo: Column, hi: Column, name: str) -> DataFrame:
-        rows, order = df.withColumn("_lo", lo), ["_lo", "cand_id"]
-        rows = running_max_before(rows, by, F.col("_lo"), hi, order, "_reach")
-        step = F.when(F.col("_lo") > F.col("_reach"), 1).otherwise(0).cast("long")
-        return running_sum(rows, by, order, step, name).drop("_lo", "_band", "_reach")
-
+    """Candidates with ``_part``: groups are cut where extents are separated along y.  A merged
+    box stays within the hull of its members, so parts never meet."""
     b = G.box()
-    rows = cut(cands, keys, b.y, b.bottom, "_py")
-    rows = cut(rows, [*keys, "_py"], b.x, b.right, "_px")
-    return rows.withColumn("_part", F.concat_ws("/", F.col("_py").cast("string"), F.col("_px").cast("string"))).drop("_py", "_px")
+    return with_part(cands, b.y, cands, keys, b.y, b.bottom)
 
 
 def flag_conflicts(fused: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -124,7 +115,7 @@ def dedupe_boxes(df: DataFrame, group: str, min_iou: float = 0.8) -> DataFrame:
     dropped otherwise.  Keeps the slot order in ``slot``."""
     keys = ["image_id", group]
     ok = G.valid_box(G.box()) & F.col("score").isNotNull() & ~F.isnan("score")
-    parts = _parts(df.where(ok).withColumn("cand_id", F.col("ord")), keys)
+    parts = _parts(df.where(ok), keys)
     # the whole row travels through the fold: a join back on ord would multiply repeated rows
     rows = parts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate((*keys, "_part"))), *(F.col(c).alias(f"_v{i}") for i, c in enumerate(df.columns)))
     schema = T.StructType([*df.schema.fields, T.StructField("slot", df.schema["ord"].dataType)])

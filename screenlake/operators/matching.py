@@ -12,24 +12,19 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from screenlake.functions import geometry as G
 from screenlake.operators.folds import fold_sorted
-from screenlake.operators.ordered import running_max_before, running_sum
+from screenlake.operators.ordered import with_part
 from screenlake.operators.spatial import KEY, iou_join
 from screenlake.session import cut_lineage
 
 
-def banded(edges: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``edges`` (with the extents ``_lo`` to ``_hi``) numbered by the band of their group: no
-    extent reaches from one band to another, so the edges of two bands share no box."""
-    rows = running_max_before(edges, keys, F.col("_lo"), F.col("_hi"), ["_lo", *order], "_reach")
-    step = F.when(F.col("_lo") > F.col("_reach"), 1).otherwise(0).cast("long")
-    return running_sum(rows, keys, ["_lo", *order], step, "_part").drop("_lo", "_hi", "_band", "_reach")
+def greedy_walk(edges: DataFrame, boxes: DataFrame, keys: list[str], rank: list[str], a_id: str, b_id: str) -> DataFrame:
+    """The edges that a walk in ``rank`` order takes: those with both ends still free.
 
-
-def greedy_walk(edges: DataFrame, keys: list[str], rank: list[str], a_id: str, b_id: str) -> DataFrame:
-    """The edges that a walk in ``rank`` order takes: those with both ends still free."""
-    rows = banded(edges, keys, rank).select(*keys, "_part", *rank, F.col(a_id).alias("_a"), F.col(b_id).alias("_b"), "iou")
+    ``boxes`` are those of both sides; edges have the top ``_y`` of one of their ends.  Bands
+    that no box crosses share no edge, so each is a walk of its own."""
+    banded = with_part(edges, F.col("_y"), boxes, keys, F.col("y"), F.col("y") + F.col("h"))
+    rows = banded.select(*keys, "_part", *rank, F.col(a_id).alias("_a"), F.col(b_id).alias("_b"), "iou")
     n = len(keys)
     fields = [edges.schema[c] for c in (*keys, a_id, b_id, "iou")]
 
@@ -46,8 +41,7 @@ def greedy_walk(edges: DataFrame, keys: list[str], rank: list[str], a_id: str, b
 
 
 def _edges(pairs: DataFrame, keys: list[str], *columns: Column) -> DataFrame:
-    a, b = G.box("a_"), G.box("b_")
-    return pairs.select(*keys, *columns, "iou", (-F.col("iou")).alias("neg_iou"), F.least(a.y, b.y).alias("_lo"), F.greatest(a.bottom, b.bottom).alias("_hi"))
+    return pairs.select(*keys, *columns, "iou", (-F.col("iou")).alias("neg_iou"), F.col("a_y").alias("_y"))
 
 
 def match_greedy_gt(gt: DataFrame, pred: DataFrame, min_iou: float = 0.5) -> DataFrame:
@@ -58,18 +52,20 @@ def match_greedy_gt(gt: DataFrame, pred: DataFrame, min_iou: float = 0.5) -> Dat
     Output: image_id, type, gt_id, pred_id, iou."""
     keys = ["image_id", "type"]
     cols = [*keys, "ord", "box_id", "x", "y", "w", "h"]
-    pairs = iou_join(gt.select(*cols), pred.select(*cols), min_iou, same_type=True)
+    gt, pred = gt.select(*cols), pred.select(*cols)
+    pairs = iou_join(gt, pred, min_iou, same_type=True)
     edges = _edges(pairs, keys, F.col("a_ord").alias("gt_ord"), F.col("b_ord").alias("pred_ord"), F.col("a_box_id").alias("gt_id"), F.col("b_box_id").alias("pred_id"))
-    return greedy_walk(edges, keys, ["gt_ord", "neg_iou", "pred_ord"], "gt_id", "pred_id")
+    return greedy_walk(edges, gt.unionByName(pred), keys, ["gt_ord", "neg_iou", "pred_ord"], "gt_id", "pred_id")
 
 
 def match_greedy_global(pred: DataFrame, human: DataFrame, min_iou: float = 0.5) -> DataFrame:
     """Pairs by IoU descending, then prediction id, then human id; type-agnostic."""
     keys = list(KEY)
     cols = ["image_id", "box_id", "x", "y", "w", "h"]
-    pairs = iou_join(pred.select(*cols), human.select(*cols), min_iou)
+    pred, human = pred.select(*cols), human.select(*cols)
+    pairs = iou_join(pred, human, min_iou)
     edges = _edges(pairs, keys, F.col("a_box_id").alias("pred_id"), F.col("b_box_id").alias("human_id"))
-    return greedy_walk(edges, keys, ["neg_iou", "pred_id", "human_id"], "pred_id", "human_id")
+    return greedy_walk(edges, pred.unionByName(human), keys, ["neg_iou", "pred_id", "human_id"], "pred_id", "human_id")
 
 
 # Types a user acts on, and type pairs that detectors confuse.

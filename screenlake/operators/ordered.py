@@ -66,3 +66,19 @@ def running_max_before(df: DataFrame, keys: Sequence[str], lo: Column, hi: Colum
     carry = tops.select(*by, F.max("_top").over(W.partitionBy(*keys).orderBy("_band").rowsBetween(*before)).alias("_carry"))
     rows = rows.withColumn("_in", inside).join(carry, by, "left")
     return rows.withColumn(name, F.greatest("_in", "_carry")).drop("_hi", "_in", "_carry")
+
+
+def with_part(rows: DataFrame, at: Column, extents: DataFrame, keys: Sequence[str], lo: Column, hi: Column, cell: float = 64.0) -> DataFrame:
+    """Add ``_part``: groups are cut where no extent ``lo`` to ``hi`` of ``extents`` crosses.
+
+    ``at`` is a coordinate of each row inside its extent.  Extents are first reduced to the
+    farthest end for each starting cell, so the running maximum goes over that small table and
+    the rows themselves are neither sorted nor numbered here."""
+    step = lambda c: F.floor(c / cell).cast("long")
+    ends = extents.groupBy(*keys, step(lo).alias("_c")).agg(F.max(step(hi)).alias("_e"))
+    order = W.partitionBy(*keys).orderBy("_c")
+    ends = ends.withColumn("_reach", F.max("_e").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    starts = F.when(F.col("_c") > F.col("_reach"), 1).otherwise(0).cast("long")
+    parts = ends.select(*keys, "_c", F.sum(starts).over(order).alias("_p"))
+    # rows without a place keep to themselves, as one part
+    return rows.withColumn("_c", step(at)).join(parts, [*keys, "_c"], "left").withColumn("_part", F.coalesce("_p", F.lit(-1))).drop("_c", "_p")
