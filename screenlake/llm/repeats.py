@@ -203,7 +203,7 @@ def _merged(doc: np.ndarray, tag: np.ndarray, low: np.ndarray, high: np.ndarray)
     """Ranges of windows of each row, joined where they touch."""
     if not len(doc):
         return doc, tag, low, high
-    order = np.lexsort((low, tag, doc))
+    order = np.lexsort((low, tag, doc) if tag.any() else (low, doc))
     doc, tag, low, high = doc[order], tag[order], low[order], high[order]
     change = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
     group = np.cumsum(change)
