@@ -187,14 +187,15 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def found() -> pa.RecordBatch:
         out = []
-        for n, names in wanted.items():
-            keys = np.unique(np.array([fp for fp, _ in names], np.int64))
-            cut = [(k, part) for k, text in texts for part in segments(text, n)]
-            for some, kinds in _chunks(cut, langs):
-                chunk = _Chunk(some, kinds)
+        keys = {n: np.unique(np.array([fp for fp, _ in names], np.int64)) for n, names in wanted.items()}
+        # parts that share the words of the longest n-gram hold the shorter ones too
+        cut = [(k, part) for k, text in texts for part in segments(text, max(keys, default=1))]
+        for some, kinds in _chunks(cut, langs):
+            chunk = _Chunk(some, kinds)
+            for n, mine in keys.items():
                 fps = chunk.fingerprints(n).view(np.int64)
-                at = np.minimum(np.searchsorted(keys, fps), len(keys) - 1)
-                at = np.flatnonzero((keys[at] == fps) & chunk.inside(n))
+                at = np.minimum(np.searchsorted(mine, fps), len(mine) - 1)
+                at = np.flatnonzero((mine[at] == fps) & chunk.inside(n))
                 checks = chunk.checks(n)[at].astype(np.int64)
                 order = np.lexsort((checks, fps[at]))
                 at, checks = at[order], checks[order]
@@ -202,7 +203,7 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(fps[at]) != 0) | (np.diff(checks) != 0)])) if len(at) else at
                 at, checks = at[new], checks[new]
                 rows = zip(at.tolist(), fps[at].tolist(), checks.tolist(), chunk.row[at].tolist(), strict=True)
-                out += [(fp, check, langs[row], chunk.text(i, n)) for i, fp, check, row in rows if (fp, check) in names]
+                out += [(fp, check, langs[row], chunk.text(i, n)) for i, fp, check, row in rows if (fp, check) in wanted[n]]
         columns = zip(*out, strict=True) if out else [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["fp", "check", "lang", "phrase"])
 
