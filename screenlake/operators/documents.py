@@ -10,8 +10,11 @@ from screenlake.functions import geometry as G
 from screenlake.functions.semantics import js_round, keep_first, upper_median, with_group
 from screenlake.operators.entities import comparable, label_value_fields
 from screenlake.operators.lines import group_lines_fold, group_lines_gap
+from screenlake.operators.ordered import nearest
 from screenlake.operators.spatial import items_in_region
+from screenlake.session import cut_lineage
 
+BOX = ("x", "y", "w", "h")
 # Number, amount and unit patterns.
 NUMBER_CELL = r"^[¥￥$]?\s*[\d,]+\.?\d*$"
 AMOUNT, CURRENCY, UNIT = r"^\d+(?:\.\d+)?$", ["¥", "￥", "夫"], r"^[(（]元[)）]$"
@@ -55,6 +58,16 @@ def _cell_text(cell: Column) -> Column:
     return F.when(amount.isNotNull() & money, F.concat(amount, F.lit(" ¥"))).otherwise(F.array_join(parts, " "))
 
 
+def _headers(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Header cells of lined items (keys, col, cx, header, unit_line): the texts of the first line by
+    centre.  A second line of units only belongs to the header."""
+    units = rows.where(F.col("line") == 1).groupBy(*keys).agg(F.min(F.col("text").rlike(UNIT)).alias("_u"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("_cx", "ord"))
+    head = rows.where(F.col("line") == 0).select(*keys, (place - 1).alias("col"), F.col("_cx").alias("cx"), "text").join(units, keys, "left")
+    unit = F.coalesce("_u", F.lit(False))
+    return head.select(*keys, "col", "cx", "text", F.concat("text", F.when(unit, "（元）").otherwise("")).alias("header"), unit.alias("unit_line"))
+
+
 def reconstruct_table(items: DataFrame, keys: Sequence[str] = ("image_id",), lined: bool = False) -> DataFrame:
     """Table cells in long form (keys, row, col, header, text); row 0 is the first data row.
 
@@ -63,34 +76,27 @@ def reconstruct_table(items: DataFrame, keys: Sequence[str] = ("image_id",), lin
     items, half of them different, a row with two filled columns, and 40 % filled cells.
     A second line of units only is merged into the header."""
     keys = list(keys)
-    lines = items if lined else group_lines_fold(items, keys)
+    # lines are read five times below: folded once, then a table
+    lines = items if lined else cut_lineage(group_lines_fold(items.select(*keys, "ord", "text", *BOX), keys))
     # creation order of lines is top to bottom
     rows = lines.withColumn("_cx", G.box().cx)
-    head = rows.where(F.col("line") == 0).groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_cx", "ord", "text"))), lambda s: F.struct(s["_cx"].alias("cx"), s["text"].alias("text"))).alias("_head")
+    head = _headers(rows, keys)
+    name = comparable(F.col("text"))
+    shape = head.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_c"), F.count_distinct(F.when(name != "", name)).alias("_names"), F.max("unit_line").alias("_u")
     )
-    names = F.filter(F.transform("_head", lambda h: comparable(h["text"])), lambda t: t != "")
-    head = head.where((F.size("_head") >= 2) & (F.size(F.array_distinct(names)) >= F.size("_head") * 0.5))
-    second = rows.where(F.col("line") == 1).groupBy(*keys).agg(F.min(F.col("text").rlike(UNIT).cast("int")).alias("_unit"))
-    body = rows.where(F.col("line") > 0).join(head, keys)
-    dist = F.transform("_head", lambda h: F.abs(h["cx"] - F.col("_cx")))
-    body = body.withColumn("col", (F.array_position(dist, F.array_min(dist)) - 1).cast("int"))
-    fill = body.groupBy(*keys, "line").agg(F.countDistinct("col").alias("_f"), F.max(F.size("_head")).alias("_c"))
-    ok = fill.groupBy(*keys).agg(F.max((F.col("_f") >= 2).cast("int")).alias("_two"), F.sum("_f").alias("_fs"), F.sum("_c").alias("_cs"), F.count(F.lit(1)).alias("_n"))
-    # _n counts the data lines; a unit line is one of them for the test, as in the check above
-    ok = ok.where((F.col("_two") == 1) & (F.col("_fs") / F.col("_cs") >= 0.4)).select(*keys)
-    body = body.join(ok, keys, "left_semi").join(second, keys, "left")
-    units = F.coalesce(F.col("_unit") == 1, F.lit(False))
-    data = body.where(~(units & (F.col("line") == 1)))
-    cells = data.groupBy(*keys, "line", "col").agg(_ordered(["_cx", "ord"], F.col("text")).alias("_cell"), F.max(units.cast("int")).alias("_u"))
+    shape = shape.where((F.col("_c") >= 2) & (F.col("_names") >= F.col("_c") * 0.5)).drop("_names")
+    body = rows.where(F.col("line") > 0).join(shape, keys)
+    centres = head.select(*keys, F.col("cx").alias("_cx"), "col")
+    body = nearest(body, centres, keys, "_cx", ["col"]).withColumn("col", F.col("near.col")).where(F.col("col").isNotNull())
+    # a unit line is one of the data lines for this test
+    fill = body.groupBy(*keys, "line").agg(F.count_distinct("col").alias("_f"), F.max("_c").alias("_c"))
+    ok = fill.groupBy(*keys).agg(F.max(F.col("_f") >= 2).alias("_two"), (F.sum("_f") / F.sum("_c")).alias("_share"))
+    ok = ok.where(F.col("_two") & (F.col("_share") >= 0.4)).select(*keys)
+    data = body.where(~(F.col("_u") & (F.col("line") == 1))).join(ok, keys, "left_semi")
+    cells = data.groupBy(*keys, "line", "col").agg(_ordered(["_cx", "ord"], F.col("text")).alias("_cell"), F.max(F.col("_u").cast("int")).alias("_u"))
     cells = cells.withColumn("text", _cell_text(F.col("_cell"))).where(F.col("text") != "")
-    # the nearest unit of a header is looked up by the header, not by the unit
-    unit_line = rows.where(F.col("line") == 1).join(second.where("_unit = 1"), keys, "left_semi").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_cx", "ord"))).alias("_units")
-    )
-    head = head.join(unit_line, keys, "left").select(*keys, F.posexplode("_head").alias("col", "_h"), F.col("_units").isNotNull().alias("_has_unit"))
-    head = head.select(*keys, "col", F.when(F.col("_has_unit"), F.concat(F.col("_h.text"), F.lit("（元）"))).otherwise(F.col("_h.text")).alias("header"))
-    out = cells.join(head, [*keys, "col"])
+    out = cells.join(head.select(*keys, "col", "header"), [*keys, "col"])
     return out.select(*keys, (F.col("line") - 1 - F.col("_u")).alias("row"), "col", "header", "text")
 
 
@@ -102,12 +108,11 @@ def key_content(items: DataFrame, regions: DataFrame) -> DataFrame:
     keys = ["image_id", "region_id"]
     pairs = items_in_region(items.select("image_id", "ord", "text", "x", "y", "w", "h"), regions.select("image_id", "region_id", "x", "y", "w", "h"))
     inside = pairs.select("image_id", F.col("b_region_id").alias("region_id"), *(F.col("a_" + c).alias(c) for c in ("ord", "text", "x", "y", "w", "h")))
-    lined = group_lines_fold(inside, keys)
+    lined = cut_lineage(group_lines_fold(inside, keys))
     table = reconstruct_table(lined, keys, lined=True)
     cols = table.groupBy(*keys).agg(F.countDistinct("row").alias("n_rows"))
     # every header counts, also of columns without a filled cell
-    first = lined.where(F.col("line") == 0).withColumn("_cx", G.box().cx)
-    names = first.groupBy(*keys).agg(F.array_join(_ordered(["_cx", "ord"], F.col("text")), "、").alias("columns"))
+    names = _headers(lined.withColumn("_cx", G.box().cx), keys).groupBy(*keys).agg(F.array_join(_ordered(["col"], F.col("header")), "、").alias("columns"))
     cell = F.struct("text", "x", "y", "w", "h")
     per_line = lined.withColumn("_cx", G.box().cx).groupBy(*keys, "line").agg(_ordered(["_cx", "ord"], cell).alias("_ts"))
     per_line = per_line.withColumn("text", F.array_join(F.transform("_ts", lambda e: e["text"]), " ")).withColumn("_unique", _line_text(F.col("_ts")))

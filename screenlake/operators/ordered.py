@@ -68,6 +68,28 @@ def running_max_before(df: DataFrame, keys: Sequence[str], lo: Column, hi: Colum
     return rows.withColumn(name, F.greatest("_in", "_carry")).drop("_hi", "_in", "_carry")
 
 
+def nearest(rows: DataFrame, anchors: DataFrame, keys: Sequence[str], axis: str, cols: Sequence[str], band: float = 256.0) -> DataFrame:
+    """Add ``near``: struct of ``axis`` and ``cols`` of the anchor whose ``axis`` value is nearest
+    to the row's (ties: the smaller value, then the smaller ``cols``); NULL without an anchor.
+
+    Anchors lie between the rows of their band in two sorted scans, up and down; bands without
+    one take theirs from a small per-band table.  No row holds the anchors of its group."""
+    by = [*keys, "_band"]
+    known = anchors.where(F.col(axis).isNotNull()).groupBy(*keys, axis).agg(F.min(F.struct(axis, *cols)).alias("_anchor"))
+    both = rows.withColumn("_row", F.lit(True)).unionByName(known, allowMissingColumns=True)
+    both = both.withColumn("_band", F.floor(F.col(axis) / band).cast("long"))
+    seen = lambda order: F.last("_anchor", True).over(W.partitionBy(*by).orderBy(order))
+    both = both.withColumn("_below", seen(F.asc(axis))).withColumn("_above", seen(F.desc(axis)))
+    ends = both.groupBy(*by).agg(F.min("_anchor").alias("_lo"), F.max("_anchor").alias("_hi"))
+    beyond = lambda end, order: F.last(end, True).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select(*by, beyond("_hi", F.asc("_band")).alias("_left"), beyond("_lo", F.desc("_band")).alias("_right"))
+    both = both.where("_row").join(ends, by, "left")
+    below, above = F.coalesce("_below", "_left"), F.coalesce("_above", "_right")
+    gap = lambda a: F.abs(F.col(axis) - a[axis])
+    near = F.when(above.isNull() | (gap(below) <= gap(above)), below).otherwise(above)
+    return both.select(*rows.columns, near.alias("near"))
+
+
 def with_part(rows: DataFrame, at: Column, extents: DataFrame, keys: Sequence[str], lo: Column, hi: Column, cell: float = 64.0) -> DataFrame:
     """Add ``_part``: groups are cut where no extent ``lo`` to ``hi`` of ``extents`` crosses.
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from screenlake.operators import documents as D, entities as E, outputs as O
 from screenlake.plans.q_geometry import r6
-from screenlake.plans.q_spatial import CODE_GAP, DOC_GAP, LINE_FOLD
+from screenlake.plans.q_spatial import CODE_GAP, DOC_GAP, INTER, LINE_FOLD
 from screenlake.plans.q_text import hit, lit
 from screenlake.plans.registry import query
 
@@ -37,7 +37,47 @@ def _(t):
     return D.reconstruct_table(items(t)).select("image_id", F.col("row").cast("int").alias("row"), "col", "header", "text")
 
 
-@query("key_content")
+# lines and their texts per (image, region), folded item by item
+REGION_FOLD = f"""
+rg AS (SELECT image_id, box_id AS region_id, x, y, w * 3 AS w, h * 4 AS h, p % 100 / 100.0 AS confidence FROM boxes WHERE type = 'card'),
+ins AS (SELECT a.image_id, b.region_id, a.box_id, a.text, a.x, a.y, a.w, a.h FROM ocr_items a JOIN rg b ON a.image_id = b.image_id
+  WHERE (a.x+a.w/2 >= b.x-4 AND a.x+a.w/2 <= b.x+b.w+4 AND a.y+a.h/2 >= b.y-4 AND a.y+a.h/2 <= b.y+b.h+4) OR ({INTER}) / (a.w*a.h) >= 0.35),
+med AS (SELECT image_id, region_id, greatest(10.0, 0.6 * coalesce(nullif(list_sort(list(h))[count(*) // 2 + 1], 0), 20)) AS tol FROM ins GROUP BY image_id, region_id),
+it AS (SELECT o.*, y + h/2 AS cy, x + w/2 AS cx, tol, row_number() OVER (PARTITION BY image_id, region_id ORDER BY y + h/2, x + w/2, box_id) AS k FROM ins o JOIN med USING (image_id, region_id)),
+fold AS (
+  SELECT image_id, region_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(y DOUBLE, n DOUBLE)[]) AS ls, CAST(0 AS BIGINT) AS line FROM med
+  UNION ALL
+  SELECT image_id, region_id, k, CASE WHEN coalesce(hit, 0) = 0 THEN list_append(ls, {{'y': cy, 'n': CAST(1 AS DOUBLE)}}) ELSE list_transform(ls, lambda l, i: CASE WHEN i = hit THEN {{'y': (l.y * l.n + cy) / (l.n + 1), 'n': l.n + 1}} ELSE l END) END,
+         CASE WHEN coalesce(hit, 0) = 0 THEN len(ls) ELSE hit - 1 END
+  FROM (SELECT f.ls, e.*, list_position(list_transform(f.ls, lambda l: abs(l.y - e.cy) <= e.tol), true) AS hit FROM fold f JOIN it e ON e.image_id = f.image_id AND e.region_id = f.region_id AND e.k = f.k + 1) e),
+lined AS (SELECT i.*, {BARE.format('i.text')} AS bare, f.line FROM fold f JOIN it i USING (image_id, region_id, k)),
+li AS (SELECT *, row_number() OVER ln AS j, regexp_matches(text, {lit(D.AMOUNT)}) AND coalesce(lead(text) OVER ln IN ('¥', '￥', '夫')
+    AND abs(cy - lead(cy) OVER ln) <= 0.7 * greatest(h, lead(h) OVER ln) AND lead(x) OVER ln >= x AND lead(x) OVER ln - x - w <= greatest(8, 0.7 * w, h, lead(h) OVER ln), FALSE) AS money,
+    CASE WHEN regexp_matches(text, {lit(D.UNIT)}) THEN '（元）' ELSE text END AS shown FROM lined WINDOW ln AS (PARTITION BY image_id, region_id, line ORDER BY cx, box_id)),
+lt AS (
+  SELECT image_id, region_id, line, CAST(0 AS BIGINT) AS j, CAST([] AS STRING[]) AS parts, CAST([] AS STRING[]) AS seen, FALSE AS skip FROM li WHERE j = 1
+  UNION ALL
+  SELECT image_id, region_id, line, j, CASE WHEN keep THEN list_append(parts, CASE WHEN money THEN concat(text, ' ¥') ELSE shown END) ELSE parts END, CASE WHEN keep THEN list_append(seen, CASE WHEN money THEN concat(bare, '¥') ELSE {BARE.format('shown')} END) ELSE seen END, keep AND money
+  FROM (SELECT t.parts, t.seen, l.*, NOT skip AND len(list_filter(seen, lambda s: s <> '' AND l.bare <> '' AND (s = l.bare OR (length(l.bare) >= 8 AND contains(s, l.bare)) OR (length(s) >= 8 AND contains(l.bare, s))))) = 0 AS keep
+        FROM lt t JOIN li l ON l.image_id = t.image_id AND l.region_id = t.region_id AND l.line = t.line AND l.j = t.j + 1) s)"""
+
+
+@query("key_content", "WITH RECURSIVE " + REGION_FOLD + f""",
+ps AS (SELECT image_id, region_id, line, trim(array_to_string(arg_max(parts, j), ' ')) AS t FROM lt GROUP BY image_id, region_id, line),
+bd AS (SELECT image_id, region_id, count(*) AS n, string_agg(t, '；' ORDER BY line) AS body FROM ps WHERE t <> '' GROUP BY image_id, region_id),
+jn AS (SELECT image_id, region_id, line, trim(string_agg(text, ' ' ORDER BY j)) AS t FROM li GROUP BY image_id, region_id, line),
+fv AS (SELECT image_id, region_id, line, trim(regexp_extract(t, '^([^：:]{{1,20}})[：:]\\s*(.+)$', 1)) AS l, trim(regexp_extract(t, '^([^：:]{{1,20}})[：:]\\s*(.+)$', 2)) AS v FROM jn WHERE regexp_matches(t, '^([^：:]{{1,20}})[：:]\\s*(.+)$')),
+fd AS (SELECT image_id, region_id, count(*) AS n, string_agg(concat(l, '=', v), '，' ORDER BY line) AS fields FROM fv WHERE NOT regexp_matches(v, '[：:]') GROUP BY image_id, region_id),
+ul AS (SELECT image_id, region_id, bool_and(regexp_matches(text, {lit(D.UNIT)})) AS u FROM li WHERE line = 1 GROUP BY image_id, region_id),
+hd AS (SELECT image_id, region_id, list(cx ORDER BY j) AS cxs, string_agg(concat(text, CASE WHEN u THEN '（元）' ELSE '' END), '、' ORDER BY j) AS columns, count(*) AS c, count(DISTINCT nullif(bare, '')) AS uq, bool_or(coalesce(u, FALSE)) AS u FROM li LEFT JOIN ul USING (image_id, region_id) WHERE line = 0 GROUP BY image_id, region_id),
+tb AS (SELECT l.*, h.c, h.u, list_position(list_transform(cxs, lambda z: abs(z - l.cx)), list_min(list_transform(cxs, lambda z: abs(z - l.cx)))) AS col FROM li l JOIN hd h USING (image_id, region_id) WHERE line > 0 AND h.c >= 2 AND uq >= h.c * 0.5),
+fl AS (SELECT image_id, region_id, line, count(DISTINCT col) AS f, max(c) AS c FROM tb GROUP BY image_id, region_id, line),
+ok AS (SELECT image_id, region_id FROM fl GROUP BY image_id, region_id HAVING max(f) >= 2 AND sum(f) / CAST(sum(c) AS DOUBLE) >= 0.4),
+nr AS (SELECT image_id, region_id, count(DISTINCT line) AS n FROM tb JOIN ok USING (image_id, region_id) WHERE text <> '' AND NOT (u AND line = 1) GROUP BY image_id, region_id)
+SELECT r.image_id, r.region_id, CAST(row_number() OVER (PARTITION BY r.image_id ORDER BY confidence DESC, r.region_id) AS INT) AS rank,
+  CASE WHEN nr.n > 0 THEN 'table' WHEN fd.n > 0 THEN 'fields' WHEN bd.n > 0 THEN 'text' ELSE 'empty' END AS kind, coalesce(nr.n, 0) AS n_rows, coalesce(fd.n, 0) AS n_fields, coalesce(bd.n, 0) AS n_lines,
+  CASE WHEN nr.n > 0 THEN concat('关键区域包含表格：', columns, '，共 ', nr.n, ' 行。') WHEN fd.n > 0 THEN concat('关键区域包含字段：', fields, '。') WHEN bd.n > 0 THEN concat('关键区域包含：', body, '。') ELSE '关键区域未识别到明确文本。' END AS summary
+FROM rg r LEFT JOIN nr USING (image_id, region_id) LEFT JOIN hd USING (image_id, region_id) LEFT JOIN fd USING (image_id, region_id) LEFT JOIN bd USING (image_id, region_id)""".replace("\\s", "\s"))
 def _(t):
     r = t.boxes.where("type = 'card'").select("image_id", F.col("box_id").alias("region_id"), "x", "y", (F.col("w") * 3).alias("w"), (F.col("h") * 4).alias("h"), (F.col("p") % 100 / 100).alias("confidence"))
     return D.key_content(items(t), r)

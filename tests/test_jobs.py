@@ -237,6 +237,30 @@ def test_key_content_table_fields_text(spark):
     assert cells == {(0, 0): "Tea", (0, 1): "5 ¥", (1, 0): "Cake", (1, 1): "7.5"}
 
 
+def test_key_content_names_the_unit_line_of_a_header(spark):
+    items = [item("0", "Name", 0, 0), item("1", "Cost", 100, 1), item("2", "(元)", 40, 30), item("3", "Tea", 49, 60), item("4", "5", 90, 60), item("5", "Cup", 51, 90)]
+    i = spark.createDataFrame(items, "image_id long, ord string, text string, x double, y double, w double, h double")
+    r = spark.createDataFrame([(1, "t", -50.0, -50.0, 400.0, 300.0, 0.9)], "image_id long, region_id string, x double, y double, w double, h double, confidence double")
+    got = T.key_content(i, r).first()
+    assert (got.kind, got.n_rows, got.summary) == ("table", 2, "关键区域包含表格：Name（元）、Cost（元），共 2 行。")
+    cells = {(c.row, c.col): (c.header, c.text) for c in T.reconstruct_table(i).collect()}
+    assert cells == {(0, 0): ("Name（元）", "Tea"), (0, 1): ("Cost（元）", "5"), (1, 1): ("Cost（元）", "Cup")}
+
+
+def test_nearest_anchor_equals_brute_force(spark):
+    from screenlake.operators.ordered import nearest
+
+    draw = random.Random(5)
+    rows = [(g, n, draw.choice([draw.uniform(-4000, 4000), float(draw.randrange(-9, 9) * 128), None])) for g in range(4) for n in range(150)]
+    # repeated centres, bands without an anchor, a group without any, and 3000 anchors of one group
+    anchors = [(g, c, draw.choice([draw.uniform(-2000, 2000), float(draw.randrange(-5, 5) * 256)])) for g in range(1, 4) for c in range(3000 if g == 3 else 5 * g)]
+    df = spark.createDataFrame(rows, "g long, n long, at double")
+    got = {(r.g, r.n): r.near and tuple(r.near) for r in nearest(df, spark.createDataFrame(anchors, "g long, c long, at double"), ["g"], "at", ["c"]).collect()}
+    best = lambda g, at: min(((abs(a - at), a, c) for h, c, a in anchors if h == g), default=None) if at is not None else None
+    want = {(g, n): b and b[1:] for g, n, at in rows for b in [best(g, at)]}
+    assert got == want
+
+
 def test_detector_errors_become_rows(spark):
     def factory():
         def run(row):
