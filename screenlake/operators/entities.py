@@ -130,7 +130,8 @@ def ui_evidence(items: DataFrame, limits: Mapping[str, int] | None = None) -> Da
 
     Needs at least eight lines; the mobile rule is tried first, then at least four lines
     with admin signals.  A field lists the distinct ones of its matching lines; ``limits``
-    gives the number of matching lines that a field takes at most, by field."""
+    gives the number of matching lines that a field takes at most, by field.  A mobile page
+    has a ``title`` where a line is or else holds the word for details."""
     lines = items.select("image_id", "ord", F.trim("text").alias("text")).where(F.col("text") != "")
     lower = F.lower("text")
     n = lambda p, c=F.col("text"): F.count(F.when(c.rlike(p), 1))
@@ -152,11 +153,35 @@ def ui_evidence(items: DataFrame, limits: Mapping[str, int] | None = None) -> Da
         ),
         lambda s: s.isNotNull(),
     )
+    named = rows.where((F.col("page_type") == "mobile-ui") & F.contains("text", F.lit("详情"))).groupBy("image_id", "page_type")
+    title = named.agg(F.min_by("text", F.struct(F.col("text") != "详情", "ord")).alias("text")).withColumn("field", F.lit("title")).withColumn("pos", F.lit(1))
     rows = rows.select("image_id", "page_type", "ord", "text", F.explode(hits).alias("field"))
     rows = top_k_per_group(rows, ["image_id", "field"], ["ord"], None)
     for field, most in (limits or {}).items():
         rows = rows.where((F.col("field") != field) | (F.col("rank") <= most))
-    return keep_first(rows.select("image_id", "page_type", "field", "text", F.col("rank").alias("pos")), ["image_id", "page_type", "field", "text"], ["pos"])
+    fields = keep_first(rows.select("image_id", "page_type", "field", "text", F.col("rank").alias("pos")), ["image_id", "page_type", "field", "text"], ["pos"])
+    return fields.unionByName(title)
+
+
+def ui_summary(evidence: DataFrame) -> DataFrame:
+    """Sentence on each page (image_id, page_type, ui_summary) from ``ui_evidence`` rows: title and
+    first modules, contents and actions of a mobile page, or modules, navigation, table columns and
+    actions of an admin page."""
+    top = top_k_per_group(evidence.where(F.col("pos").isNotNull()), ["image_id", "page_type", "field"], ["pos"], 8)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"])
+    per = top.groupBy("image_id", "page_type", "field").agg(listed.alias("_ts"))
+    fields = per.groupBy("image_id", "page_type").agg(F.map_from_entries(F.collect_list(F.struct("field", "_ts"))).alias("_f"))
+    fields = evidence.select("image_id", "page_type").distinct().join(fields, ["image_id", "page_type"], "left")
+
+    def part(field: str, n: int, lead: str) -> Column:
+        texts = F.try_element_at("_f", F.lit(field))
+        return F.when(F.size(texts) > 0, F.concat(F.lit(lead), F.array_join(F.slice(texts, 1, n), "、"), F.lit("。"))).otherwise("")
+
+    phone = F.concat(F.lit("这是一个移动端应用页面。"), part("title", 1, "页面标题为"), part("modules", 5, "页面模块包括"), part("fields", 8, "可见内容包括"), part("actions", 5, "操作按钮有"))
+    columns = part("tableHeaders", 6, "表格列包括")
+    columns = F.when(columns != "", columns).otherwise(part("fields", 6, "主要字段有"))
+    admin = F.concat(F.lit("这是一个中文后台管理系统页面。"), part("modules", 5, "系统模块包括"), part("navigation", 5, "导航包含"), columns, part("actions", 8, "可执行操作包括"))
+    return fields.select("image_id", "page_type", F.when(F.col("page_type") == "mobile-ui", phone).otherwise(admin).alias("ui_summary"))
 
 
 def ui_layout(items: DataFrame, max_titles: int | None = None) -> DataFrame:

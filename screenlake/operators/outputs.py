@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from screenlake.functions import rulebook as RB
 from screenlake.functions.semantics import ascii_words
-from screenlake.operators.entities import CJK
+from screenlake.operators.entities import CJK, key_topics, ui_summary
+from screenlake.operators.rules import correct_category
 
 STRINGS = "array<string>"
 
@@ -230,25 +231,99 @@ def general_summary(text: Column, topics: Column) -> Column:
     return F.when(n > 0, F.when(cjk, zh).otherwise(en))
 
 
-def compose_result(requests: DataFrame, outputs: DataFrame, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """One wide row per request: parsed skill results as a map, the skills that succeeded,
-    category, summary, text flags, plus any extra per-request columns.
+def rich_summary(json: Column, short: int = 30, most: int = 1000) -> Column:
+    """Summary of a parsed answer: its description; one under ``short`` characters is followed by
+    the other fields (texts over five characters, first five entries of lists, nested objects), and
+    a merged text is cut at ``most`` characters."""
+    text, kind = F.from_json(json, "map<string,string>"), F.from_json(json, "map<string,variant>")
+    said = F.coalesce(F.try_element_at(text, F.lit("description")), F.try_element_at(text, F.lit("summary")), F.lit(""))
 
-    ``requests``: request_id, ocr_text.  ``outputs``: one row per (request, skill) as
-    given by ``parse_model_output``.  ``tables``: name -> DataFrame with request_id."""
-    per = outputs.withColumn("_r", F.when(F.col("error").isNull(), F.col("json")).otherwise(F.to_json(F.struct("error", F.lit(True).alias("partial")))))
+    def shown(e: Column) -> Column:
+        value, typ = e["value"], F.schema_of_variant(F.try_element_at(kind, e["key"]))
+        listed = F.from_json(value, "array<string>")
+        body = (
+            F.when((typ == "STRING") & (F.length(value) > 5), value).when(typ.startswith("ARRAY") & (F.size(listed) > 0), F.array_join(F.slice(listed, 1, 5), ", ", "null"))
+            .when(typ.startswith("OBJECT"), F.substring(value, 1, 200))
+        )
+        return F.concat(e["key"], F.lit(": "), body)
+
+    others = F.filter(F.map_entries(text), lambda e: ~e["key"].isin("description", "summary") & e["value"].isNotNull())
+    extra = F.array_join(F.array_compact(F.transform(others, shown)), ". ")
+    merged = F.concat(said, F.when(said != "", ". ").otherwise(""), extra)
+    merged = F.when(F.length(merged) > most, F.concat(F.substring(merged, 1, most), F.lit("..."))).otherwise(merged)
+    return F.when((F.length(said) < short) & (F.coalesce(extra, F.lit("")) != ""), merged).otherwise(said)
+
+
+# Marks of a scenario summary and what they become.
+SCENARIO_MARKS = [("【[^】]*】\\s*", ""), ("标题：([^；]*)；?", "标题为$1。"), ("字段：([^；]*)；?", "字段包括$1。"), (r"明细共\s*(\d+)\s*行；?", "共$1行明细。"), ("；$", "。")]
+
+
+def scenario_sentence(text: Column) -> Column:
+    """Scenario summary as a sentence, without the marks of its template."""
+    out = F.trim(text)
+    for pattern, words in SCENARIO_MARKS:
+        out = F.regexp_replace(out, pattern, words)
+    return F.when((out == "") | out.endswith("。") | out.endswith("."), out).otherwise(F.concat(out, F.lit("。")))
+
+
+def compose_result(requests: DataFrame, outputs: DataFrame, tables: Mapping[str, DataFrame] | None = None, evidence: DataFrame | None = None) -> DataFrame:
+    """One wide row per request: parsed skill results as a map, the skills that succeeded, category
+    and confidence after correction by the evidence (the classifier's own stay as ``original_*`` and
+    in its map entry), ``summary`` as answered and ``final_summary``, plus extra per-request columns.
+
+    ``requests``: request_id, ocr_text (NULL: none), and optionally key_content and scenario, which
+    are added to the summary.  ``outputs``: one row per (request, skill) as given by
+    ``parse_model_output``.  ``evidence``: rows of ``ui_evidence`` with request_id as image_id.
+    ``tables``: name -> DataFrame with request_id.
+
+    An empty, repetitive, ungrounded, short or copied summary gives way to one of the page evidence
+    or else of the text with its topics; without any, the layout skill's description stands."""
     ok = F.col("error").isNull()
     pick = lambda sk, field, typ="string": F.max(F.when(ok & (F.col("skill") == sk), F.try_variant_get(F.try_parse_json("json"), f"$.{field}", typ)))
-    wide = per.groupBy("request_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("skill", "_r")))).alias("result"),
-        F.array_sort(F.collect_list(F.when(ok, F.col("skill")))).alias("skills"), pick("classify", "category").alias("category"),
-        pick("classify", "confidence", "double").alias("confidence"), pick("summary", "description").alias("summary"),
+    wide = outputs.groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct("skill", F.when(ok, F.col("json")).alias("json"), "error"))).alias("_all"),
+        F.array_sort(F.collect_list(F.when(ok, F.col("skill")))).alias("skills"),
+        pick("classify", "category").alias("original_category"), pick("classify", "confidence", "double").alias("original_confidence"),
+        F.coalesce(F.max(F.when(ok & (F.col("skill") == "summary"), rich_summary(F.col("json")))), F.lit("")).alias("summary"),
+        pick("layout", "description").alias("_layout"), F.coalesce(F.bool_or(~ok & (F.col("skill") == "ocr")), F.lit(False)).alias("_ocr_failed"),
     )
-    rows = requests.join(wide, "request_id", "left")
+    rows = requests.join(wide, "request_id", "left").withColumn("summary", F.coalesce("summary", F.lit("")))
+    if evidence is None:
+        rows = rows.withColumn("page_type", F.lit(None).cast("string")).withColumn("_ui", F.lit(None).cast("string"))
+    else:
+        pages = ui_summary(evidence).select(F.col("image_id").alias("request_id"), "page_type", F.col("ui_summary").alias("_ui"))
+        rows = rows.join(pages, "request_id", "left")
+    words = key_topics(requests.where(F.col("ocr_text").isNotNull()), "request_id", "ocr_text")
+    words = words.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("_topics"))
+    rows = rows.join(words, "request_id", "left")
+    rows = rows.withColumn("category", F.coalesce("original_category", F.lit("unknown"))).withColumn("confidence", F.coalesce("original_confidence", F.lit(0.0)))
+    rows = correct_category(rows.withColumn("has_ui", F.col("page_type").isNotNull())).drop("category", "confidence")
+    rows = rows.withColumnsRenamed({"new_category": "category", "new_confidence": "confidence"})
     rows = grounding(rows, "summary", "ocr_text")
-    rows = prefer_source_text(rows, "summary", "ocr_text")
-    source = general_summary(F.col("ocr_text"), F.array().cast(STRINGS))
-    rows = rows.withColumn("final_summary", F.when(F.col("prefer_source") & source.isNotNull(), source).otherwise(F.col("summary")))
+    # no text to compare with: unknown, or unverified where it should have been read
+    unread = F.when(F.col("_ocr_failed"), F.lit(False))
+    seen = F.when(F.col("summary") != "", F.when(F.col("ocr_text").isNotNull(), F.col("grounded")).otherwise(unread))
+    rows = prefer_source_text(rows.withColumn("grounded", F.coalesce(seen, F.lit(True))), "summary", "ocr_text")
+    source = F.coalesce("_ui", general_summary(F.col("ocr_text"), F.col("_topics")))
+    swap = F.col("prefer_source") & source.isNotNull()
+    text = F.when(swap, source).otherwise(F.col("summary"))
+    if "key_content" in requests.columns:
+        text = F.concat(text, F.coalesce("key_content", F.lit("")))
+    if "scenario" in requests.columns:
+        added = scenario_sentence(F.col("scenario"))
+        text = F.when(F.coalesce("scenario", F.lit("")) == "", text).when(text == "", added).otherwise(F.concat(text, F.lit(" "), added))
+    text = F.when(text == "", F.coalesce("_layout", F.lit(""))).otherwise(text)
+    changed = lambda new, old: F.when(F.col(new) != F.col(old), F.col(old))
+    over = F.to_json(F.struct("category", "confidence", changed("category", "original_category").alias("originalCategory"), changed("confidence", "original_confidence").alias("originalConfidence")))
+    over = F.from_json(over, "map<string,variant>")
+
+    def entry(e: Column) -> Column:
+        own = F.map_filter(F.from_json(e["json"], "map<string,variant>"), lambda k, _: ~F.array_contains(F.map_keys(over), k))
+        value = F.when(e["skill"] == "classify", F.to_json(F.map_concat(own, over))).otherwise(e["json"])
+        return F.struct(e["skill"], F.coalesce(value, F.to_json(F.struct(e["error"].alias("error"), F.lit(True).alias("partial")))))
+
+    rows = rows.withColumn("final_summary", text).withColumn("summary_grounded", F.when(swap, True).otherwise(seen))
+    rows = rows.withColumn("result", F.map_from_entries(F.transform("_all", entry)))
     for df in (tables or {}).values():
         rows = rows.join(df, "request_id", "left")
-    return rows.withColumn("category", F.coalesce("category", F.lit("unknown"))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    return rows.drop("_all", "_layout", "_ocr_failed", "_ui", "_topics", "has_ui")

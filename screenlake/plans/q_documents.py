@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from screenlake.operators import documents as D, entities as E, outputs as O
 from screenlake.plans.q_geometry import r6
 from screenlake.plans.q_spatial import CODE_GAP, DOC_GAP, INTER, LINE_FOLD
-from screenlake.plans.q_text import hit, lit
+from screenlake.plans.q_text import UI_EVIDENCE, hit, lit, ui_evidence
 from screenlake.plans.registry import query
 
 
@@ -77,7 +77,7 @@ nr AS (SELECT image_id, region_id, count(DISTINCT line) AS n FROM tb JOIN ok USI
 SELECT r.image_id, r.region_id, CAST(row_number() OVER (PARTITION BY r.image_id ORDER BY confidence DESC, r.region_id) AS INT) AS rank,
   CASE WHEN nr.n > 0 THEN 'table' WHEN fd.n > 0 THEN 'fields' WHEN bd.n > 0 THEN 'text' ELSE 'empty' END AS kind, coalesce(nr.n, 0) AS n_rows, coalesce(fd.n, 0) AS n_fields, coalesce(bd.n, 0) AS n_lines,
   CASE WHEN nr.n > 0 THEN concat('关键区域包含表格：', columns, '，共 ', nr.n, ' 行。') WHEN fd.n > 0 THEN concat('关键区域包含字段：', fields, '。') WHEN bd.n > 0 THEN concat('关键区域包含：', body, '。') ELSE '关键区域未识别到明确文本。' END AS summary
-FROM rg r LEFT JOIN nr USING (image_id, region_id) LEFT JOIN hd USING (image_id, region_id) LEFT JOIN fd USING (image_id, region_id) LEFT JOIN bd USING (image_id, region_id)""".replace("\\s", "\s"))
+FROM rg r LEFT JOIN nr USING (image_id, region_id) LEFT JOIN hd USING (image_id, region_id) LEFT JOIN fd USING (image_id, region_id) LEFT JOIN bd USING (image_id, region_id)""")
 def _(t):
     r = t.boxes.where("type = 'card'").select("image_id", F.col("box_id").alias("region_id"), "x", "y", (F.col("w") * 3).alias("w"), (F.col("h") * 4).alias("h"), (F.col("p") % 100 / 100).alias("confidence"))
     return D.key_content(items(t), r)
@@ -199,13 +199,28 @@ def _(t):
     return O.parse_reasoning(t.boxes.select("image_id", "box_id", raw.alias("raw_text")), most=3, max_chars=200).select("image_id", "box_id", F.array_join("insights", ",").alias("insights"))
 
 
-@query("compose_result", """
-WITH o AS (SELECT image_id, max(CASE WHEN p % 14 < 12 THEN 1 ELSE 0 END) AS s, max(CASE WHEN p % 14 >= 12 THEN 1 ELSE 0 END) AS c FROM (SELECT image_id, p, row_number() OVER (PARTITION BY image_id, CASE WHEN p % 14 >= 12 THEN 'classify' ELSE 'summary' END ORDER BY box_id) AS k FROM boxes) b WHERE k = 1 GROUP BY image_id)
-SELECT m.image_id AS request_id, concat(CASE WHEN c = 1 THEN 'classify' ELSE '' END, CASE WHEN c = 1 AND s = 1 THEN ',' ELSE '' END, CASE WHEN s = 1 THEN 'summary' ELSE '' END) AS skills FROM pages_meta m LEFT JOIN o USING (image_id)""")
+def _part(field, n, lead):
+    return f"coalesce('{lead}' || max(CASE WHEN field = '{field}' THEN t{n} END) || '。', '')"
+
+
+@query("compose_result", f"""
+WITH ev AS ({UI_EVIDENCE}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY image_id, field ORDER BY pos) AS r FROM ev),
+fx AS (SELECT image_id, page_type, field, {', '.join(f"string_agg(text, '、' ORDER BY r) FILTER (WHERE r <= {n}) AS t{n}" for n in (5, 6, 8))} FROM rk GROUP BY image_id, page_type, field),
+ui AS (SELECT image_id, CASE WHEN page_type = 'mobile-ui' THEN concat('这是一个移动端应用页面。', {_part('title', 5, '页面标题为')}, {_part('modules', 5, '页面模块包括')}, {_part('fields', 8, '可见内容包括')}, {_part('actions', 5, '操作按钮有')})
+  ELSE concat('这是一个中文后台管理系统页面。', {_part('modules', 5, '系统模块包括')}, {_part('navigation', 5, '导航包含')}, {_part('tableHeaders', 6, '表格列包括')}, {_part('actions', 8, '可执行操作包括')}) END AS ui FROM fx GROUP BY image_id, page_type),
+o AS (SELECT image_id, max(CASE WHEN k < 12 THEN k END) AS s, max(CASE WHEN k >= 12 THEN k END) AS c FROM (SELECT image_id, p % 14 AS k, row_number() OVER (PARTITION BY image_id, p % 14 >= 12 ORDER BY box_id) AS n FROM boxes) b WHERE n = 1 GROUP BY image_id),
+j AS (SELECT m.image_id, s, c, ui, CASE s WHEN 5 THEN 'A plain sentence' WHEN 6 THEN '42' WHEN 7 THEN 'from result. result: from result' WHEN 8 THEN 'title: T' WHEN 9 THEN 'Analysis unavailable.' WHEN 10 THEN 'Unable to describe image.' WHEN 11 THEN 'a: b' ELSE CASE WHEN s IS NULL THEN '' ELSE 'ok' END END AS summary,
+  CASE m.image_id % 4 WHEN 1 THEN 'This image contains text content.Main title: "ok text".' WHEN 2 THEN 'This image contains text content.Main title: "Alpha beam".Topics include: Alpha.' END AS general
+  FROM pages_meta m LEFT JOIN o USING (image_id) LEFT JOIN ui USING (image_id))
+SELECT image_id AS request_id, concat(CASE WHEN c IS NOT NULL THEN 'classify' ELSE '' END, CASE WHEN c IS NOT NULL AND s IS NOT NULL THEN ',' ELSE '' END, CASE WHEN s IS NOT NULL THEN 'summary' ELSE '' END) AS skills,
+  CASE WHEN c = 12 THEN 'ui' WHEN c = 13 THEN 'chart' WHEN ui IS NOT NULL THEN 'ui' ELSE 'unknown' END AS category, CASE c WHEN 12 THEN 'ui' WHEN 13 THEN 'chart' END AS original_category,
+  summary, CASE WHEN general IS NOT NULL OR summary = '' THEN coalesce(ui, general, summary) ELSE summary END AS final_summary FROM j""")
 def _(t):
     from screenlake.functions.semantics import keep_first
 
     parsed = O.parse_model_output(keep_first(raw_outputs(t), ["image_id", "skill"], ["box_id"]))
-    req = t.pages_meta.select(F.col("image_id").alias("request_id"), F.lit("ok text").alias("ocr_text"))
-    out = O.compose_result(req, parsed.withColumnRenamed("image_id", "request_id"))
-    return out.select("request_id", F.array_join("skills", ",").alias("skills"))
+    k = F.col("image_id") % 4
+    req = t.pages_meta.select(F.col("image_id").alias("request_id"), F.when(k == 1, "ok text").when(k == 2, "Alpha beam\nAlpha two").alias("ocr_text"))
+    out = O.compose_result(req, parsed.withColumnRenamed("image_id", "request_id"), evidence=ui_evidence(t))
+    return out.select("request_id", F.array_join(F.coalesce("skills", F.array()), ",").alias("skills"), "category", "original_category", "summary", "final_summary")

@@ -356,22 +356,30 @@ def _(t):
 
 
 UI_TEXT = "CASE q % 9 WHEN 0 THEN concat('菜单管理', CAST(p % 5 AS STRING)) WHEN 1 THEN '编辑' WHEN 2 THEN concat('价格', CAST(p % 7 AS STRING)) WHEN 3 THEN CAST(p AS STRING) ELSE text END"
-MOB_TEXT = "CASE q % 4 WHEN 0 THEN concat('双拼比萨', CAST(p % 9 AS STRING)) WHEN 1 THEN '12:30' WHEN 2 THEN '加入' ELSE '配料' END"
+MOB_TEXT = "CASE q % 4 WHEN 0 THEN concat('双拼比萨', CAST(p % 9 AS STRING)) WHEN 1 THEN '12:30' WHEN 2 THEN CASE WHEN p % 5 = 0 THEN '商品详情' WHEN p % 40 = 1 THEN '详情' ELSE '加入' END ELSE '配料' END"
 EV_TEXT = f"CASE WHEN image_id % 3 = 0 THEN {MOB_TEXT} WHEN image_id % 3 = 1 THEN {UI_TEXT} ELSE 'plain' END"
 
 _ADMIN = [("navigation", RB.UI_NAV), ("actions", RB.UI_ACTION), ("fields", RB.UI_FIELD), ("tableHeaders", RB.UI_FIELD), ("values", RB.UI_VALUE), ("modules", RB.UI_MODULE)]
 _PHONE = [("navigation", RB.MOBILE_NAV), ("actions", RB.MOBILE_ACTION), ("fields", RB.MOBILE_FIELD), ("values", RB.MOBILE_VALUE), ("modules", RB.MOBILE_MODULE)]
 
 
-@query("ui_evidence", f"""
+UI_EVIDENCE = f"""
 WITH l AS (SELECT image_id, box_id, {EV_TEXT} AS text FROM ocr_items),
 s AS (SELECT image_id, count(*) AS n, count(CASE WHEN {hit('text', RB.MOBILE_PRODUCT)} THEN 1 END) AS product, count(CASE WHEN {hit('lower(text)', RB.MOBILE_ADMIN)} THEN 1 END) AS adm,
   count(CASE WHEN {hit('lower(text)', RB.UI_SIGNAL)} THEN 1 END) AS sig, count(CASE WHEN {hit('text', RB.MOBILE_STATUS)} THEN 1 END) AS st, count(CASE WHEN contains(text, '详情') THEN 1 END) AS ti, count(DISTINCT CASE WHEN {hit('text', RB.MOBILE_FIELD)} THEN text END) AS fi FROM l GROUP BY image_id),
 k AS (SELECT image_id, CASE WHEN product >= 4 AND adm < 3 AND (st > 0 OR ti > 0 OR fi >= 4) THEN 'mobile-ui' WHEN sig >= 4 THEN 'admin-ui' END AS page_type FROM s WHERE n >= 8),
 h AS ({' UNION ALL '.join(f"SELECT l.image_id, page_type, '{f}' AS field, box_id, text FROM l JOIN k USING (image_id) WHERE page_type = 'admin-ui' AND {hit('lower(text)', p)}" for f, p in _ADMIN)}
   UNION ALL {' UNION ALL '.join(f"SELECT l.image_id, page_type, '{f}', box_id, text FROM l JOIN k USING (image_id) WHERE page_type = 'mobile-ui' AND {hit('text', p)}" for f, p in _PHONE)})
-SELECT image_id, page_type, field, text, CAST(min(rk) AS INT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY image_id, field ORDER BY box_id) AS rk FROM h) r GROUP BY image_id, page_type, field, text""")
+SELECT image_id, page_type, field, text, CAST(min(rk) AS INT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY image_id, field ORDER BY box_id) AS rk FROM h) r GROUP BY image_id, page_type, field, text
+UNION ALL SELECT image_id, page_type, 'title', coalesce(min(CASE WHEN text = '详情' THEN text END), arg_min(text, box_id)), 1 FROM l JOIN k USING (image_id) WHERE page_type = 'mobile-ui' AND contains(text, '详情') GROUP BY image_id, page_type"""
+
+
+@query("ui_evidence", UI_EVIDENCE)
 def _(t):
+    return ui_evidence(t)
+
+
+def ui_evidence(t):
     lines = t.ocr_items.select("image_id", F.col("box_id").alias("ord"), F.expr(EV_TEXT).alias("text"))
     return E.ui_evidence(lines).select("image_id", "page_type", "field", "text", "pos")
 
