@@ -192,11 +192,11 @@ def _(t):
 
 
 @query("parse_reasoning", """
-SELECT image_id, box_id, CASE p % 3 WHEN 0 THEN 'a,b' WHEN 1 THEN NULL ELSE NULL END AS insights FROM boxes""")
+SELECT image_id, box_id, CASE p % 3 WHEN 0 THEN 'a,b' END AS insights, CASE p % 3 WHEN 0 THEN 'r' END AS risks, CASE p % 3 WHEN 0 THEN '' END AS next_actions FROM boxes""")
 def _(t):
     p = F.col("p") % 3
     raw = F.when(p == 0, '```json\n{"insights":[" a ","b",""],"risks":["r"],"next_actions":[]}\n```').when(p == 1, "no json here").otherwise('{"insights":["x","X","x"],"risks":["x"],"next_actions":[]}')
-    return O.parse_reasoning(t.boxes.select("image_id", "box_id", raw.alias("raw_text")), most=3, max_chars=200).select("image_id", "box_id", F.array_join("insights", ",").alias("insights"))
+    return O.parse_reasoning(t.boxes.select("image_id", "box_id", raw.alias("raw_text")), most=3, max_chars=200).select("image_id", "box_id", *(F.array_join(c, ",").alias(c) for c in ("insights", "risks", "next_actions")))
 
 
 def _part(field, n, lead):

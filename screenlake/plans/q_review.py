@@ -133,12 +133,15 @@ def _(t):
     return R.rule_calibration(R.review_status(findings(t), actions(t)))
 
 
-@query("rule_precision", """
+RULE_PRECISION = """
 WITH c AS (SELECT code, max(version) AS version, count(*) AS raised, count(CASE WHEN status <> 'unreviewed' THEN 1 END) AS reviewed,
   count(CASE WHEN status = 'confirmed' THEN 1 END) AS tp FROM rule_hits GROUP BY code)
 SELECT code, version, reviewed > 0 AS calibrated, round(CASE WHEN reviewed > 0 THEN tp / CAST(reviewed AS DOUBLE) ELSE 0 END, 6) AS "precision", reviewed, raised,
-       reviewed = 0 OR tp / CAST(reviewed AS DOUBLE) < 0.5 AS advisory_only FROM c""")
-def _(t):
+       reviewed = 0 OR tp / CAST(reviewed AS DOUBLE) < 0.5 AS advisory_only FROM c"""
+
+
+@query("rule_precision", RULE_PRECISION)
+def rule_precision(t):
     def n(s):
         return F.count(F.when(F.col("status") == s, 1)).alias(s)
 
@@ -148,6 +151,14 @@ def _(t):
     return R.rule_precision(counts).withColumn("precision", F.round("precision", 6))
 
 
+@query("write_report", RULE_PRECISION)
+def _(t):
+    path = f"{shared_folder(t.spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    report = rule_precision(t)
+    A.write_report(report, path)
+    return t.spark.read.schema(report.schema).json(path)
+
+
 @query("orphan_relations", """
 SELECT image_id, src, dst, CASE WHEN src LIKE '%x' THEN src ELSE dst END AS missing FROM (
   SELECT image_id, CASE WHEN p % 11 = 0 THEN concat(parent_id, 'x') ELSE parent_id END AS src, CASE WHEN p % 7 = 0 THEN concat(node_id, 'x') ELSE node_id END AS dst

@@ -141,9 +141,17 @@ def _(t):
     return v.select("request_id", "scene", "scene_confidence", "scene_reason")
 
 
-@query("next_actions", "SELECT scene, actions FROM (SELECT DISTINCT lang AS scene, '提取关键信息,总结核心内容' AS actions FROM documents) t")
+# each document gets one of the known scenes or an unknown one
+SCENES = [name for name, _ in RB.NEXT_ACTIONS] + ["unknown"]
+
+
+@query("next_actions", f"""
+WITH a(place, scene, actions) AS (VALUES {', '.join(f"({i}, {lit(name)}, {lit(','.join(dict(RB.NEXT_ACTIONS).get(name, RB.DEFAULT_ACTIONS)))})" for i, name in enumerate(SCENES))})
+SELECT doc_id, scene, actions FROM documents JOIN a ON place = doc_id % {len(SCENES)}""")
 def _(t):
-    return t.documents.select(F.col("lang").alias("scene")).distinct().withColumn("actions", F.array_join(Q.next_actions(F.col("scene")), ","))
+    scene = F.get(F.array(*map(F.lit, SCENES)), (F.col("doc_id") % len(SCENES)).cast("int"))
+    docs = t.documents.select("doc_id", scene.alias("scene"))
+    return docs.withColumn("actions", F.array_join(Q.next_actions(F.col("scene")), ","))
 
 
 RULE_COLS = "request_id, request_id % 5000 AS image_width, CAST(value * 1000000 AS BIGINT) AS image_size, request_id % 3000 AS memory_mb, quality, intent"
