@@ -385,9 +385,9 @@ def text_time(name):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
-def event_stream(t):
-    schema = t.events.schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+def table_stream(t, name):
+    """A given table as a stream.  The pattern fits one file as well as a folder of files."""
+    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.sf_dir}/{name}.parque[t]")
 
 
 def folders(t):
@@ -397,7 +397,7 @@ def folders(t):
 
 
 def stream_requests(t):
-    return event_stream(t).select(
+    return table_stream(t, "events").select(
         F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("provider"), F.concat_ws("|", "event_type", "props").alias("cache_key"), F.col("value").alias("duration_ms")
     )
 
@@ -406,7 +406,7 @@ def stream_requests(t):
 SELECT image_id, subject_id, action_id, action FROM (SELECT *, row_number() OVER (PARTITION BY image_id, subject_kind, subject_id ORDER BY created_at DESC, action_id DESC) AS k FROM review_actions) t WHERE k = 1""")
 def _(t):
     act = F.when(F.col("event_type") == "click", "accepted").when(F.col("event_type") == "view", "rejected").when(F.col("event_type") == "purchase", "confirmed").when(F.col("event_type") == "signup", "overridden").otherwise("suppressed")
-    a = event_stream(t).select(F.col("event_id").alias("action_id"), F.col("user_id").alias("image_id"), F.lit("structure-finding").alias("subject_kind"), F.col("props").alias("subject_id"), act.alias("action"), F.col("ts").alias("created_at"))
+    a = table_stream(t, "events").select(F.col("event_id").alias("action_id"), F.col("user_id").alias("image_id"), F.lit("structure-finding").alias("subject_kind"), F.col("props").alias("subject_id"), act.alias("action"), F.col("ts").alias("created_at"))
     return J.run_available(J.stream_latest_actions(a), *folders(t), "update", ("image_id", "subject_kind", "subject_id")).select("image_id", "subject_id", "action_id", "action")
 
 
@@ -448,5 +448,4 @@ def _(t):
 
 @query("stream_entities", ENTITIES + " SELECT doc_id, CAST(pos AS INT) AS pos, type, value FROM ents")
 def _(t):
-    docs = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
-    return J.run_available(J.stream_entities(docs.select("doc_id", F.expr(ENT_TEXT).alias("text"))), *folders(t)).select("doc_id", "pos", "type", "value")
+    return J.run_available(J.stream_entities(table_stream(t, "documents").select("doc_id", F.expr(ENT_TEXT).alias("text"))), *folders(t)).select("doc_id", "pos", "type", "value")

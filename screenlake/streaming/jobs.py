@@ -150,6 +150,8 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
         batch.write.mode("overwrite").parquet(path)
 
     sink = replace if mode == "complete" else append
+    # a source without rows gives an empty table
+    df.sparkSession.createDataFrame([], df.schema).write.mode("ignore").parquet(path if mode == "complete" else f"{path}/epoch=-1")
     q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     late = [(p["batchId"], sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"]), sum(o["numRowsTotal"] for o in p["stateOperators"])) for p in q.recentProgress]
