@@ -38,3 +38,13 @@ def test_stream_without_rows_is_an_empty_table(spark, tmp_path):
     docs = spark.readStream.schema("doc_id long, text string").parquet(str((tmp_path / "in").mkdir() or tmp_path / "in"))
     out = J.run_available(J.stream_entities(docs), str(tmp_path / "o"), str(tmp_path / "c"))
     assert out.collect() == [] and "value" in out.columns
+
+
+def test_latency_quantiles_are_exact(spark, tmp_path):
+    """More values in a window than a sketch of 10 000 would keep apart."""
+    n, at = 60_000, dt.datetime(2024, 1, 1)
+    rows = spark.range(n).select(F.lit("a").alias("provider"), F.lit(at).alias("ts"), ((F.col("id") * 7919) % n).cast("double").alias("duration_ms"))
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    out = J.run_available(J.stream_latency(stream), str(tmp_path / "o"), str(tmp_path / "c"), "update", ("provider", "started")).collect()
+    assert [(r.n, r.median_ms, r.p90_ms) for r in out] == [(n, n / 2 - 1, n * 0.9 - 1)]
