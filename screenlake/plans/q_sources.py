@@ -418,10 +418,10 @@ def _(t):
 @query("idle_sessions", """
 WITH b AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY provider ORDER BY ts) + INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS brk FROM requests),
 s AS (SELECT *, sum(brk) OVER (PARTITION BY provider ORDER BY ts) AS sid FROM b)
-SELECT provider, count(*) AS n, round(sum(duration_ms), 4) AS busy_ms, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S') AS ended FROM s GROUP BY provider, sid
-HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE""")
+SELECT provider, count(*) AS n, round(sum(duration_ms), 4) AS busy_ms, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S') AS ended FROM s GROUP BY provider, sid""")
 def _(t):
-    s = J.run_available(J.idle_sessions(stream_requests(t)), *folders(t))
+    closed = J.run_available(J.idle_sessions(stream_requests(t)), *folders(t)).drop("epoch")
+    s = closed.unionByName(J.open_sessions(t.requests.withColumn("ts", F.col("ts").cast("timestamp")), closed))
     return s.select("provider", "n", F.round("busy_ms", 4).alias("busy_ms"), text_time("started"), text_time("ended"))
 
 

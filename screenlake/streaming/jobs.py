@@ -99,6 +99,17 @@ def idle_sessions(requests: DataFrame, gap: str = "10 minutes", keys: tuple[str,
     return s.select(*keys, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n", "busy_ms")
 
 
+def open_sessions(requests: DataFrame, closed: DataFrame, gap: str = "10 minutes", keys: tuple[str, ...] = ("provider",)) -> DataFrame:
+    """The sessions that no idle gap has closed yet, once a source is drained: those of the rows
+    (a batch) from the end of the last closed session of their key on."""
+    last = closed.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max("ended").alias("_end"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rest = requests.join(last, same, "left").where(F.col("_end").isNull() | (F.col("ts") >= F.col("_end")))
+    return idle_sessions(rest.select(requests.columns), gap, keys)
+
+
 def stream_latency(requests: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Latency profile per provider and tumbling (or sliding) window.  The quantiles are exact:
     the state of a window is the count of each distinct value."""

@@ -48,3 +48,11 @@ def test_latency_quantiles_are_exact(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     out = J.run_available(J.stream_latency(stream), str(tmp_path / "o"), str(tmp_path / "c"), "update", ("provider", "started")).collect()
     assert [(r.n, r.median_ms, r.p90_ms) for r in out] == [(n, n / 2 - 1, n * 0.9 - 1)]
+
+
+def test_sessions_open_at_the_end_are_in_the_result(spark, tmp_path, table):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(minutes=m), 1, kind, 2.0, "p") for i, (m, kind) in enumerate([(0, "a"), (5, "a"), (100, "a"), (109, "a"), (0, "b"), (108, "b"), (109, None)])]
+    table("events", rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string", True)
+    got = QUERIES["idle_sessions"](spark, str(tmp_path)).collect()
+    assert sorted((r.provider or "", r.started[11:16], r.n) for r in got) == [("", "01:49", 1), ("a", "00:00", 2), ("a", "01:40", 2), ("b", "00:00", 1), ("b", "01:48", 1)]
