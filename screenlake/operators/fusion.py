@@ -43,7 +43,8 @@ def _carried(cands: DataFrame) -> Column:
 
 
 def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7) -> DataFrame:
-    """Fuse the candidates of each (image, type) in score order (ties: candidate id).
+    """Fuse the candidates of each (image, type) in score order (ties: candidate id, then place
+    and size, as ids may repeat).
 
     A candidate goes to the first cluster it overlaps: IoU >= ``wbf`` merges it (boxes
     weighted by score, score averaged; text, state and variant, where the input has them, of
@@ -88,7 +89,7 @@ def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7)
             best = sorted(votes.items(), key=lambda v: (v[0] is None, v[0] or ""))
             yield (image, kind, cand, *box, score, members, [s for s, _ in best], [{"source": s, "score": v} for s, v in best], *extra)
 
-    out = fold_sorted(rows, [*keys, "_part"], ["_o", "cand_id"], schema, fuse)
+    out = fold_sorted(rows, [*keys, "_part"], ["_o", "cand_id", "x", "y", "w", "h"], schema, fuse)
     return out.drop(*(c for c in CARRIED if c not in cands.columns))
 
 

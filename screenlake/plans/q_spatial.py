@@ -212,15 +212,15 @@ def _(t):
 
 # --- fusion -------------------------------------------------------------------------
 FUSE = """
-WITH RECURSIVE it AS (SELECT *, row_number() OVER (PARTITION BY image_id, type ORDER BY score DESC, cand_id) AS k FROM candidates),
+WITH RECURSIVE it AS (SELECT *, row_number() OVER (PARTITION BY image_id, type ORDER BY score DESC, cand_id, x, y, w, h) AS k FROM candidates),
 fold AS (
   SELECT image_id, type, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(id STRING, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, score DOUBLE, members INT, src STRING[])[]) AS cs FROM it GROUP BY image_id, type
   UNION ALL
   SELECT image_id, type, k, CASE WHEN hit IS NULL OR hit = 0
       THEN list_append(cs, {'id': cand_id, 'x': x, 'y': y, 'w': w, 'h': h, 'score': score, 'members': CAST(1 AS INT), 'src': [source]})
       ELSE list_transform(cs, lambda c, i: CASE WHEN i = hit AND ious[i] >= 0.7
-        THEN {'id': c.id, 'x': (c.x*c.score + e.x*e.score)/(c.score+e.score), 'y': (c.y*c.score + e.y*e.score)/(c.score+e.score), 'w': (c.w*c.score + e.w*e.score)/(c.score+e.score),
-              'h': (c.h*c.score + e.h*e.score)/(c.score+e.score), 'score': (c.score+e.score)/2, 'members': CAST(c.members + 1 AS INT), 'src': list_append(c.src, e.source)} ELSE c END) END
+        THEN {'id': c.id, 'x': c.x*(c.score/(c.score+e.score)) + e.x*(e.score/(c.score+e.score)), 'y': c.y*(c.score/(c.score+e.score)) + e.y*(e.score/(c.score+e.score)), 'w': c.w*(c.score/(c.score+e.score)) + e.w*(e.score/(c.score+e.score)),
+              'h': c.h*(c.score/(c.score+e.score)) + e.h*(e.score/(c.score+e.score)), 'score': (c.score+e.score)/2, 'members': CAST(c.members + 1 AS INT), 'src': list_append(c.src, e.source)} ELSE c END) END
   FROM (SELECT f.cs, e.*, list_transform(f.cs, lambda c: greatest(0.0, least(c.x+c.w, e.x+e.w) - greatest(c.x, e.x)) * greatest(0.0, least(c.y+c.h, e.y+e.h) - greatest(c.y, e.y))
         / (c.w*c.h + e.w*e.h - greatest(0.0, least(c.x+c.w, e.x+e.w) - greatest(c.x, e.x)) * greatest(0.0, least(c.y+c.h, e.y+e.h) - greatest(c.y, e.y)))) AS ious,
         list_position(list_transform(ious, lambda v: v >= 0.5), true) AS hit FROM fold f JOIN it e ON e.image_id = f.image_id AND e.type = f.type AND e.k = f.k + 1) e),
@@ -228,10 +228,10 @@ last AS (SELECT f.image_id, f.type, unnest(f.cs) AS c FROM fold f JOIN (SELECT i
 fused AS (SELECT image_id, type, c.id AS cand_id, c.x AS x, c.y AS y, c.w AS w, c.h AS h, c.score AS score, c.members AS members, array_to_string(list_sort(list_distinct(c.src)), ',') AS sources FROM last)"""
 
 
-@query("fuse_candidates", FUSE + " SELECT image_id, type, cand_id, round(x + 0.0000123, 4) AS x, round(y + 0.0000123, 4) AS y, round(w + 0.0000123, 4) AS w, round(h + 0.0000123, 4) AS h, round(score, 6) AS score, members, sources FROM fused")
+@query("fuse_candidates", FUSE + " SELECT image_id, type, cand_id, round(x + 0.0000123, 4) AS x, round(y + 0.0000123, 4) AS y, round(w + 0.0000123, 4) AS w, round(h + 0.0000123, 4) AS h, round(score + 0.0000000123, 6) AS score, members, sources FROM fused")
 def _(t):
     f = U.fuse_candidates(t.candidates, 0.5, 0.7)
-    return f.select("image_id", "type", "cand_id", *(F.round(F.col(c) + 0.0000123, 4).alias(c) for c in "xywh"), r6(F.col("score"), "score"), "members", F.array_join("sources", ",").alias("sources"))
+    return f.select("image_id", "type", "cand_id", *(F.round(F.col(c) + 0.0000123, 4).alias(c) for c in "xywh"), r6(F.col("score") + 0.0000000123, "score"), "members", F.array_join("sources", ",").alias("sources"))
 
 
 @query("merge_votes", """

@@ -195,3 +195,12 @@ def deduped(rows, limit):
             at.setdefault(cell, set()).add(hit)
             slots[hit] = (slots[hit][0], r)
     return len(slots), sum(s for s, _ in slots), sum(r[1] for _, r in slots)
+
+
+def test_fusion_of_repeated_ids_goes_by_place(spark):
+    """Of two rows with one id and score the left one is first, however they are dealt."""
+    rows = [(1, "c1", "a", 10.0 * i, 0.0, 100.0, 50.0, 0.5, "cv") for i in (3, 0, 6)]
+    df = lambda r: spark.createDataFrame(r, "image_id long, cand_id string, type string, x double, y double, w double, h double, score double, source string")
+    for order in ([0, 1, 2], [1, 0, 2], [2, 1, 0]):
+        got = U.fuse_candidates(df([rows[i] for i in order]).coalesce(1), 0.5, None).collect()
+        assert [(r.x, r.members) for r in got] == [(0.0, 1), (60.0, 1)]
