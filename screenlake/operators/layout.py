@@ -487,7 +487,10 @@ def page_type(nodes: DataFrame, regions: DataFrame, texts: DataFrame, layout: Da
 
 
 def ocr_quality(items: DataFrame, meta: DataFrame) -> DataFrame:
-    """Clarity, OCR confidence and issues per image.  ``meta``: image_id, width, complexity."""
+    """Clarity, OCR confidence and issues per image.  ``meta``: image_id, width, complexity.
+
+    The mean is rounded to nine digits before it is judged, so the order in which its items are
+    added up decides neither a bound nor a half."""
     ok = F.col("confidence").between(0.0, 1.0)
     s = items.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ok, 1)).alias("k"), F.avg(F.when(ok, F.col("confidence"))).alias("avg"))
     rows = meta.join(s, "image_id", "left").fillna(0, ["n", "k"])
@@ -499,9 +502,9 @@ def ocr_quality(items: DataFrame, meta: DataFrame) -> DataFrame:
         F.when(n == 0, 0.2).when(F.col("k") >= n / 2, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("avg") + boost)))
         .otherwise(F.when(n >= 20, 0.85).when(n >= 8, 0.7).otherwise(0.5))
     )
-    rows = rows.withColumn("_c", conf)
+    rows = rows.withColumn("_c", F.round(conf, 9))
     issues = F.array_compact(F.array(F.when(low, "low-resolution"), F.when(n == 0, "no-ocr-text"), F.when((n > 0) & (F.col("_c") < 0.4), "low-ocr-confidence")))
-    two = lambda c: F.floor(c * 100 + 0.5) / 100
+    two = lambda c: F.floor(F.round(c * 100, 7) + 0.5) / 100
     return rows.select("image_id", two(clarity).alias("clarity"), two(F.col("_c")).alias("ocr_confidence"), F.array_join(issues, ",").alias("issues"))
 
 

@@ -340,8 +340,8 @@ def _(t):
 WITH s AS (SELECT image_id * 20 + q % (1 + image_id % 20) AS image_id, count(*) AS n, count(CASE WHEN p % 3 <> 0 THEN confidence END) AS k, avg(CASE WHEN p % 3 <> 0 THEN confidence END) AS a FROM ocr_items GROUP BY ALL),
 i AS (SELECT image_id * 20 + k AS image_id FROM pages_meta, range(20) AS r(k)),
 m AS (SELECT image_id, CASE WHEN image_id % 7 = 0 THEN 300 ELSE 420 END AS width, CASE image_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS c FROM i),
-r AS (SELECT m.*, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 0.2 WHEN k >= n / 2.0 THEN least(1, greatest(0, a + CASE WHEN n >= 20 THEN 0.05 WHEN n >= 8 THEN 0 ELSE -0.05 END)) WHEN n >= 20 THEN 0.85 WHEN n >= 8 THEN 0.7 ELSE 0.5 END AS oc FROM m LEFT JOIN s USING (image_id))
-SELECT image_id, CAST(CASE WHEN width < 400 THEN 0.4 WHEN c = 'low' THEN 0.9 WHEN c = 'high' THEN 0.6 ELSE 0.7 END AS DOUBLE) AS clarity, floor(oc * 100 + 0.5) / 100 AS ocr_confidence,
+r AS (SELECT m.*, coalesce(n, 0) AS n, round(CASE WHEN coalesce(n, 0) = 0 THEN 0.2 WHEN k >= n / 2.0 THEN least(1, greatest(0, a + CASE WHEN n >= 20 THEN 0.05 WHEN n >= 8 THEN 0 ELSE -0.05 END)) WHEN n >= 20 THEN 0.85 WHEN n >= 8 THEN 0.7 ELSE 0.5 END, 9) AS oc FROM m LEFT JOIN s USING (image_id))
+SELECT image_id, CAST(CASE WHEN width < 400 THEN 0.4 WHEN c = 'low' THEN 0.9 WHEN c = 'high' THEN 0.6 ELSE 0.7 END AS DOUBLE) AS clarity, floor(round(oc * 100, 7) + 0.5) / 100 AS ocr_confidence,
   concat_ws(',', CASE WHEN width < 400 THEN 'low-resolution' END, CASE WHEN n = 0 THEN 'no-ocr-text' END, CASE WHEN n > 0 AND oc < 0.4 THEN 'low-ocr-confidence' END) AS issues FROM r""")
 def _(t):
     # each image is dealt to 1 to 20 crops, the other crops of the 20 stay empty
