@@ -181,14 +181,15 @@ LABEL_GAP = 1.2
 
 def text_veto(cands: DataFrame, ocr: DataFrame, textured: bool = False) -> DataFrame:
     """Drop candidates that text covers.  The coverage by all confident text boxes is
-    summed (an aggregated anti join); wide candidates have a lower bound."""
+    summed (an aggregated anti join); wide candidates have a lower bound.  The sum is rounded
+    to nine digits, so the order in which it is added up does not decide at a bound."""
     conf = TEXTURE_CONFIDENCE if textured else VETO_CONFIDENCE
     facts = ocr.where((F.col("confidence") >= conf) & (F.length(F.trim("text")) > 0)).select(
         "image_id", *G.expand(G.box(), VETO_MARGIN).aliased()
     )
     pairs = touching_pairs(cands.select("image_id", "cand_id", "x", "y", "w", "h"), facts)
     share = pairs.groupBy("image_id", F.col("a_cand_id").alias("cand_id")).agg(
-        F.sum(G.coverage(G.box("a_"), G.box("b_"))).alias("text_share")
+        F.round(F.sum(G.coverage(G.box("a_"), G.box("b_"))), 9).alias("text_share")
     )
     wide = F.col("w") / F.col("h") >= VETO_WIDE
     bound = F.lit(TEXTURE_SHARE) if textured else F.when(wide, VETO_SHARE_WIDE).otherwise(VETO_SHARE)
