@@ -54,14 +54,18 @@ def _known_ends(relations: DataFrame, elements: DataFrame) -> DataFrame:
 
 def parent_of(elements: DataFrame, relations: DataFrame, children: DataFrame) -> DataFrame:
     """(image_id, child_id, parent_id): the last contains relation, else the first
-    declared child list (by parent order)."""
-    rel = _known_ends(relations.where(F.col("type") == "contains"), elements)
-    rel = rel.select("image_id", F.col("dst").alias("child_id"), F.col("src").alias("parent_id"), F.struct(F.lit(0), -F.col("ord")).alias("_o"))
-    order = elements.select("image_id", F.col("element_id").alias("parent_id"), F.col("ord").alias("_p"))
-    declared = children.join(order, ["image_id", "parent_id"])
-    declared = declared.select("image_id", "child_id", "parent_id", F.struct(F.lit(1), F.col("_p")).alias("_o"))
-    rows = rel.select("image_id", "child_id", "parent_id", F.struct(F.col("_o.col1"), F.col("_o.col2").cast("double")).alias("_o"))
-    rows = rows.unionByName(declared.select("image_id", "child_id", "parent_id", F.struct(F.col("_o.col1"), F.col("_o._p").cast("double")).alias("_o")))
+    declared child list (by parent order).
+
+    The first place of each id serves all three joins, so elements dealt by image are dealt once."""
+    first = elements.groupBy("image_id", "element_id").agg(F.min("ord").cast("double").alias("_p"))
+    end = lambda c: first.select("image_id", F.col("element_id").alias(c), F.col("_p").alias(f"_{c}"))
+    rel = relations.where(F.col("type") == "contains").select("image_id", F.col("dst").alias("child_id"), F.col("src").alias("parent_id"), "ord")
+    rel = rel.join(end("parent_id"), ["image_id", "parent_id"]).join(end("child_id"), ["image_id", "child_id"])
+    declared = children.select("image_id", "child_id", "parent_id").join(end("parent_id"), ["image_id", "parent_id"])
+    # relations of one place go by their parent's, then their child's place
+    rank = lambda kind, *at: F.struct(F.lit(kind).alias("k"), *(c.cast("double").alias(f"c{i}") for i, c in enumerate(at))).alias("_o")
+    rows = rel.select("image_id", "child_id", "parent_id", rank(0, -F.col("ord"), F.col("_parent_id"), F.col("_child_id")))
+    rows = rows.unionByName(declared.select("image_id", "child_id", "parent_id", rank(1, F.col("_parent_id"), F.lit(None), F.lit(None))))
     return rows.groupBy("image_id", "child_id").agg(F.min_by("parent_id", "_o").alias("parent_id"))
 
 
@@ -121,13 +125,17 @@ def rule_sibling_size(elements: DataFrame, children: DataFrame) -> DataFrame:
 
 
 def structure_findings(elements: DataFrame, relations: DataFrame, children: DataFrame) -> DataFrame:
-    """All rule findings with review subject and versioned signature."""
+    """All rule findings with review subject and versioned signature.
+
+    The inputs are dealt by image once; every join of the rules has the image among its keys and
+    takes place there."""
+    elements, relations, children = (df.repartition("image_id") for df in (elements, relations, children))
     rows = (
         rule_isolated_content(elements, relations, children)
         .unionByName(rule_sibling_overlap(elements, children))
         .unionByName(rule_sibling_size(elements, children))
     )
-    return rows.withColumn("subject_id", F.concat_ws(":", "code", "element_id")).withColumn(
+    return cut_lineage(rows, dealt=True).withColumn("subject_id", F.concat_ws(":", "code", "element_id")).withColumn(
         "signature", F.concat_ws(":", F.col("version").cast("string"), "code", "element_id", "bbox_hash", "type")
     )
 

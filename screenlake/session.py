@@ -26,6 +26,8 @@ def local_session(app: str = "screenlake", cpus: str | None = None) -> SparkSess
     )
 
 
+# joins whose inputs are dealt by some of the join keys keep that deal
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_folder: str | None = None
 
@@ -44,18 +46,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, dealt: bool = False) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Iterative operators use this between rounds: the plan stays short, nothing is computed
-    twice, and the rows outlive any executor.  The cluster owns and clears the folder."""
+    twice, and the rows outlive any executor.  The cluster owns and clears the folder.
+
+    ``dealt``: inputs that are dealt by some of a join's keys, such as the image alone, are joined
+    where they are, in place of one more shuffle for each set of keys."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
     # the table holds the result, so the shuffle files of the plan can go as soon as it is written
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    settings = {SHUFFLE_CLEANUP: "true"} | ({ALL_KEYS: "false"} if dealt else {})
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)

@@ -145,6 +145,8 @@ FROM {boxes}""",
 
 # views that cost a sort or a join: written once per session and data folder
 WRITTEN = ("tree_nodes", "nodes", "kids", "relations")
+# their joins take the ranked boxes as the window has dealt them, by image, not the written table
+DEALT = ("nodes", "kids")
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 _REF = re.compile(r"\{(\w+)\}")
@@ -158,13 +160,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if key in _written:
         return _written[key]
     sql = VIEWS[name]
-    refs = {ref: view(spark, sf_dir, ref) for ref in sorted(set(_REF.findall(sql)))}
-    df = spark.sql(sql, **refs)
+    df = spark.sql(sql, **_refs(spark, sf_dir, name))
     if name in WRITTEN:
-        df = _written[key] = cut_lineage(df)
+        df = _written[key] = cut_lineage(df, name in DEALT)
     return df
 
 
+def _refs(spark: SparkSession, sf_dir: str, name: str) -> dict[str, DataFrame]:
+    refs = sorted(set(_REF.findall(VIEWS[name])))
+    if name in DEALT:
+        return {ref: spark.sql(VIEWS[ref], **_refs(spark, sf_dir, ref)) for ref in refs}
+    return {ref: view(spark, sf_dir, ref) for ref in refs}
+
+
 def with_views(sql: str) -> str:
     """Put the views that ``sql`` mentions in front of it as common table expressions."""
     needed: list[str] = []

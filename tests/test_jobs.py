@@ -286,3 +286,31 @@ def test_ocr_items_inside_any_number_of_ocr_levels(spark):
     df = spark.createDataFrame(nested + empty, "k string, json string")
     got = {(r["k"], r["ord"], r["text"], r["x"], r["h"]) for r in ocr_items_from_json(df, "json", "k").collect()}
     assert got == {(k, 0, 'a "ocr" b', 1.0, 2.0) for k, _ in nested}
+
+
+def test_findings_deal_their_inputs_by_image_once(spark, tmp_path):
+    """The rules join where the inputs lie: under the table of findings no shuffle has a second key."""
+    from pyspark.sql import DataFrame
+
+    from screenlake.operators import review as R
+    from screenlake.plans.q_review import elements, relations
+    from screenlake.plans.registry import Tables
+
+    t, plans = Tables(spark, "/root/testdata/sf0.001"), []
+    cut, name = R.cut_lineage, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+
+    def spy(df: DataFrame, dealt: bool = False) -> DataFrame:
+        spark.conf.set(name, str(not dealt).lower())
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        spark.conf.set(name, before)
+        return cut(df, dealt)
+
+    R.cut_lineage = spy
+    try:
+        R.structure_findings(elements(t), relations(t), t.kids)
+    finally:
+        R.cut_lineage = cut
+    keys = [line for line in plans[0].splitlines() if "Exchange hashpartitioning(" in line]
+    assert keys and all(line.split("hashpartitioning(")[1].startswith("image_id") and line.split("hashpartitioning(")[1].split(",")[1].strip().isdigit() or line.split("hashpartitioning(")[1].split(")")[0].count(",") == 1 for line in keys)
+    assert spark.conf.get(name) == before
