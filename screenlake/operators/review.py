@@ -314,7 +314,8 @@ def tree_paths(nodes: DataFrame, ord: str | None = None) -> DataFrame:
     out = level
     for depth in itertools.count(1):
         up = level.select("image_id", F.col("node_id").alias("parent_id"), "root_id", F.col("path").alias("_path"), *([] if ord is None else [F.col("trail").alias("_trail")]))
-        nxt = base.join(up, ["image_id", "parent_id"]).select(
+        # a level is a small file and many rows: never broadcast one through the driver
+        nxt = base.join(up.hint("merge"), ["image_id", "parent_id"]).select(
             "image_id", "node_id", F.lit(depth).alias("depth"), "root_id", F.concat_ws("/", "_path", "node_id").alias("path"),
             *([] if ord is None else [F.concat("_trail", "trail").alias("trail")]),
         )

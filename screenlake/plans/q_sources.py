@@ -91,7 +91,7 @@ def _(t):
 def whole_trees(t):
     """Each image's nodes as one nested JSON text, built from the deepest level up."""
     at = R.tree_paths(t.nodes).select("image_id", "node_id", "depth")
-    level = cut_lineage(t.nodes.join(at, ["image_id", "node_id"]).select("image_id", "node_id", "parent_id", "n", "depth", F.to_json(F.struct(F.col("node_id").alias("id"), "type", F.struct("x", "y", "w", "h").alias("bbox"))).alias("own")))
+    level = cut_lineage(t.nodes.join(at.hint("merge"), ["image_id", "node_id"]).select("image_id", "node_id", "parent_id", "n", "depth", F.to_json(F.struct(F.col("node_id").alias("id"), "type", F.struct("x", "y", "w", "h").alias("bbox"))).alias("own")))
     inner = F.expr("concat(left(own, length(own) - 1), ',\"children\":[', array_join(kids, ','), ']}')")
     below = None
     for depth in range(level.agg(F.max("depth")).head()[0] or 0, -1, -1):
@@ -312,7 +312,7 @@ def _(t):
     places = t.tree_nodes.select("image_id", F.col("n").cast("string").alias("node_id"), F.col("parent_n").cast("string").alias("parent_id"), "n")
     paths = R.tree_paths(places, "n").select("image_id", F.col("node_id").cast("int").alias("n"), "depth", F.col("trail").alias("path"))
     text = F.when(F.col("p") % 3 == 0, F.concat(F.lit("t"), F.col("p").cast("string")))
-    return P.markdown(t.tree_nodes.withColumn("text", text).join(paths, ["image_id", "n"]))
+    return P.markdown(t.tree_nodes.withColumn("text", text).join(paths.hint("merge"), ["image_id", "n"]))
 
 
 # --- cache ------------------------------------------------------------------------------

@@ -314,3 +314,17 @@ def test_findings_deal_their_inputs_by_image_once(spark, tmp_path):
     keys = [line for line in plans[0].splitlines() if "Exchange hashpartitioning(" in line]
     assert keys and all(line.split("hashpartitioning(")[1].startswith("image_id") and line.split("hashpartitioning(")[1].split(",")[1].strip().isdigit() or line.split("hashpartitioning(")[1].split(")")[0].count(",") == 1 for line in keys)
     assert spark.conf.get(name) == before
+
+
+def test_tree_levels_are_never_broadcast(spark):
+    from screenlake.operators import review as R
+    from screenlake.plans.catalog import QUERIES
+
+    plans, cut = [], R.cut_lineage
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    R.cut_lineage = lambda df, dealt=False: seen(df) or cut(df, dealt)
+    try:
+        seen(QUERIES["markdown"](spark, "/root/testdata/sf0.001"))
+    finally:
+        R.cut_lineage = cut
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
