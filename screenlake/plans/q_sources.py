@@ -54,10 +54,11 @@ def _(t):
 
 
 def annotation_folder(t):
-    """The annotations as one JSON file for each image, with a sidecar beside every seventh."""
-    docs = annotation_json(t).where("_corrupt_record IS NULL").drop("_corrupt_record").withColumn("k", F.col("image_id"))
+    """The annotations as files of one image each, in packs."""
+    docs = annotation_json(t).where("_corrupt_record IS NULL").drop("_corrupt_record")
+    content = F.to_json(F.struct(*(c for c in docs.columns if c not in ("image_id", "json"))))
     folder = f"{shared_folder(t.spark).rstrip('/')}/annotations-{uuid.uuid4().hex}"
-    docs.drop("image_id").repartition("k").write.partitionBy("k").json(folder)
+    A.pack_annotations(docs.select(F.format_string("k=%d/annotation.json", "image_id").alias("file"), content.alias("content")), folder)
     return folder
 
 

@@ -17,6 +17,7 @@ SCHEMA = (
     f"elements ARRAY<{ELEMENT}>, relations ARRAY<STRUCT<`from`: STRING, `to`: STRING, type: STRING, source: STRING, confidence: DOUBLE, reviewStatus: STRING>>, "
     "zOrder ARRAY<STRUCT<id: STRING, z: INT>>, warnings ARRAY<STRING>, _corrupt_record STRING"
 )
+PACK = "file STRING, content STRING"
 
 
 def _is_sidecar(path: Column) -> Column:
@@ -26,16 +27,38 @@ def _is_sidecar(path: Column) -> Column:
     return out
 
 
+def read_annotations(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """The annotations under ``folder`` (recursive) with their ``file``, sidecars among them.
+
+    A ``.json`` file is one annotation.  Millions of such files cost more to list and open than to
+    read, so they may also lie in packs: Parquet files with the columns file (a relative path) and
+    content (its text), written by ``pack_annotations``.  A member of a pack goes by the path of the
+    pack and its own."""
+    def reader(schema: str, pattern: str):
+        source = spark.readStream if stream else spark.read
+        return source.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+
+    raw = reader(SCHEMA, "*.json").option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    loose = raw.json(folder).withColumn("file", F.col("_metadata.file_path"))
+    packs = reader(PACK, "*.parquet").parquet(folder)
+    members = packs.select(F.concat_ws("/", "_metadata.file_path", "file").alias("file"), F.coalesce("content", F.lit("[no content")).alias("content"))
+    return loose.unionByName(parse_annotations(members, "content").drop("content"))
+
+
+def pack_annotations(files: DataFrame, folder: str) -> None:
+    """Write (file, content) rows as packs."""
+    files.select("file", "content").write.parquet(folder)
+
+
 def scan_annotations(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Annotation files under ``folder`` (recursive), one row per file with its path, and
-    the list of sidecar files that were skipped."""
+    """Annotation files under ``folder`` (recursive, loose or in packs), one row per file with its
+    path, and the list of sidecar files that were skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder)
-    paths = files.select("path")  # content is pruned from the scan
+    packs = spark.read.schema(PACK).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(folder)
+    # content is pruned from both scans
+    paths = files.select("path").unionByName(packs.select(F.concat_ws("/", "_metadata.file_path", "file").alias("path")))
     skipped = paths.where(_is_sidecar(F.col("path"))).select(F.col("path").alias("file"), F.lit("sidecar").alias("reason"))
-    raw = spark.read.schema(SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
-    raw = raw.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(folder)
-    rows = raw.withColumn("file", F.col("_metadata.file_path"))
-    return rows.where(~_is_sidecar(F.col("file"))), skipped
+    return read_annotations(spark, folder).where(~_is_sidecar(F.col("file"))), skipped
 
 
 def parse_annotations(df: DataFrame, json_col: str) -> DataFrame:

@@ -17,7 +17,7 @@ from screenlake.operators.cache import TTL_SECONDS
 from screenlake.operators.entities import extract_entities
 from screenlake.operators.review import validate_annotations
 from screenlake.session import cut_lineage
-from screenlake.sources.annotations import elements_of, reject_invalid, relations_of, SCHEMA
+from screenlake.sources.annotations import elements_of, read_annotations, reject_invalid, relations_of
 
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -127,12 +127,11 @@ def stream_entities(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def stream_ingest_annotations(spark: SparkSession, folder: str, out: str, rejects: str, checkpoint: str, findings: str | None = None):
-    """Ingest annotation files as they arrive: valid elements to ``out``, rejects with their
+    """Ingest annotation files, loose or in packs, as they arrive: valid elements to ``out``, rejects with their
     reason to ``rejects`` and, if asked, the errors inside valid annotations (repeated ids, boxes
     out of the page, relation ends, cycles) to ``findings``.  Every micro-batch writes its own
     folders, so a replayed batch overwrites itself."""
-    raw = spark.readStream.schema(SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder)
-    raw = raw.withColumn("file", F.col("_metadata.file_path"))
+    raw = read_annotations(spark, folder, stream=True)
 
     def write(batch: DataFrame, epoch: int) -> None:
         ok, bad = reject_invalid(batch)

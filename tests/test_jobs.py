@@ -46,6 +46,26 @@ def test_stream_ingest(spark, tmp_path):
     assert spark.read.parquet(rej).count() == 3
 
 
+def test_packs_hold_annotation_files(spark, tmp_path):
+    """Loose files and members of a pack give the same rows, and one pack is one file to list."""
+    src, out, rej, ck = (str(tmp_path / d) for d in ("in", "out", "rej", "ck"))
+    (tmp_path / "in").mkdir()
+    annotation_folder(tmp_path / "in")
+    loose = {p.name: p.read_text() for p in (tmp_path / "in").rglob("*.json")}
+    rows = [(f"p/{name}", text) for name, text in loose.items()] + [("p/none.json", None)]
+    A.pack_annotations(spark.createDataFrame(rows, "file string, content string").coalesce(1), f"{src}/pack")
+    notes, skipped = A.scan_annotations(spark, src)
+    ok, bad = A.reject_invalid(notes)
+    assert [r.image for r in ok.collect()] == ["a.png"] * 2
+    broken, theme = "annotation root must be an object", "annotation missing required field: theme"
+    assert sorted((r.file.rsplit("/", 1)[1], r.reason.removeprefix("invalid: ")) for r in bad.collect()) == [
+        ("b.json", theme), ("b.json", theme), ("c.json", broken), ("c.json", broken), ("none.json", broken)]
+    assert sorted(".parquet/p/" in r.file for r in skipped.collect()) == [False, True]
+    J.stream_ingest_annotations(spark, src, out, rej, ck).awaitTermination()
+    assert spark.read.parquet(out).count() == 2
+    assert spark.read.parquet(rej).count() == 7
+
+
 def test_scan_images(spark, tmp_path):
     (tmp_path / "p.png").write_bytes(bytes.fromhex("89504E470D0A1A0A"))
     (tmp_path / "j.jpg").write_bytes(bytes.fromhex("FFD8FFE000"))
