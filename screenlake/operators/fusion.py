@@ -146,27 +146,31 @@ def dedupe_seeds(seeds: DataFrame) -> DataFrame:
     with a kept one or is 80 % contained at a similar scale (area ratio >= 0.2).
 
     ``seeds``: image_id, cand_id, anchored, box; rows are told apart by their rank, as ids may
-    repeat.  Kept seeds never change, so this is a
-    greedy independent set, solved in rounds: a seed with no earlier undecided neighbour
-    is decided at once."""
+    repeat.  Kept seeds never change, so one pass over the clashes of an image in the order of
+    their later seed settles them: by then it is known which of the earlier ones were dropped.
+    Seeds are dealt by image once and joined there; the pass holds the dropped seeds of an image."""
     from screenlake.session import cut_lineage
 
     rank = F.struct((~F.col("anchored")).alias("a"), G.box().area.alias("b"), F.col("cand_id").alias("c"))
-    rows = seeds.select("image_id", "cand_id", "x", "y", "w", "h", rank.alias("o"))
+    rows = seeds.select("image_id", "cand_id", "anchored", "x", "y", "w", "h").repartition("image_id")
+    rows = rows.select("image_id", "x", "y", "w", "h", rank.alias("o"))
     pairs = touching_pairs(rows, rows).where(F.col("b_o") < F.col("a_o"))
     a, b = G.box("a_"), G.box("b_")
     small, large = F.least(a.area, b.area), F.greatest(a.area, b.area)
     clash = (G.iou(a, b) >= 0.8) | ((small > 0) & (small / large >= 0.2) & (G.intersection_area(a, b) / small >= 0.8))
-    edges = cut_lineage(pairs.where(clash).select("image_id", F.col("a_o").alias("later"), F.col("b_o").alias("earlier")))
-    if edges.isEmpty():
-        return seeds
-    # a seed that is never the later end is kept; its later neighbours are dropped
-    dropped = None
-    while not edges.isEmpty():
-        later = edges.select("image_id", F.col("later").alias("earlier")).distinct()
-        free = edges.join(later, ["image_id", "earlier"], "left_anti")
-        gone = cut_lineage(free.select("image_id", "later").distinct())
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        left = edges.join(gone, ["image_id", "later"], "left_anti")
-        edges = cut_lineage(left.join(gone.select("image_id", F.col("later").alias("earlier")), ["image_id", "earlier"], "left_anti"))
+    edges = cut_lineage(pairs.where(clash).select("image_id", F.col("a_o").alias("later"), F.col("b_o").alias("earlier")), dealt=True)
+    schema = T.StructType([edges.schema["image_id"], edges.schema["later"]])
+
+    def place(o: dict) -> tuple:
+        return o["a"], None if o["b"] != o["b"] else o["b"], o["c"]
+
+    def settle(group: Iterator[tuple]) -> Iterator[tuple]:
+        gone: set[tuple] = set()
+        for image, later, earlier in group:
+            at = place(later)
+            if at not in gone and place(earlier) not in gone:
+                gone.add(at)
+                yield image, later
+
+    dropped = fold_sorted(edges, ["image_id"], ["later", "earlier"], schema, settle)
     return seeds.withColumn("later", rank).join(dropped, ["image_id", "later"], "left_anti").drop("later")

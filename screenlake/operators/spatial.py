@@ -48,13 +48,17 @@ def touching_pairs(
     """All pairs (a, b) with equal ``keys`` whose closed boxes touch; ``reach`` widens
     the boxes of ``a`` on every side, ``reach_x`` / ``reach_y`` (columns of ``a``) per axis.
     Columns come out as ``a_*`` and ``b_*``."""
-    zero = F.lit(0.0)
-    left = a.withColumn("_rx", F.lit(reach) + (zero if reach_x is None else reach_x))
-    left = prefixed(left.withColumn("_ry", F.lit(reach) + (zero if reach_y is None else reach_y)), "a_", keys)
-    right = prefixed(b, "b_", keys)
     raw, bb = G.box("a_"), G.box("b_")
-    rx, ry = F.col("a__rx"), F.col("a__ry")
-    ab = G.Box(raw.x - rx, raw.y - ry, raw.w + 2 * rx, raw.h + 2 * ry)
+    right = prefixed(b, "b_", keys)
+    if reach == 0 and reach_x is None and reach_y is None:
+        # both sides are filtered alike, so a table that meets itself is shuffled once
+        left, ab = prefixed(a, "a_", keys), raw
+    else:
+        zero = F.lit(0.0)
+        left = a.withColumn("_rx", F.lit(reach) + (zero if reach_x is None else reach_x))
+        left = prefixed(left.withColumn("_ry", F.lit(reach) + (zero if reach_y is None else reach_y)), "a_", keys)
+        rx, ry = F.col("a__rx"), F.col("a__ry")
+        ab = G.Box(raw.x - rx, raw.y - ry, raw.w + 2 * rx, raw.h + 2 * ry)
     on = [*keys, "_tx", "_ty"]
     owner = (F.col("_tx") == _cell(F.greatest(ab.x, bb.x), tile)) & (
         F.col("_ty") == _cell(F.greatest(ab.y, bb.y), tile)
@@ -300,11 +304,13 @@ def bind_text(nodes: DataFrame, ocr: DataFrame) -> DataFrame:
     becomes a text child of the smallest region holding it, or of the page.
 
     The target of an item does not depend on other items, only who comes first does, so
-    the order is settled by one minimum per target instead of a walk."""
-    items = ocr.select("image_id", F.col("ord").alias("item"), "text", "x", "y", "w", "h")
+    the order is settled by one minimum per target instead of a walk.
+
+    Items and nodes are dealt by image once, and all joins and minima are taken there."""
+    items = ocr.select("image_id", F.col("ord").alias("item"), "text", "x", "y", "w", "h").repartition("image_id")
     norm = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
     targets = nodes.select("image_id", "node_id", F.col("ord").alias("n_ord"), "kind", "text", "x", "y", "w", "h")
-    pairs = touching_pairs(items, targets)
+    pairs = touching_pairs(items, targets.repartition("image_id"))
     a, b = G.box("a_"), G.box("b_")
     control = (F.col("b_kind") == "control") & (G.coverage(a, b) >= 0.7)
     tight = (F.col("b_kind") == "region") & (G.iou(a, b) >= 0.5)
@@ -334,7 +340,7 @@ def bind_text(nodes: DataFrame, ocr: DataFrame) -> DataFrame:
     takes = F.col("_step1").isNull() & F.col("r.text").isNull() & (F.col("_rf") == F.col("item"))
     action = F.coalesce("_step1", F.when(takes, "region-text"), F.lit("text-child"))
     target = F.when(F.col("_step1").isNotNull(), F.col("c.id")).when(takes, F.col("r.id")).otherwise(F.coalesce("p.id", F.lit("page")))
-    return rows.select("image_id", F.col("item").alias("ord"), action.alias("action"), target.alias("target_id"))
+    return cut_lineage(rows.select("image_id", F.col("item").alias("ord"), action.alias("action"), target.alias("target_id")), dealt=True)
 
 
 def nearest_downstream(nodes: DataFrame, directions: DataFrame, first_reach: float = 32.0) -> DataFrame:

@@ -204,3 +204,33 @@ def test_fusion_of_repeated_ids_goes_by_place(spark):
     for order in ([0, 1, 2], [1, 0, 2], [2, 1, 0]):
         got = U.fuse_candidates(df([rows[i] for i in order]).coalesce(1), 0.5, None).collect()
         assert [(r.x, r.members) for r in got] == [(0.0, 1), (60.0, 1)]
+
+
+def test_seeds_are_settled_in_one_pass(spark, monkeypatch):
+    """A chain in which every box clashes with the one before it: every third stays, in one pass whatever its length."""
+    from screenlake import session
+
+    written, cut = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df, dealt=False: written.append(dealt) or cut(df, dealt))
+    chain = [(i, f"s{k:03d}", True, 10.0 * k, 0.0, 100.0 + 0.001 * k, 20.0) for i in (1, 2) for k in range(24)]
+    seeds = spark.createDataFrame(chain, "image_id long, cand_id string, anchored boolean, x double, y double, w double, h double")
+    assert sorted((r.image_id, r.cand_id) for r in U.dedupe_seeds(seeds).collect()) == [(i, f"s{k:03d}") for i in (1, 2) for k in range(0, 24, 3)]
+    assert written == [True]
+
+
+def test_text_is_bound_where_its_image_lies(spark, monkeypatch):
+    """Items and nodes are shuffled by image only; no join or minimum of the binding has a second key."""
+    plans, cut = [], S.cut_lineage
+
+    def watch(df, dealt=False):
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false" if dealt else "true")
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        return cut(df, dealt)
+
+    monkeypatch.setattr(S, "cut_lineage", watch)
+    nodes = spark.createDataFrame([(1, "b", 1, "control", None, 0.0, 0.0, 50.0, 20.0), (1, "r", 2, "region", None, 0.0, 0.0, 200.0, 200.0)], "image_id long, node_id string, ord long, kind string, text string, x double, y double, w double, h double")
+    ocr = spark.createDataFrame([(1, "1", "Save", 5.0, 5.0, 20.0, 10.0), (1, "2", "note", 100.0, 100.0, 20.0, 10.0)], "image_id long, ord string, text string, x double, y double, w double, h double")
+    assert sorted((r.ord, r.action, r.target_id) for r in S.bind_text(nodes, ocr).collect()) == [("1", "control-text", "b"), ("2", "text-child", "r")]
+    dealt = [line.split("hashpartitioning(")[1].split(")")[0].split(", ")[:-1] for plan in plans for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt and all(len(keys) == 1 for keys in dealt)
