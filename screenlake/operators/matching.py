@@ -81,9 +81,11 @@ def annotation_diff(pred: DataFrame, human: DataFrame) -> DataFrame:
 
     Inputs: image_id, box_id, type, text, semantic_role, children (ARRAY<STRING>), box.
     Matched pairs get the first of wrong_structure / wrong_type / wrong_text /
-    wrong_bbox (IoU < 0.85) that applies; the rest is false_positive or missed."""
-    # read three times below
-    matches = cut_lineage(match_greedy_global(pred, human, 0.5))
+    wrong_bbox (IoU < 0.85) that applies; the rest is false_positive or missed.
+
+    Both sides and the matches are dealt by image and joined there."""
+    pred, human = (df.repartition("image_id") for df in (pred, human))
+    matches = cut_lineage(match_greedy_global(pred, human, 0.5), dealt=True).repartition("image_id")
 
     def side(df: DataFrame, p: str) -> DataFrame:
         text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
@@ -94,19 +96,17 @@ def annotation_diff(pred: DataFrame, human: DataFrame) -> DataFrame:
         )
 
     p_side, h_side = side(pred, "pred_"), side(human, "human_")
-    both = matches.join(p_side, ["image_id", "pred_id"]).join(h_side, ["image_id", "human_id"])
+    rows = p_side.withColumn("_p", F.lit(True)).join(matches, ["image_id", "pred_id"], "left").withColumn("_m", F.col("iou").isNotNull())
+    rows = rows.join(h_side, ["image_id", "human_id"], "full")
     category = (
-        F.when(~F.col("pred_role").eqNullSafe(F.col("human_role")) | (F.col("pred_children") != F.col("human_children")), "wrong_structure")
+        F.when(F.col("_p").isNull(), "missed").when(~F.col("_m"), "false_positive")
+        .when(~F.col("pred_role").eqNullSafe(F.col("human_role")) | (F.col("pred_children") != F.col("human_children")), "wrong_structure")
         .when(F.col("pred_type") != F.col("human_type"), "wrong_type")
         .when(F.col("pred_text") != F.col("human_text"), "wrong_text")
         .when(F.col("iou") < 0.85, "wrong_bbox")
     )
-    both = both.withColumn("category", category).where(F.col("category").isNotNull())
-    extra = p_side.join(matches, ["image_id", "pred_id"], "left_anti").withColumn("category", F.lit("false_positive"))
-    missed = h_side.join(matches, ["image_id", "human_id"], "left_anti").withColumn("category", F.lit("missed"))
     cols = ["image_id", "category", "pred_id", "pred_type", "human_id", "human_type", "iou"]
-    rows = both.select(*cols).unionByName(extra.select("image_id", "category", "pred_id", "pred_type"), True)
-    rows = rows.unionByName(missed.select("image_id", "category", "human_id", "human_type"), True)
+    rows = cut_lineage(rows.withColumn("category", category).where(F.col("category").isNotNull()).select(*cols), dealt=True)
 
     unmatched = F.col("category").isin("missed", "false_positive")
     pair = F.concat_ws(":", F.least("pred_type", "human_type"), F.greatest("pred_type", "human_type"))

@@ -234,3 +234,25 @@ def test_text_is_bound_where_its_image_lies(spark, monkeypatch):
     assert sorted((r.ord, r.action, r.target_id) for r in S.bind_text(nodes, ocr).collect()) == [("1", "control-text", "b"), ("2", "text-child", "r")]
     dealt = [line.split("hashpartitioning(")[1].split(")")[0].split(", ")[:-1] for plan in plans for line in plan.splitlines() if "hashpartitioning(" in line]
     assert dealt and all(len(keys) == 1 for keys in dealt)
+
+
+def test_differences_join_where_their_image_lies(spark, monkeypatch):
+    """Under the table of differences no shuffle has a second key, and repeated ids keep their rows."""
+    plans, cut = [], M.cut_lineage
+
+    def watch(df, dealt=False):
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false" if dealt else "true")
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        return cut(df, dealt)
+
+    monkeypatch.setattr(M, "cut_lineage", watch)
+    schema = "image_id long, box_id string, type string, text string, semantic_role string, children array<string>, x double, y double, w double, h double"
+    row = lambda i, x, kind="text": (1, i, kind, "t", None, None, x, 0.0, 20.0, 20.0)
+    pred = spark.createDataFrame([row("p1", 0.0, "icon"), row("p2", 100.0), row("p2", 100.0), row(None, 300.0)], schema)
+    human = spark.createDataFrame([row("h1", 0.0), row("h3", 200.0), row("h3", 200.0)], schema)
+    got = M.annotation_diff(pred, human).collect()
+    assert sorted((r.category, str(r.pred_id), str(r.human_id)) for r in got) == [
+        ("false_positive", "None", "None"), *[("false_positive", "p2", "None")] * 2, *[("missed", "None", "h3")] * 2, ("wrong_type", "p1", "h1")]
+    dealt = [line.split("hashpartitioning(")[1].split(")")[0].split(", ")[:-1] for line in plans[-1].splitlines() if "hashpartitioning(" in line]
+    assert len(plans) == 2 and dealt and all(len(keys) == 1 for keys in dealt)
