@@ -228,8 +228,16 @@ def promote_by_neighbour(nodes: DataFrame, ocr: DataFrame, near: float = 20.0, b
 
 def hex_channels(color: Column) -> tuple[Column, Column, Column]:
     """Channels of ``#rgb`` / ``#rrggbb`` (NULL when it is not a colour)."""
+    return digit_channels(hex_digits(color))
+
+
+def hex_digits(color: Column) -> Column:
+    """``#rgb`` / ``#rrggbb`` as six digits."""
     h = F.regexp_replace(F.trim(color), "^#", "")
-    h = F.when(F.length(h) == 3, F.regexp_replace(h, "(.)", "$1$1")).otherwise(h)
+    return F.when(F.length(h) == 3, F.regexp_replace(h, "(.)", "$1$1")).otherwise(h)
+
+
+def digit_channels(h: Column) -> tuple[Column, Column, Column]:
     ok = h.rlike("^[0-9a-fA-F]{6}$")
     return tuple(F.when(ok, F.conv(F.substring(h, i, 2), 16, 10).cast("double")) for i in (1, 3, 5))
 
@@ -258,12 +266,15 @@ def correct_types(nodes: DataFrame, ocr: DataFrame, meta: DataFrame) -> DataFram
     absolute = (w < 200) & (h < 60)
     relative = ~absolute & (w <= F.col("_pw") * 0.95) & (h <= F.col("_ph") * 0.09)
     action = F.coalesce(F.trim("text").rlike(ACTION_WORDS), F.lit(False))
-    sat = F.coalesce(saturation(*hex_channels(F.col("bg_color"))), F.lit(0.0))
+    # digits and channels as columns of their own: spelled out they are computed again for each use
+    rows = rows.withColumn("_hex", hex_digits(F.col("bg_color")))
+    rows = rows.withColumns(dict(zip(("_r", "_g", "_b"), digit_channels(F.col("_hex")))))
+    sat = F.coalesce(saturation(F.col("_r"), F.col("_g"), F.col("_b")), F.lit(0.0))
     button = F.col("is_leaf") & t.isin(BUTTON_REGIONS) & (w > 0) & (h > 0) & (sat > 0.15) & ((absolute & t.isin("container", "unknown")) | (relative & action))
     new = (
         F.when(F.col("_is_list"), "list").when(button, "button").when(F.col("_tight"), "text").when(F.col("_in_list") & (t == "card"), "listItem").otherwise(t)
     )
-    return rows.withColumn("new_type", new).drop("_pw", "_ph", "_in_list", "_is_list", "_tight")
+    return rows.withColumn("new_type", new).drop("_pw", "_ph", "_in_list", "_is_list", "_tight", "_hex", "_r", "_g", "_b")
 
 
 def prune_outside(nodes: DataFrame, meta: DataFrame) -> DataFrame:

@@ -256,3 +256,16 @@ def test_differences_join_where_their_image_lies(spark, monkeypatch):
         ("false_positive", "None", "None"), *[("false_positive", "p2", "None")] * 2, *[("missed", "None", "h3")] * 2, ("wrong_type", "p1", "h1")]
     dealt = [line.split("hashpartitioning(")[1].split(")")[0].split(", ")[:-1] for line in plans[-1].splitlines() if "hashpartitioning(" in line]
     assert len(plans) == 2 and dealt and all(len(keys) == 1 for keys in dealt)
+
+
+def test_colours_are_read_once_for_each_node(spark):
+    """The channels of a colour are columns, not spelled out again for each use."""
+    from screenlake.operators import typing_rules as T
+
+    schema = "image_id long, parent_id string, node_id string, type string, text string, bg_color string, x double, y double, w double, h double"
+    nodes = spark.createDataFrame([(1, None, c or "none", "container", None, c, 0.0, 0.0, 20.0, 20.0) for c in ("#f00", "2266cc", "#808080", "red", None)], schema)
+    ocr = spark.createDataFrame([], "image_id long, text string, x double, y double, w double, h double")
+    meta = spark.createDataFrame([(1, 420, 820)], "image_id long, width int, height int")
+    out = T.correct_types(nodes, ocr, meta)
+    assert sorted((r.node_id, r.new_type) for r in out.collect()) == [("#808080", "container"), ("#f00", "button"), ("2266cc", "button"), ("none", "container"), ("red", "container")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("conv(") == 3
