@@ -15,7 +15,7 @@ from screenlake.functions.semantics import js_round, keep_first, round_half_up
 from screenlake.operators.layout import direction_of, top_k_per_group
 from screenlake.operators.rules import words
 from screenlake.operators.spatial import touching_pairs
-from screenlake.session import cut_lineage
+from screenlake.operators.trees import climb
 
 # Fixed values of the typing rules.
 REGION_TYPES = [("header", "header"), ("footer", "footer"), ("sidebar", "sidebar"), ("card", "card"), ("nav", "navbar"), ("table", "table"), ("main", "section"), ("content", "container")]
@@ -278,18 +278,15 @@ def correct_types(nodes: DataFrame, ocr: DataFrame, meta: DataFrame) -> DataFram
 
 
 def prune_outside(nodes: DataFrame, meta: DataFrame) -> DataFrame:
-    """Drop nodes that do not intersect the page together with their subtrees, one tree
-    level per round."""
+    """Drop nodes that do not intersect the page together with their subtrees: every node
+    climbs until it meets such an ancestor."""
     b = G.box()
     rows = nodes.join(meta.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "image_id")
     out = (b.x >= F.col("_w")) | (b.right <= 0) | (b.y >= F.col("_h")) | (b.bottom <= 0)
-    gone = cut_lineage(rows.where(F.col("parent_id").isNotNull() & out).select("image_id", "node_id"))
-    level = gone
-    links = nodes.where(F.col("parent_id").isNotNull()).select("image_id", "node_id", "parent_id")
-    while not level.isEmpty():
-        below = links.join(level.select("image_id", F.col("node_id").alias("parent_id")), ["image_id", "parent_id"], "left_semi").select("image_id", "node_id")
-        level = cut_lineage(below.join(gone, ["image_id", "node_id"], "left_anti"))
-        gone = gone.unionByName(level)
+    rows = rows.withColumn("_gone", F.coalesce(F.col("parent_id").isNotNull() & out, F.lit(False)))
+    # what is gone itself need not ask its ancestors
+    rows = rows.select("image_id", "node_id", "_gone", F.when(~F.col("_gone"), F.col("parent_id")).alias("_up")).repartition("image_id")
+    gone = climb(rows, {"_gone": F.col("_gone") | F.col("_u_gone")}).where("_gone").select("image_id", "node_id")
     return nodes.join(gone, ["image_id", "node_id"], "left_anti")
 
 
@@ -383,22 +380,13 @@ def render_modes(nodes: DataFrame, banner_fallback: bool = True) -> DataFrame:
     """Render mode per node: a child of an asset is semantic-only, a banner is an asset
     (hybrid when ``separable``), a mask is semantic-only, everything else native.
 
-    Only a banner can be an asset, so the top-down walk reduces to runs of banners below
-    banners: each round settles one more banner of such a run."""
+    Only a banner can be an asset, and one that is not separable is one unless its parent is: a
+    node lies below an asset if the run of such banners above it is of odd length."""
     rows = nodes.select("image_id", "node_id", "parent_id", "type", (F.lit(banner_fallback) & F.coalesce(F.col("role") == "banner", F.lit(False))).alias("_banner"), F.coalesce("separable", F.lit(False)).alias("_sep"))
-    banners = cut_lineage(rows.where("_banner"))
-    flat = banners.select("image_id", F.col("node_id").alias("parent_id"))
-    # a banner that is not below a banner starts a run
-    settled = banners.join(flat, ["image_id", "parent_id"], "left_anti").select("image_id", "node_id", (~F.col("_sep")).alias("asset"))
-    settled = cut_lineage(settled)
-    level = settled
-    while not level.isEmpty():
-        up = level.select("image_id", F.col("node_id").alias("parent_id"), F.col("asset").alias("_up"))
-        level = cut_lineage(banners.join(up, ["image_id", "parent_id"]).select("image_id", "node_id", (~F.col("_up") & ~F.col("_sep")).alias("asset")))
-        settled = settled.unionByName(level)
-    own = settled.where("asset").select("image_id", "node_id", F.lit(True).alias("_asset"))
-    above = own.select("image_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("_below"))
-    rows = rows.join(own, ["image_id", "node_id"], "left").join(above, ["image_id", "parent_id"], "left")
+    rows = rows.repartition("image_id").select("image_id", "node_id", "type", "_banner", "_sep", F.lit(0).alias("_run"), F.col("parent_id").alias("_up"))
+    rows = climb(rows, {"_run": F.col("_run") + F.col("_u_run") + 1}, only=F.col("_banner") & ~F.col("_sep"))
+    # a run on a cycle has no first banner, so none of it is an asset
+    rows = rows.withColumn("_below", F.when(F.col("_up").isNull() & (F.col("_run") % 2 == 1), True))
     mode = (
         F.when(F.col("_below"), "semantic-only").when(F.col("_banner"), F.when(F.col("_sep"), "hybrid").otherwise("asset"))
         .when(F.col("type") == "mask", "semantic-only").otherwise("native")
