@@ -91,16 +91,16 @@ def _(t):
 
 def whole_trees(t):
     """Each image's nodes as one nested JSON text, built from the deepest level up."""
-    at = R.tree_paths(t.nodes).select("image_id", "node_id", "depth")
-    level = cut_lineage(t.nodes.join(at.hint("merge"), ["image_id", "node_id"]).select("image_id", "node_id", "parent_id", "n", "depth", F.to_json(F.struct(F.col("node_id").alias("id"), "type", F.struct("x", "y", "w", "h").alias("bbox"))).alias("own")))
+    level = R.tree_paths(t.nodes, carry=["parent_id", "n", "type", "x", "y", "w", "h"], paths=False)
+    own = F.to_json(F.struct(F.col("node_id").alias("id"), "type", F.struct("x", "y", "w", "h").alias("bbox"))).alias("own")
     inner = F.expr("concat(left(own, length(own) - 1), ',\"children\":[', array_join(kids, ','), ']}')")
     below = None
     for depth in range(level.agg(F.max("depth")).head()[0] or 0, -1, -1):
-        here = level.where(F.col("depth") == depth)
-        here = here.withColumn("tree", F.col("own")) if below is None else here.join(below, ["image_id", "node_id"], "left").withColumn("tree", F.when(F.col("kids").isNull(), F.col("own")).otherwise(inner))
+        here = level.where(F.col("depth") == depth).repartition("image_id").select("image_id", "node_id", "parent_id", "n", own)
+        here = here.withColumn("tree", F.col("own")) if below is None else here.join(below.hint("merge"), ["image_id", "node_id"], "left").withColumn("tree", F.when(F.col("kids").isNull(), F.col("own")).otherwise(inner))
         kids = F.transform(F.array_sort(F.collect_list(F.struct("n", "tree"))), lambda k: k["tree"])
         below = here.groupBy("image_id", F.col("parent_id").alias("node_id")).agg(kids.alias("kids"))
-    return here.select("image_id", "tree")
+    return cut_lineage(here.select("image_id", "tree"), dealt=True)
 
 
 @query("stream_ingest_findings", f"""

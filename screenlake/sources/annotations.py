@@ -115,32 +115,41 @@ def ground_truth(elements: DataFrame) -> DataFrame:
 def flatten_tree(df: DataFrame, key: str, json_col: str, exclude_semantic_only: bool = False) -> DataFrame:
     """Node rows (key, node_id, parent_id, depth, path, type, box, text) of a nested JSON tree.
 
-    Level by level over VARIANT values: the children of all trees are exploded at once,
-    so the number of rounds is the depth of the deepest tree.  ``path`` holds zero-padded
-    child positions, its order is the pre-order walk.  The page root and, if asked,
-    semantic-only nodes are left out of the result but walked through."""
+    Level by level over VARIANT values: a round parses the trees once and opens ``LEVELS``
+    levels of them row by row, and only trees that are deeper go on to another round.  ``path``
+    holds zero-padded child positions, its order is the pre-order walk.  The page root and, if
+    asked, semantic-only nodes are left out of the result but walked through."""
+    from screenlake.operators.trees import LEVELS
     from screenlake.session import cut_lineage
 
-    get = lambda v, p, t: F.try_variant_get(v, f"$.{p}", t)
-    level = df.select(key, F.try_parse_json(json_col).alias("v"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.lit("").alias("path"))
-    level = level.where(F.col("v").isNotNull())
+    get = lambda p, t: F.try_variant_get("_v", f"$.{p}", t)
+    level = df.select(key, F.col(json_col).alias("_tree"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.lit("").alias("path"))
+    level = level.where(F.try_parse_json("_tree").isNotNull())
+    found = {
+        "node_id": get("id", "string"), "type": get("type", "string"), **{c: get(f"bbox.{c}", "double") for c in "xywh"},
+        "text": get("text", "string"), "render_mode": get("props.render.mode", "string"),
+    }
+    places = ["parent_id", "depth", "path"]
+    # ten digits hold every position, so the order of paths is the order of positions
+    child = lambda c, i: F.struct(
+        F.col("node_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), F.lpad(i.cast("string"), 10, "0")).alias("path"), c.alias("_v"),
+        F.lit(True).alias("_open"), *(F.lit(None).cast("double" if n in "xywh" else "string").alias(n) for n in found),
+    )
+    own = F.struct(*places, F.lit(None).cast("variant").alias("_v"), F.lit(False).alias("_open"), *found)
     out = None
     while True:
-        rows = level.select(
-            key, get("v", "id", "string").alias("node_id"), "parent_id", "depth", "path", get("v", "type", "string").alias("type"),
-            *(get("v", f"bbox.{c}", "double").alias(c) for c in "xywh"), get("v", "text", "string").alias("text"), get("v", "props.render.mode", "string").alias("render_mode"),
-            get("v", "children", "array<variant>").alias("_c"),
-        )
-        # children travel between rounds as JSON text, which every file format can hold
-        rows = cut_lineage(rows.withColumn("_c", F.transform("_c", lambda c: F.to_json(c))))
-        out = rows.drop("_c") if out is None else out.unionByName(rows.drop("_c"))
-        nxt = rows.where(F.size("_c") > 0)
-        if nxt.isEmpty():
+        rows = level.select(key, *places, F.try_parse_json("_tree").alias("_v"), F.lit(True).alias("_open"), *(F.lit(None).cast("double" if n in "xywh" else "string").alias(n) for n in found))
+        for _ in range(LEVELS):
+            # a node that is still shut gives itself, read, and its children, shut
+            rows = rows.select(key, *places, "_open", F.when(F.col("_open"), get("children", "array<variant>")).alias("_c"), *(F.when(F.col("_open"), v).otherwise(F.col(n)).alias(n) for n, v in found.items()))
+            rows = rows.select(key, F.explode(F.when(F.col("_c").isNull(), F.array(own)).otherwise(F.concat(F.array(own), F.transform("_c", child)))).alias("_e")).select(key, "_e.*")
+        # what travels between rounds is JSON text, which every file format can hold
+        rows = cut_lineage(rows.withColumn("_tree", F.to_json("_v")).drop("_v"))
+        done = rows.where("NOT _open").select(key, *places, *found)
+        out = done if out is None else out.unionByName(done)
+        level = rows.where("_open").select(key, "_tree", *places)
+        if level.isEmpty():
             break
-        # ten digits hold every position, so the order of paths is the order of positions
-        pos = F.lpad(F.col("_i").cast("string"), 10, "0")
-        level = nxt.select(key, F.col("node_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"), "path", F.posexplode("_c").alias("_i", "_v"))
-        level = level.select(key, F.try_parse_json("_v").alias("v"), "parent_id", "depth", F.concat("path", F.lit("/"), pos).alias("path"))
     keep = F.coalesce(F.col("type") != "page", F.lit(True))
     if exclude_semantic_only:
         keep = keep & F.coalesce(F.col("render_mode") != "semantic-only", F.lit(True))
