@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import types as T
 
 from screenlake.functions import geometry as G
 from screenlake.functions.semantics import mean_median
@@ -128,13 +129,15 @@ def tightest_parent(
 def project_evidence(nodes: DataFrame, cands: DataFrame, min_iou: float = 0.3) -> DataFrame:
     """Evidence links per node, matching type first, then by IoU (ties: candidate order).
 
-    ``nodes``: image_id, node_id, type, box.  ``cands``: image_id, cand_id, type, box."""
-    links = iou_join(nodes, cands, min_iou).withColumn("type_match", F.col("a_type") == F.col("b_type"))
+    ``nodes``: image_id, node_id, type, box.  ``cands``: image_id, cand_id, type, box.  Both are
+    dealt by image once, and joined and ranked there."""
+    links = iou_join(nodes.repartition("image_id"), cands.repartition("image_id"), min_iou).withColumn("type_match", F.col("a_type") == F.col("b_type"))
     order = W.partitionBy("image_id", "a_node_id").orderBy(F.desc("type_match"), F.desc("iou"), "b_cand_id")
-    return links.select(
+    ranked = links.select(
         "image_id", F.col("a_node_id").alias("node_id"), F.col("b_cand_id").alias("cand_id"),
         "iou", "type_match", F.row_number().over(order).alias("rank"),
     )
+    return cut_lineage(ranked, dealt=True)
 
 
 def items_in_region(items: DataFrame, regions: DataFrame, margin: float = 4.0, min_overlap: float = 0.35) -> DataFrame:
@@ -343,36 +346,54 @@ def bind_text(nodes: DataFrame, ocr: DataFrame) -> DataFrame:
     return cut_lineage(rows.select("image_id", F.col("item").alias("ord"), action.alias("action"), target.alias("target_id")), dealt=True)
 
 
+#: Rings that one plan searches.
+RINGS = 3
+
+
 def nearest_downstream(nodes: DataFrame, directions: DataFrame, first_reach: float = 32.0) -> DataFrame:
     """Every node with its nearest node further along the flow (centre beyond + 5 px).
 
     ``nodes``: image_id, ord, box.  ``directions``: image_id, direction.  The search ring
     doubles; a node leaves the search once its best hit lies within the ring, because
     nothing outside can be nearer, and only nodes with something ahead search at all.  The tile size follows the ring, so a node always
-    probes a handful of tiles."""
-    pts = nodes.select("image_id", "ord", G.box().cx.alias("x"), G.box().cy.alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h"))
-    pts = cut_lineage(pts)
+    probes a handful of tiles.
+
+    Nodes are dealt by image once for ``RINGS`` rings, which one plan searches there; a round
+    searches for the nodes that are still without a hit."""
+    pts = nodes.select("image_id", "ord", G.box().cx.alias("x"), G.box().cy.alias("y")).repartition("image_id")
     # a node with nothing ahead of it never starts, so every search ends at a hit
     far = pts.groupBy("image_id").agg(F.max("x").alias("_mx"), F.max("y").alias("_my"))
     beyond, aside = F.col("_my") > F.col("y") + 5, F.col("_mx") > F.col("x") + 5
     any_ahead = F.when(F.col("direction") == "top-down", beyond).when(F.col("direction") == "left-right", aside).otherwise(beyond | aside)
+    none = F.lit(None).cast(T.StructType([T.StructField("dist", T.DoubleType()), T.StructField("dst", nodes.schema["ord"].dataType)]))
     todo = pts.join(directions.select("image_id", "direction"), "image_id").join(far, "image_id").where(any_ahead).drop("_mx", "_my")
-    todo = cut_lineage(todo)
     reach, found = first_reach, None
-    down, right = F.col("b_y") > F.col("a_y") + 5, F.col("b_x") > F.col("a_x") + 5
-    ahead = (
-        F.when(F.col("a_direction") == "top-down", down).when(F.col("a_direction") == "left-right", right).otherwise(down | right)
-    )
+    down, right = F.col("b_y") > F.col("y") + 5, F.col("b_x") > F.col("x") + 5
+    ahead = F.when(F.col("direction") == "top-down", down).when(F.col("direction") == "left-right", right).otherwise(down | right)
+    dx, dy = F.col("x") - F.col("b_x"), F.col("y") - F.col("b_y")
+    dist = F.sqrt(dx * dx + dy * dy)
     while True:
-        dist = F.sqrt((F.col("a_x") - F.col("b_x")) * (F.col("a_x") - F.col("b_x")) + (F.col("a_y") - F.col("b_y")) * (F.col("a_y") - F.col("b_y")))
-        pairs = touching_pairs(todo, pts, tile=max(reach, TILE), reach=reach)
-        pairs = pairs.where((F.col("a_ord") != F.col("b_ord")) & ahead).withColumn("dist", dist).where(F.col("dist") <= reach)
-        best = pairs.groupBy("image_id", F.col("a_ord").alias("src")).agg(
-            F.min_by(F.struct(F.col("b_ord").alias("dst"), "dist"), F.struct("dist", "b_ord")).alias("r")
-        ).select("image_id", "src", "r.dst", "r.dist")
-        best = cut_lineage(best)
+        state = todo.withColumn("_hit", none)
+        for _ in range(RINGS):
+            tile = max(reach, TILE)
+            there = pts.select("image_id", _cell(F.col("x"), tile).alias("_tx"), _cell(F.col("y"), tile).alias("_ty"), F.col("ord").alias("b_ord"), F.col("x").alias("b_x"), F.col("y").alias("b_y"))
+            # a node probes its tiles until it has a hit; a row without a tile carries it on
+            cells = lambda c: F.sequence(_cell(c - reach, tile), _cell(c + reach, tile))
+            tiles = F.flatten(F.transform(cells(F.col("x")), lambda tx: F.transform(cells(F.col("y")), lambda ty: F.struct(tx.alias("_tx"), ty.alias("_ty")))))
+            itself = F.array(F.struct(F.lit(None).cast("long").alias("_tx"), F.lit(None).cast("long").alias("_ty")))
+            probes = state.select("*", F.inline(F.when(F.col("_hit").isNull(), F.concat(itself, tiles)).otherwise(itself)))
+            hit = (F.col("ord") != F.col("b_ord")) & ahead & (dist <= reach)
+            pairs = probes.join(there.hint("merge"), ["image_id", "_tx", "_ty"], "left").where(F.col("_tx").isNull() | hit)
+            pairs = pairs.withColumn("_hit", F.coalesce("_hit", F.when(F.col("_tx").isNotNull(), F.struct(dist.alias("dist"), F.col("b_ord").alias("dst")))))
+            state = pairs.groupBy("image_id", "ord", "x", "y", "direction").agg(F.min("_hit").alias("_hit"))
+            reach *= 2
+        # nodes may share an id: the nearest hit of an id is its hit
+        same = W.partitionBy("image_id", "ord")
+        state = state.withColumn("_k", F.row_number().over(same.orderBy(F.col("_hit").asc_nulls_last()))).withColumn("_best", F.min("_hit").over(same))
+        state = cut_lineage(state.where("_best IS NULL OR _k = 1").drop("_hit", "_k"), dealt=True)
+        best = state.where("_best IS NOT NULL").select("image_id", F.col("ord").alias("src"), "_best.dst", "_best.dist")
         found = best if found is None else found.unionByName(best)
-        todo = cut_lineage(todo.join(best.select("image_id", F.col("src").alias("ord")), ["image_id", "ord"], "left_anti"))
+        todo = state.where("_best IS NULL").select("image_id", "ord", "x", "y", "direction")
         if todo.isEmpty():
             return found
-        reach *= 2
+        todo = todo.repartition("image_id")
