@@ -292,16 +292,20 @@ def validate_annotations(elements: DataFrame, relations: DataFrame, children: Da
 
 def normalize_tree(elements: DataFrame, relations: DataFrame) -> DataFrame:
     """Final parent per element: the last confirmed human contains relation, else the
-    tightest containing element.  Only elements with a parent are returned."""
+    tightest containing element.  Only elements with a parent are returned.
+
+    Elements and relations are dealt by image once and joined there."""
+    elements = elements.select("image_id", "element_id", "x", "y", "w", "h").repartition("image_id")
     confirmed = F.col("review_status").isNull() | (F.col("review_status") == "confirmed")
-    human = _known_ends(relations.where((F.col("type") == "contains") & (F.col("source") == "human") & confirmed), elements)
+    human = relations.where((F.col("type") == "contains") & (F.col("source") == "human") & confirmed).select("image_id", "src", "dst", "ord")
+    human = _known_ends(human.repartition("image_id"), elements)
     human = human.groupBy("image_id", F.col("dst").alias("element_id")).agg(F.max_by("src", "ord").alias("_human"))
-    geo = tightest_parent(elements.select("image_id", "element_id", "x", "y", "w", "h"), "strict", "element_id")
-    rows = geo.join(human, ["image_id", "element_id"], "left")
-    return rows.select(
+    rows = tightest_parent(elements, "strict", "element_id").join(human, ["image_id", "element_id"], "left")
+    rows = rows.select(
         "image_id", "element_id", F.coalesce("_human", "parent_id").alias("parent_id"),
         F.when(F.col("_human").isNotNull(), "human").otherwise("derived").alias("source"),
-    ).where(F.col("parent_id").isNotNull())
+    )
+    return cut_lineage(rows.where(F.col("parent_id").isNotNull()), dealt=True)
 
 
 def tree_paths(nodes: DataFrame, ord: str | None = None, carry: Sequence[str] = (), paths: bool = True) -> DataFrame:
