@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from screenlake.functions import rulebook as RB
 from screenlake.functions.semantics import keep_first
 from screenlake.operators.layout import top_k_per_group
+from screenlake.session import cut_lineage
 
 CJK = r"[一-鿿]"
 _ENTITY = "array<struct<type:string,value:string,label:string>>"
@@ -215,10 +216,13 @@ def key_topics(docs: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
     return top_k_per_group(counts, [key], [F.desc("n"), "at"], k).select(key, "rank", "term", "n")
 
 
+#: Space and punctuation that texts are compared without.
+BARE = " \t\n\x0b\f\r,，。.;；:：\"'“”‘’/\\|-—_、"
+
+
 def comparable(text: Column) -> Column:
-    """Text without punctuation and spaces, with ASCII brackets."""
-    bare = F.regexp_replace(text, "[\\s,，。.;；:：\"'“”‘’/\\\\|\\-—_、]", "")
-    return F.regexp_replace(F.regexp_replace(bare, "（", "("), "）", ")")
+    """Text without punctuation and spaces, with ASCII brackets; one pass over its characters."""
+    return F.translate(text, "（）" + BARE, "()")
 
 
 def near_duplicate_text(items: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -226,24 +230,27 @@ def near_duplicate_text(items: DataFrame, keys: Sequence[str] = ("image_id",)) -
     characters) contained in the longer.  ``dup_of`` is the first such earlier item.
 
     Copies collapse to one row per text first.  Containment meets on 8-grams: the longer
-    text lists its own, the shorter brings the one of its own that the fewest texts of the
-    group hold (ties: the first; grams are hashes, the containment itself is then checked on
-    the texts).  A beginning that all texts share is thus never what they meet on."""
-    rows = items.withColumn("_n", comparable(F.col("text"))).where(F.col("_n") != "")
-    texts = rows.groupBy(*keys, "_n").agg(F.min("ord").alias("_o")).withColumn("_l", F.length("_n"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_l") - 7), lambda i: F.xxhash64(F.substring(F.col("_n"), i, F.lit(8)))))
-    held = texts.where(F.col("_l") >= 8).select(*keys, "_n", "_o", F.posexplode(grams).alias("_at", "_g"))
-    often = held.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_f"))
-    rarest = held.join(often, [*keys, "_g"]).groupBy(*keys, F.col("_n").alias("_sn"), F.col("_o").alias("_so"))
-    # a gram that only its own text holds has no longer text to meet
-    short = rarest.agg(F.min(F.struct("_f", "_at", "_g")).alias("_r")).where("_r._f > 1").select(*keys, "_sn", "_so", F.col("_r._g").alias("_g"))
-    long = held.select(*keys, F.col("_n").alias("_ln"), F.col("_o").alias("_lo"), "_g")
-    pairs = long.join(short, [*keys, "_g"]).where((F.length("_ln") > F.length("_sn")) & F.col("_ln").contains(F.col("_sn")))
-    links = pairs.select(*keys, F.col("_ln").alias("_n"), F.col("_so").alias("_first")).unionByName(
-        pairs.select(*keys, F.col("_sn").alias("_n"), F.col("_lo").alias("_first"))
-    ).unionByName(texts.select(*keys, "_n", F.col("_o").alias("_first")))
-    first = links.groupBy(*keys, "_n").agg(F.min("_first").alias("dup_of"))
-    return rows.join(first, [*keys, "_n"]).where(F.col("dup_of") < F.col("ord")).select(*keys, "ord", "dup_of")
+    text lists its own, the shorter brings the one of its own that the group holds least often
+    (ties: the first; grams are hashes, the containment itself is then checked on the texts).
+    A beginning that all texts share is thus never what they meet on.
+
+    Items are dealt by ``keys`` once, and the grams are counted and met there."""
+    rows = items.select(*keys, "ord", comparable(F.col("text")).alias("_n")).where(F.col("_n") != "").repartition(*keys)
+    texts = rows.groupBy(*keys, "_n").agg(F.min("ord").alias("_o"))
+    held = texts.where(F.length("_n") >= 8).select(*keys, "_n", "_o", F.explode(F.sequence(F.lit(1), F.length("_n") - 7)).alias("_at"))
+    held = held.withColumn("_g", F.xxhash64(F.substring("_n", F.col("_at"), F.lit(8))))
+    # a gram that is held once has no longer text to meet
+    often = held.withColumn("_f", F.count(F.lit(1)).over(W.partitionBy(*keys, "_g"))).where("_f > 1")
+    rarest = often.groupBy(*keys, F.col("_n").alias("_sn"), F.col("_o").alias("_so")).agg(F.min(F.struct("_f", "_at", "_g")).alias("_r"), F.count(F.lit(1)).alias("_k"))
+    # every gram of a text that lies in another is held by both
+    short = rarest.where(F.col("_k") == F.length("_sn") - 7).select(*keys, "_sn", "_so", F.col("_r._g").alias("_g"))
+    pairs = often.select(*keys, F.col("_n").alias("_ln"), F.col("_o").alias("_lo"), "_g").join(short.hint("merge"), [*keys, "_g"])
+    pairs = pairs.where((F.length("_ln") > F.length("_sn")) & F.col("_ln").contains(F.col("_sn")))
+    ends = F.array(F.struct(F.col("_ln").alias("_n"), F.col("_so").alias("_first")), F.struct(F.col("_sn").alias("_n"), F.col("_lo").alias("_first")))
+    links = pairs.select(*keys, F.inline(ends)).groupBy(*keys, "_n").agg(F.min("_first").alias("_first"))
+    first = texts.join(links.hint("merge"), [*keys, "_n"], "left").select(*keys, "_n", F.least("_o", "_first").alias("dup_of"))
+    found = rows.join(first.hint("merge"), [*keys, "_n"]).where(F.col("dup_of") < F.col("ord")).select(*keys, "ord", "dup_of")
+    return cut_lineage(found, dealt=True)
 
 
 def label_value_fields(lines: DataFrame, text: str = "text") -> DataFrame:
