@@ -6,6 +6,7 @@ import pytest
 
 from screenlake.operators import review as R, spatial as S
 from screenlake.session import ALL_KEYS, cut_lineage
+from screenlake.sources import fixtures
 
 BOX = "x double, y double, w double, h double"
 
@@ -26,7 +27,7 @@ def shuffled(spark, monkeypatch):
         keys.extend(re.sub(r"#\d+L?", "", k) for k in re.findall(r"(?<!Reused)Exchange hashpartitioning\((.*?), \d+\)", plan))
         return cut_lineage(df, dealt)
 
-    for module in (S, R):
+    for module in (S, R, fixtures):
         monkeypatch.setattr(module, "cut_lineage", spy)
     return keys
 
@@ -59,3 +60,10 @@ def test_normalize_tree(spark, shuffled):
     got = {(r.element_id, r.parent_id, r.source) for r in R.normalize_tree(elements, relations).collect()}
     assert got == {("q", "p", "derived"), ("c", "p", "human")}
     assert shuffled and set(shuffled) == {"image_id"}
+
+
+def test_view_of_nodes(spark, shuffled, monkeypatch):
+    """``promote_badge``, ``distribution``, ``overlay_geometry`` and ``export_with`` cost little beside it."""
+    monkeypatch.setattr(fixtures, "_written", {})
+    assert fixtures.view(spark, "/root/testdata/sf0.001", "nodes").count() == fixtures.view(spark, "/root/testdata/sf0.001", "boxes").count()
+    assert shuffled and set(shuffled) == {"image_id"}
