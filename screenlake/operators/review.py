@@ -9,6 +9,7 @@ Shared inputs
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -308,21 +309,35 @@ def normalize_tree(elements: DataFrame, relations: DataFrame) -> DataFrame:
     return cut_lineage(rows.where(F.col("parent_id").isNotNull()), dealt=True)
 
 
-def tree_paths(nodes: DataFrame, ord: str | None = None, carry: Sequence[str] = (), paths: bool = True) -> DataFrame:
-    """Depth and root of every node (image_id, node_id, parent_id), with the columns ``carry``
-    beside them.  Nodes climb to their roots, so those on a cycle or below an unknown parent are
-    left out.  With ``ord``, the place among siblings, ``trail`` lists the places from the root
-    down: the order of trails is the pre-order walk.  Without ``paths`` neither root nor path."""
+def tree_paths(nodes: DataFrame, ord: str | None = None) -> DataFrame:
+    """Depth and root of every node, level by level (image_id, node_id, parent_id).  Walks
+    from the roots, so nodes on a cycle are never reached and the levels come to an end.
+    With ``ord``, the place among siblings, ``trail`` lists the places from the root down: the
+    order of trails is the pre-order walk."""
     places = [] if ord is None else [F.array(ord).alias("trail")]
-    base = nodes.select(*dict.fromkeys(["image_id", "node_id", "parent_id", *([] if ord is None else [ord]), *carry])).repartition("image_id")
-    starts = [F.lit(0).alias("depth")] + ([F.col("node_id").alias("root_id"), F.col("node_id").alias("path")] if paths else []) + places
-    merge = {"depth": F.col("depth") + F.col("_udepth") + 1}
-    if paths:
-        merge |= {"root_id": F.col("_uroot_id"), "path": F.concat_ws("/", "_upath", "path")}
-    if places:
-        merge["trail"] = F.concat("_utrail", "trail")
-    rows = base.select("image_id", "node_id", *carry, *starts, F.col("parent_id").alias("_up"))
-    return climb(rows, merge, dropped=True).where(F.col("_up").isNull()).drop("_up")
+    base = nodes.select("image_id", "node_id", "parent_id", *places)
+    level = cut_lineage(base.where(F.col("parent_id").isNull()).select("image_id", "node_id", F.lit(0).alias("depth"), F.col("node_id").alias("root_id"), F.col("node_id").alias("path"), *([] if ord is None else ["trail"])))
+    out = level
+    for depth in itertools.count(1):
+        up = level.select("image_id", F.col("node_id").alias("parent_id"), "root_id", F.col("path").alias("_path"), *([] if ord is None else [F.col("trail").alias("_trail")]))
+        # a level is a small file and many rows: never broadcast one through the driver
+        nxt = base.join(up.hint("merge"), ["image_id", "parent_id"]).select(
+            "image_id", "node_id", F.lit(depth).alias("depth"), "root_id", F.concat_ws("/", "_path", "node_id").alias("path"),
+            *([] if ord is None else [F.concat("_trail", "trail").alias("trail")]),
+        )
+        level = cut_lineage(nxt)
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+    return out
+
+
+def tree_depths(nodes: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Depth of every node (image_id, node_id, depth), with the columns ``carry`` beside it.  Nodes
+    climb to their roots, so those on a cycle or below an unknown parent are left out."""
+    base = nodes.select(*dict.fromkeys(["image_id", "node_id", "parent_id", *carry])).repartition("image_id")
+    rows = base.select("image_id", "node_id", *carry, F.lit(0).alias("depth"), F.col("parent_id").alias("_up"))
+    return climb(rows, {"depth": F.col("depth") + F.col("_udepth") + 1}, dropped=True).where(F.col("_up").isNull()).drop("_up")
 
 
 # Fixed values of the review heuristics (patterns and bounds).

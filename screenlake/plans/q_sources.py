@@ -91,7 +91,7 @@ def _(t):
 
 def whole_trees(t):
     """Each image's nodes as one nested JSON text, built from the deepest level up."""
-    level = R.tree_paths(t.nodes, carry=["parent_id", "n", "type", "x", "y", "w", "h"], paths=False)
+    level = R.tree_depths(t.nodes, ["parent_id", "n", "type", "x", "y", "w", "h"])
     own = F.to_json(F.struct(F.col("node_id").alias("id"), "type", F.struct("x", "y", "w", "h").alias("bbox"))).alias("own")
     inner = F.expr("concat(left(own, length(own) - 1), ',\"children\":[', array_join(kids, ','), ']}')")
     below = None

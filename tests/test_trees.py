@@ -2,8 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
-
 from screenlake.operators import review as R, typing_rules as T
 from screenlake.session import shared_folder
 from screenlake.sources import annotations as A
@@ -40,17 +38,15 @@ def test_pruning_below_many_levels_and_beside_a_cycle(spark):
     assert kept == {"0", "1", "c1", "c2", "lost"}
 
 
-def test_paths_of_a_flat_tree_are_one_table(spark):
+def test_depths_of_a_flat_tree_are_one_table(spark):
     before = written(spark)
-    got = {r.node_id: (r.depth, r.root_id, r.path) for r in R.tree_paths(chain(spark, 5)).collect()}
-    assert got == {str(i): (i, "0", "/".join(map(str, range(i + 1)))) for i in range(5)}
+    assert {r.node_id: r.depth for r in R.tree_depths(chain(spark, 5)).collect()} == {str(i): i for i in range(5)}
     assert len(written(spark) - before) == 1
 
 
-def test_paths_of_a_deep_tree_leave_cycles_out(spark):
-    nodes = chain(spark, 30, cycle=True).withColumn("n", F.length("node_id"))
-    got = {r.node_id: (r.depth, len(r.trail)) for r in R.tree_paths(nodes, "n").collect()}
-    assert got == {str(i): (i, i + 1) for i in range(30)}
+def test_depths_of_a_deep_tree_leave_cycles_out(spark):
+    got = {r.node_id: (r.depth, r.w) for r in R.tree_depths(chain(spark, 30, cycle=True), ["w"]).collect()}
+    assert got == {str(i): (i, 10.0) for i in range(30)}
 
 
 def test_runs_of_banners(spark):
