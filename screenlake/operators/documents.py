@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from screenlake.functions import geometry as G
 from screenlake.functions.semantics import js_round, keep_first, upper_median, with_group
-from screenlake.operators.entities import comparable, label_value_fields
+from screenlake.operators.entities import comparable, label_value
 from screenlake.operators.lines import group_lines_fold, group_lines_gap
 from screenlake.operators.ordered import nearest
 from screenlake.operators.spatial import items_in_region
@@ -68,7 +68,7 @@ def _headers(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return head.select(*keys, "col", "cx", "text", F.concat("text", F.when(unit, "（元）").otherwise("")).alias("header"), unit.alias("unit_line"))
 
 
-def reconstruct_table(items: DataFrame, keys: Sequence[str] = ("image_id",), lined: bool = False) -> DataFrame:
+def reconstruct_table(items: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Table cells in long form (keys, row, col, header, text); row 0 is the first data row.
 
     The first text line is the header; every other item goes to the column whose header
@@ -77,7 +77,7 @@ def reconstruct_table(items: DataFrame, keys: Sequence[str] = ("image_id",), lin
     A second line of units only is merged into the header."""
     keys = list(keys)
     # lines are read five times below: folded once, then a table
-    lines = items if lined else cut_lineage(group_lines_fold(items.select(*keys, "ord", "text", *BOX), keys))
+    lines = cut_lineage(group_lines_fold(items.select(*keys, "ord", "text", *BOX), keys))
     # creation order of lines is top to bottom
     rows = lines.withColumn("_cx", G.box().cx)
     head = _headers(rows, keys)
@@ -100,33 +100,86 @@ def reconstruct_table(items: DataFrame, keys: Sequence[str] = ("image_id",), lin
     return out.select(*keys, (F.col("line") - 1 - F.col("_u")).alias("row"), "col", "header", "text")
 
 
+def _lines_of(lined: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row a line (keys, line, items): its items in order, dealt by ``keys``."""
+    cell = F.struct("text", "x", "y", "w", "h")
+    rows = lined.withColumn("_cx", G.box().cx).repartition(*keys)
+    return rows.groupBy(*keys, "line").agg(_ordered(["_cx", "ord"], cell).alias("items"))
+
+
+def _row_counts(lines: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """Data rows of the table in every group of ``lines`` (as of ``_lines_of``), by the rules of
+    ``reconstruct_table``: a row a line (keys, line, columns of ``carry``, n_columns, filled, _c, _u).
+
+    Lines are dealt already, so one scan from either side gives each item its nearest header."""
+    group, line, text = W.partitionBy(*keys), F.col("line"), F.transform("items", lambda e: e["text"])
+    head = lambda c: F.max(F.when(line == 0, c)).over(group)
+    names = F.size(F.array_distinct(F.filter(F.transform(text, comparable), lambda t: t != "")))
+    rows = lines.withColumn("_c", head(F.size("items"))).withColumn("_names", head(names))
+    rows = rows.withColumn("_wide", F.max(F.when(line > 0, F.size("items"))).over(group))
+    table = (F.col("_c") >= 2) & (F.col("_names") >= F.col("_c") * 0.5) & (F.col("_wide") >= 2)
+    rows = rows.withColumn("_table", F.coalesce(table, F.lit(False))).drop("_names", "_wide")
+    # a group without a table needs one item a line only, for the columns to carry
+    items = F.when(F.col("_table"), F.col("items")).otherwise(F.slice("items", 1, 1))
+    rows = rows.select(*keys, "line", "_c", "_u", "_table", *carry, F.posexplode(items).alias("_pos", "_item"))
+    first = lambda c: F.when(F.col("_pos") == 0, F.col(c)).alias(c)
+    cx = F.when(F.col("_table"), F.col("_item.x") + F.col("_item.w") / 2)
+    rows = rows.select(*keys, "line", "_c", "_u", "_table", *(first(c) for c in carry), "_pos", F.col("_item.text").alias("text"), cx.alias("_cx"))
+    body = F.col("_table") & (line > 0)
+    header = F.when(F.col("_table") & (line == 0) & F.col("_cx").isNotNull(), F.struct("_cx", F.col("_pos").alias("col")))
+    # headers go before the items of their centre; of equal headers the leftmost is met last
+    order = lambda end: [end, F.least(line, F.lit(1)), F.desc("_pos")]
+    seen = lambda end: F.last(header, True).over(group.orderBy(*order(end)).rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_below", seen(F.asc("_cx"))).withColumn("_above", seen(F.desc("_cx")))
+    gap = lambda a: F.abs(F.col("_cx") - F.col(a)["_cx"])
+    near = F.when(F.col("_above").isNull() | (gap("_below") <= gap("_above")), F.col("_below")).otherwise(F.col("_above"))
+    rows = rows.withColumn("_col", F.when(body & F.col("_cx").isNotNull(), near["col"]))
+    # a cell has a text if one of its texts is not empty, or if it joins two
+    filled = F.col("_col").isNotNull() & (F.coalesce(F.max(F.col("text") != ""), F.lit(False)) | (F.count("text") > 1))
+    kept = [F.max(c).alias(c) for c in (*carry, "_c", "_u")]
+    cells = rows.groupBy(*keys, "line", "_col").agg(*kept, filled.alias("filled"))
+    return cells.groupBy(*keys, "line").agg(*kept, F.count("_col").alias("n_columns"), F.max("filled").alias("filled"))
+
+
 def key_content(items: DataFrame, regions: DataFrame) -> DataFrame:
     """Structured content per region: kind (table / fields / text / empty), counts and the
     summary sentence, with the rank of the region (primary = 1).
 
-    ``items``: image_id, ord, text, box.  ``regions``: image_id, region_id, confidence, box."""
+    ``items``: image_id, ord, text, box.  ``regions``: image_id, region_id, confidence, box.
+
+    The items of a region are dealt once for its lines and once more for all that is read off these."""
     keys = ["image_id", "region_id"]
     pairs = items_in_region(items.select("image_id", "ord", "text", "x", "y", "w", "h"), regions.select("image_id", "region_id", "x", "y", "w", "h"))
     inside = pairs.select("image_id", F.col("b_region_id").alias("region_id"), *(F.col("a_" + c).alias(c) for c in ("ord", "text", "x", "y", "w", "h")))
-    lined = cut_lineage(group_lines_fold(inside, keys))
-    table = reconstruct_table(lined, keys, lined=True)
-    cols = table.groupBy(*keys).agg(F.countDistinct("row").alias("n_rows"))
+    lines = _lines_of(group_lines_fold(inside, keys), keys)
+    text, line = F.transform("items", lambda e: e["text"]), F.col("line")
+    known = F.filter(text, lambda t: t.isNotNull())
+    units = F.when(F.size(known) > 0, F.forall(known, lambda t: t.rlike(UNIT)))
+    unit = F.coalesce(F.max(F.when(line == 1, units)).over(W.partitionBy(*keys)), F.lit(False))
+    lines = lines.withColumn("_text", F.array_join(text, " ")).withColumn("_pair", label_value(F.col("_text")))
     # every header counts, also of columns without a filled cell
-    names = _headers(lined.withColumn("_cx", G.box().cx), keys).groupBy(*keys).agg(F.array_join(_ordered(["col"], F.col("header")), "、").alias("columns"))
-    cell = F.struct("text", "x", "y", "w", "h")
-    per_line = lined.withColumn("_cx", G.box().cx).groupBy(*keys, "line").agg(_ordered(["_cx", "ord"], cell).alias("_ts"))
-    per_line = per_line.withColumn("text", F.array_join(F.transform("_ts", lambda e: e["text"]), " ")).withColumn("_unique", _line_text(F.col("_ts")))
-    lines = per_line.where(F.col("_unique") != "").groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "_unique"))), lambda s: s["_unique"]), "；").alias("body"), F.count(F.lit(1)).alias("n_lines")
-    )
-    pairs_ = label_value_fields(per_line)
-    fields = pairs_.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.concat("label", F.lit("="), "value").alias("f")))), lambda s: s["f"]), "，").alias("fields"),
-        F.count(F.lit(1)).alias("n_fields"),
+    names = F.transform(text, lambda t: F.concat(t, F.when(F.col("_u"), "（元）").otherwise("")))
+    lines = lines.select(
+        *keys, "line", "items", _line_text(F.col("items")).alias("_unique"),
+        F.concat("_pair.label", F.lit("="), "_pair.value").alias("_field"), unit.alias("_u"),
+    ).withColumn("_columns", F.when(line == 0, F.array_join(names, "、")))
+    rows = _row_counts(lines, keys, ["_unique", "_field", "_columns"])
+    body = F.col("n_columns") > 0
+    kept = lambda c, ok: F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("line", c)))), lambda s: s[c])
+    unique, fields = F.col("_unique") != "", F.col("_field").isNotNull()
+    share = F.sum(F.when(body, F.col("n_columns"))) / F.sum(F.when(body, F.col("_c")))
+    table = F.coalesce(F.max(body & (F.col("n_columns") >= 2)) & (share >= 0.4), F.lit(False))
+    # a unit line belongs to the header
+    data = F.count(F.when(body & F.col("filled") & ~(F.col("_u") & (line == 1)), 1))
+    found = rows.groupBy(*keys).agg(
+        F.when(table, data).otherwise(0).alias("n_rows"), F.max("_columns").alias("columns"),
+        F.array_join(kept("_field", fields), "，").alias("fields"), F.count(F.when(fields, 1)).alias("n_fields"),
+        F.array_join(kept("_unique", unique), "；").alias("body"), F.count(F.when(unique, 1)).alias("n_lines"),
     )
     rank = F.row_number().over(W.partitionBy("image_id").orderBy(F.desc("confidence"), "region_id"))
     out = regions.select("image_id", "region_id", "confidence").withColumn("rank", rank)
-    out = out.join(cols, keys, "left").join(names, keys, "left").join(fields, keys, "left").join(lines, keys, "left").fillna(0, ["n_rows", "n_fields", "n_lines"])
+    # small files, many rows: never broadcast through the driver
+    out = out.join(found.hint("merge"), keys, "left").fillna(0, ["n_rows", "n_fields", "n_lines"])
     kind = F.when(F.col("n_rows") > 0, "table").when(F.col("n_fields") > 0, "fields").when(F.col("n_lines") > 0, "text").otherwise("empty")
     summary = (
         F.when(F.col("n_rows") > 0, F.concat(F.lit("关键区域包含表格："), "columns", F.lit("，共 "), F.col("n_rows").cast("string"), F.lit(" 行。")))
@@ -139,30 +192,41 @@ def key_content(items: DataFrame, regions: DataFrame) -> DataFrame:
 def _line_text(items: Column) -> Column:
     """Text of one line from its ordered items (text and box): near duplicates of earlier
     texts are left out, and an amount takes the currency sign in the next cell."""
+    unit = lambda t: F.when(t.rlike(UNIT), F.lit("（元）")).otherwise(t)
+
     def pairs(e: Column, i: Column) -> Column:
         n = F.get(items, i + 1)
         tall = F.greatest(e["h"], n["h"])
         near = (F.abs(e["y"] + e["h"] / 2 - n["y"] - n["h"] / 2) <= tall * 0.7) & (n["x"] >= e["x"])
         near = near & (n["x"] - e["x"] - e["w"] <= F.greatest(F.lit(8.0), e["w"] * 0.7, tall))
-        money = e["text"].rlike(AMOUNT) & n["text"].isin(CURRENCY) & near
-        return F.struct(e["text"].alias("text"), F.coalesce(money, F.lit(False)).alias("money"))
+        money = n["text"].isin(CURRENCY) & e["text"].rlike(AMOUNT) & near
+        return F.struct(e["text"].alias("text"), comparable(e["text"]).alias("bare"), F.coalesce(money, F.lit(False)).alias("money"))
+
+    def shown(e: Column) -> Column:
+        # the bare text is that of what is shown; it is not worked out again for each comparison
+        text = F.when(e["money"], F.concat(e["text"], F.lit(" ¥"))).otherwise(unit(e["text"]))
+        bare = F.when(e["money"], F.concat(e["bare"], F.lit("¥"))).when(e["text"].rlike(UNIT), F.lit("(元)")).otherwise(e["bare"])
+        return F.struct(text.alias("text"), bare.alias("bare"))
 
     def step(acc: Column, e: Column) -> Column:
-        parts, a = acc["parts"], comparable(e["text"])
+        a = e["bare"]
 
         def dup(p: Column) -> Column:
-            b = comparable(p)
-            short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-            return (a != "") & (b != "") & ((a == b) | ((F.length(short) >= 8) & F.contains(long, short)))
+            b = p["bare"]
+            held = lambda short, long: (F.length(short) >= 8) & F.contains(long, short)
+            return (a != "") & (b != "") & ((a == b) | F.when(F.length(a) <= F.length(b), held(a, b)).otherwise(held(b, a)))
 
-        text = F.when(e["money"], F.concat(e["text"], F.lit(" ¥"))).when(e["text"].rlike(UNIT), F.lit("（元）")).otherwise(e["text"])
-        keep = ~acc["skip"] & ~F.exists(parts, dup)
+        keep = ~acc["skip"] & ~F.exists(acc["parts"], dup)
         return F.struct(
-            F.when(keep, F.array_append(parts, text)).otherwise(parts).alias("parts"), (keep & e["money"]).alias("skip")
+            F.when(keep, F.array_append(acc["parts"], shown(e))).otherwise(acc["parts"]).alias("parts"), (keep & e["money"]).alias("skip")
         )
 
-    zero = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(False).alias("skip"))
-    return F.trim(F.array_join(F.aggregate(F.transform(items, pairs), zero, step)["parts"], " "))
+    zero = F.struct(F.array().cast("array<struct<text:string,bare:string>>").alias("parts"), F.lit(False).alias("skip"))
+    parts = F.aggregate(F.transform(items, pairs), zero, step)["parts"]
+    joined = F.array_join(F.transform(parts, lambda p: p["text"]), " ")
+    # most lines are one item, which nothing can repeat
+    alone = F.coalesce(unit(F.get(items, F.lit(0))["text"]), F.lit(""))
+    return F.trim(F.when(F.size(items) == 1, alone).otherwise(joined))
 
 
 def chart_metrics(items: DataFrame) -> DataFrame:

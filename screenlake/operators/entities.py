@@ -253,12 +253,18 @@ def near_duplicate_text(items: DataFrame, keys: Sequence[str] = ("image_id",)) -
     return cut_lineage(found, dealt=True)
 
 
-def label_value_fields(lines: DataFrame, text: str = "text") -> DataFrame:
-    """``label: value`` lines: label of at most 20 characters, no second colon."""
+def label_value(text: Column) -> Column:
+    """``label: value`` of a line as a struct, else NULL: label of at most 20 characters, no second colon."""
     pattern = r"^([^：:]{1,20})[：:]\s*(.+)$"
-    rows = lines.withColumn("_t", F.trim(text)).where(F.col("_t").rlike(pattern))
-    rows = rows.withColumn("label", F.trim(F.regexp_extract("_t", pattern, 1))).withColumn("value", F.trim(F.regexp_extract("_t", pattern, 2)))
-    return rows.where(~F.col("value").rlike("[：:]")).drop("_t")
+    t = F.trim(text)
+    label, value = (F.trim(F.regexp_extract(t, pattern, i)) for i in (1, 2))
+    return F.when(t.rlike(pattern) & ~value.rlike("[：:]"), F.struct(label.alias("label"), value.alias("value")))
+
+
+def label_value_fields(lines: DataFrame, text: str = "text") -> DataFrame:
+    """``label: value`` lines, with their label and value."""
+    rows = lines.withColumn("_f", label_value(F.col(text))).where(F.col("_f").isNotNull())
+    return rows.withColumn("label", F.col("_f.label")).withColumn("value", F.col("_f.value")).drop("_f")
 
 
 def check_states(items: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ into parts that cannot influence each other first, so that a large group is many
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
@@ -46,6 +46,32 @@ def fold_sorted(rows: DataFrame, keys: Sequence[str], order: Sequence, schema: T
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def fold_beside(rows: DataFrame, keys: Sequence[str], order: Sequence[str], uses: Sequence[str], field: T.StructField, fold: Callable[[Iterator[tuple]], Iterator]) -> DataFrame:
+    """``rows``, dealt by ``keys`` already, with one more column: ``fold`` gets the keys and the
+    columns ``uses`` of one group in order, as tuples, and yields one value for each.  The other
+    columns pass by as they came."""
+    n, kind = len(keys), to_arrow_schema(T.StructType([field])).field(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
+
+        def stream() -> Iterator[tuple]:
+            for batch in batches:
+                waiting.append(batch)
+                yield from zip(*(batch.column(c).to_pylist() for c in (*keys, *uses)), strict=True)
+
+        out = []
+        for _, group in groupby(stream(), key=lambda r: r[:n]):
+            for value in fold(group):
+                out.append(value)
+                while waiting and len(out) >= waiting[0].num_rows:
+                    batch = waiting.popleft()
+                    column, out = pa.array(out[: batch.num_rows], kind.type), out[batch.num_rows :]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, column], schema=batch.schema.append(kind))
+
+    return rows.sortWithinPartitions(*keys, *order).mapInArrow(run, T.StructType([*rows.schema.fields, field]))
+
+
 def iou(a: Sequence[float], b: Sequence[float]) -> float:
     """Intersection over union of (x, y, w, h), with the arithmetic of ``geometry.iou``."""
     iw = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])

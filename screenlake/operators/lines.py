@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 from screenlake.functions import geometry as G
 from screenlake.functions.semantics import upper_median
-from screenlake.operators.folds import fold_sorted
+from screenlake.operators.folds import fold_beside, fold_sorted
 from screenlake.operators.ordered import islands
 
 
@@ -32,33 +32,38 @@ def group_lines_fold(items: DataFrame, keys: list[str] | None = None) -> DataFra
     max(10, 0.6 median height), in centre order.  Adds ``line`` (0-based).
 
     Items with the same centre always end in the same line (joining moves the mean toward
-    them), so the fold runs over the distinct centres with their counts and the line ids are
-    joined back.  Only lines that can still accept are remembered."""
+    them), so they are added to its mean together.  Only lines that can still accept are
+    remembered.  Items are dealt by group and sorted once; the fold passes along them."""
     keys = keys or ["image_id"]
-    rows = items.withColumn("_cy", G.box().cy)
-    tol = rows.groupBy(*keys).agg(upper_median("h").alias("_m")).select(
-        *keys, F.greatest(F.lit(10.0), F.when(F.col("_m") == 0, 20.0).otherwise(F.col("_m")) * 0.6).alias("_tol")
-    )
-    centres = rows.where(F.col("_cy").isNotNull()).groupBy(*keys, "_cy").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    # sorted for the fold already, which the window keeps
+    rows = items.withColumn("_cy", G.box().cy).repartition(*keys).sortWithinPartitions(*keys, "_cy")
+    rows = rows.withColumn("_m", upper_median("h").over(W.partitionBy(*keys)))
+    tol = F.greatest(F.lit(10.0), F.when(F.col("_m") == 0, 20.0).otherwise(F.col("_m")) * 0.6)
+    rows = rows.withColumn("_tol", tol).drop("_m").where(F.col("_cy").isNotNull())
     n = len(keys)
 
-    def lines_of(group: Iterator[tuple]) -> Iterator[tuple]:
-        opened, live = 0, []
+    def lines_of(group: Iterator[tuple]) -> Iterator[int]:
+        opened, live, centre, count = 0, [], None, 0
         for row in group:
-            y, count, tolerance = row[n:]
-            # centres ascend: a line whose mean is out of reach stays so
-            live = [line for line in live if abs(line[0] - y) <= tolerance]
-            if live:
-                first = live[0]
-                first[0], first[1] = (first[0] * first[1] + y * count) / (first[1] + count), first[1] + count
+            y, tolerance = row[n:]
+            # Spark takes NaN as equal to itself
+            if count and (y == centre or (y != y and centre != centre)):
+                count += 1
             else:
-                live = [[y, count, opened]]
-                opened += 1
-            yield (*row[:n], y, live[0][2])
-
-    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("_cy", T.DoubleType()), T.StructField("line", T.IntegerType())])
-    lines = fold_sorted(centres.join(tol, keys).select(*keys, "_cy", "n", "_tol"), keys, ["_cy"], schema, lines_of)
-    return rows.join(lines, [*keys, "_cy"]).drop("_cy")
+                if count and first[1]:
+                    first[0] = (first[0] * first[1] + centre * count) / (first[1] + count)
+                if count:
+                    first[1] += count
+                # centres ascend: a line whose mean is out of reach stays so
+                live = [line for line in live if abs(line[0] - y) <= tolerance]
+                if not live:
+                    live = [[y, 0, opened]]
+                    opened += 1
+                first, centre, count = live[0], y, 1
+            yield first[2]
+
+    line = T.StructField("line", T.IntegerType())
+    return fold_beside(rows, keys, ["_cy"], ["_cy", "_tol"], line, lines_of).drop("_cy", "_tol")
 
 
 def flow_clusters(items: DataFrame) -> DataFrame:

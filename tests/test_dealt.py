@@ -1,10 +1,12 @@
 """Queries that deal their inputs by image: no shuffle of theirs is by more than the image."""
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from screenlake.operators import review as R, spatial as S
+from screenlake.operators import documents as D, lines as L, review as R, spatial as S
 from screenlake.session import ALL_KEYS, cut_lineage
 from screenlake.sources import fixtures
 
@@ -67,3 +69,35 @@ def test_view_of_nodes(spark, shuffled, monkeypatch):
     monkeypatch.setattr(fixtures, "_written", {})
     assert fixtures.view(spark, "/root/testdata/sf0.001", "nodes").count() == fixtures.view(spark, "/root/testdata/sf0.001", "boxes").count()
     assert shuffled and set(shuffled) == {"image_id"}
+
+
+def test_key_content(spark):
+    """Items of a region are dealt once for its lines and once for what is read off them; data rows are those of ``reconstruct_table``."""
+    draw = random.Random(3)
+    words = ["Tea", "Cup", "(元)", "12", "¥", "12.5", "City: Rome", "Zip：1", "hello world", "Hello, world", "", " ", "x-1"]
+    items = [(i % 3, f"{n:03d}", draw.choice(words), float(draw.randrange(0, 300, 20)), float(draw.randrange(0, 200, 8)), 18.0, 10.0) for i in range(3) for n in range(80)]
+    regions = [(i, f"r{n}", float(draw.randrange(0, 200)), float(draw.randrange(0, 150)), 130.0, 70.0, 0.5) for i in range(3) for n in range(25)]
+    items = spark.createDataFrame(items, f"image_id long, ord string, text string, {BOX}")
+    regions = spark.createDataFrame(regions, f"image_id long, region_id string, {BOX}, confidence double")
+    got = D.key_content(items, regions)
+    keys = ["image_id", "region_id"]
+    inside = S.items_in_region(items, regions.drop("confidence")).select("image_id", F.col("b_region_id").alias("region_id"), *(F.col("a_" + c).alias(c) for c in ("ord", "text", "x", "y", "w", "h")))
+    table = D.reconstruct_table(inside, keys).groupBy(*keys).agg(F.countDistinct("row").alias("n"))
+    want = {(r.image_id, r.region_id, r.n) for r in table.collect()}
+    assert want and {(r.image_id, r.region_id, r.n_rows) for r in got.where("n_rows > 0").collect()} == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # items and regions to their tiles, pairs to their regions, lines to theirs, and the ranked regions to the result
+    assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning", plan)) <= 6 and plan.count("MapInArrow") == 1
+
+
+def test_lines_of_equal_centres(spark):
+    """Centres that come more than once are added to the mean of a line together; NaN and null as before."""
+    nan = float("nan")
+    rows = [(1, f"{n}", 0.0, y, 4.0, 10.0) for n, y in enumerate([0.1, 0.1, 0.1, 9.0, 9.0, 25.0, nan, nan, None, 14.0])]
+    got = {r.ord: r.line for r in L.group_lines_fold(spark.createDataFrame(rows, f"image_id long, ord string, {BOX}")).collect()}
+    # the first line has its mean at 8.66, more than 10 from 19; 30 is more than 10 from that
+    assert got == {"0": 0, "1": 0, "2": 0, "3": 0, "4": 0, "9": 1, "5": 2, "6": 3, "7": 3}
