@@ -12,7 +12,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from screenlake.functions import geometry as G
 from screenlake.functions.semantics import constant_table, js_round, upper_median
@@ -39,13 +39,24 @@ SIBLING_IOU = 0.3
 SIZE_DEVIATION = 0.25
 
 
+def _with_ends(relations: DataFrame, elements: DataFrame) -> DataFrame:
+    """Relations with ``_src`` and ``_dst``: whether there is an element at that end."""
+    ids = elements.select("image_id", F.col("element_id").alias("_id")).distinct()
+    for end in ("src", "dst"):
+        # ids may be a small file of many rows: never broadcast them through the driver
+        known = ids.withColumnRenamed("_id", end).withColumn("_" + end, F.lit(True)).hint("merge")
+        relations = relations.join(known, ["image_id", end], "left").withColumn("_" + end, F.coalesce("_" + end, F.lit(False)))
+    return relations
+
+
+def _orphans(relations: DataFrame) -> DataFrame:
+    missing = relations.where(~(F.col("_src") & F.col("_dst"))).withColumn("missing", F.when(F.col("_src"), F.col("dst")).otherwise(F.col("src")))
+    return missing.drop("_src", "_dst")
+
+
 def orphan_relations(relations: DataFrame, elements: DataFrame) -> DataFrame:
     """Relations with a missing end; names the missing id (the source end first)."""
-    ids = elements.select("image_id", F.col("element_id").alias("_id")).distinct()
-    no_src = relations.join(ids.withColumnRenamed("_id", "src"), ["image_id", "src"], "left_anti").withColumn("missing", F.col("src"))
-    has_src = relations.join(ids.withColumnRenamed("_id", "src"), ["image_id", "src"], "left_semi")
-    no_dst = has_src.join(ids.withColumnRenamed("_id", "dst"), ["image_id", "dst"], "left_anti").withColumn("missing", F.col("dst"))
-    return no_src.unionByName(no_dst)
+    return _orphans(_with_ends(relations, elements))
 
 
 def _known_ends(relations: DataFrame, elements: DataFrame) -> DataFrame:
@@ -220,12 +231,12 @@ def rule_precision(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def children_vs_contains(children: DataFrame, relations: DataFrame) -> DataFrame:
-    """Declared children without a contains relation, and the reverse."""
-    declared = children.select("image_id", "parent_id", "child_id").distinct()
-    related = relations.where(F.col("type") == "contains").select("image_id", F.col("src").alias("parent_id"), F.col("dst").alias("child_id")).distinct()
-    only_declared = declared.exceptAll(related).withColumn("code", F.lit("child-not-in-contains"))
-    only_related = related.exceptAll(declared).withColumn("code", F.lit("contains-not-in-children"))
-    return only_declared.unionByName(only_related)
+    """Declared children without a contains relation, and the reverse: both sides meet in one grouping."""
+    declared = children.select("image_id", "parent_id", "child_id", F.lit(1).alias("_declared"), F.lit(0).alias("_related"))
+    related = relations.where(F.col("type") == "contains").select("image_id", F.col("src").alias("parent_id"), F.col("dst").alias("child_id"), F.lit(0).alias("_declared"), F.lit(1).alias("_related"))
+    both = declared.unionByName(related).groupBy("image_id", "parent_id", "child_id").agg(F.max("_declared").alias("_declared"), F.max("_related").alias("_related"))
+    code = F.when(F.col("_related") == 0, "child-not-in-contains").otherwise("contains-not-in-children")
+    return both.where(F.col("_declared") != F.col("_related")).select("image_id", "parent_id", "child_id", code.alias("code"))
 
 
 def containment_cycles(relations: DataFrame) -> DataFrame:
@@ -248,8 +259,41 @@ def containment_cycles(relations: DataFrame) -> DataFrame:
     return left.select("image_id").distinct()
 
 
+def _element_errors(elements: DataFrame, meta: DataFrame) -> DataFrame:
+    """Errors of the elements themselves, in one pass over the sorted elements of each image."""
+    big = 1.7976931348623157e308
+    finite = F.lit(True)
+    for c in "xywh":
+        finite = finite & F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) <= big), F.lit(False))
+    ok, b = F.col("_ok"), G.box()
+    # what a box can show by itself is judged before the shuffle; only its far edges meet the size of the image
+    rows = elements.withColumn("_ok", finite).select(
+        "image_id", "element_id", "_ok", F.coalesce(F.col("type") == "page", F.lit(False)).alias("_page"), (ok & ((b.w <= 0) | (b.h <= 0))).alias("_flat"),
+        ((b.x < 0) | (b.y < 0)).alias("_before"), b.right.alias("_right"), b.bottom.alias("_bottom"),
+    )
+    sorted_ids = W.partitionBy("image_id").orderBy("element_id")
+    # one error per repeat of an id, one for the second root
+    rows = rows.withColumn("_again", F.lag(F.struct("element_id")).over(sorted_ids).eqNullSafe(F.struct("element_id")))
+    rows = rows.withColumn("_pages", F.sum(F.col("_page").cast("long")).over(sorted_ids.rowsBetween(W.unboundedPreceding, 0)))
+    # sizes may be given twice, which must not repeat the errors of ids and roots
+    sizes = meta.select("image_id", "width", "height", F.row_number().over(W.partitionBy("image_id").orderBy("image_id")).alias("_size"))
+    rows = rows.join(sizes.hint("merge"), "image_id", "left")
+    once, el = F.coalesce(F.col("_size") == 1, F.lit(True)), F.col("element_id")
+    outside = F.col("_before") | (F.col("_right") > F.col("width") + 0.5) | (F.col("_bottom") > F.col("height") + 0.5)
+    none = F.lit(None).cast(elements.schema["element_id"].dataType)
+    errors = [
+        (F.col("_again") & once, "duplicate-id", el), (~ok, "bbox-invalid", el), (F.col("_flat"), "bbox-invalid-size", el),
+        (ok & outside, "bbox-out-of-bounds", el), (F.col("_page") & (F.col("_pages") == 2) & once, "multiple-page-roots", none),
+    ]
+    found = F.array_compact(F.array(*(F.when(when, F.struct(F.lit(code).alias("code"), at.alias("element_id"))) for when, code, at in errors)))
+    return rows.select("image_id", F.explode(found).alias("_e")).select("image_id", "_e.code", "_e.element_id")
+
+
 def validate_annotations(elements: DataFrame, relations: DataFrame, children: DataFrame, meta: DataFrame) -> DataFrame:
-    """Errors (image_id, code, element_id, detail) of every annotation."""
+    """Errors (image_id, code, element_id, detail) of every annotation.
+
+    Elements are dealt by image once for their own errors and once, as ids, for the ends of the
+    relations; these are looked up where they were dealt and written."""
     none = F.lit(None).cast("string")
 
     def err(df: DataFrame, code: str, element: Column | None = None, detail: Column | None = None) -> DataFrame:
@@ -258,31 +302,16 @@ def validate_annotations(elements: DataFrame, relations: DataFrame, children: Da
             (none if detail is None else detail).alias("detail"),
         )
 
-    el = F.col("element_id")
-    big = 1.7976931348623157e308
-    finite = F.lit(True)
-    for c in "xywh":
-        finite = finite & F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) <= big), F.lit(False))
-    rows = elements.join(meta.select("image_id", "width", "height"), "image_id", "left").withColumn("_ok", finite)
-    good = rows.where("_ok")
-    b = G.box()
-    outside = (b.x < 0) | (b.y < 0) | (b.right > F.col("width") + 0.5) | (b.bottom > F.col("height") + 0.5)
-    # one error per repeat of an id
-    dup = elements.groupBy("image_id", "element_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dup = dup.withColumn("_r", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))))
-    roots = elements.where(F.col("type") == "page").groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    contains = relations.where(F.col("type") == "contains")
-    parents = _known_ends(contains, elements).groupBy("image_id", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    mismatch = children_vs_contains(children, relations)
+    ends = _with_ends(relations.select("image_id", "src", "dst", "type").repartition("image_id"), elements.select("image_id", "element_id").repartition("image_id"))
+    ends = cut_lineage(ends, dealt=True)
+    known = ends.where(F.col("_src") & F.col("_dst"))
+    parents = known.where(F.col("type") == "contains").groupBy("image_id", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mismatch = children_vs_contains(children, ends)
     parts = [
-        err(dup, "duplicate-id", el),
-        err(rows.where("NOT _ok"), "bbox-invalid", el),
-        err(good.where((b.w <= 0) | (b.h <= 0)), "bbox-invalid-size", el),
-        err(good.where(outside), "bbox-out-of-bounds", el),
-        err(roots, "multiple-page-roots"),
-        err(orphan_relations(relations, elements), "relation-endpoint-missing", None, F.col("missing")),
+        _element_errors(elements, meta).withColumn("detail", none),
+        err(_orphans(ends), "relation-endpoint-missing", None, F.col("missing")),
         err(parents, "multiple-parents", F.col("dst")),
-        err(containment_cycles(_known_ends(relations, elements)), "containment-cycle"),
+        err(containment_cycles(known), "containment-cycle"),
         mismatch.select("image_id", "code", F.col("parent_id").alias("element_id"), F.col("child_id").alias("detail")),
     ]
     out = parts[0]

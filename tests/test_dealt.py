@@ -64,6 +64,28 @@ def test_normalize_tree(spark, shuffled):
     assert shuffled and set(shuffled) == {"image_id"}
 
 
+def test_validate_annotations(spark, shuffled):
+    """Ends are looked up by image; ids, roots and boxes are judged in one pass, also with null ids and sizes given twice."""
+    elements = spark.createDataFrame([
+        (1, "a", "page", 0.0, 0.0, 50.0, 50.0), (1, "a", "page", 0.0, 0.0, 90.0, 50.0), (1, "b", "page", 0.0, float("nan"), 1.0, 1.0),
+        (1, None, "row", 0.0, 0.0, 0.0, 1.0), (1, None, "row", 0.0, 0.0, 1.0, 1.0), (2, "a", None, 0.0, 0.0, 5.0, 5.0),
+    ], f"image_id long, element_id string, type string, {BOX}")
+    relations = spark.createDataFrame([
+        (1, "a", "b", "contains"), (1, "b", "a", "contains"), (1, "a", "b", "contains"), (1, "x", "y", "flow"), (2, "a", "z", "contains"), (2, None, "a", "flow"),
+    ], "image_id long, src string, dst string, type string")
+    children = spark.createDataFrame([(1, "a", "b"), (1, "a", "b"), (2, "a", None)], "image_id long, parent_id string, child_id string")
+    meta = spark.createDataFrame([(1, 80, 80), (1, 80, 80)], "image_id long, width int, height int")
+    got = sorted((tuple(r) for r in R.validate_annotations(elements, relations, children, meta).collect()), key=str)
+    assert got == sorted([
+        (1, "duplicate-id", "a", None), (1, "duplicate-id", None, None), (1, "multiple-page-roots", None, None), *2 * [(1, "bbox-out-of-bounds", "a", None)],
+        *2 * [(1, "bbox-invalid", "b", None)], *2 * [(1, "bbox-invalid-size", None, None)], (1, "relation-endpoint-missing", None, "x"),
+        (2, "relation-endpoint-missing", None, "z"), (2, "relation-endpoint-missing", None, None), (1, "multiple-parents", "b", None), (1, "containment-cycle", None, None),
+        (1, "contains-not-in-children", "b", "a"), (2, "contains-not-in-children", "a", "z"), (2, "child-not-in-contains", "a", None),
+    ], key=str)
+    # the ends, and the first edges of the search for cycles
+    assert set(shuffled[:2]) == {"image_id"}
+
+
 def test_view_of_nodes(spark, shuffled, monkeypatch):
     """``promote_badge``, ``distribution``, ``overlay_geometry`` and ``export_with`` cost little beside it."""
     monkeypatch.setattr(fixtures, "_written", {})
