@@ -99,6 +99,10 @@ def rule_isolated_content(elements: DataFrame, relations: DataFrame, children: D
     return _finding(hits, "isolated-content", F.lit(0))
 
 
+def _by_image(dealt: bool, *inputs: DataFrame) -> tuple[DataFrame, ...]:
+    return inputs if dealt else tuple(df.repartition("image_id") for df in inputs)
+
+
 def _siblings(elements: DataFrame, children: DataFrame) -> DataFrame:
     kids = children.withColumnRenamed("child_id", "element_id")
     return elements.select("image_id", "element_id", "type", "x", "y", "w", "h").join(kids, ["image_id", "element_id"])
@@ -123,12 +127,19 @@ def rule_sibling_overlap(elements: DataFrame, children: DataFrame) -> DataFrame:
     return _finding(flagged.select("image_id", "parent_id", "type", "iou", "s.*"), "sibling-overlap", js_round(F.col("iou") * 100))
 
 
-def rule_sibling_size(elements: DataFrame, children: DataFrame) -> DataFrame:
-    """Siblings of a type whose width or height is more than 25 % off the upper median."""
-    sib = _siblings(elements, children)
+def rule_sibling_size(elements: DataFrame, children: DataFrame, dealt: bool = False) -> DataFrame:
+    """Siblings of a type whose width or height is more than 25 % off the upper median.
+
+    The inputs are dealt by image (``dealt``: they are already) and joined there."""
+    return cut_lineage(_sibling_size(_siblings(*_by_image(dealt, elements, children))), dealt=True)
+
+
+def _sibling_size(sib: DataFrame) -> DataFrame:
     keys = ["image_id", "parent_id", "type"]
-    mid = sib.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), upper_median("w").alias("mw"), upper_median("h").alias("mh"))
-    rows = sib.join(mid.where(F.col("n") >= 2), keys)
+    # where they were joined: the siblings of a parent are not joined a second time for their medians
+    group = W.partitionBy(*keys)
+    rows = sib.dropna(subset=keys).select("*", F.count(F.lit(1)).over(group).alias("n"), upper_median("w").over(group).alias("mw"), upper_median("h").over(group).alias("mh"))
+    rows = rows.where(F.col("n") >= 2)
     one = F.lit(1.0)
     dw = F.abs(F.col("w") - F.col("mw")) / F.greatest(one, F.col("mw"))
     dh = F.abs(F.col("h") - F.col("mh")) / F.greatest(one, F.col("mh"))
@@ -146,7 +157,7 @@ def structure_findings(elements: DataFrame, relations: DataFrame, children: Data
     rows = (
         rule_isolated_content(elements, relations, children)
         .unionByName(rule_sibling_overlap(elements, children))
-        .unionByName(rule_sibling_size(elements, children))
+        .unionByName(_sibling_size(_siblings(elements, children)))
     )
     return cut_lineage(rows, dealt=True).withColumn("subject_id", F.concat_ws(":", "code", "element_id")).withColumn(
         "signature", F.concat_ws(":", F.col("version").cast("string"), "code", "element_id", "bbox_hash", "type")

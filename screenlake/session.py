@@ -26,6 +26,8 @@ def local_session(app: str = "screenlake", cpus: str | None = None) -> SparkSess
     )
 
 
+#: What tables are dealt by.
+IMAGE = "image_id"
 # joins whose inputs are dealt by some of the join keys keep that deal
 ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -53,7 +55,8 @@ def cut_lineage(df: DataFrame, dealt: bool = False) -> DataFrame:
     twice, and the rows outlive any executor.  The cluster owns and clears the folder.
 
     ``dealt``: inputs that are dealt by some of a join's keys, such as the image alone, are joined
-    where they are, in place of one more shuffle for each set of keys."""
+    where they are, in place of one more shuffle for each set of keys.  The table is kept in buckets
+    of the image, so what reads it finds it dealt by image and need not shuffle it again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
     # the table holds the result, so the shuffle files of the plan can go as soon as it is written
@@ -61,9 +64,15 @@ def cut_lineage(df: DataFrame, dealt: bool = False) -> DataFrame:
     before = {name: spark.conf.get(name, None) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
+    table = f"dealt_{uuid.uuid4().hex}" if dealt and IMAGE in df.columns else None
     try:
-        df.write.parquet(path)
+        if table:
+            # a name in the session's catalog only; the files lie in the shared folder
+            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            df.write.format("parquet").bucketBy(buckets, IMAGE).option("path", path).saveAsTable(table)
+        else:
+            df.write.parquet(path)
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.table(table) if table else spark.read.schema(df.schema).parquet(path)

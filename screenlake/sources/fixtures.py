@@ -145,8 +145,9 @@ FROM {boxes}""",
 
 # views that cost a sort or a join: written once per session and data folder
 WRITTEN = ("tree_nodes", "nodes", "kids", "relations")
-# their joins take the ranked boxes as the window has dealt them, by image, not the written table
-DEALT = ("nodes", "kids")
+# kept in buckets of the image, as the window of the first has dealt them: the joins of the others, and
+# operators that are told so, meet them there
+DEALT = ("tree_nodes", "nodes", "kids")
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 _REF = re.compile(r"\{(\w+)\}")
@@ -167,10 +168,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _refs(spark: SparkSession, sf_dir: str, name: str) -> dict[str, DataFrame]:
-    refs = sorted(set(_REF.findall(VIEWS[name])))
-    if name in DEALT:
-        return {ref: spark.sql(VIEWS[ref], **_refs(spark, sf_dir, ref)) for ref in refs}
-    return {ref: view(spark, sf_dir, ref) for ref in refs}
+    return {ref: view(spark, sf_dir, ref) for ref in sorted(set(_REF.findall(VIEWS[name])))}
 
 
 def with_views(sql: str) -> str:

@@ -123,3 +123,15 @@ def test_lines_of_equal_centres(spark):
     got = {r.ord: r.line for r in L.group_lines_fold(spark.createDataFrame(rows, f"image_id long, ord string, {BOX}")).collect()}
     # the first line has its mean at 8.66, more than 10 from 19; 30 is more than 10 from that
     assert got == {"0": 0, "1": 0, "2": 0, "3": 0, "4": 0, "9": 1, "5": 2, "6": 3, "7": 3}
+
+
+def test_sibling_size_of_dealt_tables(spark, shuffled):
+    """Elements and children are dealt by image once, and not at all if their tables are; their medians take no join."""
+    elements = spark.createDataFrame([(i, f"c{n}", "row", 0.0, 0.0, w, 10.0) for i in (1, 2) for n, w in enumerate([10.0, 10.0, 30.0])] + [(1, "z", None, 0.0, 0.0, 90.0, 90.0)], f"image_id long, element_id string, type string, {BOX}")
+    children = spark.createDataFrame([(i, "p", f"c{n}") for i in (1, 2) for n in range(3)] + [(1, "p", "z"), (2, None, "c0")], "image_id long, parent_id string, child_id string")
+    got = R.rule_sibling_size(elements, children)
+    assert sorted((r.image_id, r.element_id, r.evidence_pct) for r in got.collect()) == [(1, "c2", 200), (2, "c2", 200)]
+    assert shuffled and set(shuffled) == {"image_id"}
+    shuffled.clear()
+    tables = [cut_lineage(df.repartition("image_id"), dealt=True) for df in (elements, children)]
+    assert R.rule_sibling_size(*tables, dealt=True).count() == 2 and shuffled == []
