@@ -85,7 +85,7 @@ def annotation_diff(pred: DataFrame, human: DataFrame) -> DataFrame:
 
     Both sides and the matches are dealt by image and joined there."""
     pred, human = (df.repartition("image_id") for df in (pred, human))
-    matches = cut_lineage(match_greedy_global(pred, human, 0.5), dealt=True).repartition("image_id")
+    matches = cut_lineage(match_greedy_global(pred, human, 0.5).repartition("image_id"), dealt=True)
 
     def side(df: DataFrame, p: str) -> DataFrame:
         text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))

@@ -17,11 +17,16 @@ ORACLE: dict[str, str] = {}
 class Tables:
     """Lazy access to the given tables and the views over them: ``t.boxes``."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, in_buckets: bool = False):
+        self.spark, self.sf_dir, self.in_buckets = spark, sf_dir, in_buckets
+
+    @property
+    def dealt(self) -> Tables:
+        """The same tables; views that are written in buckets of the image are dealt by it."""
+        return Tables(self.spark, self.sf_dir, True)
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, name)
+        return view(self.spark, self.sf_dir, name, self.in_buckets)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable]:

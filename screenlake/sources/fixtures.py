@@ -146,29 +146,27 @@ FROM {boxes}""",
 # views that cost a sort or a join: written once per session and data folder
 WRITTEN = ("tree_nodes", "nodes", "kids", "relations")
 # kept in buckets of the image, as the window of the first has dealt them: the joins of the others, and
-# operators that are told so, meet them there
+# queries that ask for the dealt tables, meet them there
 DEALT = ("tree_nodes", "nodes", "kids")
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 _REF = re.compile(r"\{(\w+)\}")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table or a view of this module as a (lazy) DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
+    """A base table or a view of this module as a (lazy) DataFrame.  ``dealt``: views that are
+    written in buckets of the image are read as such, others as plain files."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key in _written:
-        return _written[key]
-    sql = VIEWS[name]
-    df = spark.sql(sql, **_refs(spark, sf_dir, name))
-    if name in WRITTEN:
-        df = _written[key] = cut_lineage(df, name in DEALT)
-    return df
-
-
-def _refs(spark: SparkSession, sf_dir: str, name: str) -> dict[str, DataFrame]:
-    return {ref: view(spark, sf_dir, ref) for ref in sorted(set(_REF.findall(VIEWS[name])))}
+    if key not in _written:
+        df = spark.sql(VIEWS[name], **{ref: view(spark, sf_dir, ref, dealt or name in DEALT) for ref in sorted(set(_REF.findall(VIEWS[name])))})
+        if name not in WRITTEN:
+            return df
+        _written[key] = cut_lineage(df, name in DEALT)
+    df = _written[key]
+    files = [] if dealt or name not in DEALT else df.inputFiles()
+    return spark.read.schema(df.schema).parquet(files[0].rsplit("/", 1)[0]) if files else df
 
 
 def with_views(sql: str) -> str:

@@ -135,3 +135,27 @@ def test_sibling_size_of_dealt_tables(spark, shuffled):
     shuffled.clear()
     tables = [cut_lineage(df.repartition("image_id"), dealt=True) for df in (elements, children)]
     assert R.rule_sibling_size(*tables, dealt=True).count() == 2 and shuffled == []
+
+
+def test_findings_and_review_of_dealt_tables(spark, shuffled):
+    """From the given tables to the decisions, inputs that are dealt by image are not shuffled again."""
+    elements = spark.createDataFrame([
+        (i, e, n, kind, text, x, 0.0, w, 10.0) for i in (1, 2)
+        for n, (e, kind, text, x, w) in enumerate([("p", "page", None, 0.0, 100.0), ("a", "text", "a longer text", 0.0, 10.0), ("b", "text", "x", 20.0, 10.0), ("c", "card", None, 40.0, 30.0), ("d", "row", None, 0.0, 10.0), ("e", "row", None, 1.0, 10.0)])
+    ], f"image_id long, element_id string, ord int, type string, text string, {BOX}")
+    # a: the last relation is of the page; b: the last known one is of the card; c is no content
+    relations = spark.createDataFrame([
+        (1, 1, "c", "a", "contains"), (1, 2, "p", "a", "contains"), (1, 1, "p", "b", "contains"), (1, 2, "c", "b", "contains"), (1, 3, "zz", "b", "contains"), (1, 9, "p", "b", "flow"), (1, 1, "p", "c", "contains"),
+    ], "image_id long, ord int, src string, dst string, type string")
+    # 2: the list of the page comes before that of the card; a relation of 1 goes before its list
+    children = spark.createDataFrame([(1, "c", "a"), (2, "c", "a"), (2, "p", "a"), (2, "c", "d"), (2, "c", "e")], "image_id long, parent_id string, child_id string")
+    actions = spark.createDataFrame([(2, "2:isolated-content:a:0,0,10,10:text")], "image_id long, signature string")
+    tables = [cut_lineage(df.repartition("image_id"), dealt=True) for df in (elements, relations, children, actions)]
+    for dealt, (el, rel, kids, acts) in ((False, (elements, relations, children, actions)), (True, tables)):
+        shuffled.clear()
+        found = R.structure_findings(el, rel, kids, dealt=dealt)
+        got = sorted((r.image_id, r.code, r.element_id, r.parent_id, r.evidence_pct) for r in found.collect())
+        assert got == [(1, "isolated-content", "a", "p", 0), (2, "isolated-content", "a", "p", 0), (2, "sibling-overlap", "d", "c", 82)]
+        review = R.auto_review(found, el, acts, dealt=dealt)
+        assert sorted((r.image_id, r.code, r.action) for r in review.collect()) == [(1, "isolated-content", "confirmed"), (2, "sibling-overlap", "confirmed")]
+        assert set(shuffled) == (set() if dealt else {"image_id"})
