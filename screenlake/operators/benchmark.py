@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from screenlake.operators import metrics as X
 from screenlake.operators.matching import match_greedy_gt
 from screenlake.session import cut_lineage
-from screenlake.sources.annotations import elements_of, ground_truth, reject_invalid
+from screenlake.sources.annotations import elements_of, ground_truth, judge
 
 
 def image_results(
@@ -22,8 +22,10 @@ def image_results(
     An unusable annotation gives a row with ``error`` and zeros.  An image without annotation has
     its coverage only.  ``scored`` images count in the means: the annotated ones, and with
     annotations given those that have any predicted area."""
-    if eligible is not None:
-        chosen = cut_lineage(eligible.select("image_id").distinct())
+    by_image = eligible is not None
+    if by_image:
+        # what judges the findings meets them where they were dealt by image
+        chosen = cut_lineage(eligible.select("image_id").distinct(), dealt=True)
         meta, pred = (df.join(chosen, "image_id", "left_semi") for df in (meta, pred))
         annotations = None if annotations is None else annotations.join(chosen, "image_id", "left_semi")
     if annotations is None:
@@ -31,9 +33,12 @@ def image_results(
         out = X.detection_metrics(gt, pred, pairs, meta)
         none = F.lit(None).cast("string").alias("error")
         return out.select("*", none, F.lit(False).alias("scored")), X.detection_metrics_by_type(gt, pred.limit(0), pairs)
-    ok, bad = reject_invalid(annotations)
-    errors = cut_lineage(bad.groupBy("image_id").agg(F.min("reason").alias("error")))
-    gt = cut_lineage(ground_truth(elements_of(ok)))
+    # annotations are parsed and judged once, whatever reads them below
+    usable = F.when(F.col("reason").isNull(), F.col("elements"))
+    notes = cut_lineage(judge(annotations).select("image_id", "reason", usable.alias("elements")), dealt=by_image)
+    ok = notes.where(F.col("reason").isNull())
+    errors = notes.where(F.col("reason").isNotNull()).groupBy("image_id").agg(F.min("reason").alias("error"))
+    gt = ground_truth(elements_of(ok))
     known = ok.select("image_id").distinct().withColumn("annotated", F.lit(True))
     judged = pred.join(errors, "image_id", "left_anti")
     compared = judged.join(known, "image_id", "left_semi")

@@ -86,9 +86,14 @@ def invalid_reason(df: DataFrame) -> Column:
     )
 
 
+def judge(df: DataFrame) -> DataFrame:
+    """Annotations with ``reason``, why they are unusable, NULL for the valid ones."""
+    return df.withColumn("reason", F.concat(F.lit("invalid: "), invalid_reason(df)))
+
+
 def reject_invalid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid annotations, rejects with ``reason``)."""
-    rows = df.withColumn("reason", F.concat(F.lit("invalid: "), invalid_reason(df)))
+    rows = judge(df)
     return rows.where(F.col("reason").isNull()).drop("reason", "_corrupt_record"), rows.where(F.col("reason").isNotNull())
 
 
