@@ -20,14 +20,22 @@ from pyspark.sql.pandas.types import to_arrow_schema
 ROWS = 8192  # rows of a batch that goes back to Spark
 
 
-def fold_sorted(rows: DataFrame, keys: Sequence[str], order: Sequence, schema: T.StructType, fold: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+def _values(column: pa.Array) -> list:
+    """The values of a column as Python objects; plain ones without nulls by the shorter way."""
+    kind = column.type
+    plain = pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_string(kind)
+    return column.to_numpy(zero_copy_only=False).tolist() if plain and not column.null_count else column.to_pylist()
+
+
+def fold_sorted(rows: DataFrame, keys: Sequence[str], order: Sequence, schema: T.StructType, fold: Callable[[Iterator[tuple]], Iterator[tuple]], dealt: bool = False) -> DataFrame:
     """``fold`` gets the rows of one group in order, as tuples of the columns of ``rows``, and
-    yields rows of ``schema``; ``keys`` are the first columns of ``rows``."""
+    yields rows of ``schema``; ``keys`` are the first columns of ``rows``.  ``dealt``: the rows are
+    dealt by some of the keys already and are only sorted."""
     n, fields = len(keys), to_arrow_schema(schema)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield from zip(*map(_values, batch.columns), strict=True)
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         columns = zip(*out, strict=True) if out else [()] * len(fields)
@@ -43,7 +51,7 @@ def fold_sorted(rows: DataFrame, keys: Sequence[str], order: Sequence, schema: T
                     out = []
         yield batch_of(out)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return (rows if dealt else rows.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def fold_beside(rows: DataFrame, keys: Sequence[str], order: Sequence[str], uses: Sequence[str], field: T.StructField, fold: Callable[[Iterator[tuple]], Iterator]) -> DataFrame:
@@ -58,7 +66,7 @@ def fold_beside(rows: DataFrame, keys: Sequence[str], order: Sequence[str], uses
         def stream() -> Iterator[tuple]:
             for batch in batches:
                 waiting.append(batch)
-                yield from zip(*(batch.column(c).to_pylist() for c in (*keys, *uses)), strict=True)
+                yield from zip(*(_values(batch.column(c)) for c in (*keys, *uses)), strict=True)
 
         out = []
         for _, group in groupby(stream(), key=lambda r: r[:n]):
@@ -85,13 +93,17 @@ def iou(a: Sequence[float], b: Sequence[float]) -> float:
 
 class BoxIndex:
     """Boxes by number, found by IoU: boxes with IoU >= t have sides within a factor of 1/t, so
-    each is kept on the grid of its own size and looked for on the neighbouring grids."""
+    each is kept on the grid of its own size and looked for on the neighbouring grids.  As long as
+    they are few, boxes are compared one by one, which costs less than the grids."""
+
+    FEW = 24
 
     def __init__(self, min_iou: float):
         self.min_iou, self.near = min_iou, math.ceil(math.log2(1 / min_iou))
-        self.cells: dict[tuple[int, int, int], set[int]] = defaultdict(set)
+        self.cells: dict[tuple[int, int, int], set[int]] | None = None
         self.levels: dict[int, int] = defaultdict(int)
-        self.boxes: dict[int, tuple[float, float, float, float]] = {}
+        # x, y, w, h and the far edges
+        self.boxes: dict[int, tuple[float, ...]] = {}
 
     @staticmethod
     def _level(box: Sequence[float]) -> int:
@@ -107,17 +119,36 @@ class BoxIndex:
     def put(self, number: int, box: Sequence[float]) -> None:
         """Adds a box, or moves the one of this number."""
         old = self.boxes.get(number)
+        self.boxes[number] = (*box, box[0] + box[2], box[1] + box[3])
+        if self.cells is None:
+            if len(self.boxes) > self.FEW:
+                self.cells = defaultdict(set)
+                for n, b in self.boxes.items():
+                    self._enter(n, b)
+            return
         if old is not None:
             self.levels[self._level(old)] -= 1
             for cell in self._cells(old, self._level(old)):
                 self.cells[cell].discard(number)
-        self.boxes[number] = tuple(box)
+        self._enter(number, box)
+
+    def _enter(self, number: int, box: Sequence[float]) -> None:
         self.levels[self._level(box)] += 1
         for cell in self._cells(box, self._level(box)):
             self.cells[cell].add(number)
 
     def first(self, box: Sequence[float]) -> tuple[int, float] | None:
         """The smallest number with IoU >= ``min_iou``, and that IoU."""
+        if self.cells is None:
+            x, y, w, h = box
+            right, bottom, best = x + w, y + h, None
+            for number, other in self.boxes.items():
+                # boxes that lie apart have no IoU
+                if other[4] > x and right > other[0] and other[5] > y and bottom > other[1] and (best is None or number < best[0]):
+                    value = iou(other, box)
+                    if value >= self.min_iou:
+                        best = number, value
+            return best
         own, found = self._level(box), set()
         for level in range(max(0, own - self.near), own + self.near + 1):
             if self.levels.get(level):

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
 from screenlake.functions import geometry as G
 from screenlake.functions.semantics import constant_table
 from screenlake.operators.folds import BoxIndex, fold_sorted
-from screenlake.operators.ordered import with_part
 from screenlake.operators.spatial import touching_pairs
 
 
@@ -38,10 +37,6 @@ def source_diagnostics(cands: DataFrame, expected: list[str]) -> DataFrame:
 CARRIED = ("text", "state", "variant")
 
 
-def _carried(cands: DataFrame) -> Column:
-    return F.struct(*((F.col(c) if c in cands.columns else F.lit(None)).cast("string").alias(c) for c in CARRIED))
-
-
 def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7) -> DataFrame:
     """Fuse the candidates of each (image, type) in score order (ties: candidate id, then place
     and size, as ids may repeat).
@@ -52,22 +47,23 @@ def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7)
     cluster never changes what an earlier one absorbs, so one ordered pass is the same
     as the pairwise loop.
 
-    Each part of a group (see ``_parts``) is one pass; clusters are found through an index by
-    place and size, so the work does not grow with the square of the part."""
+    Candidates are dealt by group once.  Each part of a group (see ``_parts``) is one pass; clusters
+    are found through an index by place and size, so the work does not grow with the square of the part."""
     keys = ["image_id", "type"]
     limit = min(iou, wbf) if wbf is not None else iou
-    rows = _parts(cands, keys).withColumn("_o", -F.col("score"))
-    rows = rows.select(*keys, "_part", "_o", "cand_id", "x", "y", "w", "h", "score", "source", *(_carried(cands)[c].alias(c) for c in CARRIED))
+    carried = [c for c in CARRIED if c in cands.columns]
+    rows = _parts(cands.select(*keys, "cand_id", "x", "y", "w", "h", "score", "source", *(F.col(c).cast("string").alias(c) for c in carried)), keys)
+    rows = rows.select(*keys, "_part", "cand_id", "x", "y", "w", "h", "score", "source", *carried)
     vote = T.StructType([T.StructField("source", T.StringType()), T.StructField("score", T.DoubleType())])
     schema = T.StructType(
         [cands.schema[k] for k in (*keys, "cand_id")] + [T.StructField(c, T.DoubleType()) for c in (*"xywh", "score")] + [T.StructField("members", T.IntegerType())]
-        + [T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("votes", T.ArrayType(vote))] + [T.StructField(c, T.StringType()) for c in CARRIED]
+        + [T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("votes", T.ArrayType(vote))] + [T.StructField(c, T.StringType()) for c in carried]
     )
 
     def fuse(group: Iterator[tuple]) -> Iterator[tuple]:
         clusters: list[list] = []
         index = BoxIndex(limit)
-        for image, kind, _, _, cand, x, y, w, h, score, source, *extra in group:
+        for image, kind, _, cand, x, y, w, h, score, source, *extra in group:
             box, usable = (x, y, w, h), None not in (x, y, w, h, score)
             hit = index.first(box) if usable else None
             if hit is None:
@@ -87,17 +83,19 @@ def fuse_candidates(cands: DataFrame, iou: float = 0.5, wbf: float | None = 0.7)
                 index.put(hit[0], c[3])
         for image, kind, cand, box, score, members, votes, extra in clusters:
             best = sorted(votes.items(), key=lambda v: (v[0] is None, v[0] or ""))
-            yield (image, kind, cand, *box, score, members, [s for s, _ in best], [{"source": s, "score": v} for s, v in best], *extra)
+            yield (image, kind, cand, *box, score, members, [s for s, _ in best], best, *extra)
 
-    out = fold_sorted(rows, [*keys, "_part"], ["_o", "cand_id", "x", "y", "w", "h"], schema, fuse)
-    return out.drop(*(c for c in CARRIED if c not in cands.columns))
+    return fold_sorted(rows, [*keys, "_part"], [-F.col("score"), "cand_id", "x", "y", "w", "h"], schema, fuse, dealt=True)
 
 
 def _parts(cands: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates with ``_part``: groups are cut where extents are separated along y.  A merged
-    box stays within the hull of its members, so parts never meet."""
-    b = G.box()
-    return with_part(cands, b.y, cands, keys, b.y, b.bottom)
+    """Candidates, dealt by group, with ``_part``: groups are cut where extents are separated along y.
+    A merged box stays within the hull of its members, so parts never meet."""
+    group = W.partitionBy(*keys).orderBy("y")
+    reach = F.max(F.greatest("y", G.box().bottom)).over(group.rowsBetween(W.unboundedPreceding, -1))
+    starts = F.when(F.col("y") > F.col("_reach"), 1).otherwise(0).cast("long")
+    rows = cands.repartition(*keys).withColumn("_reach", reach)
+    return rows.withColumn("_part", F.sum(starts).over(group.rowsBetween(W.unboundedPreceding, 0))).drop("_reach")
 
 
 def flag_conflicts(fused: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -138,7 +136,7 @@ def dedupe_boxes(df: DataFrame, group: str, min_iou: float = 0.8) -> DataFrame:
         for _, row, slot in slots:
             yield (*row[3:], slot)
 
-    return fold_sorted(rows, ["_k0", "_k1", "_k2"], order, schema, keep)
+    return fold_sorted(rows, ["_k0", "_k1", "_k2"], order, schema, keep, dealt=True)
 
 
 def dedupe_seeds(seeds: DataFrame) -> DataFrame:
