@@ -265,12 +265,15 @@ def right_labels(marks: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def field_labels(texts: DataFrame, meta: DataFrame) -> DataFrame:
+def field_labels(texts: DataFrame, meta: DataFrame, dealt: bool = False) -> DataFrame:
     """Text nodes that act as labels: in the left 30 % and below the top 12 % of the page,
     at most 12 characters, with a sibling text to the right within 20 % of the page width
     that overlaps at least half of the smaller height.
 
-    ``texts``: image_id, parent_id, node_id, text, box of text-like nodes."""
+    ``texts``: image_id, parent_id, node_id, text, box of text-like nodes.  Both inputs are dealt by
+    image (``dealt``: they are already) and joined there."""
+    if not dealt:
+        texts, meta = texts.repartition("image_id"), meta.repartition("image_id")
     rows = texts.where(F.length(F.trim("text")) > 0).join(meta.select("image_id", "width", "height"), "image_id")
     left = rows.where(
         (F.col("x") <= F.col("width") * 0.3) & (F.col("y") >= F.col("height") * 0.12) & (F.length(F.trim("text")) <= 12)
@@ -280,7 +283,7 @@ def field_labels(texts: DataFrame, meta: DataFrame) -> DataFrame:
     a, b = G.box("a_"), G.box("b_")
     over = F.greatest(F.lit(0.0), F.least(a.bottom, b.bottom) - F.greatest(a.y, b.y)) / F.least(a.h, b.h)
     hit = (F.col("a_node_id") != F.col("b_node_id")) & (b.x >= a.right) & (b.x - a.right <= F.col("a_width") * 0.2) & (over >= 0.5)
-    return pairs.where(hit).select("image_id", F.col("a_node_id").alias("node_id")).distinct()
+    return cut_lineage(pairs.where(hit).select("image_id", F.col("a_node_id").alias("node_id")).distinct(), dealt=True)
 
 
 def control_labels(nodes: DataFrame, max_gap: float = 30.0) -> DataFrame:

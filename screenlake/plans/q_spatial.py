@@ -140,11 +140,12 @@ WITH tx AS (SELECT c.image_id, f.node_id AS parent_id, c.node_id, c.x, c.y, c.w,
 SELECT DISTINCT a.image_id, a.node_id FROM tx a JOIN tx b ON a.image_id = b.image_id AND a.parent_id = b.parent_id AND a.node_id <> b.node_id
 WHERE a.x <= 420 * 0.3 AND a.y >= 820 * 0.12 AND a.p % 3 <> 0 AND b.x >= a.x + a.w AND b.x - a.x - a.w <= 84 AND greatest(0, least(a.y+a.h, b.y+b.h) - greatest(a.y, b.y)) / least(a.h, b.h) >= 0.5""")
 def _(t):
-    n = t.tree_nodes.select("image_id", F.col("node_id").alias("child_id"), "p", "x", "y", "w", "h").join(t.kids, ["image_id", "child_id"])
+    d = t.dealt
+    n = d.tree_nodes.select("image_id", F.col("node_id").alias("child_id"), "p", "x", "y", "w", "h").join(d.kids, ["image_id", "child_id"])
     texts = n.select(
         "image_id", "parent_id", F.col("child_id").alias("node_id"), F.when(F.col("p") % 3 == 0, "much longer than a label").otherwise("Name").alias("text"), "x", "y", "w", "h"
     )
-    return S.field_labels(texts, t.pages_meta)
+    return S.field_labels(texts, d.pages_meta, dealt=True)
 
 
 @query("control_labels", """

@@ -159,3 +159,17 @@ def test_findings_and_review_of_dealt_tables(spark, shuffled):
         review = R.auto_review(found, el, acts, dealt=dealt)
         assert sorted((r.image_id, r.code, r.action) for r in review.collect()) == [(1, "isolated-content", "confirmed"), (2, "sibling-overlap", "confirmed")]
         assert set(shuffled) == (set() if dealt else {"image_id"})
+
+
+def test_field_labels(spark, shuffled):
+    """Texts and sizes of images are dealt by image once, and not at all if their tables are."""
+    texts = spark.createDataFrame([
+        (i, p, n, text, x, y, 30.0, 10.0) for i in (1, 2)
+        for p, n, text, x, y in [("p", "label", "Name", 10.0, 50.0), ("p", "value", "a value of some length", 60.0, 52.0), ("p", "far", "Far", 10.0, 90.0), ("q", "other", "Other", 10.0, 50.0), ("p", "top", "Top", 10.0, 3.0), ("p", "title", "Title", 50.0, 3.0)]
+    ], f"image_id long, parent_id string, node_id string, text string, {BOX}")
+    meta = spark.createDataFrame([(1, 200, 100), (2, 90, 100)], "image_id long, width int, height int")
+    tables = [cut_lineage(df.repartition("image_id"), dealt=True) for df in (texts, meta)]
+    for dealt, inputs in ((False, (texts, meta)), (True, tables)):
+        shuffled.clear()
+        assert [tuple(r) for r in S.field_labels(*inputs, dealt=dealt).collect()] == [(1, "label")]
+        assert set(shuffled) == (set() if dealt else {"image_id"})
