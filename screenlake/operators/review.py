@@ -115,12 +115,17 @@ def rule_sibling_overlap(elements: DataFrame, children: DataFrame, dealt: bool =
     """Same-type siblings with IoU > 0.3: the smaller one, once, with the first overlap in
     child-list order (child lists are kept sorted by id)."""
     elements, children = _by_image(dealt, elements, children)
-    return cut_lineage(_sibling_overlap(elements, _siblings(elements, children)), dealt=True)
+    return cut_lineage(_sibling_overlap(_marked_siblings(elements, children)), dealt=True)
 
 
-def _sibling_overlap(elements: DataFrame, sib: DataFrame) -> DataFrame:
-    pages = elements.where(F.col("type") == "page").select("image_id", F.col("element_id").alias("parent_id"))
-    sib = sib.join(pages.hint("merge"), ["image_id", "parent_id"], "left_anti")
+def _marked_siblings(elements: DataFrame, children: DataFrame) -> DataFrame:
+    """Siblings in the order of their parents; ``_in_page`` where the parent is a page."""
+    pages = elements.where(F.col("type") == "page").select("image_id", F.col("element_id").alias("parent_id"), F.lit(True).alias("_in_page")).distinct()
+    return _siblings(elements, children).join(pages.hint("merge"), ["image_id", "parent_id"], "left")
+
+
+def _sibling_overlap(sib: DataFrame) -> DataFrame:
+    sib = sib.where(F.col("_in_page").isNull()).drop("_in_page")
     pairs = touching_pairs(sib, sib, ["image_id", "parent_id", "type"]).where(F.col("a_element_id") < F.col("b_element_id"))
     a, b = G.box("a_"), G.box("b_")
     pairs = pairs.withColumn("iou", G.iou(a, b)).where(F.col("iou") > SIBLING_IOU)
@@ -160,8 +165,8 @@ def structure_findings(elements: DataFrame, relations: DataFrame, children: Data
     The inputs are dealt by image once (``dealt``: they are already); every join of the rules has the
     image among its keys and takes place there, as does what reads the findings."""
     elements, relations, children = _by_image(dealt, elements, relations, children)
-    sib = cut_lineage(_siblings(elements, children), dealt=True)
-    rows = _isolated_content(elements, relations, children).unionByName(_sibling_overlap(elements, sib)).unionByName(_sibling_size(sib))
+    sib = cut_lineage(_marked_siblings(elements, children), dealt=True)
+    rows = _isolated_content(elements, relations, children).unionByName(_sibling_overlap(sib)).unionByName(_sibling_size(sib))
     return cut_lineage(rows, dealt=True).withColumn("subject_id", F.concat_ws(":", "code", "element_id")).withColumn(
         "signature", F.concat_ws(":", F.col("version").cast("string"), "code", "element_id", "bbox_hash", "type")
     )

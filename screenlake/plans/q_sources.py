@@ -15,15 +15,16 @@ from screenlake.streaming import jobs as J
 
 
 # --- annotations ------------------------------------------------------------------------
-def annotation_json(t):
-    """An annotation document per image, with defects spread over the images."""
+def annotation_json(t, images=None):
+    """An annotation document per image (of ``images``), with defects spread over the images."""
     i, p = F.col("image_id"), F.col("p")
     el = F.struct(
         F.when((i % 11 == 5) & (F.col("n") == 2), F.lit(None)).otherwise(F.col("node_id")).alias("id"), F.col("type"),
         F.struct(F.when((i % 11 == 6) & (F.col("n") == 3), F.lit(None)).otherwise(F.col("x")).alias("x"), "y", "w", "h").alias("bbox"),
         F.when((i % 11 == 7) & (F.col("n") == 4), F.lit(None)).otherwise(F.lit("native")).alias("render"),
     )
-    rows = t.tree_nodes.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", el.alias("e")))), lambda s: s["e"]).alias("elements"))
+    nodes = t.tree_nodes if images is None else t.tree_nodes.join(images, "image_id", "left_semi")
+    rows = nodes.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", el.alias("e")))), lambda s: s["e"]).alias("elements"))
     i = F.col("image_id")
     doc = F.struct(
         F.when(i % 11 == 1, F.lit(None)).otherwise(F.concat(i.cast("string"), F.lit(".png"))).alias("image"),
