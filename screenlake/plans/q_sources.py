@@ -92,7 +92,10 @@ def _(t):
 
 def whole_trees(t):
     """Each image's nodes as one nested JSON text, built from the deepest level up."""
-    level = R.tree_depths(t.nodes, ["parent_id", "n", "type", "x", "y", "w", "h"])
+    nodes = t.dealt.nodes
+    # nodes that share an id stand at each place of that id, as in the walk of the SQL
+    level = nodes.select("image_id", "node_id", "parent_id", "n", "type", "x", "y", "w", "h").join(R.tree_depths(nodes).hint("merge"), ["image_id", "node_id"])
+    level = cut_lineage(level, dealt=True)
     own = F.to_json(F.struct(F.col("node_id").alias("id"), "type", F.struct("x", "y", "w", "h").alias("bbox"))).alias("own")
     inner = F.expr("concat(left(own, length(own) - 1), ',\"children\":[', array_join(kids, ','), ']}')")
     below = None
